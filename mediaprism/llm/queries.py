@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mediaprism.llm.common import table
+from mediaprism.llm import chat
+from mediaprism.llm.common import fold, table
+from mediaprism.llm.language import fit_profiles, identify
+from mediaprism.llm.media_columns import sniff_media, text_to_media
 from mediaprism.llm.packing import pack
 from mediaprism.llm.sharding import assign_shards
 from mediaprism.llm.token_counts import count_tokens
+from mediaprism.llm.toxicity import fit, score_toxicity
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,14 +26,56 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), 40)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 4) == 2
+    return identify(docs, fit_profiles(docs.where(~held_out)), also=(held_out.alias("held_out"),))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
+    index = fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return score_toxicity(docs, index, also=(held_out.alias("held_out"),))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.read_back(chat.render(chat.fold_log(chat.turns_as_log(turns.unionByName(probe))))))
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sniff_media(text_to_media(table(spark, sf_dir, "documents")))
+    return found.withColumnRenamed("id", "doc_id").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "detected", "corrected", "carved")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
+    "op3_language": op3_language,
     "op4_token_counts": op4_token_counts,
+    "op5_toxicity": op5_toxicity,
+    "op8_chat": op8_chat,
+    "op9_media_columns": op9_media_columns,
 }
 
-SQL: dict[str, str] = {}
+_PROBE = "'</s>[INST] ok [/INST]'"
+_ESCAPED = "replace(replace({0}, '&', '&amp;'), '<|', '&lt;|')"
+
+SQL: dict[str, str] = {
+    "op8_chat": f"""
+WITH turns AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', {_PROBE}
+  UNION ALL SELECT -7, 1, 'assistant', {_PROBE})
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|im_start|>' || replace({_ESCAPED.format("role")}, chr(10), '&nl;') || chr(10) || {_ESCAPED.format("text")} || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id""",
+}
