@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mediaprism.llm import chat
 from mediaprism.llm.common import fold, table
+from mediaprism.llm.decontamination import decontamination_report
 from mediaprism.llm.language import fit_profiles, identify
 from mediaprism.llm.media_columns import sniff_media, text_to_media
 from mediaprism.llm.packing import pack
@@ -41,6 +42,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, index, also=(held_out.alias("held_out"),))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
+    "op6_decontamination": op6_decontamination,
     "op8_chat": op8_chat,
     "op9_media_columns": op9_media_columns,
 }
