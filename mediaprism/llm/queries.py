@@ -15,6 +15,7 @@ from mediaprism.llm.language import fit_profiles, identify
 from mediaprism.llm.media_columns import sniff_media, text_to_media
 from mediaprism.llm.packing import pack
 from mediaprism.llm.sharding import assign_shards
+from mediaprism.llm.simhash import near_duplicates
 from mediaprism.llm.token_counts import count_tokens
 from mediaprism.llm.toxicity import fit, score_toxicity
 
@@ -46,6 +47,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
+    "op7_simhash": op7_simhash,
     "op8_chat": op8_chat,
     "op9_media_columns": op9_media_columns,
 }
