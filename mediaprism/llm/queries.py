@@ -12,6 +12,7 @@ from mediaprism.llm import chat
 from mediaprism.llm.common import fold, table
 from mediaprism.llm.decontamination import decontamination_report
 from mediaprism.llm.language import fit_profiles, identify
+from mediaprism.llm.line_dedup import repeated_lines
 from mediaprism.llm.media_columns import sniff_media, text_to_media
 from mediaprism.llm.packing import pack
 from mediaprism.llm.sharding import assign_shards
@@ -64,6 +65,11 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "detected", "corrected", "carved")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_words", F.size("gone").cast("long").alias("n_gone"), "gone_words", "gone")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_chat": op8_chat,
     "op9_media_columns": op9_media_columns,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 _PROBE = "'</s>[INST] ok [/INST]'"
