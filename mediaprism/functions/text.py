@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _ATTRIBUTE = r'([A-Za-z0-9-]+)=("[^"]*"|[^,]*)'
 
@@ -68,7 +69,7 @@ def extension(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.regexp_replace(url, "[?#].*$", ""), r"(\.[A-Za-z0-9]+)$", 1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolved(base: pd.Series, reference: pd.Series) -> pd.Series:
     """RFC 3986 resolution, which Spark has no function for."""
     from urllib.parse import urljoin
