@@ -114,7 +114,8 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     marks = lines.select("id", "version", F.explode("marks").alias("place"), F.col("hashes")).select("id", "version", "place", F.element_at("hashes", F.col("place") + 1).alias("mark"))
     marks = saved(marks)
-    twice = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    # Written, it meets the marks in a join of two plain exchanges, of which Spark can split a hot mark's side.
+    twice = saved(marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"))
     # Which fingerprints of a document occur twice; then the document's lines come to them.
     near = marks.join(twice, "mark", "left_semi").groupBy("id", "version").agg(F.collect_set("place").alias("places"))
     near = near.join(lines.select("id", "version", "hashes", "words").dropDuplicates(["id", "version"]).withColumnsRenamed({"id": "_id", "version": "_version"}), F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")))
@@ -138,7 +139,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(np.concatenate(x)) for x in (keys, starts, ends))], ["id", "version", "run", "start", "end"])
 
     runs = saved(near.select("id", "version", "places", "hashes", "words").mapInArrow(extend, f"id {kind}, version long, run long, start int, end int"))
-    first = runs.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("id", "version", "start")).alias("first")).where("n > 1").select("run", "first")
+    first = saved(runs.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("id", "version", "start")).alias("first")).where("n > 1").select("run", "first"))
     later = runs.join(first, "run").where(~F.struct("id", "version", "start").eqNullSafe(F.col("first")))
     gone = later.groupBy("id", "version").agg(F.collect_set(F.struct("start", "end")).alias("runs")).select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["end"] - 1))))).alias("gone"))
     whole = lines.select("id", "version", F.size("hashes").alias("n_lines"), "words").dropDuplicates(["id", "version"])
