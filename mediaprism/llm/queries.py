@@ -67,7 +67,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_lines(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_words", F.size("gone").cast("long").alias("n_gone"), "gone_words", "gone")
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_words", F.size("gone").cast("long").alias("n_gone"), "gone_words", F.array_join("gone", ",").alias("gone"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -83,10 +83,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _PROBE = "'</s>[INST] ok [/INST]'"
 _ESCAPED = "replace(replace({0}, '&', '&amp;'), '<|', '&lt;|')"
 
 SQL: dict[str, str] = {
+    "op6_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+windows AS (SELECT item_id, least(len(w), 13) AS n, array_to_string(w[s + 1 : s + 13], ' ') AS gram FROM (SELECT item_id, w, unnest(range(0, greatest(len(w) - 12, 1))) AS s FROM i WHERE len(w) > 0)),
+grams AS (SELECT row, n, s, array_to_string(w[s + 1 : s + n], ' ') AS gram FROM (SELECT row, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM d CROSS JOIN (SELECT DISTINCT n FROM windows))),
+hits AS (SELECT DISTINCT row, s, n, gram FROM grams SEMI JOIN windows USING (n, gram)),
+covered AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(s, s + n)) AS p FROM hits) GROUP BY row),
+found AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM hits JOIN windows USING (n, gram)) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (row) LEFT JOIN found USING (row)""",
+    "op10_line_dedup": r"""
+WITH d AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE list_transform(flatten(list_transform(string_split(text, chr(10)), lambda l: string_split(l, '. '))), lambda x: rtrim(regexp_replace(x, '^\s+|\s+$', '', 'g'), '.')) END AS units FROM documents),
+u AS (SELECT doc_id, pos, units[pos + 1] AS unit, CASE WHEN units[pos + 1] = '' THEN 0 ELSE length(units[pos + 1]) - length(replace(units[pos + 1], ' ', '')) + 1 END AS w FROM (SELECT doc_id, units, unnest(range(0, len(units))) AS pos FROM d)),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS total FROM u),
+pairs AS (SELECT a.doc_id, a.pos AS s, b.pos AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.total - a.total + a.w >= 25),
+runs AS (SELECT doc_id, s, min(e) AS e FROM pairs GROUP BY 1, 2 UNION SELECT doc_id, max(s), e FROM pairs GROUP BY doc_id, e),
+keyed AS (SELECT runs.doc_id, s, e, array_to_string(units[s + 1 : e + 1], chr(10)) AS run FROM runs JOIN d USING (doc_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS nth FROM keyed),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS pos FROM ranked WHERE nth > 1)
+SELECT doc_id, CAST(len(any_value(units)) AS BIGINT) AS n_lines, CAST(coalesce(sum(w), 0) AS BIGINT) AS n_words, count(gone.pos) AS n_gone, CAST(coalesce(sum(w) FILTER (WHERE gone.pos IS NOT NULL), 0) AS BIGINT) AS gone_words, coalesce(string_agg(CAST(gone.pos AS VARCHAR), ',' ORDER BY gone.pos), '') AS gone
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id""",
     "op8_chat": f"""
 WITH turns AS (
   SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -13,7 +13,8 @@ A bucket beyond ``bucket_rows`` is dealt into blocks, and pairs of blocks are ve
 Cases: texts without words have fingerprint zero and are one class; fewer words than a shingle
 count whole; null texts are empty; repeated rows give repeated rows; an empty table gives none;
 columns other than those named are not read. Ids are comparable values; ties do not arise, as a
-component is named by its smallest id.
+component is named by its smallest id. A row without an id has a fingerprint and shares its class's
+component, but a class of such rows alone has none and carries no links.
 """
 
 from __future__ import annotations

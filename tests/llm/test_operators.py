@@ -309,8 +309,9 @@ def test_chat_folds_events(spark):
     assert chat.fold_log(events.limit(0)).count() == 0
 
 
-def test_chat_query_agrees_with_sql(spark, duck):
-    assert rows_of(queries.op8_chat(spark, SF).toPandas()) == rows_of(duck.execute(queries.SQL["op8_chat"]).df())
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_agrees_with_sql(spark, duck, name):
+    assert rows_of(queries.QUERIES[name](spark, SF).toPandas()) == rows_of(duck.execute(queries.SQL[name]).df())
 
 
 # --- 9: media
