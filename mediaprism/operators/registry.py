@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,5 +33,11 @@ def load(spark: SparkSession, sf_dir: str) -> Relations:
     return Relations(of(R.SEGMENTS), of(R.RENDITIONS), of(R.PARTS), of(R.SPLICES), of(R.OBSERVATIONS))
 
 
+def shared(relations: Relations) -> Relations:
+    """The relations kept by Spark, so that checks which run together compute each of them once."""
+    kept = {f: getattr(relations, f).persist() for f in ("all_segments", "all_renditions", "parts", "splices", "observations") if getattr(relations, f) is not None}
+    return replace(relations, **kept)
+
+
 def run_checks(relations: Relations, names: list[str] | None = None) -> DataFrame:
     return together(*(CHECKS[n](relations) for n in (names or CHECKS)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaprism import findings
-from mediaprism.operators.registry import CHECKS, load, run_checks
+from mediaprism.operators.registry import CHECKS, load, run_checks, shared
 from mediaprism.plans import oracles
 
 
@@ -17,7 +17,7 @@ def _check(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_checks(load(spark, sf_dir))
+    return run_checks(shared(load(spark, sf_dir)))
 
 
 def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,10 +28,9 @@ def report_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark, sf_dir).groupBy("check").agg(F.max_by("status", findings.severity(F.col("status"))).alias("worst"), F.count("*").alias("n"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _check(name) for name in CHECKS} | {"report_summary": report_summary, "report_worst": report_worst}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _check(name) for name in CHECKS} | {"report_summary": report_summary}
 
 _ALL = "\nUNION ALL ".join(f"SELECT * FROM ({q})" for q in oracles.SQL.values())
 SQL: dict[str, str] = oracles.SQL | {
     "report_summary": f'SELECT "check", status, count(*) AS n FROM ({_ALL}) GROUP BY 1, 2',
-    "report_worst": f"""SELECT "check", CASE max(CASE status WHEN 'OK' THEN 0 WHEN 'WARN' THEN 1 WHEN 'BAD' THEN 2 ELSE 3 END) WHEN 0 THEN 'OK' WHEN 1 THEN 'WARN' WHEN 2 THEN 'BAD' ELSE 'ERROR' END AS worst, count(*) AS n FROM ({_ALL}) GROUP BY 1""",
 }
