@@ -1,4 +1,4 @@
-"""Readers of MPEG transport streams, packed AAC, fragmented MP4 and WebVTT.
+"""Readers of MPEG transport streams, packed AAC, fragmented MP4, WebVTT and TTML.
 
 Each gives plain dictionaries; what the bytes do not say is None. Damaged input never raises: it
 gives None, which callers record as a parse error.
@@ -270,9 +270,39 @@ def parse_webvtt(data: bytes) -> dict | None:
     return {"container": "webvtt", "tracks": [t], "map": int(clock[1]) if clock else None}
 
 
+_PARAGRAPH = re.compile(r"<(?:\w+:)?p\b([^>]*)>")
+_OFFSET = re.compile(r"^([0-9.]+)(h|m|s|ms|f|t)$")
+
+
+def _ttml_ms(value: str, frames: float, ticks: float) -> int | None:
+    if m := _OFFSET.match(value):
+        unit = {"h": 3_600_000, "m": 60_000, "s": 1000, "ms": 1, "f": 1000 / frames, "t": 1000 / ticks}[m[2]]
+        return round(float(m[1]) * unit)
+    if m := re.match(r"^(\d+):(\d{2}):(\d{2}(?:\.\d+)?)(?::(\d+))?$", value):
+        return round((int(m[1]) * 3600 + int(m[2]) * 60 + float(m[3]) + int(m[4] or 0) / frames) * 1000)
+    return None
+
+
+def parse_ttml(data: bytes) -> dict | None:
+    """Paragraphs with a begin, in milliseconds; a duration stands in for an end."""
+    text = data.decode("utf-8", "replace")
+    if not re.search(r"<(?:\w+:)?tt[\s>]", text[:4096]):
+        return None
+    number = lambda name, other: float(m[1]) if (m := re.search(rf'{name}="([0-9.]+)"', text)) and float(m[1]) > 0 else other
+    frames, ticks = number("frameRate", 30.0), number("tickRate", 1.0)
+    cues = []
+    for attributes in _PARAGRAPH.findall(text):
+        found = dict(re.findall(r'\b(begin|end|dur)="([^"]*)"', attributes))
+        begin = _ttml_ms(found.get("begin", ""), frames, ticks)
+        end, length = _ttml_ms(found.get("end", ""), frames, ticks), _ttml_ms(found.get("dur", ""), frames, ticks)
+        if begin is not None:
+            cues.append((begin, end if end is not None else begin + (length or 0)))
+    return {"container": "ttml", "tracks": [track("text", "stpp", timescale=1000, samples=len(cues), min_pts=min((a for a, _ in cues), default=None), max_pts=max((b for _, b in cues), default=None))]}
+
+
 def parse(data: bytes, init: bytes | None = None) -> dict | None:
-    """The first container that recognises the bytes: MP4, transport stream, packed audio, WebVTT."""
-    for read in (lambda: parse_mp4(data, init), lambda: parse_ts(data), lambda: parse_packed_audio(data), lambda: parse_webvtt(data)):
+    """The first container that recognises the bytes: MP4, transport stream, packed audio, WebVTT, TTML."""
+    for read in (lambda: parse_mp4(data, init), lambda: parse_ts(data), lambda: parse_packed_audio(data), lambda: parse_webvtt(data), lambda: parse_ttml(data)):
         try:
             if (found := read()) is not None:
                 return found
