@@ -182,14 +182,20 @@ def availability(rel: Relations) -> DataFrame:
 
 
 def watch(rel: Relations) -> DataFrame:
-    """A polled live edge: never moved, stalled, or went backwards; the batch form of the streaming monitor."""
+    """A polled live edge: never moved, stalled, went backwards, or published slower or faster than time passes.
+
+    The rate is judged over four segments at least; it may be off by a segment and a fifth of the time.
+    """
     w = Window.partitionBy("rendition").orderBy("poll")
     o = rel.observations.where("NOT failed").withColumn("was", F.lag("newest").over(w))
     moved = F.col("was").isNotNull() & (F.col("newest") != F.col("was"))
     mark = o.withColumn("at", F.when(moved, F.col("observed_us")))
     since = F.coalesce(F.last("at", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.min("observed_us").over(Window.partitionBy("rendition")))
     mark = mark.withColumn("gap", F.col("observed_us") - since)
-    g = mark.groupBy("rendition").agg(F.count("at").alias("advances"), F.max("gap").alias("stall"), F.sum(F.when(F.col("newest") < F.col("was"), 1).otherwise(0)).alias("back"), F.max("target_us").alias("target"), F.count("*").alias("looks"))
+    g = mark.groupBy("rendition").agg(F.count("at").alias("advances"), F.max("gap").alias("stall"), F.sum(F.when(F.col("newest") < F.col("was"), 1).otherwise(0)).alias("back"), F.max("target_us").alias("target"), F.count("*").alias("looks"), (F.max_by("newest", "poll") - F.min_by("newest", "poll")).alias("published"), (F.max("observed_us") - F.min("observed_us")).alias("passed"))
+    ahead = F.col("published") * F.col("target") - F.col("passed")
+    slack = F.col("target") + F.col("passed") / 5
+    rated = g.where((F.col("passed") >= 4 * F.col("target")) & (F.col("advances") > 0)).where(F.abs(ahead) > slack)
     failed = rel.observations.where("failed").groupBy("rendition").agg(F.count("*").alias("n"))
     stalled = F.col("stall") > F.col("target") * rel.options.stall_tolerance
     rule = F.when(F.col("looks") == 1, "one-look").when(F.col("advances") == 0, "never-advanced").when(stalled, "stalled").otherwise("advancing")
@@ -197,5 +203,6 @@ def watch(rel: Relations) -> DataFrame:
     return together(
         finding(g, "watch", rule, label(), status, F.col("stall") / 1e6),
         finding(g.where("back > 0"), "watch", "backwards", label(), "BAD", F.col("back")),
+        finding(rated, "watch", F.when(ahead < 0, "behind").otherwise("ahead"), label(), F.when(ahead < 0, "BAD").otherwise("WARN"), ahead / 1e6),
         finding(failed, "watch", "poll-failed", label(), "ERROR", F.col("n")),
     )

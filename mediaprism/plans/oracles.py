@@ -327,11 +327,13 @@ SQL["watch"] = _with(
     """o AS (SELECT *, lag(newest) OVER (PARTITION BY rendition ORDER BY poll) AS was FROM observations WHERE NOT failed),
 a AS (SELECT *, was IS NOT NULL AND newest <> was AS moved FROM o),
 b AS (SELECT *, observed_us - coalesce(max(CASE WHEN moved THEN observed_us END) OVER (PARTITION BY rendition ORDER BY poll ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), min(observed_us) OVER (PARTITION BY rendition)) AS gap FROM a),
-g AS (SELECT rendition, count(*) FILTER (WHERE moved) AS adv, max(gap) AS stall, count(*) FILTER (WHERE newest < was) AS back, max(target_us) AS target, count(*) AS looks FROM b GROUP BY 1)""",
+g AS (SELECT rendition, count(*) FILTER (WHERE moved) AS adv, max(gap) AS stall, count(*) FILTER (WHERE newest < was) AS back, max(target_us) AS target, count(*) AS looks, arg_max(newest, poll) - arg_min(newest, poll) AS published, max(observed_us) - min(observed_us) AS passed FROM b GROUP BY 1),
+h AS (SELECT *, published * target - passed AS ahead FROM g WHERE passed >= 4 * target AND adv > 0)""",
     _rows(
         "watch",
         (_case(("looks = 1", "one-look"), ("adv = 0", "never-advanced"), ("stall > target * 3", "stalled"), other="advancing"), _R, _case(("looks = 1", "OK"), ("adv = 0 OR stall > target * 3", "BAD"), other="OK"), "stall / 1e6", "g"),
         ("backwards", _R, "BAD", "back", "g WHERE back > 0"),
+        (_case(("ahead < 0", "behind"), other="ahead"), _R, _case(("ahead < 0", "BAD"), other="WARN"), "ahead / 1e6", "h WHERE abs(ahead) > target + passed / CAST(5 AS DOUBLE)"),
         ("poll-failed", _R, "ERROR", "count(*)", "observations WHERE failed GROUP BY rendition"),
     ),
 )
