@@ -161,17 +161,17 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     A document of which nothing is left goes.
     """
-    found = repeated_lines(docs, id_col=id_col, text_col=text_col, **options).where(F.size("gone") > 0).select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("gone").alias("_gone"))
-    rows = docs.withColumn("_of", F.xxhash64(text_col))
-    joined = rows.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_version")), "left")
+    found = repeated_lines(docs, id_col=id_col, text_col=text_col, **options).where(F.size("gone") > 0).select(F.col("id").alias("__ld_id"), F.col("version").alias("__ld_version"), F.col("gone").alias("__ld_gone"))
+    rows = docs.withColumn("__ld_of", F.xxhash64(text_col))
+    joined = rows.join(found, F.col(id_col).eqNullSafe(F.col("__ld_id")) & (F.col("__ld_of") == F.col("__ld_version")), "left")
 
     @F.pandas_udf("string")
     def without(text, gone):
         return type(text)([t if t is None or g is None or not len(g) else join_lines(lines_of(t), set(map(int, g))) for t, g in zip(text, gone, strict=True)], dtype=object)
 
     # Python gets the texts of documents that lose something only.
-    changed = F.when(F.col("_gone").isNotNull(), without(F.when(F.col("_gone").isNotNull(), F.col(text_col)), F.col("_gone"))).otherwise(F.col(text_col))
-    return joined.withColumn(text_col, changed).where(F.col("_gone").isNull() | (F.trim(text_col) != "")).select(*docs.columns)
+    changed = F.when(F.col("__ld_gone").isNotNull(), without(F.when(F.col("__ld_gone").isNotNull(), F.col(text_col)), F.col("__ld_gone"))).otherwise(F.col(text_col))
+    return joined.withColumn(text_col, changed).where(F.col("__ld_gone").isNull() | (F.trim(text_col) != "")).select(*docs.columns)
 
 
 def brute_force(rows: list[tuple], min_words: int = 25) -> dict[tuple, list[int]]:

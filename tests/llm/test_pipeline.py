@@ -27,3 +27,16 @@ def test_planted_cases(spark):
     near = {r["doc_id"] for r in p.drop_near_duplicates(spark, docs, SF).collect()}
     assert {1, 3, 5, 6, 7} <= near | {3} and 2 not in near
     assert {r["doc_id"] for r in p.drop_contaminated(spark, docs, SF).collect()} == {1, 2, 3, 4, 5, 7}
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark):
+    import corpus_pipeline as p
+
+    rows = [(1, None), (1, None), (2, ""), (3, "x"), (None, "no id, but a text of its own"), (None, "another one without"), (4, "la " * 500)]
+    docs = spark.createDataFrame([(i, t, 0.5, 1, "v", 2) for i, t in rows], "doc_id long, text string, score double, predicted int, version string, gone int")
+    for empty in (docs, docs.limit(0)):
+        for _, stage in p.STAGES[:-1]:
+            out = stage(spark, empty, SF)
+            assert out.columns == docs.columns
+            ids = [r["doc_id"] for r in out.collect()]
+            assert not ids if empty is not docs else ids.count(None) == 2 and 4 in ids
