@@ -1,18 +1,22 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-A bounded, hash-chosen sample of the labelled rows (about ``sample`` at most) is the example set. Of
-their words the ``vocabulary`` ones that tell the labels apart best (chi-square) are kept; vectors
-are (1 + log tf) * idf, of unit length. Examples with equal vectors become one with their votes
-added up. The index deals the examples into blocks; each block holds postings of its own terms
-and, for every term, the largest weight in the block. A query visits a block only while the bound
-from those maxima reaches its k-th best similarity so far, so the neighbours are exact. They vote
-with similarity to the power ``sharpness``; a logistic curve fitted on leave-one-out votes of the
-examples turns votes into calibrated scores. The neighbours' ids are returned as evidence.
-
-Cases: null and empty texts, and texts without any kept word, get the calibrated share of toxic
-examples that have none either; no labels at all: score 0; ties go to the earlier example; whole
-texts count, however long; repeated rows give repeated rows; an empty table gives none; columns
-other than those named are not read.
+A bounded, hash-chosen sample of the labelled rows (about ``sample`` at most) is the example set. All
+of their words are indexed; a word's idf comes from the number of documents, of all that are given,
+which hold it, and is multiplied by the square root of a damped chi-square of word and label, as else
+topics decide who is near. No word is left out for its weight, which is above zero. Vectors are
+(1 + log tf) * idf so weighted, of unit length. Examples with equal vectors become one
+with their votes added up. The index deals the examples into blocks. Words in few examples have postings,
+whose products are added up first; words in many have a dense row a block and, for every block, the largest
+weight there. A query visits a block only while the best sum of its postings there, and the bound from
+those maxima, reach its k-th best similarity so far, so the neighbours are exact. They vote with similarity
+to the power ``sharpness``; a logistic curve fitted on leave-one-out votes of the examples turns votes
+into calibrated scores. The neighbours' ids are returned as evidence.
+
+Cases: null and empty texts, and texts that share no word with any example, get the calibrated share of
+toxic examples that have no words either; words that no example holds have no weight, which changes no
+order of neighbours; no labels at all: score 0; ties go to the earlier example; whole texts count,
+however long; repeated rows give repeated rows; an empty table gives none; columns other than
+those named are not read.
 """
 
 from __future__ import annotations
@@ -46,63 +50,143 @@ class TermFinder:
                 self[chunk] = found
             return found
 
-    def __init__(self, terms: dict[str, int], limit: int = 500_000):
+    def __init__(self, terms: dict[str, int], limit: int = 100_000):
         self.chunks = self._Chunks()
         self.chunks.terms, self.chunks.limit = terms, limit
 
+    def each(self, text: str | None) -> list[int]:
+        return [t for found in map(self.chunks.__getitem__, text.lower().split()) if found for t in found] if text else []
+
     def count(self, text: str | None) -> Counter:
-        return Counter([t for found in map(self.chunks.__getitem__, text.lower().split()) if found for t in found]) if text else Counter()
+        return Counter(self.each(text))
 
 
 @dataclass
-class Block:
-    first: int
+class Rows:
+    """Sparse rows: row i has ``terms`` and ``weights`` from ``start[i]`` to ``start[i + 1]``."""
+
+    start: np.ndarray
     terms: np.ndarray
-    weights: np.ndarray  # terms x examples: the postings of the block's terms
-    peaks: np.ndarray
+    weights: np.ndarray
+
+    @staticmethod
+    def of(pairs: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
+        return Rows(
+            np.cumsum([0, *(len(t) for t, _ in pairs)]),
+            np.concatenate([np.zeros(0, np.int64), *(t for t, _ in pairs)]),
+            np.concatenate([np.zeros(0), *(w for _, w in pairs)]),
+        )
+
+    @staticmethod
+    def of_dense(v: np.ndarray) -> Rows:
+        return Rows.of([(t := np.nonzero(x)[0], x[t]) for x in v])
+
+    def __len__(self) -> int:
+        return len(self.start) - 1
+
+    def at(self) -> np.ndarray:
+        """The row of each entry."""
+        return np.repeat(np.arange(len(self)), np.diff(self.start))
+
+    def take(self, rows: np.ndarray) -> Rows:
+        return Rows.of([(self.terms[self.start[i] : self.start[i + 1]], self.weights[self.start[i] : self.start[i + 1]]) for i in rows])
+
+    def dense(self, width: int) -> np.ndarray:
+        v = np.zeros((len(self), width))
+        v[self.at(), self.terms] = self.weights
+        return v
+
+
+def vector(counts: dict[int, int] | tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms in order and their weights, of unit length, from counts by term or from terms and counts."""
+    terms, times = (np.fromiter(x, np.int64, len(counts)) for x in (counts.keys(), counts.values())) if isinstance(counts, dict) else counts
+    order = np.argsort(terms)
+    terms = terms[order]
+    w = (1 + np.log(times[order].astype(float))) * idf[terms]
+    return terms, w / math.sqrt(w @ w) if len(w) else w
 
 
 class ExampleIndex:
-    def __init__(self, terms: list[str], idf: np.ndarray, vectors: np.ndarray, ids: np.ndarray, n: np.ndarray, toxic: np.ndarray, *, blank: tuple[int, int], k: int = 25, block: int = 64, sharpness: float = 4.0, prior_weight: float = 0.5):
+    def __init__(self, terms: list[str], idf: np.ndarray, examples: Rows, ids: np.ndarray, n: np.ndarray, toxic: np.ndarray, *, blank: tuple[int, int], k: int = 25, block: int = 64, sharpness: float = 4.0, prior_weight: float = 0.5):
         self.terms, self.idf, self.k, self.block, self.sharpness, self.prior_weight = terms, idf, k, block, sharpness, prior_weight
         self.where = {t: i for i, t in enumerate(terms)}
         # Examples whose strongest terms agree stand together, which keeps the blocks' bounds low.
-        order = np.lexsort([ids, *(np.argsort(-vectors, axis=1)[:, j] for j in (1, 0) if vectors.shape[1] > 1)]) if len(ids) else np.zeros(0, int)
-        self.vectors, self.ids, self.n, self.toxic = vectors[order], ids[order], n[order], toxic[order]
+        strongest = [examples.terms[a:b][np.argsort(-examples.weights[a:b], kind="stable")[[0, -1 if b - a == 1 else 1]]] for a, b in zip(examples.start[:-1], examples.start[1:], strict=True)]
+        order = np.lexsort([ids, *(np.array([x[j] for x in strongest]) for j in (1, 0))]) if len(ids) else np.zeros(0, int)
+        self.examples, self.ids, self.n, self.toxic = examples.take(order), ids[order], n[order], toxic[order]
         self.blank = blank
         self.share = (self.toxic.sum() + blank[1]) / max(1, self.n.sum() + blank[0])
-        self.blocks = []
-        for i in range(0, len(self.ids), block):
-            part = self.vectors[i : i + block].T
-            own = np.nonzero(part.any(axis=1))[0]
-            self.blocks.append(Block(i, own, np.ascontiguousarray(part[own]), part[own].max(axis=1)))
-        self.bounds = np.zeros((len(terms), len(self.blocks)))
-        for b, x in enumerate(self.blocks):
-            self.bounds[x.terms, b] = x.peaks
         self.curve = (1.0, 0.0)
-
-    def vector(self, counts: Counter) -> np.ndarray:
-        v = np.zeros(len(self.terms))
-        for t, c in counts.items():
-            v[t] = (1 + math.log(c)) * self.idf[t]
-        norm = math.sqrt(v @ v)
-        return v / norm if norm else v
-
-    def nearest(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self._deal()
+
+    def _deal(self) -> None:
+        """The postings, dense rows and maxima, from the examples."""
+        at, x = self.examples.at(), self.examples
+        df = np.bincount(x.terms, minlength=len(self.terms))
+        common = np.nonzero(df > max(8, len(self.ids) // 32))[0]
+        self.common = np.full(len(self.terms), -1)
+        self.common[common] = np.arange(len(common))
+        # Padded to whole blocks; what is padded has no weight and is never a neighbour.
+        self.width = -(-len(self.ids) // self.block) * self.block
+        self.heavy = np.zeros((len(common), self.width))
+        frequent = self.common[x.terms] >= 0
+        self.heavy[self.common[x.terms[frequent]], at[frequent]] = x.weights[frequent]
+        self.peaks = self.heavy.reshape(len(common), -1, self.block).max(axis=2) if len(self.ids) else np.zeros((len(common), 0))
+        rare = np.nonzero(~frequent)[0]
+        rare = rare[np.argsort(x.terms[rare], kind="stable")]
+        self.post_start = np.concatenate([[0], np.cumsum(np.where(self.common < 0, df, 0))]).astype(np.int64)
+        self.post_at, self.post_weight = at[rare], x.weights[rare]
+
+    def __getstate__(self) -> dict:
+        # What is dealt is larger than the examples; each worker deals it again.
+        return {k: v for k, v in self.__dict__.items() if k not in ("where", "common", "heavy", "peaks", "post_start", "post_at", "post_weight")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.where = {t: i for i, t in enumerate(self.terms)}
+        self._deal()
+
+    @property
+    def vectors(self) -> np.ndarray:
+        """All examples over all terms; for small indexes."""
+        return self.examples.dense(len(self.terms))
+
+    def rare_sums(self, q: Rows) -> np.ndarray:
+        """For each query and example the products of the words that have postings."""
+        at, rare = q.at(), self.common[q.terms] < 0
+        at, t, w = at[rare], q.terms[rare], q.weights[rare]
+        first, size = self.post_start[t], self.post_start[t + 1] - self.post_start[t]
+        entry = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+        place = np.repeat(at * self.width, size) + self.post_at[entry]
+        return np.bincount(place, self.post_weight[entry] * np.repeat(w, size), minlength=len(q) * self.width).reshape(len(q), self.width)
+
+    def nearest(self, queries: Rows | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Similarities and places of the k best examples of each query; -1 where there are fewer."""
-        q, k = len(queries), self.k
+        given = queries if isinstance(queries, Rows) else Rows.of_dense(queries)
+        q, k = len(given), self.k
         best, where = np.full((q, k), -1.0), np.full((q, k), -1)
-        bounds = queries @ self.bounds + 1e-9
-        for b in np.argsort(-bounds.mean(axis=0), kind="stable") if q else []:
-            x = self.blocks[b]
+        if not q or not self.width:
+            return best, where
+        at, frequent = given.at(), self.common[given.terms] >= 0
+        heavy = np.zeros((q, len(self.heavy)))
+        heavy[at[frequent], self.common[given.terms[frequent]]] = given.weights[frequent]
+        sums = self.rare_sums(given)
+        bounds = heavy @ self.peaks + sums.reshape(q, -1, self.block).max(axis=2) + 1e-9
+        step = 1e-10 / self.width  # what a later example is put behind by, under what sums are rounded to
+        for b in np.argsort(-bounds.mean(axis=0), kind="stable"):
             ask = np.nonzero((bounds[:, b] >= best[:, -1]) & (bounds[:, b] > 1e-8))[0]
             if not len(ask):
                 continue
-            sims = queries[np.ix_(ask, x.terms)] @ x.weights
+            own = slice(b * self.block, (b + 1) * self.block)
+            sims = heavy[ask] @ self.heavy[:, own] + sums[ask, own]
             sims = np.where(sims > 1e-9, np.round(sims, 9), -1.0)
+            better = sims.max(axis=1) >= best[ask, -1]
+            ask, sims = ask[better], sims[better]
             all_sims = np.concatenate([best[ask], sims], axis=1)
-            all_where = np.concatenate([where[ask], np.broadcast_to(np.arange(x.first, x.first + sims.shape[1]), sims.shape)], axis=1)
-            top = np.argsort(-(all_sims - 1e-13 * np.where(all_sims > 0, all_where, 0)), axis=1, kind="stable")[:, :k]
+            all_where = np.concatenate([where[ask], np.broadcast_to(np.arange(own.start, own.stop), sims.shape)], axis=1)
+            key = np.where(all_sims > 0, step * all_where, 0) - all_sims
+            top = np.argpartition(key, k - 1, axis=1)[:, :k] if key.shape[1] > k else np.broadcast_to(np.arange(key.shape[1]), key.shape)
+            top = np.take_along_axis(top, np.argsort(np.take_along_axis(key, top, 1), axis=1, kind="stable"), 1)
             best[ask], where[ask] = np.take_along_axis(all_sims, top, 1), np.take_along_axis(all_where, top, 1)
         return best, np.where(best > 0, where, -1)
 
@@ -131,9 +215,9 @@ class ExampleIndex:
         for label in (0, 1):
             count = self.toxic if label else self.n - self.toxic
             at = np.nonzero(count > 0)[0]
-            for i in range(0, len(at), 512):
-                part = at[i : i + 512]
-                sims, where = self.nearest(self.vectors[part])
+            for i in range(0, len(at), 256):
+                part = at[i : i + 256]
+                sims, where = self.nearest(self.examples.take(part))
                 mine = where == part[:, None]  # its own entry first, with its label taken off
                 sims = np.where(mine, 1.0, np.minimum(sims, 1 - 2e-6))
                 xs.append(self.votes(sims, where, np.full(len(part), float(label))))
@@ -163,7 +247,7 @@ class ExampleIndex:
         """Scores, and the neighbours' similarities and places."""
         if not len(self.ids) and not self.blank[0]:
             return np.zeros(len(counts)), np.zeros((len(counts), 0)), np.zeros((len(counts), 0), int)
-        v = np.array([self.vector(c) for c in counts]).reshape(len(counts), len(self.terms))
+        v = Rows.of([vector(c, self.idf) for c in counts])
         if not len(self.ids):
             return self.calibrated(np.full(len(counts), self.blank_vote())), np.zeros((len(counts), 0)), np.zeros((len(counts), 0), int)
         sims, where = self.nearest(v)
@@ -171,30 +255,32 @@ class ExampleIndex:
         return self.calibrated(votes), sims, where
 
 
-def build_index(rows: list[tuple[int, int, dict[int, int]]], terms: list[str], idf: np.ndarray, **options) -> ExampleIndex:
-    """``rows``: example id, label, counts by term."""
+def association(toxic: np.ndarray, df: np.ndarray, share: float) -> np.ndarray:
+    """By how many standard deviations each word's toxic examples are off their expected number; damped for rare words, above zero for all."""
+    return np.maximum(np.abs(toxic - df * share) / np.sqrt(df * share * (1 - share) + 0.5), 0.01)
+
+
+def build_index(rows: list[tuple[int, int, dict[int, int] | tuple[np.ndarray, np.ndarray]]], terms: list[str], idf: np.ndarray, **options) -> ExampleIndex:
+    """``rows``: example id, label, counts by term (or terms and their counts)."""
     blank_n = blank_toxic = 0
     groups: dict[bytes, list] = {}
     for doc, label, counts in sorted(rows, key=lambda r: r[0]):
-        if not counts:
+        if not (len(counts) if isinstance(counts, dict) else len(counts[0])):
             blank_n, blank_toxic = blank_n + 1, blank_toxic + label
             continue
-        v = np.zeros(len(terms))
-        for t, c in counts.items():
-            v[t] = (1 + math.log(c)) * idf[t]
-        v /= math.sqrt(v @ v)
-        g = groups.setdefault(np.round(v, 9).tobytes(), [v, doc, 0, 0])
+        v = vector(counts, idf)
+        g = groups.setdefault(v[0].tobytes() + np.round(v[1], 9).tobytes(), [v, doc, 0, 0])
         g[2] += 1
         g[3] += label
     kept = list(groups.values())
     column = lambda i, kind: np.array([g[i] for g in kept], dtype=kind)
-    index = ExampleIndex(terms, idf, column(0, float).reshape(len(kept), len(terms)), column(1, np.int64), column(2, np.int64), column(3, np.int64), blank=(blank_n, blank_toxic), **options)
+    index = ExampleIndex(terms, idf, Rows.of([g[0] for g in kept]), column(1, np.int64), column(2, np.int64), column(3, np.int64), blank=(blank_n, blank_toxic), **options)
     index.calibrate()
     return index
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 8000, vocabulary: int = 256, **options) -> ExampleIndex:
-    """An index over a sample of the rows of ``labels`` (id, label). The driver gets at most about ``sample`` short lists."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 8000, **options) -> ExampleIndex:
+    """An index over a sample of the rows of ``labels`` (id, label). The driver gets the words of about ``sample`` texts at most, with their counts."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("int").alias("label"))
     fine = 1 << 20
     total = known.count()
@@ -209,20 +295,38 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(c.items()) for c in found], pa.map_(pa.string(), pa.int32()))], ["id", "label", "words"])
 
     examples = saved(rows.mapInArrow(read, f"id {kind}, label int, words map<string,int>"))
-    n = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-    if not n0 + n1:
-        return build_index([], [], np.zeros(0), **options)
-    per = examples.select("label", F.explode("words").alias("term", "times")).groupBy("term").agg(F.sum(1 - F.col("label")).alias("d0"), F.sum("label").alias("d1"))
-    a, b = F.col("d1"), F.col("d0")
-    c, d = F.lit(n1) - a, F.lit(n0) - b
-    chi = (n0 + n1) * F.pow(a * d - b * c, 2) / F.greatest((a + b) * (c + d) * F.lit(n1) * F.lit(n0), F.lit(1.0))
-    top = per.where(a + b >= 3).select("term", (a + b).alias("df"), chi.cast("double").alias("chi")).orderBy(F.desc("chi"), "term").limit(vocabulary).collect()
-    terms = [r["term"] for r in top]
-    idf = np.array([math.log(1 + (n0 + n1) / r["df"]) for r in top])
+    # What comes to the driver comes as Arrow, which is small there.
+    terms = sorted(examples.select(F.explode(F.map_keys("words")).alias("term")).distinct().toArrow().column(0).to_pylist())
     where = {t: i for i, t in enumerate(terms)}
-    kept = F.map_filter("words", lambda k, v: k.isin(terms)) if terms else F.create_map().cast("map<string,int>")
-    rows = [(r["id"], r["label"], {where[t]: c for t, c in r["kept"].items()}) for r in examples.select("id", "label", kept.alias("kept")).collect()]
+
+    def count(batches):
+        """How many documents hold each term, and their number under -1."""
+        finder, n = TermFinder(where), np.zeros(len(where) + 1, np.int64)
+        for b in batches:
+            n[-1] += b.num_rows
+            for t in b.column(0):
+                n[list(set(finder.each(t.as_py())))] += 1
+        at = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(at == len(where), -1, at)), pa.array(n[at])], ["term", "n"])
+
+    def numbered(batches):
+        for b in batches:
+            found = [x.as_py() for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[where[t] for t, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[c for _, c in x] for x in found], pa.list_(pa.int32()))], ["id", "label", "terms", "times"])
+
+    got = examples.mapInArrow(numbered, f"id {kind}, label int, terms array<int>, times array<int>").toArrow().combine_chunks()
+    arrays = lambda name: [x.values.to_numpy() for x in got.column(name)]
+    rows = list(zip(got.column("id").to_pylist(), got.column("label").to_pylist(), zip(arrays("terms"), arrays("times"), strict=True), strict=True))
+    idf = np.zeros(0)
+    if terms:
+        held = docs.select(text_col).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        number, n = (held.column(i).to_numpy() for i in (0, 1))
+        n = n[np.argsort(number)]  # all documents first, then each term's
+        df, toxic = np.zeros(len(terms)), np.zeros(len(terms))
+        for _, label, (found, _) in rows:
+            df[found] += 1
+            toxic[found] += label
+        idf = np.log(1 + n[0] / n[1:]) * association(toxic, df, sum(label for _, label, _ in rows) / len(rows))
     return build_index(rows, terms, idf, **options)
 
 
@@ -236,8 +340,8 @@ def score_toxicity(docs: DataFrame, index: ExampleIndex, *, id_col: str = "doc_i
     def run(batches):
         finder = TermFinder(index.where)
         for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
                 score, sims, where = index.score([finder.count(t) for t in part.column(len(kept)).to_pylist()])
                 seen = [[{"example": int(index.ids[w]), "similarity": float(s), "votes": int(index.n[w]), "toxic": int(index.toxic[w])} for s, w in zip(x, y, strict=True) if w >= 0] for x, y in zip(sims[:, :evidence], where[:, :evidence], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), pa.array(seen, kind)], [f.name for f in kept] + ["score", "predicted", "evidence"])

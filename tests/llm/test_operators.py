@@ -191,6 +191,22 @@ def test_toxicity_query(spark):
     assert sum(r["predicted"] == r["toxic"] for r in out) / len(out) > 0.85
 
 
+def test_toxicity_sees_words_of_few_examples(spark):
+    """Each toxic example has tail words of its own and they are many more than any chosen vocabulary would hold."""
+    own = lambda i: f"tail{i}x tail{i}y"
+    rows = [(i, f"the and of {own(i)} " + ("zorn" if i % 2 else "mild"), i % 2) for i in range(600)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000 + i, own(i)) for i in (7, 8)] + [(2000, "nothing known here")], "doc_id long, text string")
+    index = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, index).collect()}
+    assert [got[i]["evidence"][0]["example"] for i in (1007, 1008)] == [7, 8] and got[1007]["predicted"] == 1 and got[1008]["predicted"] == 0
+    assert not got[2000]["evidence"] and len(index.terms) == 1205
+    # Both kinds of words, those with postings and the others, against all pairs.
+    v = index.vectors[::7] + 0.5 * index.vectors[::-7][: len(index.vectors[::7])]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = np.sort(np.round(v @ index.vectors.T, 9), axis=1)[:, ::-1][:, : index.k]
+    assert (index.common >= 0).any() and np.allclose(index.nearest(v)[0], want)
+
+
 # --- 6: decontamination
 
 
