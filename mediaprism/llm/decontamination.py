@@ -13,7 +13,7 @@ are brought together with their words again.
 
 Cases: a null text or item, or one without words, has none and hits nothing; repeated documents
 give repeated rows, repeated items count once by id; an empty benchmark leaves every document
-clean; texts may have up to 2^30 words; columns other than those named are not read.
+clean; an item without an id hits as any other, but is not among the items named; texts may have up to 2^30 words; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -113,13 +113,14 @@ def find_hits(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col: st
     p, at, n = F.col("p"), F.col("at"), F.size("words")
     lo = F.greatest(F.lit(0), at - p)
     hi = F.least(F.size("context"), n - p + at)
-    met = met.select("id", "version", n.alias("n_words"), "item", "whole", p.alias("p"), (at - lo).alias("before"), F.zip_with(F.slice("words", p - at + lo + 1, F.greatest(hi - lo, F.lit(0))), F.slice("context", lo + 1, F.greatest(hi - lo, F.lit(0))), lambda a, b: a == b).alias("same"))
+    met = met.select("id", "version", n.alias("n_words"), (F.col("k") == 0).alias("marker"), "item", "whole", p.alias("p"), (at - lo).alias("before"), F.zip_with(F.slice("words", p - at + lo + 1, F.greatest(hi - lo, F.lit(0))), F.slice("context", lo + 1, F.greatest(hi - lo, F.lit(0))), lambda a, b: a == b).alias("same"))
     right = F.array_position(F.slice("same", F.col("before") + 1, F.size("same")), False)
     left = F.array_position(F.reverse(F.slice("same", F.lit(1), F.col("before"))), False)
     met = met.select(
         "id",
         "version",
         "n_words",
+        "marker",
         "item",
         "whole",
         F.when(right > 0, right - 1).otherwise(F.size("same") - F.col("before")).cast("int").alias("after"),
@@ -127,8 +128,8 @@ def find_hits(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col: st
         "p",
     )
     length = F.col("after") + F.col("ahead")
-    hit = F.col("item").isNotNull() & (length >= F.coalesce("whole", F.lit(window)))
-    met = met.select("id", "version", "n_words", F.when(hit, F.col("item")).alias("item"), F.when(hit, F.struct((F.col("p") - F.col("ahead")).alias("start"), length.alias("length"))).alias("span"), F.when(F.col("whole").isNull() & F.col("item").isNull(), 1).otherwise(0).alias("rows"))
+    hit = ~F.col("marker") & (length >= F.coalesce("whole", F.lit(window)))
+    met = met.select("id", "version", "n_words", F.when(hit, F.col("item")).alias("item"), F.when(hit, F.struct((F.col("p") - F.col("ahead")).alias("start"), length.alias("length"))).alias("span"), F.when(F.col("marker"), 1).otherwise(0).alias("rows"))
     per = met.groupBy("id", "version", "n_words").agg(F.sum("rows").cast("int").alias("rows"), F.collect_set("item").alias("items"), F.collect_set("span").alias("spans"))
     return per.select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), F.sort_array("spans").alias("spans"), "items", F.explode(F.array_repeat(F.lit(0), F.col("rows"))).alias("_")).drop("_")
 

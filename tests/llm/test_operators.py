@@ -238,6 +238,15 @@ def test_decontamination(spark, broadcast_rows):
     assert sorted(map(tuple, got), key=str) == sorted(brute_hits(docs, items), key=str)
 
 
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_an_item_without_an_id_hits(spark, broadcast_rows):
+    long = " ".join(f"w{i}" for i in range(20))
+    items = spark.createDataFrame([(None, long), (None, "a b c"), (3, "d e f")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {long} y"), (2, "a b c"), (3, "x d e f"), (4, "clean")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in decontamination.decontamination_report(docs, items, broadcast_rows=broadcast_rows).collect()}
+    assert got == {1: (20, 0, True), 2: (3, 0, True), 3: (3, 1, True), 4: (0, 0, False)}
+
+
 def test_decontamination_without_rows(spark):
     d, i = odd(spark), spark.createDataFrame([], "item_id long, text string")
     assert {r["contaminated"] for r in decontamination.decontamination_report(d, i).collect()} == {False}
