@@ -39,8 +39,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination_report(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(found, docs["doc_id"] == found["found_id"], "left_anti")
+    """The text alone decides, so its hash names the document, as an id may be null or repeat."""
+    texts = docs.select(F.xxhash64("text").alias("found_text"), "text")
+    found = decontamination_report(texts, table(spark, sf_dir, "benchmark"), id_col="found_text").where("contaminated").select("found_text").distinct()
+    return docs.join(found, F.xxhash64(docs["text"]) == found["found_text"], "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,3 +40,12 @@ def test_stages_with_odd_rows_and_clashing_columns(spark):
             assert out.columns == docs.columns
             ids = [r["doc_id"] for r in out.collect()]
             assert not ids if empty is not docs else ids.count(None) == 2 and 4 in ids
+
+
+def test_contaminated_documents_without_an_id_go(spark):
+    import corpus_pipeline as p
+
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    docs = spark.createDataFrame([(None, "x " + bench), (None, "a text of its own"), (None, None), (1, bench), (1, "another text of the same id")], "doc_id long, text string")
+    kept = {(r["doc_id"], r["text"]) for r in p.drop_contaminated(spark, docs, SF).collect()}
+    assert kept == {(None, "a text of its own"), (None, None), (1, "another text of the same id")}
