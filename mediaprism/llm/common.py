@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as on one machine
-    in tests, a new temporary folder is taken and kept for the session.
+    It is the session's ``spark.checkpoint.dir``. Where that is unset on one machine, as in tests, a
+    new temporary folder is taken and kept for the session; on a cluster it has to be set.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="mediaprism-")
         sc.setCheckpointDir(found)
     return found
@@ -42,3 +45,34 @@ def saved(df: DataFrame) -> DataFrame:
 def fold(column: str, mod: int) -> Column:
     """``crc32(column as text) mod n``, the folds by which labels are held out."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(mod))
+
+
+def sampled(key: str, salt: str, share: Column) -> Column:
+    """Whether a row is in a sample that holds ``share`` (0 to 1) of the rows, by a hash of its key.
+
+    The hash has 63 bits, so a share of one row in 10^15 is still met; equal keys are in or out together.
+    """
+    return F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(salt)), 1) < share * float(1 << 63)
+
+
+def text_key(text: Column) -> Column:
+    """128 bits that name a text; a null text has a name of its own."""
+    return F.coalesce(F.md5(text.cast("binary")), F.lit(""))
+
+
+class Kept(dict):
+    """What keys were found to give, as far as ``room`` bytes hold; long keys are not kept.
+
+    ``find`` gives the value of a key that is not there.
+    """
+
+    def __init__(self, find: Callable, room: int = 48 << 20, longest: int = 64):
+        self.find, self.room, self.longest = find, room, longest
+
+    def __missing__(self, key):
+        value = self.find(key)
+        if len(key) <= self.longest and self.room > 0:
+            self[key] = value
+            # A key, its place in the table and a small value, as Python holds them.
+            self.room -= 250 + len(key) + (len(value) if hasattr(value, "__len__") else 0) * 8
+        return value

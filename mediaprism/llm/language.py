@@ -5,7 +5,8 @@ blank). A document's own list is compared with each profile by the out-of-place
 of rank differences, with the profile's length for n-grams that a profile lacks.
 
 The profiles are fitted on a bounded sample of the labelled rows: of each language about
-``sample`` rows at most, chosen by a hash of the id. Predictions read every whole text.
+``sample`` rows at most, chosen by a hash of the id, however many rows there are; rows of one id are
+in it together. Predictions read every whole text.
 
 Cases: a null text or one without a letter is ``und`` with score 0, as is every text if nothing was
 learned; ties between languages go to the first by name, between n-grams to the smaller code;
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediaprism.llm.common import sampled
+
 _CHUNK = 1 << 18
 _BITS = 21
 
@@ -92,9 +95,8 @@ def fit_profiles(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str =
     there = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not there:
         return Profiles({}, length)
-    fine = 1 << 20
-    keep = F.create_map(*[F.lit(x) for lang, n in there.items() for x in (lang, min(fine, fine * sample // n))])
-    chosen = rows.where(F.pmod(F.xxhash64("id", F.lit("profile")), F.lit(fine)) < keep[F.col("lang")])
+    share = F.create_map(*[F.lit(x) for lang, n in there.items() for x in (lang, min(1.0, sample / n))])
+    chosen = rows.where(sampled("id", "profile", share[F.col("lang")]))
 
     def count(batches):
         held: dict[str, list] = {}

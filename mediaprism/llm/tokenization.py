@@ -1,7 +1,7 @@
 """Exact shortcuts to public tokenizers: words are encoded once and then looked up.
 
-The caches are bounded: beyond ``limit`` entries a word that is not among them is encoded anew
-each time, so a task's memory does not grow with its input.
+What is looked up is bounded in bytes: words above 64 characters and words beyond ``room`` bytes are
+encoded anew each time, so a task's memory does not grow with its input.
 """
 
 from __future__ import annotations
@@ -11,10 +11,13 @@ import heapq
 import json
 import re
 import struct
+import unicodedata
 
 import regex
 from tokenizers import Tokenizer
 
+from mediaprism.llm.common import Kept
+
 # The pattern by which the byte-level vocabulary splits text before its merges.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # The pattern by which the vocabulary with word ends finds words in lower-case text.
@@ -48,30 +51,19 @@ class WordIds:
     them, go through the library whole.
     """
 
-    class _Chunks(dict):
-        def __missing__(self, chunk: str) -> bytes:
-            ids = b"".join(map(self.words.__getitem__, self.split(chunk)))
-            if len(self) < self.limit:
-                self[chunk] = ids
-            return ids
-
-    class _Words(dict):
-        def __missing__(self, word: str) -> bytes:
-            found = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))]
-            ids = struct.pack(f"<{len(found)}I", *found)
-            if len(self) < self.limit:
-                self[word] = ids
-            return ids
-
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, room: int = 48 << 20):
         self.tokenizer = Tokenizer.from_file(path)
         spec = _spec(path)
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.quick = spec["model"].get("end_of_word_suffix") == "</w>" and WORD_ENDS in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\")
-        words = self._Words()
-        words.model, words.symbols, words.limit = self.tokenizer.model, byte_symbols(), limit
-        self.chunks = self._Chunks()
-        self.chunks.words, self.chunks.split, self.chunks.limit = words, regex.compile(WORD_ENDS).findall, limit
+        model, symbols, split = self.tokenizer.model, byte_symbols(), regex.compile(WORD_ENDS).findall
+
+        def ids_of(word: str) -> bytes:
+            found = [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(symbols))]
+            return struct.pack(f"<{len(found)}I", *found)
+
+        self.words = Kept(ids_of, room // 2)
+        self.chunks = Kept(lambda chunk: b"".join(map(self.words.__getitem__, split(chunk))), room // 2)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -119,37 +111,41 @@ def merged_length(symbols: list, ranks: dict[tuple, tuple]) -> int:
 
 
 class ByteCounts:
-    """Token counts of whole texts for ``byte_bpe_50k.json``, as the library's ids would number."""
-
-    class _Pieces(dict):
-        def __missing__(self, piece: str) -> int:
-            n = sum(map(self.words.__getitem__, self.split(piece)))
-            if len(self) < self.limit:
-                self[piece] = n
-            return n
-
-    class _Words(dict):
-        def __missing__(self, word: str) -> int:
-            n = merged_length(list(word.encode().decode("latin-1").translate(self.symbols)), self.ranks)
-            if len(self) < self.limit and len(word) < 64:
-                self[word] = n
-            return n
-
-    def __init__(self, path: str, limit: int = 800_000):
+    """Token counts of whole texts for ``byte_bpe_50k.json``, as the library's ids would number.
+
+    The pattern that splits texts asks which characters are letters and digits. This interpreter's tables
+    and the library's agree on all characters that Unicode 15.1 assigns; a text with any other one is split
+    by the library itself, and merged here all the same.
+    """
+
+    def __init__(self, path: str, room: int = 96 << 20):
         spec = _spec(path)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.specials = [t["content"] for t in spec["added_tokens"]]
-        self.words = self._Words()
-        self.words.ranks = {m: (r, m[0] + m[1]) for r, m in enumerate(merges)}
-        self.words.symbols, self.words.limit = byte_symbols(), limit
+        self.ranks = {m: (r, m[0] + m[1]) for r, m in enumerate(merges)}
+        self.pre = Tokenizer.from_file(path).pre_tokenizer
+        symbols = byte_symbols()
         self.split = regex.compile(BYTE_LEVEL).findall
-        self.pieces = self._Pieces()
-        self.pieces.words, self.pieces.split, self.pieces.limit = self.words, self.split, limit // 2
+        self.words = Kept(lambda word: merged_length(list(word.encode().decode("latin-1").translate(symbols)), self.ranks), room // 2)
+        self.pieces = Kept(lambda piece: sum(map(self.words.__getitem__, self.split(piece))), room // 2)
         self.at_special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
+        self.assigned: set[str] = set()
+
+    def _agreed(self, text: str) -> bool:
+        """Whether both tables know all characters of the text."""
+        if text.isascii():
+            return True
+        new = set(text) - self.assigned
+        if any(unicodedata.category(c) == "Cn" for c in new):
+            return False
+        self.assigned |= new
+        return True
 
     def _plain(self, text: str) -> int:
         if not text:
             return 0
+        if not self._agreed(text):
+            return sum(merged_length(list(piece), self.ranks) for piece, _ in self.pre.pre_tokenize_str(text))
         if "  " in text:  # runs of spaces: the pattern has to see what follows
             return sum(map(self.words.__getitem__, self.split(text)))
         # A token never reaches over the start of a single space, so pieces that begin there count apart.
