@@ -8,13 +8,15 @@ programming chooses the thresholds, over every m, by estimated rows to probe and
 the estimate comes from a bounded sample and decides only the cost, never the result. Every
 fingerprint goes to the bucket of its value in each partition and, where t > 0, to those nearby;
 in a bucket all pairs are verified in blocks, but only the links of a spanning forest leave it.
-A bucket beyond ``bucket_rows`` is dealt into blocks, and pairs of blocks are verified apart.
+A bucket beyond ``bucket_rows`` is dealt again by further bits, and what is still beyond it into
+blocks, pairs of which are verified apart.
 
 Cases: texts without words have fingerprint zero and are one class; fewer words than a shingle
-count whole; null texts are empty; repeated rows give repeated rows; an empty table gives none;
-columns other than those named are not read. Ids are comparable values; ties do not arise, as a
-component is named by its smallest id. A row without an id has a fingerprint and shares its class's
-component, but a class of such rows alone has none and carries no links.
+count whole; null texts are empty; repeated rows give repeated rows; different texts under one id are
+rows of their own, which are grouped by their fingerprints alone; very long texts are hashed whole
+(64 bytes a word while they are); an empty table gives none; columns other than those named are not
+read. Ids are comparable values; ties do not arise, as a component is named by its smallest id. A row
+without an id has a fingerprint and shares its class's component, which is null if no row of it has one.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaprism.llm.common import saved
+from mediaprism.llm.common import sampled, saved, text_key
 from mediaprism.llm.components import components
 
 #: What verifying a pair costs against shipping one probe row.
@@ -126,38 +128,35 @@ def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_links(classes: DataFrame, *, radius: int = 4, sample: int = 3000, bucket_rows: int = 20_000) -> DataFrame:
-    """Links (a, b) between the ids of distinct fingerprints, enough to connect all that are linked.
+    """Links (a, b) between distinct fingerprints, enough to connect all that are linked.
 
-    ``classes``: id, fp (distinct).
+    ``classes``: fp (distinct).
     """
     n = classes.count()
-    fine = 1 << 20
-    chosen = classes.where(F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(fine)) < min(fine, fine * sample // max(1, n))).select("fp").collect()
+    chosen = classes.where(sampled("fp", "sample", F.lit(min(1.0, sample / max(1, n))))).select("fp").collect()
     parts = allocate(np.array([r["fp"] for r in chosen], dtype=np.int64).view(np.uint64), n, radius)
     masks = [np.uint64(sum(1 << b for b in g)) for g, _ in parts]
     flips = [np.array([0] + [sum(1 << b for b in bits) for j in range(1, t + 1) for bits in itertools.combinations(g, j)], dtype=np.uint64) for g, t in parts]
-    kind = classes.schema["id"].dataType.simpleString()
 
     def deal(batches):
         for b in batches:
-            fp = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for k, (mask, flip) in enumerate(zip(masks, flips, strict=True)):
                 step = max(1, 100_000 // len(flip))
                 for i in range(0, len(fp), step):
                     own = fp[i : i + step]
                     key = ((own & mask)[:, None] ^ flip[None, :]).ravel()
                     at = np.repeat(np.arange(i, i + len(own)), len(flip))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key.view(np.int64)), b.column(0).take(pa.array(at)), pa.array(fp[at].view(np.int64))], ["part", "key", "id", "fp"])
-
-    rows = classes.select("id", "fp").mapInArrow(deal, f"part int, key long, id {kind}, fp long")
-    hot = saved(rows.groupBy("part", "key").agg(F.count("*").alias("size")).where(F.col("size") > bucket_rows))
-    rows = rows.withColumn("block", F.lit("0"))
-    if hot.limit(1).count():
-        blocks = F.ceil(F.col("size") / bucket_rows).cast("int")
-        mine = F.pmod(F.xxhash64("fp", F.lit("block")), blocks).cast("int")
-        marked = rows.join(hot, ["part", "key"], "left")
-        pairs = F.when(F.col("size").isNull(), F.array(F.lit("0"))).otherwise(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.concat_ws("-", F.least(j, mine), F.greatest(j, mine))))
-        rows = marked.withColumn("block", F.explode(pairs)).select("part", "key", "id", "fp", "block")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key.view(np.int64)), pa.array(fp[at].view(np.int64))], ["part", "key", "fp"])
+
+    rows = classes.select("fp").mapInArrow(deal, "part int, key long, fp long").select("part", "key", F.lit("").alias("block"), "fp")
+    for split in (_by_further_bits(parts, radius), _by_pairs_of_blocks(bucket_rows)):
+        bucket = ["part", "key", "block"]
+        hot = saved(rows.groupBy(*bucket).agg(F.count("*").alias("size")).where(F.col("size") > bucket_rows))
+        if hot.limit(1).count():
+            marked = rows.join(hot, bucket, "left")
+            more = F.when(F.col("size").isNull(), F.array(F.lit(""))).otherwise(split)
+            rows = marked.withColumn("more", F.explode(more)).select("part", "key", F.concat("block", "more").alias("block"), "fp")
 
     def verify(batches):
         held: list[pa.RecordBatch] = []
@@ -166,7 +165,7 @@ def near_links(classes: DataFrame, *, radius: int = 4, sample: int = 3000, bucke
             """Links of the buckets of ``t``, which are in order; and where the last one begins, if more of it may come."""
             part, key = (t.column(c).to_numpy() for c in (0, 1))
             block = t.column(2).combine_chunks().dictionary_encode().indices.to_numpy()
-            fp = t.column(4).to_numpy().view(np.uint64)
+            fp = t.column(3).to_numpy().view(np.uint64)
             new = np.nonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (block[1:] != block[:-1]))[0] + 1
             edges = np.concatenate([[0], new, [len(part)]])
             last = len(edges) - 1 if whole else len(edges) - 2
@@ -174,10 +173,9 @@ def near_links(classes: DataFrame, *, radius: int = 4, sample: int = 3000, bucke
             for i in np.nonzero(np.diff(edges[: last + 1]) > 1)[0]:
                 x, y = forest(fp[edges[i] : edges[i + 1]], radius)
                 if len(x):
-                    a.append(x + edges[i])
-                    b.append(y + edges[i])
-            ids = t.column(3).combine_chunks()
-            out = [ids.take(pa.array(np.concatenate(z) if z else np.zeros(0, int))) for z in (a, b)]
+                    a.append(fp[x + edges[i]])
+                    b.append(fp[y + edges[i]])
+            out = [pa.array((np.concatenate(z) if z else np.zeros(0, np.uint64)).view(np.int64)) for z in (a, b)]
             return pa.RecordBatch.from_arrays(out, ["a", "b"]), int(edges[last])
 
         rows_held = 0
@@ -193,14 +191,62 @@ def near_links(classes: DataFrame, *, radius: int = 4, sample: int = 3000, bucke
         if held:
             yield links(pa.Table.from_batches(held), True)[0]
 
-    dealt = rows.select("part", "key", "block", "id", "fp").repartition("part", "key", "block").sortWithinPartitions("part", "key", "block")
-    return dealt.mapInArrow(verify, f"a {kind}, b {kind}").where("a <> b")
+    dealt = rows.repartition("part", "key", "block").sortWithinPartitions("part", "key", "block")
+    return dealt.mapInArrow(verify, "a long, b long").where("a <> b")
+
+
+def _by_further_bits(parts: list[tuple[list[int], int]], radius: int):
+    """For a bucket's rows, to which buckets inside it they go.
+
+    Two linked fingerprints of a bucket differ by ``radius`` bits at most outside its partition as well, so
+    of radius + 1 groups of the other bits they share one.
+    """
+    masks = []
+    for g, _ in parts:
+        other = [b for b in range(64) if b not in g]
+        groups = [sum(1 << b for b in other[i :: radius + 1]) for i in range(radius + 1)]
+        masks.append(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in groups]))
+    own = F.element_at(F.array(*masks), F.col("part") + 1)
+    return F.transform(own, lambda m, i: F.concat_ws(":", i.cast("string"), F.col("fp").bitwiseAND(m).cast("string")))
+
+
+def _by_pairs_of_blocks(bucket_rows: int):
+    """A bucket that is large even so is dealt into blocks, and each pair of them is verified apart."""
+    blocks = F.ceil(F.col("size") / bucket_rows).cast("int")
+    mine = F.pmod(F.xxhash64("fp", F.lit("block")), blocks).cast("int")
+    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.concat_ws("-", F.lit("/"), F.least(j, mine), F.greatest(j, mine)))
+
+
+def fingerprint_groups(rows: DataFrame, *, radius: int = 4, **options) -> DataFrame:
+    """Of rows with an ``fp``: class_fp and group, a fingerprint that names all those it is linked with; one row per fingerprint."""
+    classes = saved(rows.select(F.col("fp").alias("fp")).distinct())
+    linked = components(near_links(classes, radius=radius, **options))
+    return classes.join(linked, classes["fp"] == linked["node"], "left").select(F.col("fp").alias("class_fp"), F.coalesce("component", "fp").alias("group"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, **options) -> DataFrame:
     """One row per document: id, fp, component_id."""
     rows = saved(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
-    classes = saved(rows.groupBy("fp").agg(F.min("id").alias("id")))
-    linked = components(near_links(classes, radius=radius, **options))
-    named = classes.join(linked, classes["id"] == linked["node"], "left").select(F.col("fp").alias("class_fp"), F.coalesce("component", "id").alias("component_id"))
+    groups = saved(fingerprint_groups(rows, radius=radius, **options))
+    least = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    named = groups.join(least, groups["class_fp"] == least["fp"]).select("class_fp", "group", "least")
+    firsts = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    named = named.join(firsts, "group").select("class_fp", "component_id")
     return rows.join(named, rows["fp"] == named["class_fp"]).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, **options) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the row of least id stays, of equal ids the one of least text key.
+
+    Rows without an id come after those with one. Rows that agree in id and text are one document, of which one
+    row stays. All columns are kept.
+    """
+    plain = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key")).alias("name"), F.col(text_col).alias("text"))
+    rows = saved(fingerprints(plain, id_col="name", text_col="text", shingle=shingle))
+    groups = fingerprint_groups(rows, radius=radius, **options)
+    least = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    kept = groups.join(least, groups["class_fp"] == least["fp"]).groupBy("group").agg(F.min("least").alias("least"))
+    kept = kept.select(F.col("least.id").alias("__nd_id"), F.col("least.key").alias("__nd_key"))
+    rest = docs.withColumn("__nd_own", text_key(F.col(text_col)))
+    found = rest.join(kept, F.col(id_col).eqNullSafe(F.col("__nd_id")) & (F.col("__nd_own") == F.col("__nd_key")), "left_semi")
+    return found.dropDuplicates([id_col, "__nd_own"]).select(*docs.columns)
