@@ -1,62 +1,126 @@
 """Line dedup by winnowing over line hashes.
 
-Lines are the text's lines, cut further at sentence ends, as passages are also repeated inside
-longer lines. A run is a sequence of whole lines of at least ``min_words`` words. Of every shortest such
-run from a line on, the smallest line hash is selected: the winnowing fingerprint. Equal runs
-select the same line, so each repeated run holds a fingerprint that occurs twice at least. Around
-those, matches are extended both ways: the shortest runs that begin at a line and the shortest
-that end at one are compared with their first occurrence, by (id, version, line). A run's lines
-are all inside such shortest runs, so the result is exact: a line goes if and only if it lies in a run
-that occurs earlier too. The first occurrence of anything stays.
-
-What is shuffled are hashes and places; texts are read where they lie. Fingerprints and runs are
+Lines are the text's lines, cut further at sentence ends, as passages are also repeated inside longer
+lines. A line of more than ``LONG`` words is cut once more, before the word of smallest hash in each ``CUT``
+consecutive ones; so what two texts share inside long lines is cut alike in both, wherever it begins there.
+A run is a sequence of whole lines of at least ``min_words`` words. Any span of words that two texts share
+holds a common run of its words but for ``2 * CUT - 2`` at either end: a shared span of 51 words always
+holds a run of 25.
+
+The gram of a line is the shortest run of ``gram_words`` words from there. Of the grams inside every shortest run of
+``min_words`` the one of smallest hash is selected: the winnowing fingerprint. Equal runs select the same gram, so
+each repeated run holds a fingerprint that occurs twice at least. Their positions are joined to find these;
+around them matches are extended both ways: the shortest runs that begin at a line and the shortest that end at one are
+joined with the position where they occur first, by (id, version, row, line). A run's lines are all inside
+such shortest runs, so the result is exact: a line goes if and only if it lies in a run that occurs
+earlier too. The first occurrence of anything stays. Runs are told apart by 128 bits.
+
+What is shuffled are hashes and positions; texts are read where they lie. Fingerprints and runs are
 counted by partial aggregation and met by joins that Spark may split, so a passage in a third of all documents
 is no hot group.
 
 Cases: null and empty texts have no lines; a row that repeats another's id and text is the same
-document and is treated alike; runs of one text may repeat each other, the first stays; very
-long texts are one array of hashes; an empty table gives no rows; other columns are untouched.
+document and is treated alike; runs of one text may repeat each other, the first stays; rows without an
+id come first; very long texts are one array of hashes; an empty table gives none; other columns are untouched.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaprism.llm.common import saved
+from mediaprism.llm.common import Kept, saved, text_key
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Of so many consecutive words of a long line one begins a new line.
+CUT = 7
+#: Lines of more words are long. A span's end in a line that is not may lose so many words, as in one that is.
+LONG = 2 * CUT - 2
+_BASES = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _PLACE_BITS = np.uint64(28)
+_WORD = re.compile("[^ ]+")
 
 
-def lines_of(text: str | None) -> list[list[str]]:
-    """Per text line its parts; ``join_lines`` puts them together again."""
-    return [line.split(". ") for line in text.split("\n")] if text else []
+def word_hash(word: str) -> bytes:
+    """The first 8 bytes of MD5, which other engines have as well."""
+    return hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[:8]
 
 
-def join_lines(parts: list[list[str]], gone: set[int]) -> str:
-    """The text without the numbered parts; a line all of whose parts go leaves no line break."""
-    out, n = [], 0
-    for line in parts:
-        left = [(i, x) for i, x in enumerate(line, n) if i not in gone]
-        n += len(line)
-        if left:
-            kept = ". ".join(x for _, x in left)
-            if left[-1][0] < n - 1:  # its last part went: the sentence before ends here
-                kept += "."
-            out.append(kept)
-    return "\n".join(out)
+def hashed(found: list[list[str]], look: Callable[[str], bytes] = word_hash) -> np.ndarray:
+    """The hashes of all words, as numbers that order as the bytes do."""
+    return np.frombuffer(b"".join([look(x) for w in found for x in w]), ">u8").astype(np.uint64)
+
+
+def cuts(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where lines begin, in words: of sentences of so many words each, and inside the long ones."""
+    ends = np.cumsum(sizes)
+    begins = np.zeros(len(hashes), bool)
+    begins[ends - sizes] = True
+    # Starts of windows that lie in one long line.
+    at = np.nonzero(np.repeat(np.where(sizes > LONG, ends, 0), sizes) >= np.arange(CUT, len(hashes) + CUT))[0]
+    if len(at):
+        begins[at + np.lib.stride_tricks.sliding_window_view(hashes, CUT)[at].argmin(axis=1)] = True
+    return np.nonzero(begins)[0]
 
 
-def line_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+def sentences(text: str | None) -> list[list[str]]:
+    """The words of each sentence or line that has any."""
+    parts = text.replace("\n", ". ").split(". ") if text else []
+    return [w for w in ([x for x in p.rstrip(" .").split(" ") if x] for p in parts) if w]
+
+
+def line_hashes(text: str | None, words: Kept | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hash and number of words of each line."""
-    units = [x.strip().rstrip(".") for line in lines_of(text) for x in line]
-    hashed = xxhash.xxh3_64_intdigest
-    return np.array([hashed(u.encode("utf-8", "surrogatepass")) for u in units], dtype=np.uint64), np.array([u.count(" ") + 1 if u else 0 for u in units], dtype=np.int64)
+    found = sentences(text)
+    sizes = np.array([len(w) for w in found], dtype=np.int64)
+    hashes = hashed(found, word_hash if words is None else words.__getitem__)
+    begin = cuts(hashes, sizes)
+    end = np.append(begin[1:], len(hashes)) if len(begin) else begin
+    return run_hashes(hashes, begin, end, _BASES[0]), end - begin
+
+
+def places(text: str) -> list[list[tuple[int, int]]]:
+    """Per line break the lines between, each from its first word to the next one's or to the line's end."""
+    out, offset, words, sizes, of_row = [], 0, [], [], []
+    rows = text.split("\n")
+    for row in rows:
+        at = 0
+        mine = []
+        for part in row.split(". "):
+            found = [m.start() + offset + at for m in _WORD.finditer(part.rstrip(" ."))]
+            if found:
+                mine.append(len(sizes))
+                sizes.append(len(found))
+                words += found
+            at += len(part) + 2
+        of_row.append((offset + len(row), mine))
+        offset += len(row) + 1
+    begin = cuts(hashed(sentences(text)), np.array(sizes, dtype=np.int64))
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    for end, mine in of_row:
+        starts = [words[b] for b in begin[np.searchsorted(begin, first[mine[0]]) : np.searchsorted(begin, first[mine[-1] + 1])]] if mine else []
+        out.append(list(zip(starts, [*starts[1:], end][: len(starts)], strict=True)))
+    return out
+
+
+def without_lines(text: str, gone: set[int]) -> str:
+    """The text without the numbered lines; where all between two line breaks goes, no line break is left."""
+    out, n, rows = [], 0, text.split("\n")
+    for row, mine in zip(rows, places(text), strict=True):
+        left = [(i, s, e) for i, (s, e) in enumerate(mine, n) if i not in gone]
+        last = n + len(mine) - 1
+        n += len(mine)
+        if len(left) == len(mine):
+            out.append(row)
+        elif left:
+            kept = "".join(text[s:e] for _, s, e in left)
+            out.append(kept if left[-1][0] == last else kept.rstrip())
+    return "\n".join(out)
 
 
 def shortest_runs(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,88 +136,112 @@ def shortest_runs_back(words: np.ndarray, min_words: int) -> tuple[np.ndarray, n
     return len(words) - end, len(words) - start
 
 
-def winnow(hashes: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
-    """Places of the lines selected by at least one shortest run."""
-    start, end = shortest_runs(words, min_words)
-    if not len(start):
-        return np.zeros(0, np.int64)
-    marked = (hashes >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(hashes), dtype=np.uint64)
-    bounds = np.stack([start, end], axis=1).ravel()
-    low = np.minimum.reduceat(np.append(marked, np.uint64(2**64 - 1)), bounds)[::2]
-    return np.unique(low & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
 
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of a base and of its inverse, from 1 to n and from 0 to n; up to 65,536 are kept."""
+    up, down = _POWERS.get(base, (np.zeros(0, np.uint64),) * 2)
+    if len(up) < n:
+        with np.errstate(over="ignore"):
+            up = np.cumprod(np.full(max(n, 1024), np.uint64(base)))
+            down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(up), np.uint64(pow(base, -1, 1 << 64))))])
+        if len(up) <= 1 << 16:
+            _POWERS[base] = up, down
+    return up[:n], down[: n + 1]
 
-def run_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each run's line hashes in order, wherever the run stands."""
+
+def run_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """A hash of each run's hashes in order, wherever the run stands."""
     with np.errstate(over="ignore"):
-        n = len(hashes)
-        power = np.cumprod(np.full(n, _BASE))
-        back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _BASE_INVERSE))])
-        total = np.concatenate([[np.uint64(0)], np.cumsum(hashes * power, dtype=np.uint64)])
+        power, back = powers(base, len(hashes))
+        total = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * power, out=total[1:])
         x = (total[end] - total[start]) * back[start] + (end - start).astype(np.uint64)
         x ^= x >> np.uint64(31)
-        return x * _BASE
+        return x * np.uint64(base)
 
 
-def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25) -> DataFrame:
-    """id, version (hash of the text), n_lines, n_words, gone (numbers of the lines to delete), gone_words; one row per id and version."""
+def winnow(hashes: np.ndarray, words: np.ndarray, min_words: int, gram_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lines whose gram is selected by at least one shortest run, and the gram's hash."""
+    start, end = shortest_runs(words, min_words)
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at, until = shortest_runs(words, gram_words)  # at is 0, 1, 2, ...
+    grams = run_hashes(hashes, at, until, _BASES[1])
+    last = np.searchsorted(until, end, side="right")
+    marked = (grams >> _PLACE_BITS << _PLACE_BITS) | at.astype(np.uint64)
+    low = np.minimum.reduceat(np.append(marked, np.uint64(2**64 - 1)), np.stack([start, last], axis=1).ravel())[::2]
+    place = np.unique(low & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
+    return place, grams[place]
+
+
+def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, gram_words: int = 12) -> DataFrame:
+    """id, key (of the text), n_lines, n_words, gone (numbers of the lines to delete), gone_words; one row per id and text."""
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["row", "id", "version", "key", "hashes", "words", "places", "marks"]
 
     def read(batches):
+        known = Kept(word_hash)
         for b in batches:
-            hs, ws, ps = [], [], []
-            for t in b.column(2):
-                h, w = line_hashes(t.as_py())
-                hs.append(h.view(np.int64))
-                ws.append(w.astype(np.int32))
-                ps.append(winnow(h, w, min_words).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hs, pa.list_(pa.int64())), pa.array(ws, pa.list_(pa.int32())), pa.array(ps, pa.list_(pa.int32()))], ["id", "version", "hashes", "words", "marks"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
-    lines = saved(rows.mapInArrow(read, f"id {kind}, version long, hashes array<long>, words array<int>, marks array<int>"))
-
-    marks = lines.select("id", "version", F.explode("marks").alias("place"), F.col("hashes")).select("id", "version", "place", F.element_at("hashes", F.col("place") + 1).alias("mark"))
-    marks = saved(marks)
+            found = []
+            for t in b.column(4):
+                h, w = line_hashes(t.as_py(), known)
+                place, mark = winnow(h, w, min_words, gram_words)
+                found.append((h.view(np.int64), w.astype(np.int8), place.astype(np.int32), mark.view(np.int64)))
+            kinds = [pa.list_(t) for t in (pa.int64(), pa.int8(), pa.int32(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array([f[i] for f in found], t) for i, t in enumerate(kinds))], names)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    # The row's number depends on how rows were read; written, it stays as it is.
+    lines = saved(rows.mapInArrow(read, f"row long, id {kind}, version long, key string, hashes array<long>, words array<tinyint>, places array<int>, marks array<long>"))
+
+    marks = lines.select("row", F.explode(F.arrays_zip("places", "marks")).alias("m")).select("row", F.col("m.places").alias("place"), F.col("m.marks").alias("mark"))
     # Written, it meets the marks in a join of two plain exchanges, of which Spark can split a hot mark's side.
     twice = saved(marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"))
     # Which fingerprints of a document occur twice; then the document's lines come to them.
-    near = marks.join(twice, "mark", "left_semi").groupBy("id", "version").agg(F.collect_set("place").alias("places"))
-    near = near.join(lines.select("id", "version", "hashes", "words").dropDuplicates(["id", "version"]).withColumnsRenamed({"id": "_id", "version": "_version"}), F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")))
+    near = marks.join(twice, "mark", "left_semi").groupBy("row").agg(F.collect_set("place").alias("near"))
+    near = near.join(lines.select("row", "id", "version", "hashes", "words"), "row")
 
     def extend(batches):
         for b in batches:
             take, keys, starts, ends = [], [], [], []
-            for k, (places, h, w) in enumerate(zip(b.column(2), b.column(3), b.column(4), strict=True)):
+            for k, (marked, h, w) in enumerate(zip(b.column(3), b.column(4), b.column(5), strict=True)):
                 h, w = h.values.to_numpy(zero_copy_only=False).view(np.uint64), w.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                marked = np.zeros(len(h) + 1, np.int64)
-                marked[places.values.to_numpy(zero_copy_only=False) + 1] = 1
-                seen = np.cumsum(marked)
-                runs = np.unique(np.concatenate([np.stack(r, axis=1) for r in (shortest_runs(w, min_words), shortest_runs_back(w, min_words))]), axis=0)
-                runs = runs[seen[runs[:, 1]] > seen[runs[:, 0]]]
+                seen = np.zeros(len(h) + 1, np.int64)
+                seen[marked.values.to_numpy(zero_copy_only=False) + 1] = 1
+                seen = np.cumsum(seen)
+                s, e = (np.concatenate(x) for x in zip(shortest_runs(w, min_words), shortest_runs_back(w, min_words), strict=True))
+                runs = np.unique(s[seen[e] > seen[s]] * (len(h) + 1) + e[seen[e] > seen[s]])
+                s, e = runs // (len(h) + 1), runs % (len(h) + 1)
                 take.append(np.full(len(runs), k))
-                keys.append(run_hashes(h, runs[:, 0], runs[:, 1]).view(np.int64))
-                starts.append(runs[:, 0].astype(np.int32))
-                ends.append(runs[:, 1].astype(np.int32))
+                keys.append([run_hashes(h, s, e, base).view(np.int64) for base in _BASES])
+                starts.append(s.astype(np.int32))
+                ends.append(e.astype(np.int32))
             if take:
                 at = pa.array(np.concatenate(take))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(np.concatenate(x)) for x in (keys, starts, ends))], ["id", "version", "run", "start", "end"])
-
-    runs = saved(near.select("id", "version", "places", "hashes", "words").mapInArrow(extend, f"id {kind}, version long, run long, start int, end int"))
-    first = saved(runs.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("id", "version", "start")).alias("first")).where("n > 1").select("run", "first"))
-    later = runs.join(first, "run").where(~F.struct("id", "version", "start").eqNullSafe(F.col("first")))
-    gone = later.groupBy("id", "version").agg(F.collect_set(F.struct("start", "end")).alias("runs")).select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["end"] - 1))))).alias("gone"))
-    whole = lines.select("id", "version", F.size("hashes").alias("n_lines"), "words").dropDuplicates(["id", "version"])
-    joined = whole.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")), "left")
-    none = F.array().cast("array<int>")
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns[:3]), *(pa.array(np.concatenate(x)) for x in zip(*keys, strict=True)), pa.array(np.concatenate(starts)), pa.array(np.concatenate(ends))], ["row", "id", "version", "run", "run2", "start", "end"])
+
+    runs = saved(near.select("row", "id", "version", "near", "hashes", "words").mapInArrow(extend, f"row long, id {kind}, version long, run long, run2 long, start int, end int"))
+    position = F.struct("id", "version", "row", "start")
+    first = saved(runs.groupBy("run", "run2").agg(F.count("*").alias("n"), F.min(position).alias("first")).where("n > 1").select("run", "run2", "first.row", "first.start").withColumnsRenamed({"row": "first_row", "start": "first_start"}))
+    later = runs.join(first, ["run", "run2"]).where("row <> first_row OR start <> first_start")
+    gone = later.groupBy(F.col("row").alias("gone_row")).agg(F.collect_set(F.struct("start", "end")).alias("runs")).select("gone_row", F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["end"] - 1))))).alias("gone"))
+    joined = lines.select("row", "id", "key", "words").join(gone, F.col("row") == F.col("gone_row"), "left")
     total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)
-    return joined.select(
+    per_row = joined.select(
         "id",
-        "version",
-        F.col("n_lines").cast("long").alias("n_lines"),
-        total(F.col("words")).alias("n_words"),
-        F.coalesce("gone", none).alias("gone"),
-        F.coalesce(total(F.transform("gone", lambda i: F.element_at("words", i + 1))), F.lit(0).cast("long")).alias("gone_words"),
+        "key",
+        "row",
+        F.struct(
+            F.size("words").cast("long").alias("n_lines"),
+            total(F.col("words")).alias("n_words"),
+            F.coalesce("gone", F.array().cast("array<int>")).alias("gone"),
+            F.coalesce(total(F.transform("gone", lambda i: F.element_at("words", i + 1))), F.lit(0).cast("long")).alias("gone_words"),
+        ).alias("found"),
     )
+    # Rows that agree in id and text are one document: the first of them says what goes.
+    return per_row.groupBy("id", "key").agg(F.min_by("found", "row").alias("found")).select("id", "key", "found.*")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -161,13 +249,13 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     A document of which nothing is left goes.
     """
-    found = repeated_lines(docs, id_col=id_col, text_col=text_col, **options).where(F.size("gone") > 0).select(F.col("id").alias("__ld_id"), F.col("version").alias("__ld_version"), F.col("gone").alias("__ld_gone"))
-    rows = docs.withColumn("__ld_of", F.xxhash64(text_col))
-    joined = rows.join(found, F.col(id_col).eqNullSafe(F.col("__ld_id")) & (F.col("__ld_of") == F.col("__ld_version")), "left")
+    found = repeated_lines(docs, id_col=id_col, text_col=text_col, **options).where(F.size("gone") > 0).select(F.col("id").alias("__ld_id"), F.col("key").alias("__ld_key"), F.col("gone").alias("__ld_gone"))
+    rows = docs.withColumn("__ld_own", text_key(F.col(text_col)))
+    joined = rows.join(found, F.col(id_col).eqNullSafe(F.col("__ld_id")) & (F.col("__ld_own") == F.col("__ld_key")), "left")
 
     @F.pandas_udf("string")
     def without(text, gone):
-        return type(text)([t if t is None or g is None or not len(g) else join_lines(lines_of(t), set(map(int, g))) for t, g in zip(text, gone, strict=True)], dtype=object)
+        return type(text)([t if t is None or g is None or not len(g) else without_lines(t, set(map(int, g))) for t, g in zip(text, gone, strict=True)], dtype=object)
 
     # Python gets the texts of documents that lose something only.
     changed = F.when(F.col("__ld_gone").isNotNull(), without(F.when(F.col("__ld_gone").isNotNull(), F.col(text_col)), F.col("__ld_gone"))).otherwise(F.col(text_col))
@@ -176,15 +264,20 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def brute_force(rows: list[tuple], min_words: int = 25) -> dict[tuple, list[int]]:
     """Deleted lines of (id, text) rows by comparing all runs; for small fixtures."""
-    units = {}
+    lines = {}
     for i, t in sorted(set(rows), key=lambda r: (r[0], r[1] or "")):
-        units[i, t] = [x.strip().rstrip(".") for line in lines_of(t) for x in line]
-    seen, gone = {}, {k: set() for k in units}
-    for key, u in units.items():
+        mine = []
+        for w in sentences(t):
+            begin = {0} | ({s + min(range(CUT), key=lambda k: (word_hash(w[s + k]), k)) for s in range(len(w) - CUT + 1)} if len(w) > LONG else set())
+            begin = sorted(begin)
+            mine += [tuple(w[a:b]) for a, b in zip(begin, [*begin[1:], len(w)], strict=True)]
+        lines[i, t] = mine
+    seen, gone = {}, {k: set() for k in lines}
+    for key, u in lines.items():
         for s in range(len(u)):
             n = 0
             for e in range(s, len(u)):
-                n += u[e].count(" ") + 1 if u[e] else 0
+                n += len(u[e])
                 if n >= min_words:
                     run = tuple(u[s : e + 1])
                     if run in seen:

@@ -100,15 +100,22 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN covered USING (row) LEFT JOIN found USING (row)""",
     "op10_line_dedup": r"""
-WITH d AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE list_transform(flatten(list_transform(string_split(text, chr(10)), lambda l: string_split(l, '. '))), lambda x: rtrim(regexp_replace(x, '^\s+|\s+$', '', 'g'), '.')) END AS units FROM documents),
-u AS (SELECT doc_id, pos, units[pos + 1] AS unit, CASE WHEN units[pos + 1] = '' THEN 0 ELSE length(units[pos + 1]) - length(replace(units[pos + 1], ' ', '')) + 1 END AS w FROM (SELECT doc_id, units, unnest(range(0, len(units))) AS pos FROM d)),
+WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(replace(coalesce(text, ''), chr(10), '. '), '. '), lambda p: list_filter(string_split(rtrim(p, ' .'), ' '), lambda w: w <> '')), lambda w: len(w) > 0) AS parts FROM documents),
+sentence AS (SELECT doc_id, k, parts[k] AS w FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM d)),
+word AS (SELECT doc_id, k, i, len(w) AS n, left(md5(w[i]), 16) || lpad(CAST(i AS VARCHAR), 9, '0') AS h FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM sentence WHERE len(w) > 12)),
+least7 AS (SELECT doc_id, k, i, n, min(h) OVER (PARTITION BY doc_id, k ORDER BY i ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING) AS m FROM word),
+begins AS (SELECT doc_id, k, 1 AS i FROM sentence UNION SELECT doc_id, k, CAST(substr(m, 17) AS BIGINT) FROM least7 WHERE i <= n - 6),
+cut AS (SELECT doc_id, k, i, lead(i) OVER (PARTITION BY doc_id, k ORDER BY i) AS j FROM begins),
+u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1 AS pos, array_to_string(w[i : coalesce(j - 1, len(w))], ' ') AS unit, coalesce(j, len(w) + 1) - i AS w FROM cut JOIN sentence USING (doc_id, k)),
 c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS total FROM u),
-pairs AS (SELECT a.doc_id, a.pos AS s, b.pos AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.total - a.total + a.w >= 25),
+near AS (SELECT doc_id, pos AS s, total - w AS before, unnest(range(pos, pos + 25)) AS e FROM c),
+pairs AS (SELECT near.doc_id, s, e FROM near JOIN c ON near.doc_id = c.doc_id AND near.e = c.pos WHERE total - before >= 25),
 runs AS (SELECT doc_id, s, min(e) AS e FROM pairs GROUP BY 1, 2 UNION SELECT doc_id, max(s), e FROM pairs GROUP BY doc_id, e),
-keyed AS (SELECT runs.doc_id, s, e, array_to_string(units[s + 1 : e + 1], chr(10)) AS run FROM runs JOIN d USING (doc_id)),
+whole AS (SELECT doc_id, list(unit ORDER BY pos) AS units FROM u GROUP BY doc_id),
+keyed AS (SELECT runs.doc_id, s, e, array_to_string(units[s + 1 : e + 1], chr(10)) AS run FROM runs JOIN whole USING (doc_id)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS nth FROM keyed),
 gone AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS pos FROM ranked WHERE nth > 1)
-SELECT doc_id, CAST(len(any_value(units)) AS BIGINT) AS n_lines, CAST(coalesce(sum(w), 0) AS BIGINT) AS n_words, count(gone.pos) AS n_gone, CAST(coalesce(sum(w) FILTER (WHERE gone.pos IS NOT NULL), 0) AS BIGINT) AS gone_words, coalesce(string_agg(CAST(gone.pos AS VARCHAR), ',' ORDER BY gone.pos), '') AS gone
+SELECT doc_id, count(c.pos) AS n_lines, CAST(coalesce(sum(w), 0) AS BIGINT) AS n_words, count(gone.pos) AS n_gone, CAST(coalesce(sum(w) FILTER (WHERE gone.pos IS NOT NULL), 0) AS BIGINT) AS gone_words, coalesce(string_agg(CAST(gone.pos AS VARCHAR), ',' ORDER BY gone.pos), '') AS gone
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id""",
     "op8_chat": f"""
 WITH turns AS (

@@ -5,6 +5,7 @@ import io
 import random
 import re
 import struct
+import unicodedata
 import wave
 import zlib
 from collections import Counter
@@ -87,7 +88,7 @@ def test_plan_covers_the_demand_near_its_bound():
 
 
 def test_tokenizers_agree_with_the_library():
-    words, count = tokenization.WordIds(WORDS, limit=50), tokenization.ByteCounts(BYTES, limit=50)
+    words, count = tokenization.WordIds(WORDS, room=20_000), tokenization.ByteCounts(BYTES, room=20_000)
     wl, bl = Tokenizer.from_file(WORDS), Tokenizer.from_file(BYTES)
     rnd = random.Random(1)
     alphabet = [chr(i) for i in range(1, 0x250)] + list(" \n\t  'sdm") * 20 + list("ßİſKÅééẞ  　漢字🙂١²½Ⅷ\x85\x1c") * 8
@@ -98,6 +99,28 @@ def test_tokenizers_agree_with_the_library():
         assert count.count(t) == len(bl.encode(t, add_special_tokens=False).ids)
 
 
+def test_counts_of_characters_that_one_table_lacks():
+    """All code points, and those that this interpreter's pattern takes for letters and the library does not."""
+    count, lib = tokenization.ByteCounts(BYTES), Tokenizer.from_file(BYTES)
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF]
+    known = [c for c in every if unicodedata.category(c) != "Cn"]
+    for i in range(0, len(known), 500):
+        text = "".join(f"a{c}1{c}{c} {c}'ll" for c in known[i : i + 500])
+        assert count.split(text) == [text[a:b] for _, (a, b) in count.pre.pre_tokenize_str(text)]
+    rnd = random.Random(6)
+    texts = ["\U000325df'll", "\u0558a", "a\ua7ce 1", "\U00018e00 y"] + ["".join(rnd.choice(every) + rnd.choice(["", " ", "a", "1", "'ll"]) for _ in range(12)) for _ in range(1500)]
+    assert [count.count(t) for t in texts] == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_what_is_kept_is_bounded_in_bytes():
+    words = tokenization.WordIds(WORDS, room=1 << 16)
+    words.encode(" ".join("x" * (i % 300) + str(i) for i in range(20_000)))
+    held = [k for d in (words.chunks, words.words) for k in d]
+    assert max(map(len, held)) <= 64 and sum(map(len, held)) < 1 << 16
+    words.encode("y" * 3_000_000)
+    assert len([k for d in (words.chunks, words.words) for k in d]) == len(held)
+
+
 def test_merging_pops_the_lowest_rank_first():
     ranks = {("a", "b"): (1, "ab"), ("b", "c"): (0, "bc"), ("a", "bc"): (2, "abc")}
     assert tokenization.merged_length(list("abc"), ranks) == 1 and tokenization.merged_length(list("aab"), ranks) == 2 and tokenization.merged_length([], ranks) == 0
@@ -290,11 +313,11 @@ def test_near_links_connect_what_brute_force_connects(spark, bucket_rows):
             for b in rnd.sample(range(64), rnd.randint(1, 5)):
                 f ^= 1 << b
             fps.add(f)
-    ids = {i: f for i, f in enumerate(sorted(fps))}
-    rows = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in ids.items()], "id long, fp long")
+    signed = {f - (1 << 64) if f >> 63 else f: f for f in fps}
+    rows = spark.createDataFrame([(f,) for f in signed], "fp long")
     linked = {r["node"]: r["component"] for r in components(simhash.near_links(rows, radius=4, bucket_rows=bucket_rows)).collect()}
-    want = union([(a, b) for a in ids for b in ids if a < b and (ids[a] ^ ids[b]).bit_count() <= 4], ids)
-    assert {i: linked.get(i, i) for i in ids} == want
+    want = union([(a, b) for a in signed for b in signed if a < b and (signed[a] ^ signed[b]).bit_count() <= 4], signed)
+    assert {f: linked.get(f, f) for f in signed} == want
 
 
 def test_thresholds_keep_the_pigeonhole():
@@ -313,6 +336,16 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(none(spark)).count() == 0
 
 
+def test_equal_ids_with_different_texts_are_documents_of_their_own(spark):
+    rows = [(1, "one two three four five six"), (1, "quite another text of seven words here"), (2, "one two three four five six"), (None, "a text without any id at all"), (None, "a text without any id at all"), (3, "A text without any id at all"), (None, "its own text and no id"), (3, "A text without any id at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"fp": F.lit(1), "group": F.lit("g"), "key": F.lit(0)})
+    got = sorted((r["doc_id"] or 0, r["fp"] % (1 << 64), r["component_id"] or 0) for r in simhash.near_duplicates(docs).collect())
+    assert got == sorted((i or 0, brute_simhash(t), {rows[0][1]: 1, rows[1][1]: 1, rows[6][1]: 0}.get(t, 3)) for i, t in rows)
+    kept = simhash.one_of_each_group(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(1, rows[0][1]), (1, rows[1][1]), (3, rows[5][1]), (0, rows[6][1])])
+    assert simhash.one_of_each_group(none(spark)).count() == 0
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(7, 7), (100, 99)], "a long, b long")
     assert {r["node"]: r["component"] for r in components(links).collect()} == {i: 0 for i in range(41)} | {99: 99, 100: 99}
@@ -380,7 +413,8 @@ def test_line_dedup_against_brute_force(spark):
     rows = [(i, rnd.choice(["\n", ". "]).join(rnd.choice(lines) for _ in range(rnd.randint(0, 12)))) for i in range(60)]
     passage = "\n".join(f"passage line {i} of some ten words that is here again" for i in range(6))
     rows += [(100, f"own start\n{passage}\nown end"), (101, f"other\n{passage}\nlast"), (102, passage), (103, None), (104, ""), (101, f"other\n{passage}\nlast"), (105, "la la la\n" * 40), (106, passage.split("\n")[0])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"version": F.lit("x"), "gone": F.lit(1)})
+    rows += [(i, " ".join(rnd.choice("abcdef") for _ in range(rnd.randint(10, 90)))) for i in range(200, 230)]  # long sentences
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"version": F.lit("x"), "gone": F.lit(1), "row": F.lit(2), "key": F.lit("k")})
     got = {(r["id"]): r["gone"] for r in line_dedup.repeated_lines(docs).collect()}
     want = {k[0]: v for k, v in line_dedup.brute_force(rows).items()}
     assert got == want and got[101] == list(range(1, 7)) and got[100] == [] and got[106] == []
@@ -389,7 +423,35 @@ def test_line_dedup_against_brute_force(spark):
     assert line_dedup.repeated_lines(none(spark)).count() == 0
 
 
+def test_passages_inside_long_lines_are_found(spark):
+    """A passage of 51 words with other words before and after it in the same line, without a sentence end near."""
+    rnd = random.Random(4)
+    word = lambda: f"w{rnd.randint(0, 5000)}"
+    passage = " ".join(word() for _ in range(51))
+    own = lambda: " ".join(word() for _ in range(rnd.randint(3, 40)))
+    rows = [(i, f"{own()} {passage} {own()}") for i in range(12)] + [(50, " | ".join(word() for _ in range(60))), (51, own() + "! " + own() + "? ")]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = set(passage.split())
+    assert out[0] == rows[0][1] and out[50] == rows[12][1] and out[51] == rows[13][1]
+    for i in range(1, 12):
+        head, tail = rows[i][1].split(passage)
+        assert out[i].startswith(head) and out[i].endswith(tail) and sum(w in kept for w in out[i].split()) <= 51 - 25
+
+
+def test_line_dedup_of_equal_ids_and_no_ids(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(None, passage), (None, passage), (1, "x " + passage), (1, "another text under the same id"), (1, "x " + passage)]
+    out = sorted((r["doc_id"] or 0, r["text"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [t for i, t in out if i == 0] == [passage] * 2 and out[2] == (1, "another text under the same id") and all(len(t.split()) < 20 for i, t in out if i)
+
+
 def test_lines_join_again():
-    for _, t in [(0, "a. b. c\n\nd. "), (1, "x\ny\n"), (2, ". . .")]:
-        assert line_dedup.join_lines(line_dedup.lines_of(t), set()) == t
-    assert line_dedup.join_lines(line_dedup.lines_of("a. b. c.\nd"), {1}) == "a. c.\nd" and line_dedup.join_lines(line_dedup.lines_of("a. b.\nd"), {1}) == "a.\nd"
+    for t in ["a. b. c\n\nd. ", "x\ny\n", ". . .", " lead. two  words . \n\n  x", "w " * 200]:
+        assert line_dedup.without_lines(t, set()) == t and sum(map(len, line_dedup.places(t))) == len(line_dedup.line_hashes(t)[0])
+    assert line_dedup.without_lines("a. b. c.\nd", {1}) == "a. c.\nd" and line_dedup.without_lines("a. b.\nd", {1}) == "a.\nd"
+
+
+def test_a_very_long_text_of_one_line(spark):
+    long = " ".join(f"v{i}" for i in range(60_000))
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame([(1, long), (2, "own " + long)], "doc_id long, text string")).collect()}
+    assert out[1] == long and len(out[2].split()) < 20
