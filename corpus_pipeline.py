@@ -2,6 +2,12 @@
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame; its result is written as Parquet and
 read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+
+Cases, for every stage: a null text is an empty one, stays null and is never toxic by itself, contaminated or cut;
+texts without words share one fingerprint, so one such document stays; rows of one id with different texts are
+documents of their own, judged by their texts; rows that agree in id and text are judged alike and leave
+near-dedup as one; rows without an id take part like others; of ties the smallest (id, text key) stays; very long
+texts count whole; an empty table gives an empty one; other columns, whatever their names, come through as they are.
 """
 
 from __future__ import annotations
@@ -10,11 +16,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaprism.llm.common import fold, saved, table
+from mediaprism.llm.common import fold, saved, table, text_key
 from mediaprism.llm.decontamination import decontamination_report
 from mediaprism.llm.line_dedup import dedup_lines
 from mediaprism.llm.packing import pack
-from mediaprism.llm.simhash import near_duplicates
+from mediaprism.llm.simhash import one_of_each_group
 from mediaprism.llm.toxicity import fit, score_toxicity
 
 
@@ -31,18 +37,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document of the smallest id stays; one without an id cannot be named and stays."""
-    named = docs.where("doc_id IS NOT NULL")
-    kept = near_duplicates(named).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    found = named.join(kept, named["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return found.unionByName(docs.where("doc_id IS NULL"))
+    """Of each group one document stays, that of the smallest id and text key; see the operator for null and repeated ids."""
+    return one_of_each_group(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The text alone decides, so its hash names the document, as an id may be null or repeat."""
-    texts = docs.select(F.xxhash64("text").alias("found_text"), "text")
+    """The text alone decides, so its key names the document, as an id may be null or repeat."""
+    texts = docs.select(text_key(F.col("text")).alias("found_text"), "text")
     found = decontamination_report(texts, table(spark, sf_dir, "benchmark"), id_col="found_text").where("contaminated").select("found_text").distinct()
-    return docs.join(found, F.xxhash64(docs["text"]) == found["found_text"], "left_anti")
+    return docs.join(found, text_key(docs["text"]) == found["found_text"], "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
