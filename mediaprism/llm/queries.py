@@ -102,7 +102,7 @@ FROM d LEFT JOIN covered USING (row) LEFT JOIN found USING (row)""",
     "op10_line_dedup": r"""
 WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(replace(coalesce(text, ''), chr(10), '. '), '. '), lambda p: list_filter(string_split(rtrim(p, ' .'), ' '), lambda w: w <> '')), lambda w: len(w) > 0) AS parts FROM documents),
 sentence AS (SELECT doc_id, k, parts[k] AS w FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM d)),
-word AS (SELECT doc_id, k, i, len(w) AS n, left(md5(w[i]), 16) || lpad(CAST(i AS VARCHAR), 9, '0') AS h FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM sentence WHERE len(w) > 12)),
+word AS (SELECT doc_id, k, i, len(w) AS n, rpad(left(hex(w[i]), 16), 16, '0') || lpad(CAST(i AS VARCHAR), 9, '0') AS h FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM sentence WHERE len(w) > 12)),
 least7 AS (SELECT doc_id, k, i, n, min(h) OVER (PARTITION BY doc_id, k ORDER BY i ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING) AS m FROM word),
 begins AS (SELECT doc_id, k, 1 AS i FROM sentence UNION SELECT doc_id, k, CAST(substr(m, 17) AS BIGINT) FROM least7 WHERE i <= n - 6),
 cut AS (SELECT doc_id, k, i, lead(i) OVER (PARTITION BY doc_id, k ORDER BY i) AS j FROM begins),
@@ -110,7 +110,7 @@ u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1 A
 c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS total FROM u),
 near AS (SELECT doc_id, pos AS s, total - w AS before, unnest(range(pos, pos + 25)) AS e FROM c),
 pairs AS (SELECT near.doc_id, s, e FROM near JOIN c ON near.doc_id = c.doc_id AND near.e = c.pos WHERE total - before >= 25),
-runs AS (SELECT doc_id, s, min(e) AS e FROM pairs GROUP BY 1, 2 UNION SELECT doc_id, max(s), e FROM pairs GROUP BY doc_id, e),
+runs AS (SELECT doc_id, s, min(e) AS e FROM pairs GROUP BY 1, 2),
 whole AS (SELECT doc_id, list(unit ORDER BY pos) AS units FROM u GROUP BY doc_id),
 keyed AS (SELECT runs.doc_id, s, e, array_to_string(units[s + 1 : e + 1], chr(10)) AS run FROM runs JOIN whole USING (doc_id)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS nth FROM keyed),
