@@ -18,7 +18,7 @@ from mediaprism.llm.packing import pack
 from mediaprism.llm.sharding import assign_shards
 from mediaprism.llm.simhash import near_duplicates
 from mediaprism.llm.token_counts import count_tokens
-from mediaprism.llm.toxicity import fit, score_toxicity
+from mediaprism.llm.toxicity import fit_and_score
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +40,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
-    index = fit(docs, table(spark, sf_dir, "labels").where(~held_out))
-    return score_toxicity(docs, index, also=(held_out.alias("held_out"),))
+    return fit_and_score(docs, table(spark, sf_dir, "labels").where(~held_out), also=(held_out.alias("held_out"),))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

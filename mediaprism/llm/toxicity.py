@@ -1,26 +1,30 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-A bounded, hash-chosen sample of the labelled rows (about ``sample`` at most) is the example set. All
+A bounded, hash-chosen sample of the labelled ids (about ``sample``, however many there are) is the example set; all
+labels of an id are votes of its one example. All
 of their words are indexed; a word's idf comes from the number of documents, of all that are given,
 which hold it, and is multiplied by the square root of a damped chi-square of word and label, as else
 topics decide who is near. No word is left out for its weight, which is above zero. Vectors are
 (1 + log tf) * idf so weighted, of unit length. Examples with equal vectors become one
-with their votes added up. The index deals the examples into blocks. Words in few examples have postings,
-whose products are added up first; words in many have a dense row a block and, for every block, the largest
-weight there. A query visits a block only while the best sum of its postings there, and the bound from
-those maxima, reach its k-th best similarity so far, so the neighbours are exact. They vote with similarity
+with their votes added up. The index deals the examples into blocks. Words have postings, whose products are added
+up first; those that are frequent and weak have a row an example instead and, for every block, the largest
+weight there. A query visits a block, and an example in it, only if the best posted sum and the bound from
+those maxima reach what its k-th best neighbour has at least, so the neighbours are exact. They vote with similarity
 to the power ``sharpness``; a logistic curve fitted on leave-one-out votes of the examples turns votes
 into calibrated scores. The neighbours' ids are returned as evidence.
 
 Cases: null and empty texts, and texts that share no word with any example, get the calibrated share of
 toxic examples that have no words either; words that no example holds have no weight, which changes no
-order of neighbours; no labels at all: score 0; ties go to the earlier example; whole texts count,
-however long; repeated rows give repeated rows; an empty table gives none; columns other than
-those named are not read.
+order of neighbours; no labels at all: score 0; ties go to the example first in the index; whole texts count,
+however long; repeated rows give repeated rows; repeated labels of an id are that many votes; of several texts
+under one labelled id the one of smallest key is the example; labels and ids that are null teach nothing;
+ids may be of any type; an empty table gives none; columns other than those named are not read.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import re
 from collections import Counter
@@ -28,37 +32,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (as pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaprism.llm.common import saved
+from mediaprism.llm.common import sampled, saved, text_key
 
 _WORD = re.compile(r"[^\W_]+")
+#: Types of ids; others are taken as Arrow infers them.
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+#: More than single precision can be off by in a sum of products of two vectors of unit length.
+_ROUNDING = 1e-5
 
 
 def words(text: str | None) -> Counter:
     return Counter(_WORD.findall(text.lower())) if text else Counter()
 
 
-class TermFinder:
-    """Counts of kept terms in a text; chunks between white space are looked up once."""
-
-    class _Chunks(dict):
-        def __missing__(self, chunk: str) -> tuple:
-            found = tuple(self.terms[w] for w in _WORD.findall(chunk) if w in self.terms)
-            if len(self) < self.limit:
-                self[chunk] = found
-            return found
-
-    def __init__(self, terms: dict[str, int], limit: int = 100_000):
-        self.chunks = self._Chunks()
-        self.chunks.terms, self.chunks.limit = terms, limit
-
-    def each(self, text: str | None) -> list[int]:
-        return [t for found in map(self.chunks.__getitem__, text.lower().split()) if found for t in found] if text else []
-
-    def count(self, text: str | None) -> Counter:
-        return Counter(self.each(text))
+def known_words(text: str | None, where: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the words of a text that have one, and how often each occurs."""
+    found = words(text)
+    numbers = np.fromiter(map(where.get, found, itertools.repeat(-1)), np.int64, len(found))
+    return numbers[numbers >= 0], np.fromiter(found.values(), np.int64, len(found))[numbers >= 0]
 
 
 @dataclass
@@ -107,88 +102,126 @@ def vector(counts: dict[int, int] | tuple[np.ndarray, np.ndarray], idf: np.ndarr
 
 
 class ExampleIndex:
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: Rows, ids: np.ndarray, n: np.ndarray, toxic: np.ndarray, *, blank: tuple[int, int], k: int = 25, block: int = 64, sharpness: float = 4.0, prior_weight: float = 0.5):
+    def __init__(self, terms: list[str], idf: np.ndarray, examples: Rows, ids: list, n: np.ndarray, toxic: np.ndarray, *, blank: tuple[int, int], id_kind: str = "bigint", k: int = 25, block: int = 64, sharpness: float = 4.0, prior_weight: float = 0.5):
         self.terms, self.idf, self.k, self.block, self.sharpness, self.prior_weight = terms, idf, k, block, sharpness, prior_weight
-        self.where = {t: i for i, t in enumerate(terms)}
         # Examples whose strongest terms agree stand together, which keeps the blocks' bounds low.
         strongest = [examples.terms[a:b][np.argsort(-examples.weights[a:b], kind="stable")[[0, -1 if b - a == 1 else 1]]] for a, b in zip(examples.start[:-1], examples.start[1:], strict=True)]
-        order = np.lexsort([ids, *(np.array([x[j] for x in strongest]) for j in (1, 0))]) if len(ids) else np.zeros(0, int)
-        self.examples, self.ids, self.n, self.toxic = examples.take(order), ids[order], n[order], toxic[order]
-        self.blank = blank
+        order = np.lexsort([np.arange(len(ids)), *(np.array([x[j] for x in strongest]) for j in (1, 0))]) if len(ids) else np.zeros(0, int)
+        self.examples, self.ids, self.n, self.toxic = examples.take(order), [ids[i] for i in order], n[order], toxic[order]
+        self.blank, self.id_kind = blank, id_kind
         self.share = (self.toxic.sum() + blank[1]) / max(1, self.n.sum() + blank[0])
         self.curve = (1.0, 0.0)
         self._deal()
 
     def _deal(self) -> None:
-        """The postings, dense rows and maxima, from the examples."""
+        """The postings, and the rows and block maxima of words that are frequent and weak, from the examples.
+
+        Rows and maxima are of single precision; what they decide leaves room for its error, and sums are
+        taken again in double precision.
+        """
         at, x = self.examples.at(), self.examples
         df = np.bincount(x.terms, minlength=len(self.terms))
-        common = np.nonzero(df > max(8, len(self.ids) // 32))[0]
+        frequent = df > max(8, len(self.ids) // 64)
+        weak = frequent & (self.idf <= np.quantile(self.idf[frequent], 0.4)) if frequent.any() else frequent
+        common = np.nonzero(weak)[0]
         self.common = np.full(len(self.terms), -1)
         self.common[common] = np.arange(len(common))
         # Padded to whole blocks; what is padded has no weight and is never a neighbour.
         self.width = -(-len(self.ids) // self.block) * self.block
-        self.heavy = np.zeros((len(common), self.width))
-        frequent = self.common[x.terms] >= 0
-        self.heavy[self.common[x.terms[frequent]], at[frequent]] = x.weights[frequent]
-        self.peaks = self.heavy.reshape(len(common), -1, self.block).max(axis=2) if len(self.ids) else np.zeros((len(common), 0))
-        rare = np.nonzero(~frequent)[0]
-        rare = rare[np.argsort(x.terms[rare], kind="stable")]
-        self.post_start = np.concatenate([[0], np.cumsum(np.where(self.common < 0, df, 0))]).astype(np.int64)
-        self.post_at, self.post_weight = at[rare], x.weights[rare]
+        self.heavy = np.zeros((self.width, len(common)), np.float32)
+        own = self.common[x.terms] >= 0
+        self.heavy[at[own], self.common[x.terms[own]]] = x.weights[own]
+        self.peaks = self.heavy.reshape(self.width // self.block, self.block, len(common)).max(axis=1).T
+        self.norms = np.sqrt(np.einsum("ij,ij->i", self.heavy, self.heavy, dtype=float))
+        posted = np.nonzero(~own)[0]
+        posted = posted[np.argsort(x.terms[posted], kind="stable")]
+        self.post_start = np.concatenate([[0], np.cumsum(np.where(weak, 0, df))]).astype(np.int64)
+        self.post_at, self.post_weight = at[posted], x.weights[posted]
 
     def __getstate__(self) -> dict:
         # What is dealt is larger than the examples; each worker deals it again.
-        return {k: v for k, v in self.__dict__.items() if k not in ("where", "common", "heavy", "peaks", "post_start", "post_at", "post_weight")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("where", "common", "heavy", "peaks", "norms", "post_start", "post_at", "post_weight")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self.where = {t: i for i, t in enumerate(self.terms)}
         self._deal()
 
+    @functools.cached_property
+    def where(self) -> dict[str, int]:
+        return {t: i for i, t in enumerate(self.terms)}
+
     @property
     def vectors(self) -> np.ndarray:
         """All examples over all terms; for small indexes."""
         return self.examples.dense(len(self.terms))
 
-    def rare_sums(self, q: Rows) -> np.ndarray:
+    def posted_sums(self, q: Rows) -> np.ndarray:
         """For each query and example the products of the words that have postings."""
-        at, rare = q.at(), self.common[q.terms] < 0
-        at, t, w = at[rare], q.terms[rare], q.weights[rare]
-        first, size = self.post_start[t], self.post_start[t + 1] - self.post_start[t]
-        entry = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
-        place = np.repeat(at * self.width, size) + self.post_at[entry]
-        return np.bincount(place, self.post_weight[entry] * np.repeat(w, size), minlength=len(q) * self.width).reshape(len(q), self.width)
+        out = np.zeros((len(q), self.width))
+        for i, (a, b) in enumerate(zip(q.start[:-1], q.start[1:], strict=True)):
+            posted = self.common[q.terms[a:b]] < 0
+            t, w = q.terms[a:b][posted], q.weights[a:b][posted]
+            if len(t):
+                first, last = self.post_start[t], self.post_start[t + 1]
+                lists = [slice(x, y) for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+                own = np.concatenate([self.post_weight[x] for x in lists]) * np.repeat(w, last - first)
+                out[i] = np.bincount(np.concatenate([self.post_at[x] for x in lists]), own, minlength=self.width)
+        return out
 
     def nearest(self, queries: Rows | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Similarities and places of the k best examples of each query; -1 where there are fewer."""
+        """Similarities and places of the k best examples of each query; -1 where there are fewer.
+
+        The k-th best posted sum bounds the k-th best similarity from below. From above a block's similarities are bounded by
+        its best posted sum and the lesser of two bounds of weak words: by their maxima in the block, and by its longest
+        example, as no product exceeds that of two lengths. Blocks, and examples in them, that cannot reach
+        the former are passed over. Those of the best posted sums are summed first, which raises it.
+        """
         given = queries if isinstance(queries, Rows) else Rows.of_dense(queries)
         q, k = len(given), self.k
         best, where = np.full((q, k), -1.0), np.full((q, k), -1)
         if not q or not self.width:
             return best, where
-        at, frequent = given.at(), self.common[given.terms] >= 0
-        heavy = np.zeros((q, len(self.heavy)))
-        heavy[at[frequent], self.common[given.terms[frequent]]] = given.weights[frequent]
-        sums = self.rare_sums(given)
-        bounds = heavy @ self.peaks + sums.reshape(q, -1, self.block).max(axis=2) + 1e-9
-        step = 1e-10 / self.width  # what a later example is put behind by, under what sums are rounded to
-        for b in np.argsort(-bounds.mean(axis=0), kind="stable"):
-            ask = np.nonzero((bounds[:, b] >= best[:, -1]) & (bounds[:, b] > 1e-8))[0]
-            if not len(ask):
+        at, own = given.at(), self.common[given.terms] >= 0
+        heavy = np.zeros((q, self.heavy.shape[1]), np.float32)
+        heavy[at[own], self.common[given.terms[own]]] = given.weights[own]
+        long = np.sqrt(np.bincount(at[own], given.weights[own] ** 2, minlength=q))
+        sums = self.posted_sums(given)
+        bound = sums.reshape(q, -1, self.block).max(axis=2) + np.minimum(heavy @ self.peaks, long[:, None] * self.norms.reshape(-1, self.block).max(axis=1))
+        floor = np.partition(sums, -k, axis=1)[:, -k] - _ROUNDING if self.width > k else np.full(q, -1.0)
+        visit = (bound >= floor[:, None] - _ROUNDING) & (bound > 0)
+        whole = np.zeros(len(self.terms))
+        x = self.examples
+        for i in range(q):
+            e = (np.nonzero(visit[i])[0][:, None] * self.block + np.arange(self.block)).ravel()
+            s, up = sums[i, e], sums[i, e] + long[i] * self.norms[e]
+            left = (up >= floor[i] - _ROUNDING) & (up > 0) & (e < len(x))
+            e, s, up = e[left], s[left], up[left]
+            if len(e) > 3 * k:
+                order = np.argpartition(-s, 2 * k)
+                e, s, up = e[order], s[order], up[order]
+                s[: 2 * k] += self.heavy[e[: 2 * k]] @ heavy[i]
+                low = np.partition(s[: 2 * k], k)[k] - 2 * _ROUNDING  # 2 k of them, so the k-th best is no less
+                rest = 2 * k + np.nonzero(up[2 * k :] >= low)[0]
+                s[rest] += self.heavy[e[rest]] @ heavy[i]
+                near = np.concatenate([np.arange(2 * k), rest])
+                e, s = e[near], s[near]
+            else:
+                s = s + self.heavy[e] @ heavy[i]
+            if len(e) > k:
+                # The best, with room for rounding, are summed again exactly.
+                e = e[s >= np.partition(s, -k)[-k] - 2 * _ROUNDING]
+            if not len(e):
                 continue
-            own = slice(b * self.block, (b + 1) * self.block)
-            sims = heavy[ask] @ self.heavy[:, own] + sums[ask, own]
-            sims = np.where(sims > 1e-9, np.round(sims, 9), -1.0)
-            better = sims.max(axis=1) >= best[ask, -1]
-            ask, sims = ask[better], sims[better]
-            all_sims = np.concatenate([best[ask], sims], axis=1)
-            all_where = np.concatenate([where[ask], np.broadcast_to(np.arange(own.start, own.stop), sims.shape)], axis=1)
-            key = np.where(all_sims > 0, step * all_where, 0) - all_sims
-            top = np.argpartition(key, k - 1, axis=1)[:, :k] if key.shape[1] > k else np.broadcast_to(np.arange(key.shape[1]), key.shape)
-            top = np.take_along_axis(top, np.argsort(np.take_along_axis(key, top, 1), axis=1, kind="stable"), 1)
-            best[ask], where[ask] = np.take_along_axis(all_sims, top, 1), np.take_along_axis(all_where, top, 1)
-        return best, np.where(best > 0, where, -1)
+            mine = slice(given.start[i], given.start[i + 1])
+            whole[given.terms[mine]] = given.weights[mine]
+            size = x.start[e + 1] - x.start[e]
+            entry = np.arange(size.sum()) + np.repeat(x.start[e] - np.cumsum(size) + size, size)
+            exact = np.round(np.add.reduceat(x.weights[entry] * whole[x.terms[entry]], np.cumsum(size) - size), 9)
+            whole[given.terms[mine]] = 0
+            order = np.lexsort([e, -exact])[:k]
+            order = order[exact[order] > 1e-9]
+            best[i, : len(order)], where[i, : len(order)] = exact[order], e[order]
+        return best, where
 
     def votes(self, sims: np.ndarray, where: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
         """Weighted shares of toxic examples. ``own``: the label of each query that is itself the first example at similarity 1."""
@@ -243,14 +276,14 @@ class ExampleIndex:
                 break
         self.curve = (max(float(beta[0]), 0.05), float(beta[1]))
 
-    def score(self, counts: list[Counter]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores, and the neighbours' similarities and places."""
-        if not len(self.ids) and not self.blank[0]:
-            return np.zeros(len(counts)), np.zeros((len(counts), 0)), np.zeros((len(counts), 0), int)
-        v = Rows.of([vector(c, self.idf) for c in counts])
+    def score(self, counts: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, and the neighbours' similarities and places. ``counts`` has how often each term occurs for weights."""
+        q = len(counts)
         if not len(self.ids):
-            return self.calibrated(np.full(len(counts), self.blank_vote())), np.zeros((len(counts), 0)), np.zeros((len(counts), 0), int)
-        sims, where = self.nearest(v)
+            return (self.calibrated(np.full(q, self.blank_vote())) if self.blank[0] else np.zeros(q)), np.zeros((q, 0)), np.zeros((q, 0), int)
+        w = (1 + np.log(counts.weights)) * self.idf[counts.terms]
+        norm = np.sqrt(np.bincount(counts.at(), w * w, minlength=q))
+        sims, where = self.nearest(Rows(counts.start, counts.terms, w / np.repeat(norm, np.diff(counts.start))))
         votes = np.where(where[:, 0] >= 0, self.votes(sims, where), self.blank_vote())
         return self.calibrated(votes), sims, where
 
@@ -260,90 +293,134 @@ def association(toxic: np.ndarray, df: np.ndarray, share: float) -> np.ndarray:
     return np.maximum(np.abs(toxic - df * share) / np.sqrt(df * share * (1 - share) + 0.5), 0.01)
 
 
-def build_index(rows: list[tuple[int, int, dict[int, int] | tuple[np.ndarray, np.ndarray]]], terms: list[str], idf: np.ndarray, **options) -> ExampleIndex:
-    """``rows``: example id, label, counts by term (or terms and their counts)."""
+def build_index(rows: list[tuple], terms: list[str], idf: np.ndarray, **options) -> ExampleIndex:
+    """``rows``: example id, its votes, those for toxic, counts by term (or terms and their counts)."""
     blank_n = blank_toxic = 0
     groups: dict[bytes, list] = {}
-    for doc, label, counts in sorted(rows, key=lambda r: r[0]):
+    for doc, n, toxic, counts in sorted(rows, key=lambda r: r[0]):
         if not (len(counts) if isinstance(counts, dict) else len(counts[0])):
-            blank_n, blank_toxic = blank_n + 1, blank_toxic + label
+            blank_n, blank_toxic = blank_n + n, blank_toxic + toxic
             continue
         v = vector(counts, idf)
         g = groups.setdefault(v[0].tobytes() + np.round(v[1], 9).tobytes(), [v, doc, 0, 0])
-        g[2] += 1
-        g[3] += label
+        g[2] += n
+        g[3] += toxic
     kept = list(groups.values())
-    column = lambda i, kind: np.array([g[i] for g in kept], dtype=kind)
-    index = ExampleIndex(terms, idf, Rows.of([g[0] for g in kept]), column(1, np.int64), column(2, np.int64), column(3, np.int64), blank=(blank_n, blank_toxic), **options)
+    column = lambda i: np.array([g[i] for g in kept], dtype=np.int64)
+    index = ExampleIndex(terms, idf, Rows.of([g[0] for g in kept]), [g[1] for g in kept], column(2), column(3), blank=(blank_n, blank_toxic), **options)
     index.calibrate()
     return index
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 8000, **options) -> ExampleIndex:
-    """An index over a sample of the rows of ``labels`` (id, label). The driver gets the words of about ``sample`` texts at most, with their counts."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("int").alias("label"))
-    fine = 1 << 20
-    total = known.count()
-    chosen = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("examples")), F.lit(fine)) < min(fine, fine * sample // max(1, total)))
-    # The chosen ids number about ``sample`` whatever the input, so they may go everywhere.
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)
+def labelled_examples(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[DataFrame, list[str]]:
+    """Of about ``sample`` labelled ids at most id, n (labels), toxic, words; and all their words."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n"), F.sum((F.col(label_col) > 0).cast("long")).alias("_toxic"))
+    known = saved(known)
+    # One row an id, and about ``sample`` of them whatever the input, so they may go everywhere.
+    chosen = known.where(sampled("_id", "examples", F.lit(min(1.0, sample / max(1, known.count())))))
+    rows = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_own") == F.col("_id"))
+    rows = rows.groupBy("_id", "_n", "_toxic").agg(F.min(F.struct(text_key(F.col("_text")).alias("key"), F.col("_text").alias("text"))).alias("t")).select("_id", "_n", "_toxic", "t.text")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def read(batches):
         for b in batches:
-            found = [words(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(c.items()) for c in found], pa.map_(pa.string(), pa.int32()))], ["id", "label", "words"])
+            found = [words(t) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([list(c.items()) for c in found], pa.map_(pa.string(), pa.int32()))], ["id", "n", "toxic", "words"])
 
-    examples = saved(rows.mapInArrow(read, f"id {kind}, label int, words map<string,int>"))
-    # What comes to the driver comes as Arrow, which is small there.
-    terms = sorted(examples.select(F.explode(F.map_keys("words")).alias("term")).distinct().toArrow().column(0).to_pylist())
+    examples = saved(rows.mapInArrow(read, f"id {kind}, n long, toxic long, words map<string,int>"))
+    # What comes to the driver comes as Arrow, which is small there. Words of many examples come first,
+    # which keeps those that are looked up most near each other in memory.
+    held = examples.select(F.explode(F.map_keys("words")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term")
+    return examples, held.select("term").toArrow().column(0).to_pylist()
+
+
+def term_counts(docs: DataFrame, terms: list[str], *, text_col: str = "text", also: tuple[Column, ...] = ()) -> DataFrame:
+    """The columns of ``also`` and, of each text, the numbers of the ``terms`` in it (_terms) and how often each occurs (_times)."""
+    rows = docs.select(*also, F.col(text_col).alias("_text"))
+    kept = rows.schema[:-1]
     where = {t: i for i, t in enumerate(terms)}
 
     def count(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                found = [known_words(t.as_py(), where) for t in part.column(len(kept))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([t.astype(np.int32) for t, _ in found], pa.list_(pa.int32())), pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32()))], [*(f.name for f in kept), "_terms", "_times"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "_terms array<int>, _times array<int>"])
+    return rows.mapInArrow(count, schema)
+
+
+def index_of(examples: DataFrame, terms: list[str], counts: DataFrame, **options) -> ExampleIndex:
+    """The index of the examples; ``counts`` are those of all documents, whose number and terms give the idf."""
+
+    def total(batches):
         """How many documents hold each term, and their number under -1."""
-        finder, n = TermFinder(where), np.zeros(len(where) + 1, np.int64)
+        n = np.zeros(len(terms) + 1, np.int64)
         for b in batches:
             n[-1] += b.num_rows
-            for t in b.column(0):
-                n[list(set(finder.each(t.as_py())))] += 1
+            n[:-1] += np.bincount(b.column(0).flatten().to_numpy(), minlength=len(terms))
         at = np.nonzero(n)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.where(at == len(where), -1, at)), pa.array(n[at])], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(at == len(terms), -1, at)), pa.array(n[at])], ["term", "n"])
+
+    where = {t: i for i, t in enumerate(terms)}
 
     def numbered(batches):
         for b in batches:
-            found = [x.as_py() for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[where[t] for t, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[c for _, c in x] for x in found], pa.list_(pa.int32()))], ["id", "label", "terms", "times"])
+            found = [x.as_py() for x in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([[where[t] for t, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[c for _, c in x] for x in found], pa.list_(pa.int32()))], ["id", "n", "toxic", "terms", "times"])
 
-    got = examples.mapInArrow(numbered, f"id {kind}, label int, terms array<int>, times array<int>").toArrow().combine_chunks()
+    kind = examples.schema["id"].dataType.simpleString()
+    got = examples.mapInArrow(numbered, f"id {kind}, n long, toxic long, terms array<int>, times array<int>").toArrow().combine_chunks()
     arrays = lambda name: [x.values.to_numpy() for x in got.column(name)]
-    rows = list(zip(got.column("id").to_pylist(), got.column("label").to_pylist(), zip(arrays("terms"), arrays("times"), strict=True), strict=True))
+    rows = list(zip(*(got.column(c).to_pylist() for c in ("id", "n", "toxic")), zip(arrays("terms"), arrays("times"), strict=True), strict=True))
     idf = np.zeros(0)
     if terms:
-        held = docs.select(text_col).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        held = counts.select("_terms").mapInArrow(total, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
         number, n = (held.column(i).to_numpy() for i in (0, 1))
         n = n[np.argsort(number)]  # all documents first, then each term's
         df, toxic = np.zeros(len(terms)), np.zeros(len(terms))
-        for _, label, (found, _) in rows:
+        for _, votes, bad, (found, _) in rows:
             df[found] += 1
-            toxic[found] += label
-        idf = np.log(1 + n[0] / n[1:]) * association(toxic, df, sum(label for _, label, _ in rows) / len(rows))
-    return build_index(rows, terms, idf, **options)
+            toxic[found] += bad / votes
+        idf = np.log(1 + n[0] / n[1:]) * association(toxic, df, sum(bad / votes for _, votes, bad, _ in rows) / len(rows))
+    return build_index(rows, terms, idf, id_kind=kind, **options)
 
 
-def score_toxicity(docs: DataFrame, index: ExampleIndex, *, id_col: str = "doc_id", text_col: str = "text", also: tuple[Column, ...] = (), evidence: int = 3) -> DataFrame:
-    """One row per document: id, the columns of ``also``, score, predicted, evidence (example id, similarity, votes)."""
-    rows = docs.select(F.col(id_col), *also, F.col(text_col).alias("_text"))
-    kept = rows.schema[:-1]
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "score double, predicted int, evidence array<struct<example:bigint,similarity:double,votes:bigint,toxic:bigint>>"])
-    kind = pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("votes", pa.int64()), ("toxic", pa.int64())]))
+def score_counts(counts: DataFrame, index: ExampleIndex, evidence: int = 3) -> DataFrame:
+    """The other columns of ``counts``, score, predicted, evidence (example id, similarity, votes)."""
+    kept = [f for f in counts.schema if f.name not in ("_terms", "_times")]
+    example = index.id_kind
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"score double, predicted int, evidence array<struct<example:{example},similarity:double,votes:bigint,toxic:bigint>>"])
 
     def run(batches):
-        finder = TermFinder(index.where)
+        names = pa.array(index.ids, _ARROW.get(example))
+        kind = pa.list_(pa.struct([("example", names.type), ("similarity", pa.float64()), ("votes", pa.int64()), ("toxic", pa.int64())]))
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                score, sims, where = index.score([finder.count(t) for t in part.column(len(kept)).to_pylist()])
-                seen = [[{"example": int(index.ids[w]), "similarity": float(s), "votes": int(index.n[w]), "toxic": int(index.toxic[w])} for s, w in zip(x, y, strict=True) if w >= 0] for x, y in zip(sims[:, :evidence], where[:, :evidence], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), pa.array(seen, kind)], [f.name for f in kept] + ["score", "predicted", "evidence"])
+                terms, times = (part.column(len(kept) + j).flatten().to_numpy() for j in (0, 1))
+                sizes = pa.compute.list_value_length(part.column(len(kept))).to_numpy()
+                score, sims, where = index.score(Rows(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), terms.astype(np.int64), times.astype(float)))
+                seen = [[{"example": index.ids[w], "similarity": float(s), "votes": int(index.n[w]), "toxic": int(index.toxic[w])} for s, w in zip(x, y, strict=True) if w >= 0] for x, y in zip(sims[:, :evidence], where[:, :evidence], strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), pa.array(seen, kind)], [f.name for f in kept] + ["score", "predicted", "evidence"])
+
+    return counts.select(*[f"`{f.name}`" for f in kept], "_terms", "_times").mapInArrow(run, schema)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 8000, **options) -> ExampleIndex:
+    """An index over a sample of the ids of ``labels`` (id, label). The driver gets the words of about ``sample`` texts at most, with their counts."""
+    examples, terms = labelled_examples(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample)
+    return index_of(examples, terms, term_counts(docs, terms, text_col=text_col), **options)
+
+
+def score_toxicity(docs: DataFrame, index: ExampleIndex, *, id_col: str = "doc_id", text_col: str = "text", also: tuple[Column, ...] = (), evidence: int = 3) -> DataFrame:
+    """One row per document: id, the columns of ``also``, score, predicted, evidence (example id, similarity, votes)."""
+    return score_counts(term_counts(docs, index.terms, text_col=text_col, also=(F.col(id_col), *also)), index, evidence)
+
 
-    return rows.mapInArrow(run, schema)
+def fit_and_score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 8000, also: tuple[Column, ...] = (), evidence: int = 3, **options) -> DataFrame:
+    """``score_toxicity`` of the documents that ``fit`` learns from; their words are counted once and written."""
+    examples, terms = labelled_examples(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample)
+    counts = saved(term_counts(docs, terms, text_col=text_col, also=(F.col(id_col), *also)))
+    return score_counts(counts, index_of(examples, terms, counts, **options), evidence)
