@@ -21,14 +21,14 @@ from mediaprism.llm.decontamination import decontamination_report
 from mediaprism.llm.line_dedup import dedup_lines
 from mediaprism.llm.packing import pack
 from mediaprism.llm.simhash import one_of_each_group
-from mediaprism.llm.toxicity import fit, score_toxicity
+from mediaprism.llm.toxicity import fit_and_score
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go."""
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
     rest = [c for c in docs.columns if c != "doc_id"]  # under other names on the way, as theirs may be any
-    scored = score_toxicity(docs, fit(docs, labels), also=tuple(F.col(c).alias(f"_{i}") for i, c in enumerate(rest)))
+    scored = fit_and_score(docs, labels, also=tuple(F.col(c).alias(f"_{i}") for i, c in enumerate(rest)))
     return scored.where("predicted = 0").select("doc_id", *[F.col(f"_{i}").alias(c) for i, c in enumerate(rest)]).select(*docs.columns)
 
 
