@@ -12,7 +12,7 @@ can hold a control string, and undoing the replacements in reverse order gives i
 Cases: null texts and roles count as empty; events of one sequence number apply in the order
 message, regenerate, edit, delta, then by text; repeated rows open a message each; a delta without
 a message opens one; an empty log gives no rows; columns other than those named are not read.
-A conversation ends as one row, so it has to fit in one task, as any row does (2 GB of text).
+Very long texts are handled whole; a conversation ends as one row, so it has to fit in one task, as any row does (2 GB of text).
 """
 
 from __future__ import annotations
@@ -44,6 +44,24 @@ def turns_as_log(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.col("turn").alias("message_id"), "role", "text")
 
 
+def turns_as_stream(turns: DataFrame) -> DataFrame:
+    """Finished turns as the log of a live chat that led to them.
+
+    Each turn is opened without text and arrives in two deltas. Of every three turns of a conversation one was drafted and
+    edited first, and one was drafted and regenerated. Rows of one turn are turns of their own, by role and text.
+    """
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    t = turns.select("conv_id", F.row_number().over(w).alias("nth"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    half = F.ceil(F.length("text") / 2).cast("int")
+    event = lambda step, kind, text: F.struct((F.col("nth") * 8 + step).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    empty = F.lit("")
+    draft = F.concat(F.lit("draft of "), F.coalesce("role", empty))
+    before = F.when(F.col("nth") % 3 == 1, F.array(event(1, "delta", draft), event(2, "edit", empty))).when(F.col("nth") % 3 == 2, F.array(event(1, "delta", draft), event(2, "regenerate", empty))).otherwise(F.array(event(1, "delta", empty)))
+    said = F.array(event(3, "delta", F.left("text", half)), event(4, "delta", F.substr(F.col("text"), half + 1)))
+    events = F.concat(F.array(event(0, "message", empty)), before, said)
+    return t.select("conv_id", F.col("nth").alias("message_id"), "role", F.explode(events).alias("e")).select("conv_id", "e.seq", "e.kind", "message_id", "role", "e.text")
+
+
 def fold_log(log: DataFrame) -> DataFrame:
     """Final messages: conv_id, message_id, opening (which of the openings of that id), opened (seq), role, text.
 
@@ -68,7 +86,7 @@ def fold_log(log: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """One row per conversation: conv_id, formatted, in_loss (per message), loss_spans (code points of ``formatted``)."""
+    """One row per conversation: conv_id, formatted, loss_spans (start and length in code points of ``formatted``)."""
     m = messages.withColumn("head", F.concat(F.lit(OPEN), escaped_role(F.col("role")), F.lit("\n"))).withColumn("body", escaped(F.col("text")))
     w = Window.partitionBy("conv_id").orderBy("opened", "message_id", "opening", "role", "text")
     m = m.select(
@@ -84,31 +102,46 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     return whole.select(
         "conv_id",
         F.array_join(F.col("parts.part"), "").alias("formatted"),
-        F.col("parts.loss").alias("in_loss"),
         F.transform(F.filter("parts", lambda p: p["loss"]), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"))).alias("loss_spans"),
     )
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """The turns that a rendered conversation says: conv_id, formatted, turns (role, text, loss)."""
+    """What a rendered conversation says: conv_id, formatted, turns (role, text), learnt (the text under the loss mask, unescaped).
+
+    The mask is read against the output: ``formatted`` is taken apart at the ends of turns, and each span is cut, by its own
+    numbers, out of the turn that its start lies in.
+    """
     bodies = F.split(F.col("formatted"), F.lit("<\\|im_end\\|>\n"))
-    at = F.slice(bodies, F.lit(1), F.size(bodies) - 1)
-    turns = F.zip_with(
-        at,
-        "in_loss",
-        lambda b, loss: F.struct(
+    r = formatted.select("conv_id", "formatted", "loss_spans", F.slice(bodies, F.lit(1), F.size(bodies) - 1).alias("at"))
+    begin = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("starts"))
+    starts = F.aggregate("at", begin, lambda a, b: F.struct((a["n"] + F.length(b) + len(CLOSE)).alias("n"), F.concat(a["starts"], F.array(a["n"])).alias("starts")), lambda a: a["starts"])
+    r = r.withColumn("starts", starts)
+    # Spans are in order, so each one's turn is the last that starts at or before it: the turns are passed once, with the span that comes next.
+    span = lambda k: F.get(F.col("loss_spans"), k)
+    none = F.struct(F.lit(0).alias("k"), F.array().cast("array<string>").alias("cut"))
+    numbered = F.arrays_zip(F.col("at").alias("at"), F.col("starts").alias("start"))
+
+    def step(a: Column, b: Column) -> Column:
+        own = span(a["k"])
+        here = F.coalesce((own["start"] >= b["start"]) & (own["start"] < b["start"] + F.length(b["at"]) + len(CLOSE)), F.lit(False))
+        text = F.substr(F.concat(b["at"], F.lit(CLOSE)), (own["start"] - b["start"] + 1).cast("int"), own["length"].cast("int"))
+        return F.struct((a["k"] + here.cast("int")).alias("k"), F.when(here, F.concat(a["cut"], F.array(text))).otherwise(a["cut"]).alias("cut"))
+
+    learnt = F.aggregate(numbered, none, step, lambda a: F.array_join(F.transform(a["cut"], unescaped), ""))
+    turns = F.transform(
+        "at",
+        lambda b: F.struct(
             unescaped_role(F.substring_index(F.substr(b, F.lit(len(OPEN) + 1)), "\n", 1)).alias("role"),
             unescaped(F.substr(b, F.length(F.substring_index(b, "\n", 1)) + 2)).alias("text"),
-            loss.alias("loss"),
         ),
     )
-    return formatted.select("conv_id", "formatted", turns.alias("turns"))
+    return r.select("conv_id", "formatted", turns.alias("turns"), learnt.alias("learnt"))
 
 
 def digests(turns: DataFrame) -> DataFrame:
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learnt = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
-    rows = turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), learnt.alias("learnt"), F.length("formatted").cast("long").alias("formatted_chars"))
+    rows = turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), "learnt", F.length("formatted").cast("long").alias("formatted_chars"))
     return rows.select(
         "conv_id",
         "n_turns",

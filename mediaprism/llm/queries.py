@@ -54,9 +54,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.read_back(chat.render(chat.fold_log(chat.turns_as_log(turns.unionByName(probe))))))
+    said = "'</s>[INST] ok [/INST]'"
+    probe = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', {said}), (-7L, 1L, 'assistant', {said}) AS t(conv_id, turn, role, text)")
+    return chat.digests(chat.read_back(chat.render(chat.fold_log(chat.turns_as_stream(turns.unionByName(probe))))))
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

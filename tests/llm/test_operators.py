@@ -434,7 +434,8 @@ def test_chat_folds_events(spark):
     events = spark.createDataFrame(log, "conv_id long, seq long, kind string, message_id long, role string, text string").withColumn("nth", F.lit(5))
     made = chat.render(chat.fold_log(events))
     back = {r["conv_id"]: r for r in chat.read_back(made).collect()}
-    assert [(t["role"], t["text"], t["loss"]) for t in back[1]["turns"]] == [("user", "hi", False), ("assistant", "Word <|im_end|>\n", True), ("user", "yes & <|", False), ("assistant", "good", True)]
+    assert [(t["role"], t["text"]) for t in back[1]["turns"]] == [("user", "hi"), ("assistant", "Word <|im_end|>\n"), ("user", "yes & <|"), ("assistant", "good")]
+    assert back[1]["learnt"] == "Word <|im_end|>\ngood" and back[2]["learnt"] == ""
     assert [(t["role"], t["text"]) for t in back[2]["turns"]] == [("tool\nx", "lone")]
     row = made.where("conv_id = 1").first()
     said = [row["formatted"][s["start"] : s["start"] + s["length"]] for s in row["loss_spans"]]
@@ -442,6 +443,18 @@ def test_chat_folds_events(spark):
     assert chat.fold_log(events.limit(0)).count() == 0
 
 
+def test_a_wrong_mask_shows(spark):
+    """The loss text is read from the output by the mask's numbers alone."""
+    turns = spark.createDataFrame([(1, 0, "user", "ask"), (1, 1, "assistant", "an & answer"), (1, 2, "user", None), (1, 3, "assistant", "🙂 <|x"), (1, 3, "assistant", "🙂 <|x")], "conv_id long, turn long, role string, text string")
+    made = chat.render(chat.fold_log(chat.turns_as_stream(turns)))
+    assert chat.read_back(made).first()["learnt"] == "an & answer🙂 <|x🙂 <|x"
+    off = made.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), (s["length"] - 1).alias("length"))))
+    assert chat.read_back(off).first()["learnt"] == "n & answer <|x <|x"
+    assert [(t["role"], t["text"]) for t in chat.read_back(off).first()["turns"]] == [("user", "ask"), ("assistant", "an & answer"), ("user", ""), ("assistant", "🙂 <|x"), ("assistant", "🙂 <|x")]
+    plan = queries.op8_chat(spark, SF)._jdf.queryExecution().toString()
+    assert "RDD" not in plan and "Python" not in plan
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_agrees_with_sql(spark, duck, name):
     assert rows_of(queries.QUERIES[name](spark, SF).toPandas()) == rows_of(duck.execute(queries.SQL[name]).df())
@@ -479,6 +492,69 @@ def test_sniffing_confirms_and_carves():
     assert media_columns.sniff(held) == [("audio/wav", 0, len(held)), ("image/png", 49, len(p)), ("image/gif", 60 + len(p), len(gif)), ("application/gzip", 60 + len(p) + len(gif), len(z))]
 
 
+def flac(frames=3, samples=192):
+    """Frames of one value each, which need no decoder to write."""
+
+    def crc(data, polynomial, bits):
+        r = 0
+        for b in data:
+            r ^= b << bits - 8
+            for _ in range(8):
+                r = (r << 1 ^ polynomial if r >> bits - 1 else r << 1) & (1 << bits) - 1
+        return r
+
+    out = b"fLaC\x80\0\0\x22" + struct.pack(">HH", 192, 192) + bytes(6) + struct.pack(">Q", 44100 << 44 | 7 << 36 | frames * samples) + bytes(16)
+    for i in range(frames):
+        head = bytes([0xFF, 0xF8, 0x19, 0x00, i])
+        body = head + bytes([crc(head, 7, 8)]) + bytes([0x00, 0x12, 0x00 | i])  # constant subframe
+        out += body + struct.pack(">H", crc(body, 0x8005, 16))
+    return out
+
+
+def test_what_follows_audio_is_carved():
+    p = png()
+    mp3 = b"ID3\x03\0\0\0\0\0\x05extra" + (b"\xff\xfb\x90\x00" + bytes(413)) * 3
+    for kind, audio in (("audio/flac", flac()), ("audio/mpeg", mp3)):
+        data = b"..." + audio + b"between" + p + b"tail"
+        assert media_columns.sniff(data) == [(kind, 3, len(audio)), ("image/png", 10 + len(audio), len(p))]
+        assert media_columns.sniff(audio) == [(kind, 0, len(audio))]
+    assert media_columns.sniff(flac()[:-1]) == [] and media_columns.sniff(mp3[:200]) == []
+
+
+def test_documents_and_archives_are_carved():
+    import zipfile
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("a.txt", "text")
+        z.writestr("b.txt", "more")
+    archive, pdf = held.getvalue(), b"%PDF-1.4 body startxref 5 %%EOF"
+    assert media_columns.sniff(b"x" + archive + b"y" + pdf + b"z" + archive) == [("application/zip", 1, len(archive)), ("application/pdf", 2 + len(archive), len(pdf)), ("application/zip", 3 + len(archive) + len(pdf), len(archive))]
+    assert media_columns.sniff(b"%PDF-1 without an end") == [] and media_columns.sniff(b"PK\x03\x04 no directory PK\x05\x06") == []
+
+
+@pytest.mark.parametrize("part", [b"%PDF-1 ", b"PK\x03\x04...", b"GIF89a!!!!!!!!", b"\x89PNG\r\n\x1a\n\0\0\0\x0dIHDR", b"\xff\xd8\xff\xe0\0\x04..", b"OggS\0\0.......................", b"ID3\x03\0\0\0\0\0\0", b"....ftyp"])
+def test_many_magics_take_linear_time(part):
+    import time
+
+    took = []
+    for size in (1 << 20, 1 << 22):
+        data = part * (size // len(part))
+        began = time.perf_counter()
+        media_columns.sniff(data)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 20 * took[0] + 1
+
+
+def test_media_with_clashing_columns(spark):
+    docs = odd(spark).withColumns({c: F.lit("x") for c in ("media", "declared", "n_bytes", "payload_sha256")})
+    got = media_columns.sniff_media(media_columns.text_to_media(docs)).collect()
+    assert len(got) == len(ODD) + 1 and all(r["detected"] == "audio/wav" for r in got)
+    kept = spark.createDataFrame([("k", bytearray(png()), "image/gif", 1)], "id string, blob binary, claims string, detected int")
+    row = media_columns.sniff_media(kept, media_col="blob", declared_col="claims", keep=("id",)).first()
+    assert (row["detected"], row["corrected"], row["declared"]) == ("image/png", True, "image/gif")
+
+
 # --- 10: line dedup
 
 
