@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
     """Of links (a, b) between comparable ids: each linked id (node) and the smallest id it reaches (component).
 
     Each round is written to the shared folder; rounds grow with the logarithm of the longest
-    chain. Links to oneself are ignored; without links the result is empty.
+    chain. Links to oneself are ignored, repeated links count once, links with a null at either end link nothing; ties do not
+arise, as a component is named by its smallest id; without links the result is empty.
     """
     e = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None

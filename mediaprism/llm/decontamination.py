@@ -7,9 +7,9 @@ items meet on fingerprints; each meeting is extended word by word both ways, as
 around it can reach. A run of at least ``window`` words counts as a hit. An item shorter than that has
 to occur whole; its own length gives its fingerprint.
 
-A benchmark whose fingerprints are known to be few is broadcast, and texts never leave their task.
-Beyond ``broadcast_rows`` both sides are shuffled by fingerprint, and only documents that met an item
-are brought together with their words again.
+A benchmark whose fingerprints are known to be few, in rows and in bytes, is broadcast, and texts never leave
+their task. Beyond ``broadcast_rows`` or ``broadcast_bytes`` both sides are shuffled by fingerprint, only documents that
+met an item are brought together with their words again, and all others keep their place by a join on their hits.
 
 Cases: a null text or item, or one without words, has none and hits nothing; repeated documents
 give repeated rows, repeated items count once by id; an empty benchmark leaves every document
@@ -23,6 +23,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediaprism.llm.common import saved, text_key
+
 #: Words a fingerprint spans.
 K = 5
 _POSITION_BITS = 30
@@ -34,7 +36,9 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    lower = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    text = F.coalesce(text, F.lit(""))
+    # Lower-casing all of a text is the same where it is ASCII only, and far cheaper.
+    lower = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
     return F.array_remove(F.split(lower, SEPARATORS), "")
 
 
@@ -87,28 +91,41 @@ def item_fingerprints(items: DataFrame, window: int, item_col: str, text_col: st
     return long.unionByName(short).distinct()
 
 
-def find_hits(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
+def find_hits(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = 200_000, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """One row per document: id, n_words, spans (start, length of the runs found), items (those that occur)."""
-    marks = item_fingerprints(items, window, item_col, item_text_col)
-    sizes = {r["whole"]: r["n"] for r in marks.groupBy("whole").agg(F.count("*").alias("n")).collect()}  # window rows at most
-    every = marks.sparkSession.range(1).select(F.lit(_EVERY).alias("fp"), F.lit(0).alias("k"), F.lit(None).cast(marks.schema["item"].dataType).alias("item"), F.lit(None).cast("int").alias("whole"), F.array().cast("array<string>").alias("context"), F.lit(0).alias("at"))
-    marks = marks.unionByName(every)
-
-    # Each document has a fingerprint at least, and an outer explode spares Spark a filter that computes them twice.
+    marks = saved(item_fingerprints(items, window, item_col, item_text_col))
+    heavy = F.aggregate("context", F.lit(0).cast("long"), lambda a, w: a + F.octet_length(w) + 40)
+    sizes = marks.groupBy("whole").agg(F.count("*").alias("n"), F.sum(heavy + 100).alias("bytes")).collect()  # window rows at most
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("version"), words_of(text).alias("words"))
-    found = [F.array(F.struct(F.lit(0).alias("k"), F.lit(_EVERY).alias("fp"), F.lit(0).alias("p")))]
-    found.append(F.transform(_winnowed(F.col("words"), window), _as_fingerprint(K)))
-    found += [F.transform(_grams(F.col("words"), k), _as_fingerprint(k)) for k in sorted(k for k in sizes if k)]
-    rows = rows.select("id", "version", "words", F.concat(*found).alias("found"))
-
-    if sum(sizes.values()) <= broadcast_rows:
-        met = rows.select("id", "version", "words", F.explode_outer("found").alias("f")).select("id", "version", "words", "f.k", "f.fp", "f.p").join(F.broadcast(marks), ["k", "fp"])
+    rows = docs.select(F.col(id_col).alias("id"), text_key(text).alias("version"), words_of(text).alias("words"))
+    found = [F.transform(_winnowed(F.col("words"), window), _as_fingerprint(K))]
+    found += [F.transform(_grams(F.col("words"), k), _as_fingerprint(k)) for k in sorted(r["whole"] for r in sizes if r["whole"])]
+
+    if sum(r["n"] for r in sizes) <= broadcast_rows and sum(r["bytes"] for r in sizes) <= broadcast_bytes:
+        # A row meets the marks where it is. One more fingerprint, met by one more mark, stands for each document, and
+        # an outer explode spares Spark a filter that computes them twice.
+        every = marks.sparkSession.range(1).select(F.lit(_EVERY).alias("fp"), F.lit(0).alias("k"), F.lit(None).cast(marks.schema["item"].dataType).alias("item"), F.lit(None).cast("int").alias("whole"), F.array().cast("array<string>").alias("context"), F.lit(0).alias("at"))
+        found = F.concat(F.array(F.struct(F.lit(0).alias("k"), F.lit(_EVERY).alias("fp"), F.lit(0).alias("p"))), *found)
+        met = rows.select("id", "version", "words", F.explode_outer(found).alias("f")).select("id", "version", "words", "f.k", "f.fp", "f.p").join(F.broadcast(marks.unionByName(every)), ["k", "fp"])
+        per = _spans_of(met, window).groupBy("id", "version", "n_words").agg(F.sum("rows").cast("int").alias("rows"), F.collect_set("item").alias("items"), F.collect_set("span").alias("spans"))
+        out = per.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("rows"))))
     else:
-        met = rows.select("id", "version", F.size("words").alias("n"), F.explode_outer("found").alias("f")).select("id", "version", "f.k", "f.fp", "f.p").join(marks, ["k", "fp"])
-        # Documents that met an item get their words again; the row that stands for each document needs none but for its number.
-        met = met.join(rows.select("id", "version", "words").dropDuplicates(["id", "version"]).withColumnsRenamed({"id": "_id", "version": "_version"}), F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))).drop("_id", "_version")
-
+        # Only fingerprints travel. Documents that meet an item get their words again, and all others none.
+        prints = rows.select("id", "version", F.explode(F.concat(*found)).alias("f")).select("id", "version", "f.k", "f.fp", "f.p")
+        met = saved(prints.join(marks, ["k", "fp"]))
+        which = met.select("id", "version").distinct().withColumnsRenamed({"id": "_id", "version": "_version"})
+        same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
+        texts = docs.select(F.col(id_col).alias("id"), text_key(text).alias("version"), text.alias("text")).join(which, same, "left_semi").dropDuplicates(["id", "version"])
+        texts = texts.select(F.col("id").alias("_id"), F.col("version").alias("_version"), words_of(F.col("text")).alias("words"))
+        hits = _spans_of(met.join(texts, same).drop("_id", "_version"), window).where("span IS NOT NULL")
+        per = hits.groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_set("item").alias("items"), F.collect_set("span").alias("spans"))
+        counted = docs.select(F.col(id_col).alias("id"), text_key(text).alias("version"), F.size(words_of(text)).alias("n_words"))
+        out = counted.join(per, same, "left").withColumns({"items": F.coalesce("items", F.array().cast(f"array<{marks.schema['item'].dataType.simpleString()}>")), "spans": F.coalesce("spans", F.array().cast("array<struct<start:int,length:int>>"))})
+    return out.select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), F.sort_array("spans").alias("spans"), "items")
+
+
+def _spans_of(met: DataFrame, window: int) -> DataFrame:
+    """Of meetings (words, p, context, at, item, whole) the run that each extends to, where it is long enough: id, version, n_words, item, span; rows says which stands for a document."""
     # Equality along the meeting's diagonal, in the context's places.
     p, at, n = F.col("p"), F.col("at"), F.size("words")
     lo = F.greatest(F.lit(0), at - p)
@@ -129,9 +146,7 @@ def find_hits(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col: st
     )
     length = F.col("after") + F.col("ahead")
     hit = ~F.col("marker") & (length >= F.coalesce("whole", F.lit(window)))
-    met = met.select("id", "version", "n_words", F.when(hit, F.col("item")).alias("item"), F.when(hit, F.struct((F.col("p") - F.col("ahead")).alias("start"), length.alias("length"))).alias("span"), F.when(F.col("marker"), 1).otherwise(0).alias("rows"))
-    per = met.groupBy("id", "version", "n_words").agg(F.sum("rows").cast("int").alias("rows"), F.collect_set("item").alias("items"), F.collect_set("span").alias("spans"))
-    return per.select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), F.sort_array("spans").alias("spans"), "items", F.explode(F.array_repeat(F.lit(0), F.col("rows"))).alias("_")).drop("_")
+    return met.select("id", "version", "n_words", F.when(hit, F.col("item")).alias("item"), F.when(hit, F.struct((F.col("p") - F.col("ahead")).alias("start"), length.alias("length"))).alias("span"), F.when(F.col("marker"), 1).otherwise(0).alias("rows"))
 
 
 def covered(spans: Column) -> Column:

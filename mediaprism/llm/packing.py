@@ -11,7 +11,8 @@ decreasing in class units. On the executors the pieces of each class are ranked,
 of the patterns give each piece its sequence.
 
 Cases: a null or empty text is one piece with the end id alone; an empty table gives no rows;
-repeated rows are packed each on its own; long texts give many full pieces; other columns are
+repeated rows are packed each on its own; long texts give many full pieces; pieces of equal length tie and are ranked by
+the task that read them and their order in it, which is written once and so decided; other columns are
 neither read nor returned, so their names cannot clash.
 """
 

@@ -11,7 +11,8 @@ a third of all rows is ranked in many tasks. Only the counts per arc (shards x v
 rows) reach the driver, where the overflow is carried round the ring.
 
 Cases: a null text counts 0 bytes plus the overhead and has checksum 0; repeated rows are rows of
-their own; fewer rows than shards leave shards empty; an empty table gives no rows; columns of
+their own; texts count whole, however long; rows that tie on an arc are ranked by salt, id, checksum and size, and what
+still ties is alike; fewer rows than shards leave shards empty; an empty table gives no rows; columns of
 the input other than id and text are neither read nor returned, so their names cannot clash.
 """
 

@@ -2,7 +2,7 @@
 
 Cases: a null or empty text has 0 bytes and 0 tokens; special strings inside a text are one token
 each (the library's default); repeated rows give repeated rows; an empty table gives none; other
-columns of the input are neither read nor returned. Very long runs cost O(n log n) by the heap.
+columns of the input are neither read nor returned; of pairs of one rank the leftmost merges first; very long runs cost O(n log n) by the heap.
 """
 
 from __future__ import annotations

@@ -151,6 +151,30 @@ def test_sharding_is_balanced_and_moves_only_overflow(spark):
     assert sharding.assign_shards(odd(spark), 40).count() == len(ODD) + 1
 
 
+def test_the_ring_walked_row_by_row(spark):
+    """Rows one after another, in the order of their arcs and ranks, each to the first virtual node at or after its place whose shard has room."""
+    shards, nodes = 6, 8
+    rows = [(i, "hot" if i % 3 == 0 else f"t{i % 400}") for i in range(900)] + [(None, "no id"), (7, None), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.assign_shards(docs, shards, virtual_nodes=nodes).collect()
+    places, owners = sharding.ring(shards, nodes)
+    placed = {r["text"]: r["place"] for r in docs.select("text", F.pmod(F.xxhash64("text"), F.lit(sharding.PLACES)).alias("place")).distinct().collect()}
+    room = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    arcs = {t: next((n for n in range(len(places)) if places[n] >= p), 0) for t, p in placed.items()}
+    want = Counter()
+    for text in sorted((t for _, t in rows), key=lambda t: arcs[t]):
+        node = arcs[text]
+        while not room[owners[node % len(owners)]]:
+            node += 1
+        room[owners[node % len(owners)]] -= 1
+        want[arcs[text], owners[node % len(owners)]] += 1
+    crc = {zlib.crc32((t or "").encode()): arcs[t] for t in placed}
+    assert Counter((crc[r["text_crc32"]], r["shard"]) for r in got) == want
+    assert all(r["home_shard"] == owners[crc[r["text_crc32"]]] for r in got) and sum(r["shard"] != r["home_shard"] for r in got) < len(rows) / 2
+    long = spark.createDataFrame([(1, "x" * 3_000_000), (2, "x" * 3_000_000)], "doc_id long, text string")
+    assert [r["size"] for r in sharding.assign_shards(long, 2).collect()] == [3_000_016] * 2
+
+
 def test_overflow_goes_clockwise():
     parts = sharding.carry_overflow({0: 5, 1: 1}, [0, 1, 2], 3)
     assert parts == [(0, 0, 2, 0, 0), (0, 2, 4, 1, 0), (0, 4, 5, 2, 0), (1, 0, 1, 2, 1)]
@@ -167,6 +191,53 @@ def test_language_on_held_out_rows(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in out) / len(out) > 0.9
 
 
+def brute_ngrams(text):
+    """Counts of 1 to 3 letters of words padded with a blank, which counts in no n-gram of its own."""
+    flat = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    flat = re.sub(" +", " ", flat)
+    n = Counter(c for c in flat if c != " ")
+    n.update(flat[i : i + 2] for i in range(len(flat) - 1))
+    n.update(flat[i : i + 3] for i in range(len(flat) - 2) if flat[i + 1] != " ")
+    return n
+
+
+def coded(gram):
+    """An n-gram as the number the module uses for it: blanks are 1, letters follow their code points."""
+    value = 0
+    for c in gram:
+        value = value << 21 | (1 if c == " " else ord(c) + 1)
+    return value
+
+
+def test_distances_by_definition(spark):
+    """Profiles and predictions against out-of-place distances computed one by one, on the whole of the smallest table."""
+    rows = [(r["doc_id"], r["lang"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text").collect()]
+    rows = [(i, lang, t[:1500]) for i, lang, t in rows if t][:60] + [(1000, "aa", "ab ab ab"), (1001, "bb", "ba ba ba"), (1002, "aa", None), (1003, None, "zz")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, lang string, text string, score string, gram int")
+    p = language.fit_profiles(docs, length=50)
+    counts = {}
+    for _, lang, text in rows:
+        if lang and text:
+            counts.setdefault(lang, Counter()).update(brute_ngrams(text))
+    ranked = {lang: [g for g, _ in sorted(((coded(g), n) for g, n in c.items()), key=lambda x: (-x[1], x[0]))[:50]] for lang, c in counts.items()}
+    assert p.languages == sorted(ranked)
+    for r in language.identify(docs, p).collect():
+        text = next(t for i, _, t in rows if i == r["doc_id"])
+        if not text or not any(c.isalpha() for c in text):
+            assert r["lang_pred"] == "und"
+            continue
+        own = [g for g, _ in sorted(((coded(g), n) for g, n in brute_ngrams(text).items()), key=lambda x: (-x[1], x[0]))[:50]]
+        far = {lang: sum(abs(k - x.index(g)) if g in x else 50 for k, g in enumerate(own)) for lang, x in ranked.items()}
+        close = {lang: 1 - d / (50 * len(own)) for lang, d in far.items()}
+        best = min(sorted(far), key=far.get)
+        assert r["lang_pred"] == best and abs(r["score"] - (close[best] / sum(close.values()) if sum(close.values()) else 0)) < 1e-9
+
+
+def test_language_of_a_very_long_text(spark):
+    p = language.Profiles({"x": [coded("a"), coded("ab")], "y": [coded("b")]}, 5)
+    assert p.predict("ab " * 1_000_000)[0] == "x"
+
+
 def test_language_of_odd_rows(spark):
     p = language.Profiles({"x": [1, 2], "y": [2, 1]}, 5)
     got = [r["lang_pred"] for r in language.identify(odd(spark), p).orderBy("doc_id").collect()]
@@ -326,13 +397,13 @@ def brute_hits(docs, items):
         yield d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
-def test_decontamination(spark, broadcast_rows):
+@pytest.mark.parametrize("limits", [{}, {"broadcast_rows": 0}, {"broadcast_bytes": 1000}])
+def test_decontamination(spark, limits):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     items += [(900, "The"), (901, "that it"), (902, None), (903, "..."), (905, "That it"), (906, "a b c d e"), (906, "a b c d e"), (907, "la " * 40)]
     docs = texts_of(spark) + [(-1, None), (-1, None), (-2, ""), (-3, "that IT."), (-3, "that IT."), (-4, "x a b c d e y"), (-5, "la " * 300), (-6, items[0][1] + " and " + items[1][1])]
     d, i = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"words": F.lit(1), "item": F.lit(2)}), spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.decontamination_report(d, i, broadcast_rows=broadcast_rows).collect()
+    got = decontamination.decontamination_report(d, i, **limits).collect()
     assert sorted(map(tuple, got), key=str) == sorted(brute_hits(docs, items), key=str)
 
 
@@ -345,9 +416,21 @@ def test_an_item_without_an_id_hits(spark, broadcast_rows):
     assert got == {1: (20, 0, True), 2: (3, 0, True), 3: (3, 1, True), 4: (0, 0, False)}
 
 
+def test_clean_documents_do_not_travel(spark):
+    """On the shuffle path no words are brought to documents that met nothing: their texts are dropped by a semi-join before they are split."""
+    docs = spark.createDataFrame([(i, f"clean text number {i} " + "of no item " * 9) for i in range(50)] + [(99, " ".join(f"w{i}" for i in range(30)))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(5, 25)))], "item_id long, text string")
+    hits = decontamination.find_hits(docs, items, broadcast_rows=0)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and str(decontamination._EVERY) not in plan
+    got = {r["doc_id"]: r["spans"] for r in hits.collect()}
+    assert len(got) == 51 and {p for s in got[99] for p in range(s["start"], s["start"] + s["length"])} == set(range(5, 25)) and not any(got[i] for i in range(50))
+
+
 def test_decontamination_without_rows(spark):
     d, i = odd(spark), spark.createDataFrame([], "item_id long, text string")
     assert {r["contaminated"] for r in decontamination.decontamination_report(d, i).collect()} == {False}
+    assert decontamination.decontamination_report(d, i, broadcast_rows=-1).count() == len(ODD) + 1
     assert decontamination.decontamination_report(none(spark), i).count() == 0
 
 
