@@ -18,6 +18,9 @@ class Relations:
     all_renditions: DataFrame
     parts: DataFrame | None = None
     splices: DataFrame | None = None
+    breaks: DataFrame | None = None
+    cues: DataFrame | None = None
+    probes: DataFrame | None = None
     observations: DataFrame | None = None
     options: Options = field(default_factory=Options)
 
@@ -53,6 +56,11 @@ def unwrapped(difference: Column) -> Column:
     return F.when(difference > half, difference - turn).when(difference < -half, difference + turn).otherwise(difference)
 
 
+def since_first(pts: Column, first: Column) -> Column:
+    """A clock from a rendition's first one on, so that it does not turn over inside what is looked at."""
+    return unwrapped(pts - first)
+
+
 def upper_median(value: Column) -> Column:
     """The upper middle element; never interpolated. Nulls do not count."""
     v = F.sort_array(F.collect_list(value))

@@ -112,12 +112,15 @@ def framerate(rel: Relations) -> DataFrame:
 
 def audio(rel: Relations) -> DataFrame:
     s = rel.of(rel.parsed.where("kind = 'audio' AND (sample_rate IS NOT NULL OR channels IS NOT NULL)"), "sample_rate", "channels", "codecs", with_init=True)
-    g = s.groupBy("rendition", "r_sample_rate", "r_channels", "r_codecs").agg(F.count_distinct(F.struct("sample_rate", "channels", "codec")).alias("shapes"), first_by([F.col("sequence")], "sample_rate", "channels").alias("f"))
-    doubled = aac_object_type(F.col("r_codecs")).isin(5, 29) & (F.col("f.sample_rate") * 2 == F.col("r_sample_rate"))
-    rate = F.coalesce((F.col("r_sample_rate") != F.col("f.sample_rate")) & ~F.coalesce(doubled, F.lit(False)), F.lit(False))
-    channels = F.coalesce(F.col("r_channels") != F.col("f.channels"), F.lit(False))
-    rule = F.when(F.col("shapes") > 1, "varies").when(rate | channels, "differs").otherwise("agrees")
-    return finding(g, "audio", rule, label(), F.when((F.col("shapes") > 1) | rate | channels, "BAD").otherwise("OK"), F.col("shapes"))
+    g = s.groupBy("rendition", "r_sample_rate", "r_channels", "r_codecs").agg(F.count_distinct(F.struct("sample_rate", "channels", "codec")).alias("shapes"), first_by([F.col("sequence")], "sample_rate", "channels", "codec", "sbr", "ps").alias("f"))
+    # Measured band replication doubles the rate that plays, parametric stereo makes two channels of one.
+    doubled = F.coalesce(F.col("f.sbr") & (F.col("f.sample_rate") * 2 == F.col("r_sample_rate")), F.lit(False))
+    widened = F.coalesce(F.col("f.ps") & (F.col("f.channels") == 1) & (F.col("r_channels") == 2), F.lit(False))
+    codec = F.coalesce(declared_family(F.col("r_codecs"), F.lit("audio")) != F.col("f.codec"), F.lit(False))
+    rate = F.coalesce((F.col("r_sample_rate") != F.col("f.sample_rate")) & ~doubled, F.lit(False))
+    channels = F.coalesce((F.col("r_channels") != F.col("f.channels")) & ~widened, F.lit(False))
+    rule = F.when(F.col("shapes") > 1, "varies").when(codec | rate | channels, F.concat_ws("+", F.when(codec, "codec"), F.when(rate, "rate"), F.when(channels, "channels"))).otherwise("agrees")
+    return finding(g, "audio", rule, label(), F.when((F.col("shapes") > 1) | codec | rate | channels, "BAD").otherwise("OK"), F.col("shapes"))
 
 
 def captions(rel: Relations) -> DataFrame:
@@ -188,13 +191,13 @@ def cache(rel: Relations) -> DataFrame:
 
 
 def byterange(rel: Relations) -> DataFrame:
-    """One probe per host, the first segment fetched from it."""
-    s = rel.of(rel.segments.where("fetched"), "live")
-    g = s.groupBy("host").agg(F.min_by("digest", "ordinal").alias("probe"), F.max(F.col("kind") == "iframe").alias("needed"), F.max("r_live").alias("advertised"))
-    exact, failed = F.col("probe") % 3 == 0, F.col("probe") % 17 == 1
-    rule = F.when(exact, "partial").when(failed, "probe-failed").when(F.col("needed"), "needed").when(F.col("advertised"), "advertised").otherwise("unused")
-    status = F.when(exact, "OK").when(failed, "ERROR").when(F.col("needed"), "BAD").when(F.col("advertised"), "WARN").otherwise("OK")
-    return finding(g, "byterange", rule, F.col("host"), status)
+    """What each host answered to a request for its first bytes, against what its segments need and it advertises."""
+    s = rel.segments.where("fetched")
+    g = s.groupBy("host").agg(F.max("ranged").alias("needed"), F.max("accepts_ranges").alias("advertised")).join(rel.probes, "host")
+    exact = (F.col("status") == 206) & (F.col("got_bytes") == F.col("asked_bytes"))
+    rule = F.when(F.col("failed"), "probe-failed").when(exact, "partial").when(F.col("needed"), "needed").when(F.col("advertised"), "advertised").otherwise("unused")
+    status = F.when(F.col("failed"), "ERROR").when(exact, "OK").when(F.col("needed"), "BAD").when(F.col("advertised"), "WARN").otherwise("OK")
+    return finding(g, "byterange", rule, F.col("host"), status, F.col("got_bytes"))
 
 
 def codecstring(rel: Relations) -> DataFrame:
@@ -204,10 +207,16 @@ def codecstring(rel: Relations) -> DataFrame:
     below, above = (p < F.col("f.profile_idc")) | (lv < F.col("f.level_idc")), (p > F.col("f.profile_idc")) | (lv > F.col("f.level_idc"))
     rule = F.when(p.isNull(), "undecomposable").when(below, "understated").when(above, "overstated").otherwise("agrees")
     video = finding(g, "codecstring", rule, label(), F.when(below, "BAD").when(above, "WARN").otherwise("OK"), F.col("f.level_idc"))
-    a = rel.of(rel.parsed.where("kind = 'audio'"), "codecs").select("rendition", "r_codecs").distinct()
-    kind = aac_object_type(F.col("r_codecs"))
-    rule = F.when(kind.isNull(), "no-type").when(kind == 2, "agrees").when(kind.isin(5, 29), "he-over-lc").otherwise("differs")
-    return together(video, finding(a, "codecstring", rule, label(), F.when(kind.isNull() | kind.isin(2, 5, 29), "OK").otherwise("WARN"), kind))
+    a = rel.of(rel.parsed.where("kind = 'audio'"), "codecs").groupBy("rendition", "r_codecs").agg(F.min_by("codec", "sequence").alias("codec"), first_by([F.col("object_type").isNull(), F.col("sequence")], "object_type", "sbr").alias("m"))
+    said, got = aac_object_type(F.col("r_codecs")), F.col("m.object_type")
+    family = F.coalesce(declared_family(F.col("r_codecs"), F.lit("audio")) != F.col("codec"), F.lit(False))
+    efficient, replicated = said.isin(5, 29), F.coalesce(F.col("m.sbr"), F.lit(False))
+    rule = (
+        F.when(family, "family").when(said.isNull() | got.isNull(), "no-type").when(said == got, F.when(replicated & ~efficient, "sbr-undeclared").otherwise("type-agrees"))
+        .when(efficient & (got == 2), "he-over-lc").when((replicated | got.isin(5, 29)) & ~efficient, "sbr-undeclared").otherwise("type-differs")
+    )
+    a = a.withColumn("rule", rule)
+    return together(video, finding(a, "codecstring", F.col("rule"), label(), F.when(F.col("rule").isin("family", "sbr-undeclared"), "BAD").when(F.col("rule") == "type-differs", "WARN").otherwise("OK"), got))
 
 
 def videorange(rel: Relations) -> DataFrame:
@@ -225,13 +234,15 @@ def clear(rel: Relations) -> DataFrame:
         F.max(F.col("key_declared") | F.col("encrypted") | F.col("r_scheme").isNotNull()).alias("claims"),
         F.count("encrypted_samples").alias("known"),
         F.sum("encrypted_samples").alias("enc"),
-        F.sum(F.when(F.col("begun") == 0, F.col("clear_samples") * F.coalesce("frame_dur", F.lit(3600)) * 100 / 9).otherwise(0)).alias("lead_us"),
+        F.sum(F.when(F.col("begun") == 0, F.floor(F.col("clear_samples") * F.col("frame_dur") * 1_000_000 / F.col("timescale"))).otherwise(0)).alias("lead_us"),
+        F.sum(F.when((F.col("begun") == 0) & (F.col("clear_samples") > 0) & F.col("frame_dur").isNull(), 1).otherwise(0)).alias("untold"),
     ).where("claims")
     asked = rel.options.clear_lead_us
-    off = F.lit(False) if asked is None else F.abs(F.col("lead_us") - asked) > rel.options.clear_lead_slack_us
-    rule = F.when(F.col("known") == 0, "unknown").when(F.col("enc") == 0, "nothing-encrypted").when(off, "lead").otherwise("encrypted")
+    # Clear samples of unknown length leave the lead unknown, which is no defect.
+    off = F.lit(False) if asked is None else (F.col("untold") == 0) & (F.abs(F.col("lead_us") - asked) > rel.options.clear_lead_slack_us)
+    rule = F.when(F.col("known") == 0, "unknown").when(F.col("enc") == 0, "nothing-encrypted").when(off, "lead").when(F.col("untold") > 0, "lead-unknown").otherwise("encrypted")
     status = F.when(F.col("known") == 0, "OK").when((F.col("enc") == 0) | off, "BAD").otherwise("OK")
-    return finding(g, "clear", rule, label(), status, F.when(F.col("known") > 0, F.round(F.col("lead_us") / 1e6, 3)))
+    return finding(g, "clear", rule, label(), status, F.when((F.col("known") > 0) & (F.col("untold") == 0), F.round(F.col("lead_us") / 1e6, 3)))
 
 
 def scheme(rel: Relations) -> DataFrame:

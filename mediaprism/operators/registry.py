@@ -22,6 +22,9 @@ CHECKS: dict[str, Callable[[Relations], DataFrame]] = {
 }
 
 
+INPUTS = ("all_segments", "all_renditions", "parts", "splices", "breaks", "cues", "probes", "observations")
+
+
 def register(name: str, check: Callable[[Relations], DataFrame]) -> None:
     """Add a check of one's own; it takes relations and returns findings."""
     CHECKS[name] = check
@@ -30,12 +33,12 @@ def register(name: str, check: Callable[[Relations], DataFrame]) -> None:
 def load(spark: SparkSession, sf_dir: str) -> Relations:
     """The relations of a run, projected from the tables in a folder."""
     of = lambda sql: R.relation(spark, sf_dir, sql)
-    return Relations(of(R.SEGMENTS), of(R.RENDITIONS), of(R.PARTS), of(R.SPLICES), of(R.OBSERVATIONS))
+    return Relations(of(R.SEGMENTS), of(R.RENDITIONS), of(R.PARTS), of(R.SPLICES), of(R.BREAKS), of(R.CUES), of(R.PROBES), of(R.OBSERVATIONS))
 
 
 def shared(relations: Relations) -> Relations:
     """The relations kept by Spark, so that checks which run together compute each of them once."""
-    kept = {f: getattr(relations, f).persist() for f in ("all_segments", "all_renditions", "parts", "splices", "observations") if getattr(relations, f) is not None}
+    kept = {f: getattr(relations, f).persist() for f in INPUTS if getattr(relations, f) is not None}
     return replace(relations, **kept)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaprism.findings import finding, together
-from mediaprism.operators.common import Relations, first_by, label, place, previous, unwrapped
+from mediaprism.operators.common import Relations, first_by, label, place, previous, since_first, unwrapped
 
 
 def _double(x):
@@ -101,51 +101,84 @@ def pdt(rel: Relations) -> DataFrame:
 
 
 def parts(rel: Relations) -> DataFrame:
-    """Low-latency parts: readable, independent where declared, contiguous, within the part target."""
-    x = rel.parts
+    """Low-latency parts: readable, independent where declared, contiguous, on their segment's ends, within the part target."""
+    x = rel.of(rel.parts, "part_target_us")
     w = Window.partitionBy("rendition", "sequence").orderBy("idx")
     ok = x.where("parsed")
     pair = ok.select("*", F.lag("idx").over(w).alias("pi"), F.lag("min_pts").over(w).alias("pp"), F.lag("declared_us").over(w).alias("pd"))
-    drift = (F.col("min_pts") - F.col("pp")) * 1_000_000 - F.col("pd") * F.col("timescale")
+    drift = unwrapped(F.col("min_pts") - F.col("pp")) * 1_000_000 - F.col("pd") * F.col("timescale")
     at = F.concat_ws("/", label(), F.col("sequence").cast("string"), F.col("idx").cast("string"))
+    # The first and the last part of a segment against the segment itself, where all parts between are there.
+    ends = ok.groupBy("rendition", "sequence").agg(first_by([F.col("idx")], "idx", "min_pts").alias("a"), first_by([-F.col("idx")], "idx", "min_pts", "declared_us").alias("z"), F.count("*").alias("n"), F.max("timescale").alias("scale"))
+    ends = ends.join(rel.parsed.select("rendition", "sequence", F.col("min_pts").alias("from"), "measured_us"), ["rendition", "sequence"])
+    early = unwrapped(F.col("a.min_pts") - F.col("from")) * 1_000_000
+    late = unwrapped(F.col("z.min_pts") - F.col("from")) * 1_000_000 + (F.col("z.declared_us") - F.col("measured_us")) * F.col("scale")
+    tol = rel.options.gap_us * F.col("scale")
+    whole = ends.where("a.idx = 0")
+    closed = whole.where("n = z.idx + 1 AND measured_us IS NOT NULL")
     return together(
         finding(x.where("NOT parsed"), "parts", "unreadable", at, "BAD"),
         finding(ok.where("independent AND NOT opens_keyframe"), "parts", "not-independent", at, "BAD"),
         finding(pair.where((F.col("pi") == F.col("idx") - 1) & (F.abs(drift) > rel.options.gap_us * F.col("timescale"))), "parts", "drift", at, "BAD", _double(drift) / (F.col("timescale") * 1000)),
-        finding(ok.where(F.col("declared_us") > 500_000 + rel.options.gap_us), "parts", "over-target", at, "BAD", F.col("declared_us") / 1e6),
+        finding(whole.where(F.abs(early) > tol), "parts", "segment-start", place(), "BAD", _double(early) / (F.col("scale") * 1000)),
+        finding(closed.where(F.abs(late) > tol), "parts", "segment-end", place(), "BAD", _double(late) / (F.col("scale") * 1000)),
+        finding(ok.where(F.col("declared_us") > F.col("r_part_target_us") + rel.options.gap_us), "parts", "over-target", at, "BAD", F.col("declared_us") / 1e6),
     )
 
 
 def subtitles(rel: Relations) -> DataFrame:
-    """Cues (here one per segment, by ``ordinal``) against the running start of their segment."""
+    """Cues against the span of their segment: the running declared time within the renditions's segments, from the first video clock on."""
     w = Window.partitionBy("rendition").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
+    origin = rel.parsed.where("kind = 'video'").agg(F.min(F.floor(F.col("min_pts") * 1_000_000 / F.col("timescale"))).alias("origin"))
     s = rel.parsed.where("kind = 'text'").withColumn("start", F.coalesce(F.sum("declared_us").over(w), F.lit(0)))
-    s = s.withColumn("cue", F.col("start") + (F.col("ordinal") % 7 - 1) * 400_000)
+    s = s.crossJoin(F.broadcast(origin)).withColumn("since", F.coalesce("origin", F.lit(0)) + F.col("start")).select("rendition", "sequence", "declared_us", "since", "mapped", "origin")
+    c = s.join(rel.cues, ["rendition", "sequence"])
     tol = rel.options.gap_us
-    s = s.withColumn("off", (F.col("cue") < F.col("start") - tol) | (F.col("cue") + 500_000 > F.col("start") + F.col("declared_us") + tol))
-    bad = finding(s.where("off"), "subtitles", "outside", place(), "BAD", (F.col("cue") - F.col("start")) / 1e6)
-    good = s.groupBy("rendition").agg(F.max("off").alias("any"), F.count("*").alias("n")).where("NOT any")
-    return together(bad, finding(good, "subtitles", "inside", label(), "OK", F.col("n")))
+    c = c.withColumn("off", (F.col("begin_us") < F.col("since") - tol) | (F.col("end_us") > F.col("since") + F.col("declared_us") + tol))
+    worst = c.where("off").groupBy("rendition", "sequence").agg(F.min(F.col("begin_us") - F.col("since")).alias("by"))
+    bad = finding(worst, "subtitles", "outside", place(), "BAD", F.col("by") / 1e6)
+    n = c.groupBy("rendition").agg(F.count("*").alias("n"), F.max("off").alias("any"))
+    g = s.groupBy("rendition").agg(F.max("mapped").alias("mapped"), F.max("origin").alias("origin")).join(n, "rendition", "left").where("NOT coalesce(any, false)")
+    rule = F.when(F.col("n").isNull(), "no-cues").when(~F.col("mapped"), "no-map").when(F.col("origin").isNull(), "no-origin").otherwise("inside")
+    return together(bad, finding(g, "subtitles", rule, label(), F.when(F.col("n").isNull() | ~F.col("mapped"), "WARN").otherwise("OK"), F.coalesce("n", F.lit(0))))
 
 
 def adbreak(rel: Relations) -> DataFrame:
-    """Splice points against the nearest segment boundary, within the span sampled.
+    """Splice points and declared breaks against the nearest measured segment boundary, within the span sampled.
 
-    Boundaries and points are ordered together, and each point sees the last boundary before and
-    the first after it: one sort by rendition in place of a join of all points with all boundaries.
+    Boundaries are the measured starts of video segments and the end of the last. Boundaries and points are ordered together,
+    and each point sees the last boundary before and the first after it: one sort by rendition in place of a join of
+    all points with all boundaries.
     """
-    edges = rel.segments.where("kind = 'video'").select("rendition", (F.col("sequence") * 180_000).alias("pts"))
-    points = rel.splices.select("rendition", "pts", "splice", "declared_pts")
-    both = edges.select("rendition", "pts", F.col("pts").alias("edge"), F.lit(None).cast("long").alias("splice"), F.lit(None).cast("long").alias("declared_pts")).unionByName(points.withColumn("edge", F.lit(None).cast("long")).select("rendition", "pts", "edge", "splice", "declared_pts"))
-    w = Window.partitionBy("rendition").orderBy("pts", F.col("edge").isNull())
+    v = rel.parsed.where("kind = 'video'")
+    span = v.groupBy("rendition").agg(F.min_by("min_pts", "sequence").alias("first"), first_by([-F.col("sequence")], "min_pts", "measured_us", "timescale").alias("last"), F.max("timescale").alias("scale"), first_by([F.col("pdt_us").isNull(), F.col("sequence")], "pdt_us", "min_pts").alias("anchor"))
+    starts = v.select("rendition", "sequence", "min_pts").join(span.select("rendition", "first"), "rendition").select("rendition", since_first(F.col("min_pts"), F.col("first")).alias("at"))
+    close = span.where("last.measured_us IS NOT NULL").select("rendition", (since_first(F.col("last.min_pts"), F.col("first")) + F.floor(F.col("last.measured_us") * F.col("last.timescale") / 1_000_000)).alias("at"))
+    edges = starts.unionByName(close)
+    b = rel.breaks.join(span, "rendition").join(v.select("rendition", F.col("sequence").alias("at_sequence"), F.col("min_pts").alias("sequence_pts")), ["rendition", "at_sequence"], "left")
+    by_clock = F.col("anchor.min_pts") + F.floor((F.col("clock_us") - F.col("anchor.pdt_us")) * F.col("scale") / 1_000_000)
+    declared = b.select("rendition", F.concat(label(), F.lit("@b"), F.col("break").cast("string")).alias("name"), F.lit("break").alias("what"), since_first(F.coalesce("media_pts", "sequence_pts", by_clock), F.col("first")).alias("at"))
+    spliced = rel.splices.join(span.select("rendition", "first"), "rendition").select("rendition", F.concat(label(), F.lit("@"), F.col("splice").cast("string")).alias("name"), F.lit("splice").alias("what"), since_first(F.col("pts"), F.col("first")).alias("at"))
+    points = declared.unionByName(spliced)
+    none = F.lit(None).cast("string")
+    both = edges.select("rendition", "at", F.col("at").alias("edge"), none.alias("name"), none.alias("what")).unionByName(points.where("at IS NOT NULL").select("rendition", "at", F.lit(None).cast("long").alias("edge"), "name", "what"))
+    w = Window.partitionBy("rendition").orderBy("at", F.col("edge").isNull())
     both = both.select("*", F.last("edge", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("before"), F.first("edge", True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("after"))
-    x = both.where("splice IS NOT NULL AND before IS NOT NULL AND after IS NOT NULL").withColumn("away", F.least(F.col("pts") - F.col("before"), F.col("after") - F.col("pts")))
-    tol = rel.options.gap_us * 90 // 1000
-    at = F.concat(label(), F.lit("@"), F.col("splice").cast("string"))
+    both = both.join(span.select("rendition", "scale"), "rendition")
+    tol = F.lit(rel.options.gap_us) * F.col("scale")
+    x = both.where("name IS NOT NULL").withColumn("away", F.least(F.col("at") - F.col("before"), F.col("after") - F.col("at")))
+    # Inside the span sampled, or no further than the tolerance beyond it.
+    x = x.where((F.col("before").isNotNull() & F.col("after").isNotNull()) | (F.col("away") * 1_000_000 <= tol))
+    ms = lambda c: _double(c) * 1000 / F.col("scale")
+    off = F.col("away") * 1_000_000 > tol
+    rule = F.concat("what", F.when(off, "-off-boundary").otherwise("-on-boundary"))
+    told = rel.breaks.where("section_pts IS NOT NULL").join(rel.splices.where("pts IS NOT NULL").groupBy("rendition", "event").agg(F.min_by("pts", "splice").alias("pts")), ["rendition", "event"]).join(span.select("rendition", "scale"), "rendition")
+    told = told.withColumn("off", unwrapped(F.col("section_pts") - F.col("pts"))).where(F.abs("off") * 1_000_000 > tol)
+    untimed = points.where("at IS NULL").groupBy("rendition").agg(F.count("*").alias("n"))
     return together(
-        finding(x.where(F.col("away") > tol), "adbreak", "off-boundary", at, "BAD", F.col("away") / 90.0),
-        finding(x.where(F.col("away") <= tol), "adbreak", "on-boundary", at, "OK", F.col("away") / 90.0),
-        finding(points.where(F.abs(F.col("declared_pts") - F.col("pts")) > tol), "adbreak", "declared-differs", at, "BAD", (F.col("declared_pts") - F.col("pts")) / 90.0),
+        finding(x, "adbreak", rule, F.col("name"), F.when(off, "BAD").otherwise("OK"), ms(F.col("away"))),
+        finding(told, "adbreak", "section-differs", F.concat(label(), F.lit("@b"), F.col("break").cast("string")), "BAD", ms(F.col("off"))),
+        finding(untimed, "adbreak", "untimed", label(), "OK", F.col("n")),
     )
 
 
@@ -156,7 +189,8 @@ def period(rel: Relations) -> DataFrame:
     whole = per.groupBy("period").agg(first_by([-F.abs("m.drift"), F.col("rendition")], "m").alias("w")).select("period", "w.m.drift", "w.m.timescale")
     first = whole.agg(F.min_by("drift", "period").alias("base"), F.min("period").alias("first"))
     x = whole.join(F.broadcast(first)).where("period <> first").withColumn("ms", _double(F.col("drift") - F.col("base")) / (F.col("timescale") * 1000))
-    late, early = rel.options.period_late_us / 1000, (rel.options.period_late_us + 2_000_000) / 1000
+    x = x.crossJoin(F.broadcast(rel.renditions.agg(F.max("target_us").alias("target"))))
+    late, early = F.lit(rel.options.period_late_us / 1000), (F.col("target") + rel.options.period_late_us) / 1000
     at = F.concat(F.lit("p"), F.col("period").cast("string"))
     drifting = finding(x, "period", F.when((F.col("ms") > late) | (F.col("ms") < -early), "drift").otherwise("placed"), at, F.when((F.col("ms") > late) | (F.col("ms") < -early), "BAD").otherwise("OK"), F.col("ms"))
     lists = rel.parsed.where("kind = 'video'").groupBy("rendition", "period").agg(F.array_join(F.array_sort(F.collect_set("codec")), ",").alias("codecs"), F.array_join(F.array_sort(F.collect_set(F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string")))), ",").alias("sizes"))

@@ -96,10 +96,10 @@ odd AS (SELECT count(*) AS n FROM v WHERE rungs > 1 AND abs(ratio - greatest(flo
 )
 
 SQL["audio"] = _with(
-    f"""g AS (SELECT p.rendition, q.sample_rate AS sr, q.channels AS ch, codecs, count(DISTINCT coalesce(p.sample_rate, -1) || ',' || coalesce(p.channels, -1) || ',' || coalesce(codec, '-')) AS shapes, arg_min(p.sample_rate, sequence) AS f, arg_min(p.channels, sequence) AS c
+    f"""g AS (SELECT p.rendition, q.sample_rate AS sr, q.channels AS ch, codecs, count(DISTINCT coalesce(p.sample_rate, -1) || ',' || coalesce(p.channels, -1) || ',' || coalesce(codec, '-')) AS shapes, arg_min(p.sample_rate, sequence) AS f, arg_min(p.channels, sequence) AS c, arg_min(p.codec, sequence) AS k, arg_min(p.sbr, sequence) AS sbr
   FROM p JOIN {_RI} q USING (rendition) WHERE p.kind = 'audio' AND (p.sample_rate IS NOT NULL OR p.channels IS NOT NULL) GROUP BY ALL),
-j AS (SELECT *, coalesce(sr <> f AND NOT (codecs LIKE 'mp4a.40.5%' AND f * 2 = sr), FALSE) OR coalesce(ch <> c, FALSE) AS off FROM g)""",
-    _rows("audio", (_case(("shapes > 1", "varies"), ("off", "differs"), other="agrees"), _R, _case(("shapes > 1 OR off", "BAD"), other="OK"), "shapes", "j")),
+j AS (SELECT *, coalesce(sr <> f AND NOT (sbr AND f * 2 = sr), FALSE) AS a, coalesce(ch <> c, FALSE) AS b FROM g)""",
+    _rows("audio", (_case(("shapes > 1", "varies"), ("a AND b", "rate+channels"), ("a", "rate"), ("b", "channels"), other="agrees"), _R, _case(("shapes > 1 OR a OR b", "BAD"), other="OK"), "shapes", "j")),
 )
 
 SQL["captions"] = _with(
@@ -148,17 +148,18 @@ SQL["cache"] = _with(
 )
 
 SQL["byterange"] = _with(
-    "g AS (SELECT host, arg_min(digest, ordinal) AS probe, bool_or(s.kind = 'iframe') AS needed, bool_or(live) AS adv FROM s JOIN r USING (rendition) WHERE fetched GROUP BY 1)",
-    _rows("byterange", (_case(("probe % 3 = 0", "partial"), ("probe % 17 = 1", "probe-failed"), ("needed", "needed"), ("adv", "advertised"), other="unused"), "host", _case(("probe % 3 = 0", "OK"), ("probe % 17 = 1", "ERROR"), ("needed", "BAD"), ("adv", "WARN"), other="OK"), "NULL", "g")),
+    "g AS (SELECT host, bool_or(ranged) AS needed, bool_or(accepts_ranges) AS adv FROM s WHERE fetched GROUP BY 1), j AS (SELECT *, coalesce(status = 206 AND got_bytes = asked_bytes, FALSE) AS exact FROM g JOIN probes USING (host))",
+    _rows("byterange", (_case(("failed", "probe-failed"), ("exact", "partial"), ("needed", "needed"), ("adv", "advertised"), other="unused"), "host", _case(("failed", "ERROR"), ("exact", "OK"), ("needed", "BAD"), ("adv", "WARN"), other="OK"), "got_bytes", "j")),
 )
 
 SQL["codecstring"] = _with(
     """v AS (SELECT p.rendition, arg_min(profile_idc, sequence) AS pi, arg_min(level_idc, sequence) AS li, max(codecs LIKE 'avc1.64001f%') AS said FROM p JOIN r USING (rendition) WHERE p.kind = 'video' AND profile_idc IS NOT NULL GROUP BY 1),
-a AS (SELECT p.rendition, max(CASE WHEN codecs LIKE 'mp4a.40.%' THEN CAST(substr(codecs, 9) AS INT) END) AS ot FROM p JOIN r USING (rendition) WHERE p.kind = 'audio' GROUP BY 1)""",
+a AS (SELECT p.rendition, max(CASE WHEN codecs LIKE 'mp4a.40.%' THEN CAST(substr(codecs, 9) AS INT) END) AS ot, arg_min(object_type, sequence) FILTER (WHERE object_type IS NOT NULL) AS got, coalesce(arg_min(sbr, sequence) FILTER (WHERE object_type IS NOT NULL), arg_min(sbr, sequence)) AS rep FROM p JOIN r USING (rendition) WHERE p.kind = 'audio' GROUP BY 1),
+b AS (SELECT *, CASE WHEN ot IS NULL OR got IS NULL THEN 'no-type' WHEN ot = got THEN CASE WHEN rep AND ot NOT IN (5, 29) THEN 'sbr-undeclared' ELSE 'type-agrees' END WHEN ot IN (5, 29) AND got = 2 THEN 'he-over-lc' WHEN (rep OR got IN (5, 29)) AND ot NOT IN (5, 29) THEN 'sbr-undeclared' ELSE 'type-differs' END AS rule FROM a)""",
     _rows(
         "codecstring",
         (_case(("NOT said", "undecomposable"), ("100 < pi OR 31 < li", "understated"), ("100 > pi OR 31 > li", "overstated"), other="agrees"), _R, _case(("said AND (100 < pi OR 31 < li)", "BAD"), ("said AND (100 > pi OR 31 > li)", "WARN"), other="OK"), "li", "v"),
-        (_case(("ot IS NULL", "no-type"), ("ot = 2", "agrees"), ("ot IN (5, 29)", "he-over-lc"), other="differs"), _R, _case(("ot IS NULL OR ot IN (2, 5, 29)", "OK"), other="WARN"), "ot", "a"),
+        ("rule", _R, _case(("rule = 'sbr-undeclared'", "BAD"), ("rule = 'type-differs'", "WARN"), other="OK"), "got", "b"),
     ),
 )
 
@@ -169,8 +170,9 @@ SQL["videorange"] = _with(
 
 SQL["clear"] = _with(
     """c AS (SELECT p.*, q.scheme AS said, sum(CASE WHEN encrypted_samples > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY rendition ORDER BY sequence) AS begun FROM p JOIN r q USING (rendition)),
-g AS (SELECT rendition, bool_or(key_declared OR encrypted OR said IS NOT NULL) AS claims, count(encrypted_samples) AS known, sum(encrypted_samples) AS enc, sum(CASE WHEN begun = 0 THEN clear_samples * coalesce(frame_dur, 3600) * 100 / CAST(9 AS DOUBLE) ELSE 0 END) AS lead FROM c GROUP BY 1)""",
-    _rows("clear", (_case(("known = 0", "unknown"), ("enc = 0", "nothing-encrypted"), ("abs(lead - 2000000) > 100000", "lead"), other="encrypted"), _R, _case(("known = 0", "OK"), ("enc = 0 OR abs(lead - 2000000) > 100000", "BAD"), other="OK"), "CASE WHEN known > 0 THEN round(lead / 1000000, 3) END", "g WHERE claims")),
+g AS (SELECT rendition, bool_or(key_declared OR encrypted OR said IS NOT NULL) AS claims, count(encrypted_samples) AS known, sum(encrypted_samples) AS enc, sum(CASE WHEN begun = 0 THEN floor(clear_samples * frame_dur * CAST(1000000 AS DOUBLE) / timescale) ELSE 0 END) AS lead, count(*) FILTER (WHERE begun = 0 AND clear_samples > 0 AND frame_dur IS NULL) AS untold FROM c GROUP BY 1),
+h AS (SELECT *, untold = 0 AND abs(lead - 2000000) > 100000 AS off FROM g WHERE claims)""",
+    _rows("clear", (_case(("known = 0", "unknown"), ("enc = 0", "nothing-encrypted"), ("off", "lead"), ("untold > 0", "lead-unknown"), other="encrypted"), _R, _case(("known = 0", "OK"), ("enc = 0 OR off", "BAD"), other="OK"), "CASE WHEN known > 0 AND untold = 0 THEN round(lead / 1000000, 3) END", "h")),
 )
 
 SQL["scheme"] = _with(
@@ -272,29 +274,52 @@ lad AS (SELECT sequence, max(min_pts) - min(min_pts) AS media, max(pdt_us - min_
     ),
 )
 
+_FOLD = "(CASE WHEN {0} > 4294967296 THEN {0} - 8589934592 WHEN {0} < -4294967296 THEN {0} + 8589934592 ELSE {0} END)".format
+
 SQL["parts"] = _with(
-    "ok AS (SELECT *, lag(idx) OVER o AS pi, lag(min_pts) OVER o AS pp, lag(declared_us) OVER o AS pd FROM parts WHERE parsed WINDOW o AS (PARTITION BY rendition, sequence ORDER BY idx))",
+    f"""x AS (SELECT parts.*, part_target_us FROM parts JOIN r USING (rendition)),
+ok AS (SELECT *, lag(idx) OVER o AS pi, {_FOLD("(min_pts - lag(min_pts) OVER o)")} * 1000000 - lag(declared_us) OVER o * timescale AS drift FROM x WHERE parsed WINDOW o AS (PARTITION BY rendition, sequence ORDER BY idx)),
+e AS (SELECT rendition, sequence, min(idx) AS i0, max(idx) AS i1, count(*) AS n, arg_min(min_pts, idx) AS p0, arg_max(min_pts, idx) AS p1, arg_max(declared_us, idx) AS d1 FROM ok GROUP BY 1, 2),
+f AS (SELECT e.*, {_FOLD("(p0 - min_pts)")} * 1000000 AS early, {_FOLD("(p1 - min_pts)")} * 1000000 + (d1 - measured_us) * 90000 AS late FROM e JOIN p USING (rendition, sequence) WHERE i0 = 0)""",
     _rows(
         "parts",
-        ("unreadable", _P + " || '/' || idx", "BAD", "NULL", "parts WHERE NOT parsed"),
+        ("unreadable", _P + " || '/' || idx", "BAD", "NULL", "x WHERE NOT parsed"),
         ("not-independent", _P + " || '/' || idx", "BAD", "NULL", "ok WHERE independent AND NOT opens_keyframe"),
-        ("drift", _P + " || '/' || idx", "BAD", "CAST((min_pts - pp) * 1000000 - pd * timescale AS DOUBLE) / (timescale * 1000)", "ok WHERE pi = idx - 1 AND abs((min_pts - pp) * 1000000 - pd * timescale) > 100000 * timescale"),
-        ("over-target", _P + " || '/' || idx", "BAD", "declared_us / 1e6", "ok WHERE declared_us > 600000"),
+        ("drift", _P + " || '/' || idx", "BAD", "CAST(drift AS DOUBLE) / (timescale * 1000)", "ok WHERE pi = idx - 1 AND abs(drift) > 100000 * timescale"),
+        ("segment-start", _P, "BAD", "early / CAST(90000000 AS DOUBLE)", "f WHERE abs(early) > 9000000000"),
+        ("segment-end", _P, "BAD", "late / CAST(90000000 AS DOUBLE)", "f WHERE n = i1 + 1 AND abs(late) > 9000000000"),
+        ("over-target", _P + " || '/' || idx", "BAD", "declared_us / 1e6", "ok WHERE declared_us > part_target_us + 100000"),
     ),
 )
 
 SQL["subtitles"] = _with(
-    "t AS (SELECT *, coalesce(sum(declared_us) OVER (PARTITION BY rendition ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM p WHERE kind = 'text'), c AS (SELECT *, (ordinal % 7 - 1) * 400000 AS d FROM t), f AS (SELECT *, d < -100000 OR d + 500000 > declared_us + 100000 AS off FROM c)",
-    _rows("subtitles", ("outside", _P, "BAD", "d / 1e6", "f WHERE off"), ("inside", _R, "OK", "count(*)", "f GROUP BY rendition HAVING NOT bool_or(off)")),
+    """org AS (SELECT min(CAST(floor(min_pts * CAST(1000000 AS DOUBLE) / timescale) AS BIGINT)) AS o FROM p WHERE kind = 'video'),
+t AS (SELECT rendition, sequence, declared_us, mapped, o + coalesce(sum(declared_us) OVER (PARTITION BY rendition ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since FROM p, org WHERE kind = 'text'),
+c AS (SELECT t.*, begin_us - since AS d, begin_us < since - 100000 OR end_us > since + declared_us + 100000 AS off FROM t JOIN cues USING (rendition, sequence)),
+g AS (SELECT rendition, bool_or(mapped) AS mapped, (SELECT count(*) FROM c WHERE c.rendition = t.rendition) AS n, coalesce((SELECT bool_or(off) FROM c WHERE c.rendition = t.rendition), FALSE) AS bad FROM t GROUP BY rendition)""",
+    _rows(
+        "subtitles",
+        ("outside", _P, "BAD", "min(d) / 1e6", "c WHERE off GROUP BY rendition, sequence"),
+        (_case(("n = 0", "no-cues"), ("NOT mapped", "no-map"), other="inside"), _R, _case(("n = 0 OR NOT mapped", "WARN"), other="OK"), "n", "g WHERE NOT bad"),
+    ),
 )
 
 SQL["adbreak"] = _with(
-    """e AS (SELECT rendition, sequence * 180000 AS edge FROM s WHERE kind = 'video'),
-j AS (SELECT splice, sp.rendition, min(abs(pts - edge)) AS away FROM splices sp JOIN e USING (rendition) GROUP BY splice, sp.rendition, pts HAVING min(edge) <= pts AND max(edge) >= pts)""",
+    f"""v AS (SELECT * FROM p WHERE kind = 'video'),
+sp AS (SELECT rendition, arg_min(min_pts, sequence) AS first, arg_max(min_pts, sequence) AS lp, max(sequence) AS ms, arg_min(pdt_us, sequence) FILTER (WHERE pdt_us IS NOT NULL) AS ac, arg_min(min_pts, sequence) FILTER (WHERE pdt_us IS NOT NULL) AS ap FROM v GROUP BY 1),
+e AS (SELECT rendition, {_FOLD("(min_pts - first)")} AS edge FROM v JOIN sp USING (rendition)
+  UNION ALL SELECT sp.rendition, {_FOLD("(lp - first)")} + CAST(floor(measured_us * CAST(90000 AS DOUBLE) / 1000000) AS BIGINT) FROM sp JOIN v ON v.rendition = sp.rendition AND v.sequence = ms WHERE measured_us IS NOT NULL),
+w0 AS (SELECT b.*, first, coalesce(media_pts, v.min_pts, ap + CAST(floor((clock_us - ac) * CAST(90000 AS DOUBLE) / 1000000) AS BIGINT)) AS pt FROM breaks b JOIN sp USING (rendition) LEFT JOIN v ON v.rendition = b.rendition AND v.sequence = at_sequence),
+pts AS (SELECT rendition, 'r' || rendition || '@b' || break AS name, 'break' AS what, {_FOLD("(pt - first)")} AS pos FROM w0
+  UNION ALL SELECT rendition, 'r' || rendition || '@' || splice, 'splice', {_FOLD("(pts - first)")} FROM splices JOIN sp USING (rendition)),
+j AS (SELECT name, what, min(abs(pos - edge)) AS away, min(edge) <= pos AND max(edge) >= pos AS inside FROM pts JOIN e USING (rendition) WHERE pos IS NOT NULL GROUP BY name, what, pos),
+one AS (SELECT rendition, event, arg_min(pts, splice) AS pts FROM splices WHERE pts IS NOT NULL GROUP BY 1, 2),
+told AS (SELECT b.rendition, break, {_FOLD("(section_pts - pts)")} AS off FROM breaks b JOIN one USING (rendition, event) JOIN sp ON sp.rendition = b.rendition WHERE section_pts IS NOT NULL)""",
     _rows(
         "adbreak",
-        (_case(("away > 9000", "off-boundary"), other="on-boundary"), "'r' || rendition || '@' || splice", _case(("away > 9000", "BAD"), other="OK"), "away / CAST(90 AS DOUBLE)", "j"),
-        ("declared-differs", "'r' || rendition || '@' || splice", "BAD", "(declared_pts - pts) / CAST(90 AS DOUBLE)", "splices WHERE abs(declared_pts - pts) > 9000"),
+        ("what || CASE WHEN away > 9000 THEN '-off-boundary' ELSE '-on-boundary' END", "name", _case(("away > 9000", "BAD"), other="OK"), "away / CAST(90 AS DOUBLE)", "j WHERE inside OR away <= 9000"),
+        ("section-differs", "'r' || rendition || '@b' || break", "BAD", "off / CAST(90 AS DOUBLE)", "told WHERE abs(off) > 9000"),
+        ("untimed", _R, "OK", "count(*)", "pts WHERE pos IS NULL GROUP BY rendition"),
     ),
 )
 

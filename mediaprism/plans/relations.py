@@ -39,6 +39,12 @@ SELECT u AS rendition,
   CAST(CASE WHEN u % 10 < 6 AND i % 17 <> 0 THEN CASE WHEN u % 12 = 5 THEN 3003 WHEN u % 15 = 1 THEN 3400 ELSE 3600 END + i % 2 END AS BIGINT) AS frame_dur,
   CAST(CASE WHEN u % 10 BETWEEN 6 AND 7 THEN CASE WHEN i % 67 = 0 THEN 44100 ELSE 48000 END END AS BIGINT) AS sample_rate,
   CAST(CASE WHEN u % 10 BETWEEN 6 AND 7 THEN 2 END AS BIGINT) AS channels,
+  CAST(CASE WHEN u % 10 BETWEEN 6 AND 7 AND u % 30 <> 6 THEN CASE WHEN u % 20 = 17 THEN 5 ELSE 2 END END AS BIGINT) AS object_type,
+  CASE WHEN u % 10 BETWEEN 6 AND 7 THEN u % 20 = 17 OR u % 40 = 26 END AS sbr,
+  CASE WHEN u % 10 BETWEEN 6 AND 7 THEN u % 60 = 17 END AS ps,
+  u % 10 = 8 AND u % 20 = 8 AS mapped,
+  u % 10 = 9 OR u % 35 = 3 AS ranged,
+  i % 2 = 0 AS accepts_ranges,
   u % 10 < 6 AND i % 3 <> 0 AS captions_scanned,
   CASE WHEN i % 4 = 0 THEN 'CC1' WHEN i % 4 = 1 AND u % 5 = 1 THEN 'SERVICE1' END AS caption_seen,
   u % 6 = 1 OR u % 6 = 2 AND n % 3 = 0 AS key_declared,
@@ -86,14 +92,15 @@ SELECT u AS rendition,
   CASE WHEN u % 6 = 5 THEN 'cenc' END AS scheme,
   CASE WHEN u % 6 = 5 THEN CASE WHEN u % 9 = 5 THEN 'fairplay' ELSE 'widevine' END END AS drm,
   u % 2 = 0 AS live,
-  CAST(2000000 AS BIGINT) AS target_us
+  CAST(2000000 AS BIGINT) AS target_us,
+  CAST(CASE WHEN u % 4 = 0 THEN 550000 ELSE 500000 END AS BIGINT) AS part_target_us
 FROM (SELECT DISTINCT user_id AS u FROM events) e
 """
 
 PARTS = """
 SELECT u AS rendition, CAST(floor((n - 1) / 4) AS BIGINT) AS sequence, CAST((n - 1) % 4 AS BIGINT) AS idx,
   CAST(CASE WHEN i % 109 = 0 THEN 640000 ELSE 500000 END AS BIGINT) AS declared_us,
-  CAST((n - 1) * 45000 + CASE WHEN i % 73 = 0 THEN 18000 ELSE 0 END AS BIGINT) AS min_pts,
+  CAST((8589934592 - 1800000 + (n - 1) * 45000 + CASE WHEN i % 73 = 0 THEN 18000 ELSE 0 END) % 8589934592 AS BIGINT) AS min_pts,
   CAST(90000 AS BIGINT) AS timescale,
   i % 47 <> 0 AS parsed,
   (n - 1) % 4 = 0 AS independent,
@@ -102,12 +109,37 @@ FROM (SELECT event_id AS i, user_id AS u, row_number() OVER (PARTITION BY user_i
 """
 
 SPLICES = """
-SELECT event_id AS splice, user_id AS rendition,
-  CAST(n * 180000 * 4 + CASE WHEN event_id % 5 = 0 THEN 60000 ELSE event_id % 1000 END AS BIGINT) AS pts,
-  CAST(CASE WHEN event_id % 6 = 0 THEN n * 180000 * 4 + CASE WHEN event_id % 12 = 0 THEN 90000 ELSE 0 END END AS BIGINT) AS declared_pts
+SELECT event_id AS splice, user_id AS rendition, CAST(event_id % 100000 AS BIGINT) AS event,
+  CAST(CASE WHEN event_id % 17 <> 0 THEN (8589934592 - 1800000 + n * 180000 * 4 + CASE WHEN event_id % 5 = 0 THEN 60000 ELSE event_id % 1000 END) % 8589934592 END AS BIGINT) AS pts
 FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'signup' AND user_id % 10 < 6) e
 """
 
+#: Breaks that the manifest declares: by media time, else by sequence, else by wall clock; some carry a section with a clock of its own.
+BREAKS = """
+SELECT event_id AS break, user_id AS rendition, CAST(event_id % 100000 AS BIGINT) AS event,
+  CAST(CASE WHEN event_id % 3 = 0 THEN (8589934592 - 1800000 + n * 720000) % 8589934592 + CASE WHEN event_id % 15 = 0 THEN 45000 ELSE 0 END END AS BIGINT) AS media_pts,
+  CAST(CASE WHEN event_id % 3 = 1 THEN n * 4 END AS BIGINT) AS at_sequence,
+  CAST(CASE WHEN event_id % 4 <> 0 THEN 1700000000000000 + n * 8000000 + CASE WHEN event_id % 7 = 0 THEN 700000 ELSE 0 END END AS BIGINT) AS clock_us,
+  CAST(CASE WHEN event_id % 6 = 0 THEN (8589934592 - 1800000 + n * 720000 + CASE WHEN event_id % 5 = 0 THEN 60000 ELSE event_id % 1000 END + CASE WHEN event_id % 12 = 0 THEN 90000 ELSE 0 END) % 8589934592 END AS BIGINT) AS section_pts
+FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'signup' AND user_id % 10 < 6) e
+"""
+
+#: Cues of text segments, as times on the media clock: a cue or two a segment, none in some.
+CUES = f"""
+SELECT rendition, sequence, CAST(origin_us + start_us + d AS BIGINT) AS begin_us, CAST(origin_us + start_us + d + 500000 AS BIGINT) AS end_us
+FROM (SELECT rendition, sequence, ordinal, k, coalesce(sum(declared_us) OVER (PARTITION BY rendition, k ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_us, (ordinal % 7 - 1) * CASE WHEN rendition % 20 = 8 THEN 400000 ELSE 100000 END + k * 100000 AS d
+  FROM ({SEGMENTS}) x CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) k WHERE parsed AND kind = 'text') y
+CROSS JOIN (SELECT min(CAST(floor(min_pts / 9) AS BIGINT) * 100) AS origin_us FROM ({SEGMENTS}) z WHERE parsed AND kind = 'video') o
+WHERE rendition % 50 <> 18 AND (k = 0 OR ordinal % 3 = 0)
+"""
+
+#: One request for the first bytes of a host: what it answered.
+PROBES = """
+SELECT 'host' || CAST(h AS {string}) AS host, CAST(CASE WHEN h % 5 = 4 THEN NULL WHEN h % 3 = 0 THEN 206 ELSE 200 END AS BIGINT) AS status,
+  CAST(1024 AS BIGINT) AS asked_bytes, CAST(CASE WHEN h % 3 = 0 AND h <> 6 THEN 1024 ELSE 40000 END AS BIGINT) AS got_bytes, h % 5 = 4 AS failed
+FROM (SELECT DISTINCT user_id % 9 AS h FROM events) e
+"""
+
 OBSERVATIONS = """
 SELECT u AS rendition, n AS poll, CAST(n * 2000000 AS BIGINT) AS observed_us,
   CAST(CASE WHEN u % 23 = 0 THEN 7 WHEN u % 9 = 4 AND n BETWEEN 20 AND 28 THEN 20 WHEN u % 14 = 3 AND n = 30 THEN 25 ELSE n + CASE WHEN u % 8 = 5 THEN n ELSE 0 END END AS BIGINT) AS newest,
@@ -131,5 +163,5 @@ def oracle(body: str) -> str:
     return f"""WITH s0 AS ({dialect(SEGMENTS, DUCKDB)}), r0 AS ({dialect(RENDITIONS, DUCKDB)}),
 r AS (SELECT * FROM r0 WHERE NOT failed), s AS (SELECT s0.* FROM s0 JOIN r USING (rendition)),
 p AS (SELECT s.* FROM s WHERE parsed),
-parts AS ({PARTS}), splices AS ({SPLICES}), observations AS ({OBSERVATIONS})
+parts AS ({PARTS}), splices AS ({SPLICES}), breaks AS ({BREAKS}), cues AS ({dialect(CUES, DUCKDB)}), probes AS ({dialect(PROBES, DUCKDB)}), observations AS ({OBSERVATIONS})
 {body}"""
