@@ -55,6 +55,52 @@ def human_bitrate(bps: Column) -> Column:
     return F.when(bps >= 1_000_000, F.format_string("%.2f Mbps", bps / 1e6)).when(bps >= 1000, F.format_string("%.0f kbps", bps / 1e3)).otherwise(F.format_string("%.0f bps", bps.cast("double")))
 
 
+def human_fps(fps: Column) -> Column:
+    """Frames a second with up to three decimals, none where they are zero."""
+    return F.concat(F.regexp_replace(F.format_string("%.3f", fps.cast("double")), r"\.?0+$", ""), F.lit(" fps"))
+
+
+def human_sample_rate(hertz: Column) -> Column:
+    return F.concat(F.regexp_replace(F.format_string("%.2f", hertz / 1000.0), r"\.?0+$", ""), F.lit(" kHz"))
+
+
+def human_channels(n: Column) -> Column:
+    return F.when(n == 1, "mono").when(n == 2, "stereo").when(n == 6, "5.1").when(n == 8, "7.1").otherwise(F.format_string("%d ch", n.cast("long")))
+
+
+def signed_ms(us: Column) -> Column:
+    """Microseconds as whole milliseconds with their sign."""
+    return F.format_string("%+d ms", F.round(us / 1000).cast("long"))
+
+
+def plural(n: Column, one: str, more: str | None = None) -> Column:
+    return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(more or one + "s"))
+
+
+def joined_and(words: Column) -> Column:
+    """``a``, ``a and b``, ``a, b and c``."""
+    n = F.size(words)
+    return F.when(n < 2, F.array_join(words, "")).otherwise(F.concat(F.array_join(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(" and "), F.element_at(words, F.when(n > 0, n).otherwise(1))))
+
+
+def counts_text(values: Column) -> Column:
+    """How often each value occurs, by value: ``2 x a, 1 x b``."""
+    kinds = F.array_sort(F.array_distinct(values))
+    return F.array_join(F.transform(kinds, lambda k: F.concat(F.size(F.filter(values, lambda v: v == k)).cast("string"), F.lit(" x "), k)), ", ")
+
+
+def http_date(value: Column) -> Column:
+    """The Date header as a timestamp."""
+    return F.try_to_timestamp(F.regexp_replace(F.trim(value), "^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss z"))
+
+
+def lenient_utc(value: Column) -> Column:
+    """A stamp with or without a zone, taken as UTC where it states none."""
+    v = F.trim(value)
+    zoned = F.when(v.rlike("(Z|[+-]\\d{2}:?\\d{2})$"), v).otherwise(F.concat(v, F.lit("Z")))
+    return F.coalesce(*[F.try_to_timestamp(zoned, F.lit(x)) for x in ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XX", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]XXX")])
+
+
 def short_target(url: Column) -> Column:
     """The last two parts of a path, without the query."""
     parts = F.split(F.regexp_replace(url, "[?#].*$", ""), "/")
@@ -83,6 +129,33 @@ def hex_iv(value: Column) -> Column:
     return F.when(digits != "", F.to_binary(F.nullif(digits, F.lit("")), F.lit("hex")))
 
 
+def hex_section(value: Column) -> Column:
+    """Bytes written in hex after 0x; null if they are not."""
+    digits = F.regexp_extract(value, "^0[xX]((?:[0-9a-fA-F]{2})+)$", 1)
+    return F.when(digits != "", F.to_binary(F.nullif(digits, F.lit("")), F.lit("hex")))
+
+
+# Key formats and the system each names.
+KEY_FORMATS = {
+    "com.apple.streamingkeydelivery": "94ce86fb-07ff-4f43-adb8-93d2fa968ca2",
+    "com.microsoft.playready": "9a04f079-9840-4286-ab92-e65be0885f95",
+    "com.widevine": "edef8ba9-79d6-4ace-a3c8-27dcd51d21ed",
+}
+
+
+def drm_system(key_format: Column) -> Column:
+    """The protection system's UUID that a key format names, by name or as ``urn:uuid:``; null for the plain one and unknown names."""
+    names = F.create_map(*[F.lit(x) for kv in KEY_FORMATS.items() for x in kv])
+    lower = F.lower(F.trim(key_format))
+    return F.when(lower.startswith("urn:uuid:"), F.substr(lower, F.lit(10))).otherwise(F.try_element_at(names, lower))
+
+
+def header(headers: Column, *names: str) -> Column:
+    """The first value of the first header that is there, whatever the case of its name."""
+    of = lambda n: F.get(F.get(F.map_values(F.map_filter(headers, lambda k, _: F.lower(k) == n.lower())), 0), 0)
+    return F.coalesce(*[of(n) for n in names])
+
+
 def sequence_iv(sequence: Column) -> Column:
     """The IV of a segment that states none: its number, big-endian."""
     return F.to_binary(F.lpad(F.hex(sequence.cast("long")), 32, "0"), F.lit("hex"))

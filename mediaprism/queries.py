@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaprism import findings
 from mediaprism.operators.registry import CHECKS, load, run_checks, shared
-from mediaprism.plans import oracles
+from mediaprism.plans import manifests, oracles
+from mediaprism.sources import dash, hls
 
 
 def _check(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -28,9 +29,55 @@ def report_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark, sf_dir).groupBy("check").agg(F.max_by("status", findings.severity(F.col("status"))).alias("worst"), F.count("*").alias("n"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _check(name) for name in CHECKS} | {"report_summary": report_summary}
+def _double(column: str, name: str | None = None) -> Column:
+    """Whole numbers that may be null, as engines name their types differently."""
+    return F.col(column).cast("double").alias(name or column)
+
+
+def hls_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = hls.segments(manifests.media_playlists(spark, sf_dir))
+    return s.select("manifest_id", "sequence", "uri", "duration", "discontinuity", "discontinuity_sequence", _double("byte_range.offset", "range_offset"), _double("byte_range.length", "range_length"), "init_uri", F.unix_micros("pdt").cast("double").alias("pdt_us"), "pdt_derived", "key_method", "key_uri", F.hex("key_iv").alias("key_iv"), "gap")
+
+
+def hls_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = hls.parts(manifests.media_playlists(spark, sf_dir))
+    return s.select("manifest_id", "sequence", F.col("idx").cast("long").alias("idx"), "uri", "duration", F.col("byte_range.offset").alias("range_offset"), F.col("byte_range.length").alias("range_length"), "independent", "gap")
+
+
+def hls_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = hls.ad_breaks(manifests.media_playlists(spark, sf_dir))
+    return b.select("manifest_id", "tag", "id", "out_of_network", F.unix_micros("start").cast("double").alias("start_us"), _double("at_sequence"), "duration", F.hex("section").alias("section"))
+
+
+def hls_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = manifests.media_playlists(spark, sf_dir)
+    hint = hls.preload_hints(m).select("manifest_id", F.col("uri").alias("hint"), F.col("offset").alias("hint_offset"), F.col("sequence").alias("hint_sequence"))
+    return hls.playlists(m).join(hint, "manifest_id").select("manifest_id", "master", "live", "target_duration", "media_sequence", "discontinuity_sequence", "part_target", "hint", "hint_offset", "hint_sequence")
+
+
+def hls_renditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = manifests.master_playlists(spark, sf_dir)
+    r = hls.with_captions(hls.renditions(m), m)
+    return r.select("manifest_id", "kind", "uri", "bandwidth", "width", "height", "frame_rate", _double("channels"), "captions_none", F.array_join("caption_ids", ",").alias("captions"), "name")
+
+
+def dash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = dash.segments(manifests.presentations(spark, sf_dir))
+    return s.select("manifest_id", "period_index", "rep_id", "sequence", "uri", "init_uri", "duration", "declared_start", _double("range_offset"), _double("range_length"))
+
+
+def dash_representations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = dash.representations(manifests.presentations(spark, sf_dir))
+    return r.select("manifest_id", "period_index", "rep_id", "kind", _double("width"), "frame_rate", _double("channels"), "scheme", F.array_join("drm_systems", ",").alias("systems"), F.array_join("drm_in_manifest", ",").alias("inline_systems"), F.array_join("caption_ids", ",").alias("captions"), "addressing", F.col("indexed._indexRange").alias("index_range"))
+
+
+def dash_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dash.events(manifests.presentations(spark, sf_dir)).drop("content")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _check(name) for name in CHECKS} | {"report_summary": report_summary} | {f.__name__: f for f in (hls_segments, hls_parts, hls_breaks, hls_playlists, hls_renditions, dash_segments, dash_representations, dash_events)}
 
 _ALL = "\nUNION ALL ".join(f"SELECT * FROM ({q})" for q in oracles.SQL.values())
-SQL: dict[str, str] = oracles.SQL | {
+SQL: dict[str, str] = oracles.SQL | manifests.SQL | {
     "report_summary": f'SELECT "check", status, count(*) AS n FROM ({_ALL}) GROUP BY 1, 2',
 }

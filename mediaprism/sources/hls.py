@@ -1,7 +1,7 @@
 """HLS playlists as a DataFrame over lines: sticky and pending state become running windows.
 
-Input: manifest_id and body. A playlist is read whole by one window over its lines; many playlists
-are read in parallel.
+Input: manifest_id, body and, where URIs are to be resolved, url. A playlist is read whole by one window over its lines;
+many playlists are read in parallel.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediaprism.functions.text import attributes, hex_iv, program_date_time, resolution
+from mediaprism.functions.text import attributes, hex_iv, hex_section, program_date_time, resolution, resolved
 
 
 def lines(manifests: DataFrame) -> DataFrame:
@@ -19,6 +19,14 @@ def lines(manifests: DataFrame) -> DataFrame:
     return rows.select("*", tag.alias("tag"), F.when(F.col("line").contains(":"), F.regexp_replace("line", "^[^:]*:", "")).otherwise("").alias("value"), (~F.col("line").startswith("#")).alias("is_uri"))
 
 
+def _located(rows: DataFrame, manifests: DataFrame, *columns: str) -> DataFrame:
+    """The named URI columns resolved against the playlist's url, if there is one."""
+    if "url" not in manifests.columns:
+        return rows
+    joined = rows.join(manifests.select(F.col("manifest_id").alias("_m"), F.col("url").alias("_url")), F.col("manifest_id") == F.col("_m"), "left")
+    return joined.withColumns({c: F.when(F.col(c).isNotNull(), resolved(F.col("_url"), F.col(c))) for c in columns}).drop("_m", "_url")
+
+
 def playlists(manifests: DataFrame) -> DataFrame:
     """One row per playlist: master or media, live, target duration and the header's numbers."""
     r = lines(manifests)
@@ -38,7 +46,8 @@ def renditions(manifests: DataFrame) -> DataFrame:
     """Variants, I-frame playlists and MEDIA entries with a URI. Names that repeat gain the bandwidth, then a number."""
     r = lines(manifests)
     w = Window.partitionBy("manifest_id").orderBy("n")
-    r = r.withColumn("next", F.lead("line").over(w)).where("tag IN ('EXT-X-STREAM-INF', 'EXT-X-I-FRAME-STREAM-INF', 'EXT-X-MEDIA')").withColumn("a", attributes(F.col("value")))
+    # A variant waits for the next line that is a URI, whatever comments and tags stand between.
+    r = r.withColumn("next", F.first(F.when(F.col("is_uri"), F.col("line")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))).where("tag IN ('EXT-X-STREAM-INF', 'EXT-X-I-FRAME-STREAM-INF', 'EXT-X-MEDIA')").withColumn("a", attributes(F.col("value")))
     a = lambda k: F.col("a")[k]
     codecs = F.lower(F.coalesce(a("CODECS"), F.lit("")))
     has_video, has_audio = codecs.rlike("avc1|avc3|hvc1|hev1|av01|vp0?9|dvh"), codecs.rlike("mp4a|ac-3|ec-3|opus|flac")
@@ -72,6 +81,7 @@ def renditions(manifests: DataFrame) -> DataFrame:
     same = Window.partitionBy("manifest_id", "name")
     out = out.withColumn("name", F.when(F.count("*").over(same) > 1, F.concat_ws(" ", "name", F.concat(F.floor(F.col("bandwidth") / 1000).cast("string"), F.lit("kbps")))).otherwise(F.col("name")))
     nth = F.row_number().over(same.orderBy("n"))
+    out = _located(out, manifests, "uri")
     return out.withColumn("name", F.when((F.count("*").over(same) > 1) & (nth > 1), F.concat(F.col("name"), F.lit(" #"), nth.cast("string"))).otherwise(F.col("name")))
 
 
@@ -81,6 +91,67 @@ def captions(manifests: DataFrame) -> DataFrame:
     return r.groupBy("manifest_id", F.col("a")["GROUP-ID"].alias("group_id")).agg(F.array_sort(F.collect_set(F.col("a")["INSTREAM-ID"])).alias("instream_ids"))
 
 
+def with_captions(found: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Renditions with the INSTREAM-IDs that their captions group declares; an empty list where there are none."""
+    c = captions(manifests).withColumnsRenamed({"manifest_id": "_m", "group_id": "_g"})
+    joined = found.join(c, (F.col("manifest_id") == F.col("_m")) & (F.col("captions_group") == F.col("_g")), "left")
+    return joined.withColumn("caption_ids", F.coalesce("instream_ids", F.array().cast("array<string>"))).drop("_m", "_g", "instream_ids")
+
+
+def _numbered(manifests: DataFrame) -> DataFrame:
+    """Lines with the number of the segment that each belongs to: how many URI lines stand before it."""
+    by_line = Window.partitionBy("manifest_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    head = playlists(manifests).select("manifest_id", "media_sequence", "live", "master").where("NOT master")
+    return lines(manifests).withColumn("segment", F.coalesce(F.sum(F.col("is_uri").cast("int")).over(by_line), F.lit(0))).join(head, "manifest_id")
+
+
+def _ranges(rows: DataFrame, order: str, text: Column) -> DataFrame:
+    """``offset`` and ``length`` of byte ranges; one without an offset goes on after the one before of the same URI, else begins at 0."""
+    r = rows.withColumns({"length": F.regexp_extract(F.coalesce(text, F.lit("")), r"^(\d+)", 1).try_cast("long"), "_stated": F.regexp_extract(F.coalesce(text, F.lit("")), r"@(\d+)$", 1).try_cast("long")})
+    same = Window.partitionBy("manifest_id", "uri").orderBy(order)
+    r = r.withColumn("_island", F.sum(F.when(F.col("_stated").isNotNull() | F.col("length").isNull(), 1).otherwise(0)).over(same))
+    inside = Window.partitionBy("manifest_id", "uri", "_island").orderBy(order)
+    return r.withColumn("offset", F.when(F.col("length").isNotNull(), F.coalesce(F.first("_stated").over(inside), F.lit(0)) + F.coalesce(F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))).drop("_stated", "_island")
+
+
+def parts(manifests: DataFrame) -> DataFrame:
+    """Low-latency parts: sequence of their segment, idx in it, uri, duration, byte range, independent, gap."""
+    r = _numbered(manifests).where("tag = 'EXT-X-PART'").withColumn("a", attributes(F.col("value")))
+    r = _ranges(r.withColumn("uri", F.col("a")["URI"]), "n", F.col("a")["BYTERANGE"])
+    idx = F.row_number().over(Window.partitionBy("manifest_id", "segment").orderBy("n")) - 1
+    out = r.select("manifest_id", (F.col("segment") + F.col("media_sequence")).alias("sequence"), idx.alias("idx"), "uri", F.col("a")["DURATION"].try_cast("double").alias("duration"), F.when(F.col("length").isNotNull(), F.struct("offset", "length")).alias("byte_range"), F.coalesce(F.col("a")["INDEPENDENT"] == "YES", F.lit(False)).alias("independent"), F.coalesce(F.col("a")["GAP"] == "YES", F.lit(False)).alias("gap"))
+    return _located(out, manifests, "uri")
+
+
+def preload_hints(manifests: DataFrame) -> DataFrame:
+    """What a live playlist says will come next: kind, uri and where it starts."""
+    a = attributes(F.col("value"))
+    r = _numbered(manifests).where("tag = 'EXT-X-PRELOAD-HINT'").select("manifest_id", (F.col("segment") + F.col("media_sequence")).alias("sequence"), F.lower(a["TYPE"]).alias("kind"), a["URI"].alias("uri"), F.coalesce(a["BYTERANGE-START"].try_cast("long"), F.lit(0)).alias("offset"), a["BYTERANGE-LENGTH"].try_cast("long").alias("length"))
+    return _located(r, manifests, "uri")
+
+
+def ad_breaks(manifests: DataFrame) -> DataFrame:
+    """Declared breaks: tag, id, out_of_network, start (wall clock), at_sequence (of the next segment), duration, section (bytes).
+
+    Date ranges count where they carry a splice section; CUE-OUT and CUE-IN stand at the next segment, CUE-OUT-CONT says nothing new.
+    """
+    a = F.when(F.col("tag") == "EXT-X-DATERANGE", attributes(F.col("value")))
+    r = _numbered(manifests).where("tag IN ('EXT-X-DATERANGE', 'EXT-X-CUE-OUT', 'EXT-X-CUE-IN')").withColumn("a", a)
+    hexed = F.coalesce(F.col("a")["SCTE35-OUT"], F.col("a")["SCTE35-IN"], F.col("a")["SCTE35-CMD"])
+    ranged = F.col("tag") == "EXT-X-DATERANGE"
+    said = F.regexp_extract("value", r"(?:^|DURATION=)\s*([0-9.]+)", 1).try_cast("double")
+    return r.where(~ranged | hexed.isNotNull()).select(
+        "manifest_id",
+        F.replace("tag", F.lit("EXT-X-"), F.lit("")).alias("tag"),
+        F.col("a")["ID"].alias("id"),
+        F.when(ranged, F.col("a")["SCTE35-OUT"].isNotNull()).otherwise(F.col("tag") == "EXT-X-CUE-OUT").alias("out_of_network"),
+        program_date_time(F.col("a")["START-DATE"]).alias("start"),
+        F.when(~ranged, F.col("segment") + F.col("media_sequence")).alias("at_sequence"),
+        F.when(ranged, F.coalesce(F.col("a")["DURATION"], F.col("a")["PLANNED-DURATION"]).try_cast("double")).otherwise(said).alias("duration"),
+        hex_section(hexed).alias("section"),
+    )
+
+
 def segments(manifests: DataFrame) -> DataFrame:
     """Media segments in order, with sticky MAP and KEY, pending tags, byte ranges and wall clocks carried on."""
     r = lines(manifests)
@@ -110,14 +181,8 @@ def segments(manifests: DataFrame) -> DataFrame:
     head = playlists(manifests).select("manifest_id", "media_sequence", F.col("discontinuity_sequence").alias("first_ds"), "live", "master").where("NOT master")
     s = s.join(head, "manifest_id")
     order = Window.partitionBy("manifest_id").orderBy("segment")
-    length = F.regexp_extract(F.coalesce("range", F.lit("")), r"^(\d+)", 1).try_cast("long")
-    offset = F.regexp_extract(F.coalesce("range", F.lit("")), r"@(\d+)$", 1).try_cast("long")
-    s = s.withColumns({"length": length, "stated_offset": offset, "pdt_stated": program_date_time(F.col("stated"))})
-    # A range without an offset goes on after the one before of the same URI: islands begin where an offset is stated.
-    same = Window.partitionBy("manifest_id", "uri").orderBy("segment")
-    s = s.withColumn("island", F.sum(F.when(F.col("stated_offset").isNotNull() | F.col("length").isNull(), 1).otherwise(0)).over(same))
-    inside = Window.partitionBy("manifest_id", "uri", "island").orderBy("segment")
-    s = s.withColumn("offset", F.when(F.col("length").isNotNull(), F.coalesce(F.first("stated_offset").over(inside), F.lit(0)) + F.coalesce(F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    s = s.withColumn("pdt_stated", program_date_time(F.col("stated")))
+    s = _ranges(s, "segment", F.col("range"))
     # Wall clocks likewise: an anchor or a discontinuity begins an island, durations add up in it.
     s = s.withColumn("clock", F.sum(F.when(F.col("pdt_stated").isNotNull() | F.col("discontinuity"), 1).otherwise(0)).over(order))
     since = Window.partitionBy("manifest_id", "clock").orderBy("segment")
@@ -125,7 +190,7 @@ def segments(manifests: DataFrame) -> DataFrame:
     passed = F.coalesce(F.sum(F.round(F.col("duration") * 1_000_000).cast("long")).over(since.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     none = F.upper(F.coalesce(F.col("key.method"), F.lit("NONE"))) == "NONE"
     keyed = lambda c: F.when(~none, c)
-    return s.select(
+    out = s.select(
         "manifest_id",
         (F.row_number().over(order) - 1 + F.col("media_sequence")).alias("sequence"),
         "uri",
@@ -143,6 +208,7 @@ def segments(manifests: DataFrame) -> DataFrame:
         "gap",
         "live",
     )
+    return _located(out, manifests, "uri", "init_uri", "key_uri")
 
 
 def kind_of(url: Column, content_type: Column, body: Column) -> Column:

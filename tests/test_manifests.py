@@ -2,9 +2,13 @@
 
 import datetime
 
+import pytest
+from conftest import SF, rows_of
 from pyspark.sql import functions as F
 
+from mediaprism import queries
 from mediaprism.functions import codecs, text
+from mediaprism.plans import manifests as written
 from mediaprism.sources import dash, hls
 
 MEDIA = """#EXTM3U
@@ -91,3 +95,17 @@ def test_aes_round_trip(spark):
     whole = F.aes_encrypt(F.lit("some media").cast("binary"), key, F.lit("CBC"), F.lit("PKCS"), iv)
     row = spark.range(1).select(whole.alias("x")).select(text.decrypted(F.expr("substring(x, 17)"), key, iv).cast("string").alias("ok"), text.decrypted(F.expr("substring(x, 18)"), key, iv).alias("bad")).first()
     assert row["ok"] == "some media" and row["bad"] is None
+
+
+@pytest.mark.parametrize("name", sorted(written.SQL))
+def test_reader_agrees_with_sql(spark, duck, name):
+    assert rows_of(queries.QUERIES[name](spark, SF).toPandas()) == rows_of(duck.execute(queries.SQL[name]).df())
+
+
+def test_window_edges_of_a_live_template(spark):
+    mpd = '<MPD type="dynamic" timeShiftBufferDepth="PT60S"><Period start="PT10S"><AdaptationSet contentType="video"><SegmentTemplate media="$Number$.m4s" duration="4" startNumber="1"/><Representation id="a"/></AdaptationSet></Period></MPD>'
+    e = dash.window_edges(manifests(spark, mpd), now=110.0).first()
+    assert (e["next"], e["oldest"], e["unsupported"]) == (26, 11, False) and e["probes"][0] == 11 and e["probes"][-1] == 25 and len(e["probes"]) == 15
+    assert dash.window_edges(manifests(spark, mpd), now=9.0).first()["unsupported"]
+    s = dash.segments(manifests(spark, mpd), now=110.0).orderBy("sequence").collect()
+    assert [r["sequence"] for r in s] == list(range(14, 26))
