@@ -22,7 +22,7 @@ is no hot group.
 Cases: null and empty texts have no lines; a row that repeats another's id and text is the same
 document and is treated alike; of different texts under one id the one read first comes first; runs of one
 text may repeat each other, the first stays; rows without an id come first; of a very long text
-(24 bytes a word, and a megabyte of it at a time while it is hashed) there is one array of hashes; an empty table
+(24 bytes a word, and 256 KB of it at a time while it is hashed) there is one array of hashes; an empty table
 gives none; other columns are untouched.
 """
 
@@ -44,7 +44,7 @@ CUT = 7
 LONG = 2 * CUT - 2
 _BASES = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _PLACE_BITS = np.uint64(28)
-_SPAN = 1 << 20
+_SPAN = 1 << 18
 _SPACE, _BREAK, _DOT = b" \n."
 
 
@@ -145,13 +145,13 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of a base and of its inverse, from 1 to n and from 0 to n; up to two million are kept."""
+    """The powers of a base and of its inverse, from 1 to n and from 0 to n; up to half a million are kept."""
     up, down = _POWERS.get(base, (np.zeros(0, np.uint64),) * 2)
     if len(up) < n:
         with np.errstate(over="ignore"):
             up = np.cumprod(np.full(max(n, 1024), np.uint64(base)))
             down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(up), np.uint64(pow(base, -1, 1 << 64))))])
-        if len(up) <= 1 << 21:
+        if len(up) <= 1 << 19:
             _POWERS[base] = up, down
     return up[:n], down[: n + 1]
 

@@ -68,7 +68,7 @@ class Rows:
     def of(pairs: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
         return Rows(
             np.cumsum([0, *(len(t) for t, _ in pairs)]),
-            np.concatenate([np.zeros(0, np.int64), *(t for t, _ in pairs)]),
+            np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for t, _ in pairs)]),
             np.concatenate([np.zeros(0), *(w for _, w in pairs)]),
         )
 
@@ -81,7 +81,7 @@ class Rows:
 
     def at(self) -> np.ndarray:
         """The row of each entry."""
-        return np.repeat(np.arange(len(self)), np.diff(self.start))
+        return np.repeat(np.arange(len(self), dtype=np.int32), np.diff(self.start))
 
     def take(self, rows: np.ndarray) -> Rows:
         return Rows.of([(self.terms[self.start[i] : self.start[i + 1]], self.weights[self.start[i] : self.start[i + 1]]) for i in rows])
