@@ -25,11 +25,11 @@ from mediaprism.llm.toxicity import fit_and_score
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.5 or more go."""
+    """Documents scored 0.5 or more go. The text alone is scored, so its key names the document, as an id may be null or repeat."""
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
-    rest = [c for c in docs.columns if c != "doc_id"]  # under other names on the way, as theirs may be any
-    scored = fit_and_score(docs, labels, also=tuple(F.col(c).alias(f"_{i}") for i, c in enumerate(rest)))
-    return scored.where("predicted = 0").select("doc_id", *[F.col(f"_{i}").alias(c) for i, c in enumerate(rest)]).select(*docs.columns)
+    texts = docs.select("doc_id", "text", text_key(F.col("text")).alias("found_text"))
+    toxic = fit_and_score(texts, labels, also=(F.col("found_text"),)).where("predicted = 1").select("found_text").distinct()
+    return docs.join(toxic, text_key(docs["text"]) == toxic["found_text"], "left_anti")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
