@@ -10,21 +10,33 @@ import re
 import struct
 from statistics import median_high
 
-from mediaprism.media.bits import avc_sps, keyframes, nal_units
+from mediaprism.media.audio import box_config, mpeg_frames
+from mediaprism.media.bits import VideoShape, keyframes, shape_of
+from mediaprism.media.captions import seen
+from mediaprism.media.splices import emsg, splice
 
 CLOCK = 90_000
 TURN = 1 << 33
 _CAPTURE = 1 << 20
-#: More samples than this in one run are a misread.
-_MOST_SAMPLES = 100_000
+_MOST_SPLICES = 256
 
 # Stream types of transport streams, and sampling rates of ADTS.
 STREAM_TYPES = {0x0F: ("audio", "aac"), 0x03: ("audio", "mp2"), 0x04: ("audio", "mp2"), 0x1B: ("video", "h264"), 0x24: ("video", "hevc"), 0x81: ("audio", "ac3"), 0x86: ("other", "scte35")}
 RATES = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350)
 
 
+MORE = ("profile", "level", "tier", "constraints", "primaries", "transfer", "matrix", "full_range", "object_type", "sbr", "ps", "captions", "clear_samples", "encrypted_samples", "leading_clear_samples", "crypt_pattern")
+
+
+def _shaped(t: dict, s: VideoShape | None) -> None:
+    if s:
+        t |= {"width": s.width, "height": s.height, "profile": s.profile, "level": s.level, "tier": s.tier, "constraints": s.constraints}
+        if s.colour:
+            t |= {"primaries": s.colour.primaries, "transfer": s.colour.transfer, "matrix": s.colour.matrix, "full_range": s.colour.full_range}
+
+
 def track(kind: str, codec: str, **more) -> dict:
-    return dict.fromkeys(("timescale", "min_pts", "max_pts", "samples", "stated_dur", "frame_dur", "width", "height", "sample_rate", "channels", "cc_errors", "opens_on_keyframe", "has_keyframe", "protection")) | {"kind": kind, "codec": codec} | more
+    return dict.fromkeys(("timescale", "min_pts", "max_pts", "samples", "stated_dur", "frame_dur", "width", "height", "sample_rate", "channels", "cc_errors", "opens_on_keyframe", "has_keyframe", "protection", *MORE)) | {"kind": kind, "codec": codec} | more
 
 
 def _clock(b: bytes) -> int:
@@ -42,6 +54,22 @@ def parse_ts(data: bytes) -> dict | None:
     bodies: dict[int, bytearray] = {}
     counters: dict[int, int] = {}
     errors: dict[int, int] = {}
+    sections: dict[int, bytearray] = {}
+    told: list[dict] = []
+
+    def table(pid: int, s: bytes) -> None:
+        """A whole section: programs, streams or a splice."""
+        size = len(s) - 4
+        if pid == 0 and s[0] == 0:
+            pmts.update((s[k + 2] & 31) << 8 | s[k + 3] for k in range(8, size - 3, 4) if s[k] or s[k + 1])
+        elif pid in pmts and s[0] == 2:
+            k = 12 + ((s[10] & 15) << 8 | s[11])
+            while k + 5 <= size:
+                streams[(s[k + 1] & 31) << 8 | s[k + 2]] = STREAM_TYPES.get(s[k], ("other", f"0x{s[k]:02x}"))
+                k += 5 + ((s[k + 3] & 15) << 8 | s[k + 4])
+        elif s[0] == 0xFC and len(told) < _MOST_SPLICES and (found := splice(s)):
+            told.append(found | {"timescale": CLOCK})
+
     for i in range(start, len(data) - 187, 188):
         p = data[i : i + 188]
         if p[0] != 0x47:
@@ -60,18 +88,21 @@ def parse_ts(data: bytes) -> dict | None:
         counters[pid] = counter
         if again:
             continue
-        if (pid == 0 or pid in pmts) and begins and body:
-            s = body[1 + body[0] :]
-            if len(s) < 8:
-                continue
-            size = min(len(s), 3 + ((s[1] & 15) << 8 | s[2])) - 4
-            if pid == 0 and s[0] == 0:
-                pmts |= {(s[k + 2] & 31) << 8 | s[k + 3] for k in range(8, size - 3, 4) if s[k] or s[k + 1]}
-            elif s[0] == 2:
-                k = 12 + ((s[10] & 15) << 8 | s[11])
-                while k + 5 <= size:
-                    streams[(s[k + 1] & 31) << 8 | s[k + 2]] = STREAM_TYPES.get(s[k], ("other", f"0x{s[k]:02x}"))
-                    k += 5 + ((s[k + 3] & 15) << 8 | s[k + 4])
+        if pid == 0 or pid in pmts or streams.get(pid, ("", ""))[1] == "scte35":
+            # A section may span packets: what a pointer says belongs to the one before completes it.
+            held = sections.setdefault(pid, bytearray())
+            if begins and body:
+                held += body[1 : 1 + body[0]]
+            elif held:
+                held += body
+            for last in (False, True):
+                if len(held) >= 3 and len(held) >= (size := 3 + ((held[1] & 15) << 8 | held[2])):
+                    table(pid, bytes(held[:size]))
+                    held.clear()
+                if begins and body and not last:
+                    held[:] = body[1 + body[0] :]
+                if not begins:
+                    break
         elif pid in streams:
             if begins and body[:3] == b"\0\0\1" and len(body) > 14:
                 if body[7] & 128:
@@ -90,16 +121,16 @@ def parse_ts(data: bytes) -> dict | None:
         if pts:
             t |= {"min_pts": min(pts) % TURN, "max_pts": max(pts) % TURN, "frame_dur": median_high(steps) if steps else None}
         body = bytes(bodies.get(pid, b""))
-        if codec == "h264":
-            shape = next((s for u in nal_units(body, 64) if u and u[0] & 31 == 7 and (s := avc_sps(u))), None)
-            if shape:
-                t |= {"width": shape.width, "height": shape.height}
-            if (k := keyframes(body)) is not None:
-                t |= {"opens_on_keyframe": k[0], "has_keyframe": k[1]}
+        if codec in ("h264", "hevc"):
+            _shaped(t, shape_of(body, codec))
+            if (k := keyframes(body, codec, len(body) < _CAPTURE)) is not None:
+                t |= {"opens_on_keyframe": k[0], "has_keyframe": k[1], "captions": seen(body, codec)}
         elif codec == "aac" and (a := adts(body)):
             t |= {"sample_rate": a[0], "channels": a[1]}
+        elif codec == "mp2" and (m := mpeg_frames(body)):
+            t |= {"codec": f"mp{m['layer']}", "sample_rate": m["sample_rate"], "channels": m["channels"]}
         tracks.append(t)
-    return {"container": "ts", "tracks": tracks} if tracks else None
+    return {"container": "ts", "tracks": tracks, "splices": told} if tracks else None
 
 
 def adts(data: bytes) -> tuple[int, int, int, int] | None:
@@ -131,7 +162,12 @@ def parse_packed_audio(data: bytes) -> dict | None:
             i += 10 + size
         i = end
     if not (a := adts(data[i:])):
-        return None
+        if not (m := mpeg_frames(data[i:])):
+            return None
+        if not m["frames"]:
+            return {"container": "packed", "tracks": [], "unsupported": True}
+        length = m["samples"] * CLOCK // m["sample_rate"]
+        return {"container": "packed", "tracks": [track("audio", f"mp{m['layer']}", timescale=CLOCK, min_pts=pts, max_pts=pts, samples=m["frames"], stated_dur=length, frame_dur=length // m["frames"], sample_rate=m["sample_rate"], channels=m["channels"])]}
     length = a[3] * CLOCK // a[0]
     return {"container": "packed", "tracks": [track("audio", "aac", timescale=CLOCK, min_pts=pts, max_pts=pts, samples=a[2], stated_dur=length, frame_dur=length // a[2], sample_rate=a[0], channels=a[1])]}
 
@@ -185,6 +221,23 @@ def _tracks_of(data: bytes) -> dict[int, dict]:
                     t["kind"], t["codec"] = ENTRIES.get(data[p : p + 4].decode("latin-1"), (t["kind"], None))
                 for p, _ in _inside(data, "sinf/schm", inner, e):
                     t["protection"] = data[p + 4 : p + 8].decode("latin-1")
+                for p, q in _inside(data, "sinf/schi/tenc", inner, e):
+                    if q - p >= 8:
+                        t["crypt_pattern"] = data[p] > 0 and data[p + 5] != 0
+                        t["_guard"] = (data[p + 6], data[p + 7])
+                for box, p, q in boxes(data, inner, e):
+                    if t["kind"] == "audio" and (c := box_config(box, data[p:q])):
+                        t |= c
+                    elif box == "avcC" and q - p >= 4:
+                        t |= {"profile": data[p + 1], "constraints": data[p + 2], "level": data[p + 3]}
+                    elif box == "hvcC" and q - p >= 13:
+                        t |= {"profile": data[p + 1] & 31, "tier": data[p + 1] >> 5 & 1, "level": data[p + 12]}
+                    elif box == "av1C" and q - p >= 3:
+                        t |= {"profile": data[p + 1] >> 5, "level": data[p + 1] & 31, "tier": data[p + 2] >> 7}
+                    elif box == "vpcC" and q - p >= 6:
+                        t |= {"profile": data[p + 4], "level": data[p + 5]}
+                    if box == "colr" and q - p >= 11 and data[p : p + 4] == b"nclx":
+                        t |= dict(zip(("primaries", "transfer", "matrix"), struct.unpack_from(">HHH", data, p + 4), strict=True)) | {"full_range": bool(data[p + 10] >> 7)}
                 found[number] = t
                 break
     for x, _ in _inside(data, "moov/mvex/trex", 0, len(data)):
@@ -194,6 +247,31 @@ def _tracks_of(data: bytes) -> dict[int, dict]:
     return found
 
 
+def _uuid(raw: bytes) -> str:
+    x = raw.hex()
+    return "-".join((x[:8], x[8:12], x[12:16], x[16:20], x[20:]))
+
+
+def _guarded(t: dict, data: bytes, a: int, b: int, n: int) -> None:
+    """How many samples of a fragment are clear and encrypted, by the sizes of their auxiliary information."""
+    if not t["protection"] or not n:
+        return
+    sizes: list[int] | None = None
+    for x, y in _inside(data, "saiz", a, b):
+        i = x + 4 + (8 if data[x + 3] & 1 else 0)
+        count = struct.unpack_from(">I", data, i + 1)[0]
+        sizes = [data[i]] * min(count, n) if data[i] else list(data[i + 5 : min(y, i + 5 + count)])
+    held = any(True for _ in _inside(data, "senc", a, b))
+    if sizes is None:
+        sizes = [1] * n if held or t.get("_guard", (1, 8))[0] and t.get("_guard", (1, 8))[1] == 0 else [0] * n
+    sizes = (sizes + [0] * n)[:n]
+    enc = sum(1 for s in sizes if s)
+    lead = next((k for k, s in enumerate(sizes) if s), n)
+    if not t["encrypted_samples"]:
+        t["leading_clear_samples"] = (t["leading_clear_samples"] or 0) + lead
+    t["encrypted_samples"], t["clear_samples"] = (t["encrypted_samples"] or 0) + enc, (t["clear_samples"] or 0) + n - enc
+
+
 def parse_mp4(data: bytes, init: bytes | None = None) -> dict | None:
     """Tracks of a fragment, described by its init segment or its own moov."""
     if not any(k in ("ftyp", "styp", "moof", "moov", "sidx") for k, _, _ in boxes(data)):
@@ -211,6 +289,7 @@ def parse_mp4(data: bytes, init: bytes | None = None) -> dict | None:
                 i += 4
             if flags & 32:
                 sample_flags = struct.unpack_from(">I", data, i)[0]
+        had = t["samples"] or 0
         at = 0
         for x, _ in _inside(data, "tfdt", a, b):
             at = struct.unpack_from(">Q" if data[x] else ">I", data, x + 4)[0]
@@ -221,7 +300,7 @@ def parse_mp4(data: bytes, init: bytes | None = None) -> dict | None:
             if flags & 4:
                 first, i = struct.unpack_from(">I", data, i)[0], i + 4
             each = sum(4 for bit in (256, 512, 1024, 2048) if flags & bit)
-            if n * each > y - i or n > _MOST_SAMPLES:
+            if n * each > y - i or not each and n > (1 << 24):
                 return None
             for k in range(n):
                 step, own, shift = length, first if k == 0 and first is not None else sample_flags, 0
@@ -241,11 +320,19 @@ def parse_mp4(data: bytes, init: bytes | None = None) -> dict | None:
                     t["opens_on_keyframe"] = sync if t["opens_on_keyframe"] is None else t["opens_on_keyframe"]
                     t["has_keyframe"] = bool(t["has_keyframe"]) or sync
                 t["samples"], t["stated_dur"], at = (t["samples"] or 0) + 1, (t["stated_dur"] or 0) + step, at + step
+        _guarded(t, data, a, b, (t["samples"] or 0) - had)
+    starts = {k: t["min_pts"] for k, t in tracks.items()}
+    told = []
+    first = next((k for k in tracks if starts[k] is not None), None)
+    for kind, a, b in boxes(data):
+        if kind == "emsg" and len(told) < _MOST_SPLICES and first is not None and (m := emsg(data[a:b], starts[first], tracks[first]["timescale"] or 1)) and m["splice"]:
+            told.append(m["splice"] | {"pts": m["pts"] if m["splice"]["pts"] is None else m["splice"]["pts"], "timescale": tracks[first]["timescale"] if m["splice"]["pts"] is None else CLOCK})
     for t in tracks.values():
-        t.pop("_default", None)
+        t.pop("_default", None), t.pop("_guard", None)
         if t["samples"]:
             t["frame_dur"] = t["stated_dur"] // t["samples"] or None
-    return {"container": "mp4", "tracks": [tracks[k] for k in sorted(tracks, key=lambda k: k or 0)]}
+    guards = [_uuid(d[a + 4 : a + 20]) for d in (init or b"", data) for at in ("moov/pssh", "moof/pssh") for a, b in _inside(d, at, 0, len(d)) if b - a >= 20]
+    return {"container": "mp4", "drm": sorted(set(guards)), "splices": told, "tracks": [tracks[k] for k in sorted(tracks, key=lambda k: k or 0)]}
 
 
 _CUE = re.compile(r"((?:\d+:)?\d{2}:\d{2}[.,]\d{3})\s+-->\s+((?:\d+:)?\d{2}:\d{2}[.,]\d{3})")
@@ -267,7 +354,7 @@ def parse_webvtt(data: bytes) -> dict | None:
     cues = [(_ms(a), _ms(b)) for a, b in _CUE.findall(text)]
     clock = re.search(r"X-TIMESTAMP-MAP=.*MPEGTS:(\d+)", text)
     t = track("text", "wvtt", timescale=1000, samples=len(cues), min_pts=min((a for a, _ in cues), default=None), max_pts=max((b for _, b in cues), default=None))
-    return {"container": "webvtt", "tracks": [t], "map": int(clock[1]) if clock else None}
+    return {"container": "webvtt", "tracks": [t], "cues": cues, "map": int(clock[1]) if clock else None}
 
 
 _PARAGRAPH = re.compile(r"<(?:\w+:)?p\b([^>]*)>")
@@ -297,7 +384,7 @@ def parse_ttml(data: bytes) -> dict | None:
         end, length = _ttml_ms(found.get("end", ""), frames, ticks), _ttml_ms(found.get("dur", ""), frames, ticks)
         if begin is not None:
             cues.append((begin, end if end is not None else begin + (length or 0)))
-    return {"container": "ttml", "tracks": [track("text", "stpp", timescale=1000, samples=len(cues), min_pts=min((a for a, _ in cues), default=None), max_pts=max((b for _, b in cues), default=None))]}
+    return {"container": "ttml", "cues": cues, "tracks": [track("text", "stpp", timescale=1000, samples=len(cues), min_pts=min((a for a, _ in cues), default=None), max_pts=max((b for _, b in cues), default=None))]}
 
 
 def parse(data: bytes, init: bytes | None = None) -> dict | None:
@@ -307,5 +394,5 @@ def parse(data: bytes, init: bytes | None = None) -> dict | None:
             if (found := read()) is not None:
                 return found
         except (struct.error, IndexError, ValueError, UnboundLocalError):
-            return None
+            continue  # damaged as this container; another may still know it
     return None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from mediaprism.media.bits import Bits
 
 TURN = 1 << 33
@@ -87,3 +89,30 @@ def splice(section: bytes) -> dict | None:
     if insert is not None:
         out["event_id"] = insert
     return None if b.short else out
+
+
+def emsg(data: bytes, start: int | None, scale: int) -> dict | None:
+    """An event message box's payload: scheme, value, id, pts (in ``scale`` ticks), duration, and the splice in it, if it holds one.
+
+    Version 0 counts from the fragment's ``start`` (in ``scale`` ticks), version 1 from zero, both in their own timescale.
+    """
+    if len(data) < 4:
+        return None
+    version, i = data[0], 4
+    numbers: tuple[int, ...] = ()
+    if version == 1:
+        if len(data) < 32:
+            return None
+        numbers, i = struct.unpack_from(">IQII", data, 4), 24
+    scheme, _, rest = data[i:].partition(b"\0")
+    value, _, rest = rest.partition(b"\0")
+    if version == 0:
+        if len(rest) < 16:
+            return None
+        numbers, rest = struct.unpack_from(">IIII", rest, 0), rest[16:]
+    own, at, length, number = numbers
+    if not own:
+        return None
+    ticks = at * scale // own
+    pts = ticks if version == 1 else None if start is None else start + ticks
+    return {"scheme": scheme.decode("utf-8", "replace"), "value": value.decode("utf-8", "replace"), "id": number, "pts": pts, "duration": None if length == 0xFFFFFFFF else length * scale // own, "splice": splice(rest) if b"scte35" in scheme else None}

@@ -11,22 +11,41 @@ from mediaprism.media.containers import parse
 FIELDS = {
     "kind": "string", "codec": "string", "timescale": "long", "min_pts": "long", "max_pts": "long", "samples": "long", "stated_dur": "long", "frame_dur": "long", "width": "long", "height": "long",
     "sample_rate": "long", "channels": "long", "cc_errors": "long", "opens_on_keyframe": "boolean", "has_keyframe": "boolean", "protection": "string",
+    "profile": "long", "level": "long", "tier": "long", "constraints": "long", "primaries": "long", "transfer": "long", "matrix": "long", "full_range": "boolean", "object_type": "long", "sbr": "boolean", "ps": "boolean",
+    "captions": "strings", "clear_samples": "long", "encrypted_samples": "long", "leading_clear_samples": "long", "crypt_pattern": "boolean",
 }
-_ARROW = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
-_TRACK = pa.struct([(k, _ARROW[v]) for k, v in FIELDS.items()])
+SPLICE = {"command": "string", "pts": "long", "timescale": "long", "event_id": "long", "out_of_network": "boolean", "duration": "long", "segmentation_type": "long", "upid": "string"}
+_ARROW = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "strings": pa.list_(pa.string())}
+_SQL = {"string": "string", "long": "bigint", "boolean": "boolean", "strings": "array<string>"}
+_TRACK, _SPLICE, _CUE = (pa.struct([(k, _ARROW[v]) for k, v in f.items()]) for f in (FIELDS, SPLICE, {"begin_ms": "long", "end_ms": "long"}))
+_MOST_CUES = 100_000
 
 
 def media(bodies: DataFrame) -> DataFrame:
-    """uri, container (null: not recognised), bytes and tracks of each body (uri, body, init)."""
-    schema = f"uri string, container string, bytes long, tracks array<struct<{','.join(f'{k}:{v if v != "long" else "bigint"}' for k, v in FIELDS.items())}>>"
+    """Of each body (uri, body, init; more columns stay) container (null: not recognised), supported, bytes, tracks, splices, drm, cues, map (the clock a subtitle file states).
+
+    The key of a body is every column but ``body`` and ``init``.
+    """
+    keys = [c for c in bodies.columns if c not in ("body", "init")]
+    struct = lambda fields: "struct<" + ",".join(f"{k}:{_SQL[v]}" for k, v in fields.items()) + ">"
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bodies.select(*keys).schema)
+    schema = f"{kept}, container string, supported boolean, bytes long, tracks array<{struct(FIELDS)}>, splices array<{struct(SPLICE)}>, drm array<string>, cues array<struct<begin_ms:bigint,end_ms:bigint>>, map long"
+    names = [*keys, "container", "supported", "bytes", "tracks", "splices", "drm", "cues", "map"]
 
     def run(batches):
         for b in batches:
-            found = [parse(x.as_py() or b"", i.as_py()) for x, i in zip(b.column(1), b.column(2), strict=True)]
-            tracks = [[{k: t.get(k) for k in FIELDS} for t in f["tracks"]] if f else [] for f in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f and f["container"] for f in found], pa.string()), pa.array([len(x.as_py() or b"") for x in b.column(1)], pa.int64()), pa.array(tracks, pa.list_(_TRACK))], ["uri", "container", "bytes", "tracks"])
-
-    return bodies.select("uri", "body", "init").mapInArrow(run, schema)
+            out = []
+            for x, i in zip(b.column(len(keys)), b.column(len(keys) + 1), strict=True):
+                raw = x.as_py() or b""
+                f = parse(raw, i.as_py()) or {}
+                tracks = [{k: t.get(k) for k in FIELDS} for t in f.get("tracks", [])]
+                splices = [{k: t.get(k) for k in SPLICE} for t in f.get("splices", [])]
+                cues = [{"begin_ms": a, "end_ms": z} for a, z in f.get("cues", [])[:_MOST_CUES]]
+                out.append((f.get("container"), bool(f) and not f.get("unsupported", False), len(raw), tracks, splices, f.get("drm", []), cues, f.get("map")))
+            kinds = [pa.string(), pa.bool_(), pa.int64(), pa.list_(_TRACK), pa.list_(_SPLICE), pa.list_(pa.string()), pa.list_(_CUE), pa.int64()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], *(pa.array([o[j] for o in out], k) for j, k in enumerate(kinds))], names)
+
+    return bodies.select(*keys, "body", "init").mapInArrow(run, schema)
 
 
 def tracks(parsed: DataFrame) -> DataFrame:
