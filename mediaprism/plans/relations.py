@@ -165,3 +165,8 @@ r AS (SELECT * FROM r0 WHERE NOT failed), s AS (SELECT s0.* FROM s0 JOIN r USING
 p AS (SELECT s.* FROM s WHERE parsed),
 parts AS ({PARTS}), splices AS ({SPLICES}), breaks AS ({BREAKS}), cues AS ({dialect(CUES, DUCKDB)}), probes AS ({dialect(PROBES, DUCKDB)}), observations AS ({OBSERVATIONS})
 {body}"""
+
+
+def on(sql: str, segments: str, renditions: str) -> str:
+    """A check's SQL over other segments and renditions than the projected ones."""
+    return sql.replace(f"s0 AS ({dialect(SEGMENTS, DUCKDB)})", f"s0 AS ({segments})").replace(f"r0 AS ({dialect(RENDITIONS, DUCKDB)})", f"r0 AS ({renditions})")

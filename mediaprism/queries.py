@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from mediaprism import findings
 from mediaprism.operators.registry import CHECKS, load, run_checks, shared
-from mediaprism.plans import manifests, oracles
+from mediaprism.plans import manifests, oracles, relations, synthetic
+from mediaprism.plans.stream import from_stream
 from mediaprism.sources import dash, hls
 
 
@@ -29,6 +30,15 @@ def report_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark, sf_dir).groupBy("check").agg(F.max_by("status", findings.severity(F.col("status"))).alias("worst"), F.count("*").alias("n"))
 
 
+#: Checks that the made streams feed; the others find nothing to look at there.
+STREAM_CHECKS = "manifest fetch container bitrate resolution tracks keyframe framerate ladder cache codecstring continuity duration alignment pdt discontinuity".split()
+
+
+def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From manifests and media as bytes to findings."""
+    return run_checks(from_stream(*synthetic.streams(spark, sf_dir)), STREAM_CHECKS)
+
+
 def _double(column: str, name: str | None = None) -> Column:
     """Whole numbers that may be null, as engines name their types differently."""
     return F.col(column).cast("double").alias(name or column)
@@ -75,9 +85,11 @@ def dash_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dash.events(manifests.presentations(spark, sf_dir)).drop("content")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _check(name) for name in CHECKS} | {"report_summary": report_summary} | {f.__name__: f for f in (hls_segments, hls_parts, hls_breaks, hls_playlists, hls_renditions, dash_segments, dash_representations, dash_events)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _check(name) for name in CHECKS} | {"report_summary": report_summary} | {f.__name__: f for f in (stream_report, hls_segments, hls_parts, hls_breaks, hls_playlists, hls_renditions, dash_segments, dash_representations, dash_events)}
 
 _ALL = "\nUNION ALL ".join(f"SELECT * FROM ({q})" for q in oracles.SQL.values())
+_STREAM = "\nUNION ALL ".join(f"SELECT * FROM ({relations.on(oracles.SQL[n], synthetic.SEGMENTS, synthetic.RENDITIONS)})" for n in STREAM_CHECKS)
 SQL: dict[str, str] = oracles.SQL | manifests.SQL | {
+    "stream_report": _STREAM,
     "report_summary": f'SELECT "check", status, count(*) AS n FROM ({_ALL}) GROUP BY 1, 2',
 }

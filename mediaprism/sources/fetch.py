@@ -6,11 +6,14 @@ differently each time.
 
 from __future__ import annotations
 
+import http.client
+import socket
+import ssl
 import time
-import urllib.error
-import urllib.request
+import urllib.parse
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -24,19 +27,77 @@ def byte_range(offset, length):
 
 
 def from_corpus(requests: DataFrame, corpus: DataFrame, cap: int = 64 << 20) -> DataFrame:
-    """Answers from a table (uri, status, body). Without an entry the answer is an error; success is 200 or 206; longer bodies are cut and marked."""
-    found = requests.select("uri", "range").join(corpus.select("uri", "status", "body"), "uri", "left")
+    """Answers to requests (uri, offset, length; nulls for a whole body) from a table (uri, status, body and, if there, headers).
+
+    A range is cut out of the body and answered by 206. Without an entry the answer is an error; success is 200 or 206;
+    longer bodies are cut and marked.
+    """
+    headers = F.col("headers") if "headers" in corpus.columns else F.lit(None).cast("map<string,array<string>>")
+    found = requests.select("uri", "offset", "length").join(corpus.select("uri", "status", F.col("body").alias("_whole"), headers.alias("headers")), "uri", "left")
+    ranged = F.col("length").isNotNull()
+    asked = F.when(ranged, F.substr(F.col("_whole"), (F.coalesce("offset", F.lit(0)) + 1).cast("int"), F.col("length").cast("int"))).otherwise(F.col("_whole"))
     ok = F.col("status").isin(200, 206)
-    return found.select(
+    return found.withColumn("_asked", asked).select(
         "uri",
-        "range",
-        "status",
-        F.expr(f"substring(body, 1, {cap})").alias("body"),
-        F.coalesce(F.octet_length("body") > cap, F.lit(False)).alias("truncated"),
+        "offset",
+        "length",
+        F.when(ranged & (F.col("status") == 200), 206).otherwise(F.col("status")).alias("status"),
+        "headers",
+        F.expr(f"substring(_asked, 1, {cap})").alias("body"),
+        F.coalesce(F.octet_length("_asked") > cap, F.lit(False)).alias("truncated"),
         F.when(F.col("status").isNull(), "no answer").when(~ok, F.concat(F.lit("status "), F.col("status").cast("string"))).alias("error"),
     )
 
 
+def over_http(requests: DataFrame, *, cap: int = 64 << 20, timeout: float = 15, headers: dict[str, str] | None = None, insecure: bool = False, edges: dict[str, str] | None = None) -> DataFrame:
+    """Answers over HTTP to requests (uri, offset, length), read by executors in the rows' own partitions.
+
+    ``edges``: hosts to dial at another address (``host[:port]``), under their own name; a stated port replaces the URL's.
+    The result is to be written before anything reads it twice.
+    """
+    sent = {"User-Agent": "mediaprism", **(headers or {})}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uri, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                span = {} if length is None else {"Range": f"bytes={offset or 0}-{(offset or 0) + length - 1}"}
+                a = get(uri, sent | span, cap, timeout, insecure, edges or {})
+                row = {"uri": uri, "offset": offset, "length": length, **a}
+                yield pa.RecordBatch.from_pylist([row], schema=_ANSWER)
+
+    return requests.select("uri", F.col("offset").cast("long").alias("offset"), F.col("length").cast("long").alias("length")).mapInArrow(read, "uri string, offset long, length long, status int, headers map<string,array<string>>, content_type string, body binary, truncated boolean, elapsed_us long, error string")
+
+
+_ANSWER = pa.schema([("uri", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.list_(pa.string()))), ("content_type", pa.string()), ("body", pa.binary()), ("truncated", pa.bool_()), ("elapsed_us", pa.int64()), ("error", pa.string())])
+
+
+def get(uri: str, headers: dict[str, str], cap: int, timeout: float, insecure: bool, edges: dict[str, str]) -> dict:
+    """One GET: status, headers, content_type, body up to ``cap``, truncated, elapsed_us, error; an error status keeps its body."""
+    began, out = time.monotonic(), {"status": None, "headers": [], "content_type": None, "body": b"", "truncated": False, "error": None}
+    try:
+        u = urllib.parse.urlsplit(uri)
+        edge, _, port = edges.get(u.hostname or "", "").partition(":")
+        at = int(port) if port else u.port
+        if u.scheme == "https":
+            context = ssl._create_unverified_context() if insecure else ssl.create_default_context()
+            c = http.client.HTTPSConnection(u.hostname, at, timeout=timeout, context=context)
+        else:
+            c = http.client.HTTPConnection(u.hostname, at, timeout=timeout)
+        if edge:  # another address; name and certificate stay those of the URL
+            c._create_connection = lambda address, *rest: socket.create_connection((edge, address[1]), *rest)
+        c.request("GET", (u.path or "/") + ("?" + u.query if u.query else ""), headers={"Host": u.netloc.rpartition("@")[2], **headers})
+        r = c.getresponse()
+        body = r.read(cap + 1)
+        by_name: dict[str, list[str]] = {}
+        for k, v in r.getheaders():
+            by_name.setdefault(k.lower(), []).append(v)
+        out |= {"status": r.status, "headers": list(by_name.items()), "content_type": (r.getheader("Content-Type") or "").split(";")[0].strip() or None, "body": body[:cap], "truncated": len(body) > cap, "error": None if r.status in (200, 206) else f"status {r.status}"}
+        c.close()
+    except (OSError, http.client.HTTPException, ValueError) as e:
+        out["error"] = str(e) or type(e).__name__
+    return out | {"elapsed_us": int((time.monotonic() - began) * 1e6)}
+
+
 class _Slice(InputPartition):
     def __init__(self, uris: list[str]):
         self.uris = uris
@@ -46,6 +107,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.uris = [u for u in options.get("uris", "").split() if u]
         self.cap, self.timeout = int(options.get("cap", 64 << 20)), float(options.get("timeout", 15))
+        self.insecure = options.get("insecure", "false").lower() == "true"
         self.agent, self.slices = options.get("useragent", "mediaprism"), int(options.get("slices", 8))
 
     def partitions(self) -> list[InputPartition]:
@@ -53,15 +115,8 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         for uri in partition.uris:
-            began, status, kind, body, error = time.monotonic(), None, None, b"", None
-            try:
-                with urllib.request.urlopen(urllib.request.Request(uri, headers={"User-Agent": self.agent}), timeout=self.timeout) as r:
-                    status, kind, body = r.status, r.headers.get("Content-Type"), r.read(self.cap + 1)
-            except urllib.error.HTTPError as e:  # an error that still has a body
-                status, body, error = e.code, e.read(self.cap + 1), f"status {e.code}"
-            except OSError as e:
-                error = str(e)
-            yield uri, None, status, kind and kind.split(";")[0].strip(), body[: self.cap], len(body) > self.cap, int((time.monotonic() - began) * 1e6), error
+            a = get(uri, {"User-Agent": self.agent}, self.cap, self.timeout, self.insecure, {})
+            yield uri, None, a["status"], a["content_type"], a["body"], a["truncated"], a["elapsed_us"], a["error"]
 
 
 class HttpSource(DataSource):
