@@ -224,7 +224,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     near = near.join(lines.select("row", "id", "hashes", "words"), "row")
 
     def extend(batches):
-        for b in batches:
+        for b in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             (h, bounds), (w, _), (marked, own) = (_whole(b.column(i)) for i in (3, 4, 2))
             h = h.view(np.uint64)
             seen = np.zeros(len(h) + 1, np.int64)

@@ -51,7 +51,7 @@ class WordIds:
     them, go through the library whole.
     """
 
-    def __init__(self, path: str, room: int = 48 << 20):
+    def __init__(self, path: str, room: int = 32 << 20):
         self.tokenizer = Tokenizer.from_file(path)
         spec = _spec(path)
         self.specials = [t["content"] for t in spec["added_tokens"]]
@@ -118,7 +118,7 @@ class ByteCounts:
     by the library itself, and merged here all the same.
     """
 
-    def __init__(self, path: str, room: int = 96 << 20):
+    def __init__(self, path: str, room: int = 64 << 20):
         spec = _spec(path)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.specials = [t["content"] for t in spec["added_tokens"]]

@@ -23,6 +23,7 @@ ids may be of any type; an empty table gives none; columns other than those name
 
 from __future__ import annotations
 
+import copy
 import functools
 import itertools
 import math
@@ -120,11 +121,11 @@ class ExampleIndex:
         taken again in double precision.
         """
         at, x = self.examples.at(), self.examples
-        df = np.bincount(x.terms, minlength=len(self.terms))
+        df = np.bincount(x.terms, minlength=len(self.idf))
         frequent = df > max(8, len(self.ids) // 64)
         weak = frequent & (self.idf <= np.quantile(self.idf[frequent], 0.4)) if frequent.any() else frequent
         common = np.nonzero(weak)[0]
-        self.common = np.full(len(self.terms), -1)
+        self.common = np.full(len(self.idf), -1)
         self.common[common] = np.arange(len(common))
         # Padded to whole blocks; what is padded has no weight and is never a neighbour.
         self.width = -(-len(self.ids) // self.block) * self.block
@@ -153,7 +154,7 @@ class ExampleIndex:
     @property
     def vectors(self) -> np.ndarray:
         """All examples over all terms; for small indexes."""
-        return self.examples.dense(len(self.terms))
+        return self.examples.dense(len(self.idf))
 
     def posted_sums(self, q: Rows) -> np.ndarray:
         """For each query and example the products of the words that have postings."""
@@ -189,7 +190,7 @@ class ExampleIndex:
         bound = sums.reshape(q, -1, self.block).max(axis=2) + np.minimum(heavy @ self.peaks, long[:, None] * self.norms.reshape(-1, self.block).max(axis=1))
         floor = np.partition(sums, -k, axis=1)[:, -k] - _ROUNDING if self.width > k else np.full(q, -1.0)
         visit = (bound >= floor[:, None] - _ROUNDING) & (bound > 0)
-        whole = np.zeros(len(self.terms))
+        whole = np.zeros(len(self.idf))
         x = self.examples
         for i in range(q):
             e = (np.nonzero(visit[i])[0][:, None] * self.block + np.arange(self.block)).ravel()
@@ -391,14 +392,17 @@ def score_counts(counts: DataFrame, index: ExampleIndex, evidence: int = 3) -> D
     """The other columns of ``counts``, score, predicted, evidence (example id, similarity, votes)."""
     kept = [f for f in counts.schema if f.name not in ("_terms", "_times")]
     example = index.id_kind
+    index = copy.copy(index)
+    index.terms = []  # texts come as numbers here
+    index.__dict__.pop("where", None)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"score double, predicted int, evidence array<struct<example:{example},similarity:double,votes:bigint,toxic:bigint>>"])
 
     def run(batches):
         names = pa.array(index.ids, _ARROW.get(example))
         kind = pa.list_(pa.struct([("example", names.type), ("similarity", pa.float64()), ("votes", pa.int64()), ("toxic", pa.int64())]))
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for i in range(0, b.num_rows, 128):
+                part = b.slice(i, 128)
                 terms, times = (part.column(len(kept) + j).flatten().to_numpy() for j in (0, 1))
                 sizes = pa.compute.list_value_length(part.column(len(kept))).to_numpy()
                 score, sims, where = index.score(Rows(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), terms.astype(np.int64), times.astype(float)))
