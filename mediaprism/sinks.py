@@ -21,7 +21,7 @@ def _icon():
 
 
 def _shown(value):
-    return F.coalesce(F.regexp_replace(F.format_string("%.3f", value), r"\.?0+$", ""), F.lit(""))
+    return F.when(value.isNull(), "").otherwise(F.regexp_replace(F.format_string("%.3f", value), r"\.?0+$", ""))
 
 
 def text_lines(findings: DataFrame) -> DataFrame:
@@ -37,38 +37,59 @@ def json_lines(findings: DataFrame, source: str) -> DataFrame:
     return findings.select(F.to_json(F.struct(F.lit(source).alias("source"), *findings.columns)).alias("json"))
 
 
-def json_report(findings: DataFrame, source: str) -> DataFrame:
-    """The whole run as one JSON document: source, worst, summary, findings. For one stream's findings, which one row holds."""
+def run_facts(rel, started: float | None = None, seconds: float | None = None) -> DataFrame:
+    """One row about a run: segments and bytes fetched, and when it began and how long it took (seconds), where known."""
+    fetched = rel.all_segments.where("fetched")
+    return fetched.agg(F.count("*").alias("segments"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).select("segments", "bytes", F.lit(started).cast("double").alias("started"), F.lit(seconds).cast("double").alias("duration_seconds"))
+
+
+def json_report(findings: DataFrame, source: str, facts: DataFrame | None = None) -> DataFrame:
+    """The whole run as one JSON document: source, worst, summary, run facts, findings. For one stream's findings, which one row holds; for many take ``json_lines``."""
     worst = F.coalesce(F.max_by("status", severity(F.col("status"))), F.lit("OK"))
     ordered = F.array_sort(F.collect_list(F.struct((-severity(F.col("status"))).alias("order"), *findings.columns)))
     counts = F.struct(*[F.count(F.when(F.col("status") == s, 1)).alias(s) for s in STATUSES])
     row = findings.agg(worst.alias("worst"), counts.alias("summary"), ordered.alias("f"))
-    return row.select(F.to_json(F.struct(F.lit(source).alias("source"), "worst", "summary", F.transform("f", lambda x: F.struct(*[x[c].alias(c) for c in findings.columns])).alias("findings"))).alias("json"))
+    more = [] if facts is None else facts.columns
+    row = row if facts is None else row.join(F.broadcast(facts))
+    return row.select(F.to_json(F.struct(F.lit(source).alias("source"), "worst", "summary", *more, F.transform("f", lambda x: F.struct(*[x[c].alias(c) for c in findings.columns])).alias("findings"))).alias("json"))
 
 
-def markdown_lines(findings: DataFrame) -> DataFrame:
-    """A table, worst first; pipes are escaped."""
+def markdown_lines(findings: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """A verdict, the run's facts, what needs attention, and the whole table, worst first; pipes are escaped. Lines in the order of ``n``."""
     cell = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|"))
-    rows = findings.select(F.struct((-severity(F.col("status"))).alias("s"), "check", "target", "rule").alias("key"), F.concat(F.lit("| "), F.concat_ws(" | ", "status", cell(F.col("check")), cell(F.col("target")), cell(F.col("rule")), _shown(F.col("value"))), F.lit(" |")).alias("line"))
-    spark = findings.sparkSession
-    head = spark.createDataFrame([((-9, "", "", ""), "| status | check | target | rule | value |"), ((-8, "", "", ""), "|-|-|-|-|-|")], "key struct<s:int,check:string,target:string,rule:string>, line string")
-    return head.unionByName(rows).orderBy("key").select("line")
-
-
-def metrics(findings: DataFrame, stream: str) -> DataFrame:
-    """name, labels (map) and value: the counts of every check and status, zeros included, and severities."""
+    key = lambda part, s=0: F.struct(F.lit(part).alias("part"), F.lit(s).alias("s") if isinstance(s, int) else s.alias("s"), "check", "target", "rule")
+    blank = [F.lit("").alias(c) for c in ("check", "target", "rule")]
+    own = (-severity(F.col("status"))).cast("int")
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", "status", cell(F.col("check")), cell(F.col("target")), cell(F.col("rule")), _shown(F.col("value"))), F.lit(" |"))
+    rows = findings.select(key(5, own).alias("key"), row.alias("line"))
+    urgent = findings.where("status <> 'OK'").select(key(3, own).alias("key"), F.concat(F.lit("- "), F.concat_ws(" ", "status", "check", "target", "rule")).alias("line"))
+    worst = findings.agg(F.coalesce(F.max_by("status", severity(F.col("status"))), F.lit("OK")).alias("w")).select(F.concat(F.lit("# Verdict: "), "w").alias("line"), *blank).select(key(0).alias("key"), "line")
+    fixed = findings.sparkSession.sql("SELECT * FROM VALUES (2, 0, '## Needs attention'), (4, 0, '| status | check | target | rule | value |'), (4, 1, '|-|-|-|-|-|') AS t(part, s, line)")
+    fixed = fixed.select(F.struct("part", "s", *blank).alias("key"), "line")
+    out = worst.unionByName(fixed).unionByName(urgent).unionByName(rows)
+    if facts is not None:
+        told = facts.select(F.concat(F.col("segments").cast("string"), F.lit(" segments, "), F.col("bytes").cast("string"), F.lit(" bytes"), F.coalesce(F.concat(F.lit(" in "), _shown(F.col("duration_seconds")), F.lit(" s")), F.lit(""))).alias("line"), *blank)
+        out = out.unionByName(told.select(key(1).alias("key"), "line"))
+    return out.orderBy("key").select("line")
+
+
+def metrics(findings: DataFrame, stream: str, facts: DataFrame | None = None) -> DataFrame:
+    """name, labels (map) and value: the counts of every check and status, zeros included, severities, and the run's facts that are known."""
     checks = findings.select("check").distinct()
     counts = findings.groupBy("check", "status").agg(F.count("*").alias("n"))
     grid = checks.withColumn("status", F.explode(F.array(*[F.lit(s) for s in STATUSES]))).join(counts, ["check", "status"], "left")
     label = lambda *kv: F.create_map(F.lit("stream"), F.lit(stream), *[x if not isinstance(x, str) else F.lit(x) for x in kv])
     one = lambda name, labels, value: (F.lit(f"{PREFIX}_{name}").alias("name"), labels.alias("labels"), value.cast("double").alias("value"))
     worst = findings.agg(F.coalesce(F.max(severity(F.col("status"))), F.lit(0)).alias("w"))
-    return (
+    samples = (
         grid.select(*one("findings", label("check", F.col("check"), "status", F.col("status")), F.coalesce("n", F.lit(0))))
         .unionByName(findings.groupBy("check").agg(F.max(severity(F.col("status"))).alias("w")).select(*one("check_severity", label("check", F.col("check")), F.col("w"))))
         .unionByName(worst.select(*one("worst_severity", label(), F.col("w"))))
         .unionByName(worst.select(*one("up", label(), (F.col("w") < 3).cast("int"))))
     )
+    for column, name in () if facts is None else (("segments", "segments"), ("bytes", "bytes"), ("duration_seconds", "duration_seconds"), ("started", "start_time_seconds")):
+        samples = samples.unionByName(facts.where(F.col(column).isNotNull()).select(*one(name, label(), F.col(column))))
+    return samples
 
 
 def prometheus_lines(samples: DataFrame) -> DataFrame:

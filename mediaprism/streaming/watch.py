@@ -1,8 +1,13 @@
 """The live-edge monitor as a Structured Streaming query.
 
-State per rendition: the last newest segment, when it last moved, the longest gap, and counts. A
-batch's observations are sorted by time inside the processor, as no source promises an order. The
-batch form in ``operators.timing.watch`` over the same series must say the same.
+State per rendition: the observations that may still be overtaken by earlier ones, and the edge as it was when the
+watermark last passed: newest segment, when it last moved, the longest gap, counts, what was published. No source
+promises an order, so an observation waits until the watermark has passed it and is then taken in the order of
+time; one that comes later than the watermark allows is dropped. A timer at the next waiting one takes it
+up when nothing else arrives; a second one speaks of silence, and forgets a rendition that has long been silent. The
+batch form in ``operators.timing.watch`` over the same series says the same.
+
+State needs the RocksDB provider (``spark.sql.streaming.stateStore.providerClass``).
 """
 
 from __future__ import annotations
@@ -11,38 +16,93 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OBSERVATION = "rendition long, poll long, observed_us long, newest long, target_us long, failed boolean"
-OUTPUT = "rendition long, looks long, advances long, stall_us long, backwards long, failures long, target_us long, last_newest long"
-_STATE = "looks long, advances long, stall long, back long, failures long, target long, newest long, moved long, seen long"
+OUTPUT = "rendition long, looks long, advances long, stall_us long, backwards long, failures long, target_us long, last_newest long, published long, passed_us long, rule string, silent boolean"
+#: Of these a rendition that stays silent for so many targets is forgotten.
+FORGET = 100
+_WAITING = "poll long, observed_us long, newest long, target_us long, failed boolean"
+_EDGE = "looks long, advances long, stall long, back long, failures long, target long, newest long, moved long, seen long, first long, since long"
+
+
+def rule_of(looks: int, advances: int, stall: int, target: int, failures: int, tolerance: int) -> str:
+    """What a series says so far; without a stated interval nothing is judged."""
+    if not looks:
+        return "all-failed" if failures else "empty"
+    if looks == 1:
+        return "one-look"
+    if not target:
+        return "no-interval"
+    return "never-advanced" if not advances else "stalled" if stall > target * tolerance else "advancing"
+
+
+class LiveEdge(StatefulProcessor):
+    def __init__(self, tolerance: int = 3):
+        self.tolerance = tolerance
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _WAITING)
+        self.edge = handle.getValueState("edge", _EDGE)
 
-def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    looks, advances, stall, back, failures, target, newest, moved, seen = state.get if state.exists else (0, 0, 0, 0, 0, 0, -1, -1, -1)
-    rows = pd.concat(list(frames)).sort_values(["observed_us", "poll"])
-    failures += int(rows["failed"].sum())
-    for at, now, goal in rows.loc[~rows["failed"], ["observed_us", "newest", "target_us"]].itertuples(index=False):
-        if looks == 0:
-            moved = int(at)
-        stall = max(stall, int(at) - moved)
-        if looks and now != newest:
-            advances += 1
-            back += int(now < newest)
-            moved = int(at)
-        looks, newest, target, seen = looks + 1, int(now), max(target, int(goal)), int(at)
-    state.update((looks, advances, stall, back, failures, target, newest, moved, seen))
-    yield pd.DataFrame([(key[0], looks, advances, stall, back, failures, target, newest)], columns=[c.split()[0] for c in OUTPUT.split(", ")])
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [tuple(r) for frame in rows for r in frame[["poll", "observed_us", "newest", "target_us", "failed"]].itertuples(index=False)]
+        for poll, at, newest, target, failed in new:
+            self.waiting.appendValue((int(poll), int(at), -1 if pd.isna(newest) else int(newest), 0 if pd.isna(target) else int(target), bool(failed)))
+        yield from self._take(key, timerValues)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._take(key, timerValues, expiredTimerInfo.getExpiryTimeInMs())
 
-def watch_stream(observations: DataFrame) -> DataFrame:
-    """Per rendition and batch the state of its live edge, in update mode. ``observations``: a streaming DataFrame."""
-    return observations.groupBy("rendition").applyInPandasWithState(_step, OUTPUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    def _take(self, key, timers, fired: int | None = None) -> Iterator[pd.DataFrame]:
+        now = timers.getCurrentWatermarkInMs()
+        held = sorted(self.waiting.get(), key=lambda r: (r[1], r[0])) if self.waiting.exists() else []
+        ready, later = [r for r in held if r[1] // 1000 <= now], [r for r in held if r[1] // 1000 > now]
+        looks, advances, stall, back, failures, target, newest, moved, seen, first, since = self.edge.get() if self.edge.exists() else (0,) * 6 + (-1,) * 5
+        for _, at, new, goal, failed in ready:
+            if failed or new < 0:
+                failures, seen = failures + int(failed), max(seen, at)
+                continue
+            if looks == 0:
+                moved, first, since = at, new, at
+            stall = max(stall, at - moved)
+            if looks and new != newest:
+                advances, back, moved = advances + 1, back + int(new < newest), at
+            looks, newest, target, seen = looks + 1, new, max(target, goal), max(seen, at)
+        said = rule_of(looks, advances, stall, target, failures, self.tolerance)
+        limit = target * self.tolerance
+        silent = fired is not None and not later and target and seen >= 0 and now * 1000 > seen + limit
+        if ready:
+            self.waiting.clear()
+            for r in later:
+                self.waiting.appendValue(r)
+        if later:
+            self.handle.registerTimer(later[0][1] // 1000 + 1)
+        elif ready and target:
+            self.handle.registerTimer((seen + limit) // 1000 + 1)
+        if silent and now * 1000 > seen + FORGET * target:
+            self.edge.clear()
+        elif silent:
+            self.handle.registerTimer((seen + FORGET * target) // 1000 + 1)
+        if ready:
+            self.edge.update((looks, advances, stall, back, failures, target, newest, moved, seen, first, since))
+        if ready or silent:
+            row = (key[0], looks, advances, stall, back, failures, target, newest, newest - first if looks else 0, seen - since if looks else 0, said, bool(silent))
+            yield pd.DataFrame([row], columns=[c.split()[0] for c in OUTPUT.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def watch_stream(observations: DataFrame, late: str = "10 seconds", tolerance: int = 3) -> DataFrame:
+    """Per rendition the state of its live edge, whenever the watermark lets observations count. ``observations``: a streaming DataFrame."""
+    timed = observations.withColumn("at", F.timestamp_micros("observed_us")).withWatermark("at", late)
+    return timed.groupBy("rendition").transformWithStateInPandas(LiveEdge(tolerance), OUTPUT, "Update", "EventTime")
 
 
 def windowed_polls(observations: DataFrame, window: str = "1 minute", late: str = "30 seconds") -> DataFrame:
     """Polls and failures per rendition and window of event time, with late observations up to ``late``."""
-    from pyspark.sql import functions as F
-
     timed = observations.withColumn("at", F.timestamp_micros("observed_us")).withWatermark("at", late)
     return timed.groupBy("rendition", F.window("at", window)).agg(F.count("*").alias("polls"), F.sum(F.col("failed").cast("int")).alias("failures"))

@@ -20,7 +20,10 @@ def test_texts(spark):
     lines = [r["line"] for r in sinks.text_lines(found(spark)).collect()]
     assert lines[0].startswith("x BAD") and lines[-1] == "1 OK 0 WARN 1 BAD 0 ERROR"
     table = [r["line"] for r in sinks.markdown_lines(found(spark)).collect()]
-    assert table[0].startswith("| status") and "r1\\|x" in table[2] and len(table) == 4
+    assert table[0] == "# Verdict: BAD" and table[2].startswith("- BAD fetch") and table[3].startswith("| status") and "r1\\|x" in table[5] and len(table) == 7
+    facts = spark.createDataFrame([(3, 100, 5.0, 1.25)], "segments long, bytes long, started double, duration_seconds double")
+    assert [r["line"] for r in sinks.markdown_lines(found(spark), facts).collect()][1] == "3 segments, 100 bytes in 1.25 s"
+    assert {r["name"] for r in sinks.metrics(found(spark), "s", facts).collect()} >= {f"mediaprism_{n}" for n in ("segments", "bytes", "duration_seconds", "start_time_seconds")}
     report = json.loads(sinks.json_report(found(spark), "s").first()["json"])
     assert report["worst"] == "BAD" and report["summary"] == {"OK": 1, "WARN": 0, "BAD": 1, "ERROR": 0} and report["findings"][0]["check"] == "fetch"
 
@@ -37,31 +40,44 @@ def test_metrics(spark):
 
 
 def test_fetch_from_corpus(spark):
-    requests = spark.createDataFrame([("a",), ("b",), ("c",)], "uri string").withColumn("range", byte_range(F.lit(5), F.lit(10)))
+    requests = spark.createDataFrame([("a", None, None), ("a", 1, 2), ("b", None, None), ("c", None, None)], "uri string, offset long, length long")
     corpus = spark.createDataFrame([("a", 200, bytearray(b"12345")), ("b", 404, bytearray(b"no"))], "uri string, status int, body binary")
-    rows = {r["uri"]: r for r in from_corpus(requests, corpus, cap=3).collect()}
-    assert rows["a"]["truncated"] and bytes(rows["a"]["body"]) == b"123" and rows["a"]["error"] is None and rows["a"]["range"] == "bytes=5-14"
-    assert rows["b"]["error"] == "status 404" and bytes(rows["b"]["body"]) == b"no" and rows["c"]["error"] == "no answer"
+    rows = {(r["uri"], r["offset"]): r for r in from_corpus(requests, corpus, cap=3).collect()}
+    whole, part = rows["a", None], rows["a", 1]
+    assert whole["truncated"] and bytes(whole["body"]) == b"123" and whole["error"] is None and (part["status"], bytes(part["body"]), part["truncated"]) == (206, b"23", False)
+    assert rows["b", None]["error"] == "status 404" and bytes(rows["b", None]["body"]) == b"no" and rows["c", None]["error"] == "no answer"
+    assert requests.limit(1).select(byte_range(F.lit(5), F.lit(10)).alias("r")).first()["r"] == "bytes=5-14"
 
 
-def test_stream_says_what_the_batch_says(spark, tmp_path):
-    rel = load(spark, SF)
-    series = rel.observations.where("rendition % 5 < 3")
-    for part in (0, 1):
-        series.where(f"(poll > 4) = {bool(part)}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(series.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = watch_stream(stream).writeStream.format("memory").queryName("edge").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
-    last = {r["rendition"]: r for r in spark.sql("SELECT max_by(struct(*), looks + failures) AS x FROM edge GROUP BY rendition").select("x.*").collect()}
+def run_stream(spark, series, tmp_path, parts):
+    """The series as that many files in turn, each with whatever rows it is given, and a last one far on that lets all others count."""
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{k:02d}"))
+    far = spark.createDataFrame([(-1, 0, 10**13, 0, 2_000_000, False)], series.schema)
+    for k in (90, 91):
+        far.coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(series.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        q = watch_stream(stream, late="1000 seconds").writeStream.format("memory").queryName("edge").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).start()
+        q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+    return spark.sql("SELECT * FROM edge WHERE rendition >= 0").collect()
+
+
+def test_stream_says_what_the_batch_says_though_rows_come_late(spark, tmp_path):
     from dataclasses import replace
 
-    batch = watch(replace(rel, observations=series)).where("rule IN ('advancing', 'stalled', 'never-advanced', 'one-look')").collect()
-    assert batch
-    ordered = series.groupBy("rendition").agg(F.max("poll")).count()
-    assert len(last) == ordered
-    in_order = {f"r{k}" for k, r in last.items()}
-    for r in batch:
-        assert r["target"] in in_order
-    stalls = {f"r{k}": r["stall_us"] / 1e6 for k, r in last.items()}
-    assert all(abs(stalls[r["target"]] - r["value"]) < 1e-9 for r in batch)
+    rel = load(spark, SF)
+    series = rel.observations.where("rendition % 5 = 0")
+    # Later polls come in the first file, earlier ones in the second.
+    out = run_stream(spark, series, tmp_path, [series.where("poll % 3 = 1"), series.where("poll % 3 <> 1")])
+    last = {f"r{r['rendition']}": r for r in sorted(out, key=lambda r: r["looks"] + r["failures"])}
+    batch = {r["target"]: r for r in watch(replace(rel, observations=series)).where("rule IN ('advancing', 'stalled', 'never-advanced', 'one-look')").collect()}
+    assert batch and set(batch) <= set(last)
+    for name, r in batch.items():
+        assert (last[name]["rule"], last[name]["stall_us"] / 1e6) == (r["rule"], r["value"])
+    assert any(r["silent"] for r in out)
