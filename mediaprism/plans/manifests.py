@@ -104,7 +104,7 @@ v AS (SELECT u, n * 10 + 5 AS o, CASE WHEN i % 6 = 1 THEN 'audio' ELSE 'video' E
     25.0 + i % 2 AS fps, NULL AS channels, i % 9 = 0 AS none, CASE WHEN i % 9 = 0 THEN '' ELSE coalesce(ids, '') END AS captions, CASE WHEN i % 5 = 0 THEN (100000 + (i % 7) * 1000) // 1000 || 'kbps' ELSE 9 * (i % 3 + 1) || 'p' END AS base FROM e LEFT JOIN cap ON cu = u AND g = n % 2
   UNION ALL SELECT u, n * 10, 'audio', {_BASE} || 'audio/' || i || '.m3u8', 0, 0, 0, NULL, CASE WHEN i % 8 = 0 THEN 0 ELSE 2 END, NULL, '', 'track ' || i || ', stereo' FROM e WHERE i % 4 = 0 AND i % 12 <> 0),
 w AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY u, base) > 1 THEN base || ' ' || bw // 1000 || 'kbps' ELSE base END AS named FROM v)
-SELECT u AS manifest_id, kind, uri, CAST(bw AS BIGINT) AS bandwidth, CAST(width AS INT) AS width, CAST(height AS INT) AS height, CAST(fps AS DOUBLE) AS frame_rate, CAST(channels AS DOUBLE) AS channels, none AS captions_none, captions,
+SELECT u AS manifest_id, kind, uri, CAST(bw AS BIGINT) AS bandwidth, CAST(width AS INT) AS width, CAST(height AS INT) AS height, CAST(fps AS DOUBLE) AS frame_rate, CAST(channels AS DOUBLE) AS channels, coalesce(none, FALSE) AS captions_none, captions,
   CASE WHEN row_number() OVER (PARTITION BY u, named ORDER BY o) > 1 THEN named || ' #' || row_number() OVER (PARTITION BY u, named ORDER BY o) ELSE named END AS name FROM w""",
     "dash_segments": f"""WITH d AS (SELECT u, 3000 + u % 4 * 1000 AS ms, 10 + u % 3 AS p1, count(*) + 60 AS total FROM {_EVENTS} e GROUP BY u),
 n AS (SELECT *, unnest(range(0, CAST(ceil(20000 / ms) AS BIGINT))) AS k FROM d),

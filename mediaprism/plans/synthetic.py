@@ -109,4 +109,4 @@ SEGMENTS = f"""SELECT rendition, 'video' AS kind, 0 AS period, n AS sequence, wh
   CAST(2000000 AS BIGINT) AS measured_us, CAST(start AS BIGINT) AS min_pts, CAST(90000 AS BIGINT) AS timescale, CAST(CASE WHEN i % 211 = 0 THEN 1 ELSE 0 END AS BIGINT) AS cc_errors, i % 29 = 0 AS discontinuity, sum((i % 29 = 0)::INT) OVER (PARTITION BY u ORDER BY n) AS discontinuity_sequence, CAST(NULL AS BIGINT) AS declared_start_us,
   1704067200000000 + n * 2000000 + CASE WHEN i % 83 = 0 THEN 300000 ELSE 0 END AS pdt_us, 'ts' AS container, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height, 1 AS video_tracks, 0 AS audio_tracks, 'h264' AS codec, idr = 0 AND idr IS NOT NULL AS opens_keyframe, idr IS NOT NULL AS has_keyframe, CAST(18000 AS BIGINT) AS frame_dur,
   77 AS profile_idc, 31 AS level_idc, CAST(NULL AS BIGINT) AS object_type, CAST(NULL AS BOOLEAN) AS sbr, FALSE AS key_declared, FALSE AS decrypted, FALSE AS decrypt_failed, FALSE AS encrypted, 'HIT' AS cache_status, FALSE AS uncacheable, n AS ordinal
-FROM (SELECT *, dense_rank() OVER (ORDER BY u) AS rendition, {_GIVEN} FROM {_EVENTS} e) g"""
+FROM (SELECT *, dense_rank() OVER (ORDER BY u) AS rendition, {_GIVEN} FROM {_EVENTS} e) g WHERE u % 45 <> 44"""

@@ -104,7 +104,7 @@ def hls_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hls_renditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = manifests.master_playlists(spark, sf_dir)
     r = hls.with_captions(hls.renditions(m), m)
-    return r.select("manifest_id", "kind", "uri", "bandwidth", "width", "height", "frame_rate", _double("channels"), "captions_none", F.array_join("caption_ids", ",").alias("captions"), "name")
+    return r.select("manifest_id", "kind", "uri", "bandwidth", "width", "height", "frame_rate", _double("channels"), F.coalesce("captions_none", F.lit(False)).alias("captions_none"), F.array_join("caption_ids", ",").alias("captions"), "name")
 
 
 def dash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
