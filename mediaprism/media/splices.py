@@ -101,7 +101,7 @@ def emsg(data: bytes, start: int | None, scale: int) -> dict | None:
     version, i = data[0], 4
     numbers: tuple[int, ...] = ()
     if version == 1:
-        if len(data) < 32:
+        if len(data) < 26:
             return None
         numbers, i = struct.unpack_from(">IQII", data, 4), 24
     scheme, _, rest = data[i:].partition(b"\0")
