@@ -10,7 +10,7 @@ end. A run is the shortest sequence of whole lines from one on that has ``min_wo
 The gram of a line is the shortest sequence of lines from there with ``gram_words`` words. Of the grams inside a run
 the one of smallest hash is selected: the winnowing fingerprint. Equal runs select the same gram, so
 each repeated run holds a fingerprint that occurs twice at least. Their positions are joined to find these; around them
-matches are extended both ways, line by line: every run that reaches over a fingerprint is joined with the
+matches are extended both ways, line by line: every run that selects such a fingerprint is joined with the
 position where it occurs first, by (id, row, line). The result is exact: a line goes if and only
 if it lies in a run that occurs earlier too. The first occurrence of anything stays. Runs are told apart by
 128 bits.
@@ -167,18 +167,24 @@ def run_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, base: int
         return x * np.uint64(base)
 
 
-def winnow(hashes: np.ndarray, words: np.ndarray, bounds: np.ndarray, min_words: int, gram_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lines whose gram is selected by at least one run, and the gram's hash."""
+def selected(hashes: np.ndarray, words: np.ndarray, bounds: np.ndarray, min_words: int, gram_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all runs, the line whose gram each selects, and the gram of every line."""
     start, end = shortest_runs(words, bounds, min_words)
     if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return start, end, np.zeros(0, np.int64), np.zeros(0, np.uint64)
     total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
     until = np.searchsorted(total, total[:-1] + gram_words, side="left")  # beyond the text's end where it has no gram
     grams = run_hashes(hashes, np.arange(len(words)), np.minimum(until, len(words)), _BASES[0])
     last = np.searchsorted(until, end, side="right")
     marked = (grams >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(words), dtype=np.uint64)
     low = np.minimum.reduceat(np.append(marked, np.uint64(2**64 - 1)), np.stack([start, last], axis=1).ravel())[::2]
-    place = np.unique(low & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
+    return start, end, (low & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64), grams
+
+
+def winnow(hashes: np.ndarray, words: np.ndarray, bounds: np.ndarray, min_words: int, gram_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lines whose gram is selected by at least one run, and the gram's hash."""
+    _, _, place, grams = selected(hashes, words, bounds, min_words, gram_words)
+    place = np.unique(place)
     return place, grams[place]
 
 
@@ -227,12 +233,10 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for b in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             (h, bounds), (w, _), (marked, own) = (_whole(b.column(i)) for i in (3, 4, 2))
             h = h.view(np.uint64)
-            seen = np.zeros(len(h) + 1, np.int64)
-            seen[marked + np.repeat(bounds[:-1], np.diff(own)) + 1] = 1
-            seen = np.cumsum(seen)
-            s, e = shortest_runs(w, bounds, min_words)
-            over = seen[e] > seen[s]
-            s, e = s[over], e[over]
+            twice_there = np.zeros(len(h) + 1, bool)
+            twice_there[marked + np.repeat(bounds[:-1], np.diff(own))] = True
+            s, e, place, _ = selected(h, w, bounds, min_words, gram_words)
+            s, e = s[twice_there[place]], e[twice_there[place]]
             of = np.searchsorted(bounds, s, side="right") - 1
             at = pa.array(of)
             yield pa.RecordBatch.from_arrays(
