@@ -11,6 +11,7 @@ from mediaprism.findings import together
 from mediaprism.operators import content, timing
 from mediaprism.operators.common import Relations
 from mediaprism.plans import relations as R
+from mediaprism.storage import saved
 
 CHECKS: dict[str, Callable[[Relations], DataFrame]] = {
     name: getattr(module, name)
@@ -37,8 +38,8 @@ def load(spark: SparkSession, sf_dir: str) -> Relations:
 
 
 def shared(relations: Relations) -> Relations:
-    """The relations kept by Spark, so that checks which run together compute each of them once."""
-    kept = {f: getattr(relations, f).persist() for f in INPUTS if getattr(relations, f) is not None}
+    """The relations written once, so that checks which run together compute none of them twice and nothing has to be released."""
+    kept = {f: saved(getattr(relations, f)) for f in INPUTS if getattr(relations, f) is not None}
     return replace(relations, **kept)
 
 
