@@ -12,7 +12,7 @@ are decimals.
 
 Counting takes one pass, sums in each task before anything is shuffled, and sends one row per (language, source, term) and
 flush; so neither a hot source nor a frequent word makes a large group. Classes are dealt by themselves, not by language. A task holds the
-sums of one language and ``_BLOCK`` of its sources against all of its sources.
+sums of one language and ``block`` of its sources against all of its sources.
 
 Cases: null text, lang or source are empty; repeated rows count as often as they stand there; documents without terms still make their
 source a group; a language without kept terms gives pairs of value 0; ties go to the smaller name by UTF-8 bytes; an empty
@@ -31,12 +31,17 @@ from pyspark.sql import functions as F
 from mediaprism.llm.common import saved
 from mediaprism.llm.terms import LETTERS, terms
 
-#: Entries that a counting task holds before it sends them on, and sources whose sums one task holds at a time.
-_HELD, _BLOCK = 300_000, 256
 
-
-def _count(batches):
+def _counts(held: int):
     """Occurrences and documents by (lang, source, term). A row with an empty term says that the group exists."""
+
+    def run(batches):
+        yield from _count(batches, held)
+
+    return run
+
+
+def _count(batches, held: int):
     groups: dict[tuple, tuple[Counter, Counter]] = {}
 
     def flush():
@@ -58,16 +63,16 @@ def _count(batches):
                 n.update(some)
                 seen.update(some)
             docs.update(seen)
-        if sum(len(n) for n, _ in groups.values()) + len(groups) > _HELD:
+        if sum(len(n) for n, _ in groups.values()) + len(groups) > held:
             yield from flush()
     yield from flush()
 
 
-def count_terms(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def count_terms(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", held: int = 300_000) -> DataFrame:
     """lang, source, term, n, docs: one row each; every group has one with the empty term too."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
-    parts = rows.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
+    parts = rows.mapInArrow(_counts(held), "lang string, source string, term string, n long, docs long")
     return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -76,7 +81,7 @@ def _share(count: Column, total: Column, kept: Column, unit: int) -> Column:
     return F.call_function("div", above, (total + 5 * kept).cast("decimal(20,0)")) + 1
 
 
-def _corrections(batches):
+def _correct(batches, size: int):
     """By source i, what classes add to the sums over all j beyond the closed form, doubled.
 
     A class counts whole in the rows of its own sources: twice against sources it does not occur in, once against its own,
@@ -96,14 +101,14 @@ def _corrections(batches):
         lists = {k: (b.column(k).flatten().to_numpy(), np.concatenate([[0], np.cumsum(b.column(k).value_lengths().to_numpy())])) for k in ("base", "places", "shares")}
         for r, (lang, block, times) in enumerate(zip(b.column("lang").to_pylist(), b.column("block").to_pylist(), b.column("times").to_pylist(), strict=True)):
             base, places, shares = (values[at[r] : at[r + 1]] for values, at in lists.values())
-            first = block * _BLOCK
+            first = block * size
             if held is None or held[0] != lang or held[1] != first:
                 if held:
                     yield from flush()
-                held = lang, first, np.zeros((min(_BLOCK, len(base) - first), len(base)), np.int64)
+                held = lang, first, np.zeros((min(size, len(base) - first), len(base)), np.int64)
             p = base.copy()
             p[places] = shares
-            own = places[(places >= first) & (places < first + _BLOCK)]
+            own = places[(places >= first) & (places < first + size)]
             weight = np.full(len(base), 2 * times)
             weight[places] = times
             held[2][own - first] += weight * (np.abs(p[own, None] - p) - np.abs(base[own, None] - base))
@@ -111,10 +116,17 @@ def _corrections(batches):
         yield from flush()
 
 
-def source_divergence(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = 30, unit: int = 1_000_000_000, most_terms: int = 50) -> DataFrame:
+def _corrections(size: int):
+    def run(batches):
+        yield from _correct(batches, size)
+
+    return run
+
+
+def source_divergence(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = 30, unit: int = 1_000_000_000, most_terms: int = 50, held: int = 300_000, block: int = 256) -> DataFrame:
     """Rows (lang, source, part, item, value, rank): part ``pair`` has all other sources of the language by distance, part
-    ``term`` the ``most_terms`` terms by which the source stands out most."""
-    counts = saved(count_terms(docs, lang_col=lang_col, source_col=source_col, text_col=text_col))
+    ``term`` the ``most_terms`` terms by which the source stands out most. A counting task sends on what it has beyond ``held`` entries."""
+    counts = saved(count_terms(docs, lang_col=lang_col, source_col=source_col, text_col=text_col, held=held))
     # Sources by number within their language, in the order of names.
     by_name = Window.partitionBy("lang").orderBy("source")
     groups = saved(counts.where("term = ''").select("lang", "source", (F.row_number().over(by_name) - 1).alias("i")))
@@ -135,8 +147,8 @@ def source_divergence(docs: DataFrame, *, lang_col: str = "lang", source_col: st
     classes = kept.groupBy("lang", "vector").agg(F.count("*").alias("times")).join(members, "lang")
     shares = F.transform("vector", lambda v: share(v["n"], F.get(F.col("m"), v["i"])["total"]))
     places = F.transform("vector", lambda v: v["i"])
-    classes = classes.select("lang", "base", places.alias("places"), shares.alias("shares"), "times", F.explode(F.array_distinct(F.transform("vector", lambda v: F.floor(v["i"] / _BLOCK).cast("int")))).alias("block"))
-    corrections = classes.sortWithinPartitions("lang", "block").mapInArrow(_corrections, "lang string, i int, sums array<long>")
+    classes = classes.select("lang", "base", places.alias("places"), shares.alias("shares"), "times", F.explode(F.array_distinct(F.transform("vector", lambda v: F.floor(v["i"] / block).cast("int")))).alias("block"))
+    corrections = classes.sortWithinPartitions("lang", "block").mapInArrow(_corrections(block), "lang string, i int, sums array<long>")
     sides = corrections.select("lang", "i", F.posexplode("sums").alias("j", "a")).where("i <> j and a <> 0").groupBy("lang", "i", "j").agg(F.sum("a").alias("a"))
     sides = sides.select("lang", F.explode(F.array(F.struct("i", "j", "a"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "a"))).alias("s")).groupBy("lang", "s.i", "s.j").agg(F.sum("s.a").alias("a"))
     one = members.select("lang", "m", "kept", "base", F.posexplode("m").alias("i", "own"))

@@ -12,6 +12,7 @@ from mediaprism.llm import chat
 from mediaprism.llm.common import fold, table
 from mediaprism.llm.decontamination import decontamination_report
 from mediaprism.llm.divergence import source_divergence
+from mediaprism.llm.html_text import extract
 from mediaprism.llm.language import fit_profiles, identify
 from mediaprism.llm.lexical_search import search
 from mediaprism.llm.line_dedup import repeated_lines
@@ -71,6 +72,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_words", F.size("gone").cast("long").alias("n_gone"), "gone_words", F.array_join("gone", ",").alias("gone"))
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_media_columns": op9_media_columns,
     "op10_line_dedup": op10_line_dedup,
+    "op11_html": op11_html,
     "op12_divergence": op12_divergence,
     "op13_search": op13_search,
 }
@@ -139,6 +145,13 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(length('<|im_start|>' || replace({_ESCAPED.format("role")}, chr(10), '&nl;') || chr(10) || {_ESCAPED.format("text")} || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id""",
+    # The pages at hand hold their article in one element, of headings, paragraphs and bold text.
+    "op11_html": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS body FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(x, '<br>', ' '), '<b>', ''), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM t""",
     "op12_divergence": r"""
 WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
