@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 _ATTRIBUTE = r'([A-Za-z0-9-]+)=("[^"]*"|[^,]*)'
 
@@ -115,12 +113,38 @@ def extension(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.regexp_replace(url, "[?#].*$", ""), r"(\.[A-Za-z0-9]+)$", 1))
 
 
-@F.pandas_udf(StringType())
-def resolved(base: pd.Series, reference: pd.Series) -> pd.Series:
-    """RFC 3986 resolution, which Spark has no function for."""
-    from urllib.parse import urljoin
-
-    return pd.Series([None if r is None else urljoin(b or "", r) for b, r in zip(base, reference, strict=True)], dtype=object)
+def _without_dots(path: Column) -> Column:
+    """A path whose ``.`` and ``..`` parts are taken out; one at the end leaves its folder."""
+    parts = F.split(path, "/", -1)
+    step = lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.concat(a, F.array(x)))
+    kept = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(path.rlike("/\\.\\.?(/|$)"), F.concat(kept, F.when(path.rlike("/\\.\\.?$"), "/").otherwise(""))).otherwise(path)
+
+
+def resolved(base: Column, reference: Column) -> Column:
+    """A reference against the URL it stands in, by RFC 3986. Without a base it stays as it is.
+
+    Both are bound by a lambda, so what they are made of stands in the plan once, however often they are used.
+    """
+    both = F.array(F.struct(F.coalesce(base, F.lit("")).alias("base"), reference.alias("reference")))
+    return F.get(F.transform(both, lambda x: _resolved(x["base"], x["reference"])), 0)
+
+
+def _resolved(base: Column, reference: Column) -> Column:
+    origin = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    whole = F.regexp_replace(base, "[?#].*$", "")
+    folder = F.regexp_extract(F.substr(whole, F.length(origin) + 1), "^(.*/)", 1)
+    folder = F.when((folder == "") & (origin != ""), "/").otherwise(folder)
+    path, rest = F.regexp_extract(reference, "^([^?#]*)", 1), F.regexp_extract(reference, "^[^?#]*(.*)$", 1)
+    return (
+        F.when((base == "") | reference.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), reference)
+        .when(reference == "", base)
+        .when(reference.startswith("//"), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), reference))
+        .when(reference.startswith("/"), F.concat(origin, _without_dots(path), rest))
+        .when(reference.startswith("?"), F.concat(whole, reference))
+        .when(reference.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), reference))
+        .otherwise(F.concat(origin, _without_dots(F.concat(folder, path)), rest))
+    )
 
 
 def hex_iv(value: Column) -> Column:

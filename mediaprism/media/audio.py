@@ -48,9 +48,11 @@ def es_config(data: bytes) -> dict | None:
         if tag == 3:
             if i + 3 > len(data):
                 return None
+            # What it depends on, then its address, then its clock's stream.
             flags, i = data[i + 2], i + 3
-            i += (2 if flags & 128 else 0) + (2 if flags & 32 else 0)
+            i += 2 if flags & 128 else 0
             i += 1 + data[i] if flags & 64 and i < len(data) else 0
+            i += 2 if flags & 32 else 0
         else:
             i += 13 if tag == 4 else size
     return None

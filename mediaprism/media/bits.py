@@ -37,8 +37,8 @@ def without_emulation(nal: bytes) -> bytes:
     return nal.replace(b"\0\0\3", b"\0\0")
 
 
-def nal_units(data: bytes, most: int = 4096) -> list[bytes]:
-    """Units between Annex B start codes."""
+def nal_units(data: bytes, most: int = 1 << 62) -> list[bytes]:
+    """Units between Annex B start codes, ``most`` of them where only the first matter."""
     out, at = [], data.find(b"\0\0\1")
     while at >= 0 and len(out) < most:
         after = data.find(b"\0\0\1", at + 3)
@@ -209,16 +209,12 @@ def hevc_sps(nal: bytes) -> VideoShape | None:
     return None if short or not (0 < width <= 16384 and 0 < height <= 16384) else VideoShape(width, height, profile, level, tier, None, colour)
 
 
-#: More units than this are not looked at; what was not seen by then is unknown.
-MOST_UNITS = 4096
-
-
 def keyframes(data: bytes, codec: str = "h264", whole: bool = True) -> tuple[bool, bool | None] | None:
     """Whether video opens on a keyframe and whether it holds one; None if no picture is seen.
 
-    ``whole``: the bytes are all there are. Where they are cut, or hold too many units, a keyframe not seen is unknown.
+    ``whole``: the bytes are all there are. Where they are cut, a keyframe not seen is unknown.
     """
-    units = nal_units(data, MOST_UNITS)
+    units = nal_units(data)
     if codec == "hevc":
         kinds = [u[0] >> 1 & 63 for u in units if u]
         pictures = [16 <= k <= 21 for k in kinds if k < 32]
@@ -227,7 +223,7 @@ def keyframes(data: bytes, codec: str = "h264", whole: bool = True) -> tuple[boo
         pictures = [k == 5 for k in kinds if 1 <= k <= 5]
     if not pictures:
         return None
-    return pictures[0], True if any(pictures) else False if whole and len(units) < MOST_UNITS else None
+    return pictures[0], True if any(pictures) else False if whole else None
 
 
 def shape_of(data: bytes, codec: str) -> VideoShape | None:

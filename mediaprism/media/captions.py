@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-from mediaprism.media.bits import MOST_UNITS, nal_units, without_emulation
+from mediaprism.media.bits import nal_units, without_emulation
 
 # Country, provider, identifier and type of messages that carry captions.
 SIGN = b"\xb5\x00\x31GA94\x03"
 
 
-def messages(data: bytes, codec: str) -> Iterator[bytes]:
+def messages(units: Iterable[bytes], codec: str) -> Iterator[bytes]:
     """Payloads of user-data messages that carry captions."""
-    for u in nal_units(data, MOST_UNITS):
+    for u in units:
         if codec == "hevc":
             if len(u) < 3 or u[0] >> 1 & 63 not in (39, 40):
                 continue
@@ -54,10 +54,15 @@ def services(packet: bytes) -> set[int]:
 
 
 def seen(data: bytes, codec: str) -> list[str]:
+    """What video between start codes carries, as ``seen_in``."""
+    return seen_in(nal_units(data), codec)
+
+
+def seen_in(units: Iterable[bytes], codec: str) -> list[str]:
     """``field1``, ``field2`` and ``SERVICEn`` that carry data, in order of name."""
     found: set[str] = set()
     packet = b""
-    for m in messages(data, codec):
+    for m in messages(units, codec):
         if len(m) < 2 or not m[0] & 64:
             continue
         for k in range(m[0] & 31):

@@ -12,16 +12,17 @@ from statistics import median_high
 
 from mediaprism.media.audio import box_config, mpeg_frames
 from mediaprism.media.bits import VideoShape, keyframes, shape_of
+from mediaprism.media import samples
 from mediaprism.media.captions import seen
 from mediaprism.media.splices import emsg, splice
 
 CLOCK = 90_000
 TURN = 1 << 33
-_CAPTURE = 1 << 20
-_MOST_SPLICES = 256
 
 # Stream types of transport streams, and sampling rates of ADTS.
-STREAM_TYPES = {0x0F: ("audio", "aac"), 0x03: ("audio", "mp2"), 0x04: ("audio", "mp2"), 0x1B: ("video", "h264"), 0x24: ("video", "hevc"), 0x81: ("audio", "ac3"), 0x86: ("other", "scte35")}
+STREAM_TYPES = {0x0F: ("audio", "aac"), 0x03: ("audio", "mp2"), 0x04: ("audio", "mp2"), 0x1B: ("video", "h264"), 0x24: ("video", "hevc"), 0x81: ("audio", "ac3"), 0x86: ("other", "scte35"), 0xDB: ("video", "h264"), 0xCF: ("audio", "aac"), 0xC1: ("audio", "ac3"), 0xC2: ("audio", "ec3")}
+#: Of these the types that say that samples are encrypted.
+SEALED_TYPES = frozenset((0xDB, 0xCF, 0xC1, 0xC2))
 RATES = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350)
 
 
@@ -55,6 +56,7 @@ def parse_ts(data: bytes) -> dict | None:
     counters: dict[int, int] = {}
     errors: dict[int, int] = {}
     sections: dict[int, bytearray] = {}
+    sealed: set[int] = set()
     told: list[dict] = []
 
     def table(pid: int, s: bytes) -> None:
@@ -66,8 +68,9 @@ def parse_ts(data: bytes) -> dict | None:
             k = 12 + ((s[10] & 15) << 8 | s[11])
             while k + 5 <= size:
                 streams[(s[k + 1] & 31) << 8 | s[k + 2]] = STREAM_TYPES.get(s[k], ("other", f"0x{s[k]:02x}"))
+                sealed.update(((s[k + 1] & 31) << 8 | s[k + 2],) if s[k] in SEALED_TYPES else ())
                 k += 5 + ((s[k + 3] & 15) << 8 | s[k + 4])
-        elif s[0] == 0xFC and len(told) < _MOST_SPLICES and (found := splice(s)):
+        elif s[0] == 0xFC and (found := splice(s)):
             told.append(found | {"timescale": CLOCK})
 
     for i in range(start, len(data) - 187, 188):
@@ -108,8 +111,8 @@ def parse_ts(data: bytes) -> dict | None:
                 if body[7] & 128:
                     clocks.setdefault(pid, []).append(_clock(body[9:14]))
                 body = body[9 + body[8] :]
-            if len(held := bodies.setdefault(pid, bytearray())) < _CAPTURE:
-                held += body
+            held = bodies.setdefault(pid, bytearray())
+            held += body
     tracks = []
     for pid in sorted(streams):
         kind, codec = streams[pid]
@@ -121,16 +124,19 @@ def parse_ts(data: bytes) -> dict | None:
         if pts:
             t |= {"min_pts": min(pts) % TURN, "max_pts": max(pts) % TURN, "frame_dur": median_high(steps) if steps else None}
         body = bytes(bodies.get(pid, b""))
+        if pid in sealed:
+            tracks.append(t | {"protection": "sample-aes"})  # the clock is open, what the samples say is not
+            continue
         if codec in ("h264", "hevc"):
             _shaped(t, shape_of(body, codec))
-            if (k := keyframes(body, codec, len(body) < _CAPTURE)) is not None:
+            if (k := keyframes(body, codec)) is not None:
                 t |= {"opens_on_keyframe": k[0], "has_keyframe": k[1], "captions": seen(body, codec)}
         elif codec == "aac" and (a := adts(body)):
             t |= {"sample_rate": a[0], "channels": a[1]}
         elif codec == "mp2" and (m := mpeg_frames(body)):
             t |= {"codec": f"mp{m['layer']}", "sample_rate": m["sample_rate"], "channels": m["channels"]}
         tracks.append(t)
-    return {"container": "ts", "tracks": tracks, "splices": told} if tracks else None
+    return {"container": "ts", "tracks": tracks, "splices": told, "sealed": bool(sealed)} if tracks else None
 
 
 def adts(data: bytes) -> tuple[int, int, int, int] | None:
@@ -195,7 +201,7 @@ def _inside(data: bytes, path: str, start: int, end: int):
 
 
 # Sample entries and the track kind and codec each names.
-ENTRIES = {"avc1": ("video", "h264"), "avc3": ("video", "h264"), "hvc1": ("video", "hevc"), "hev1": ("video", "hevc"), "av01": ("video", "av1"), "vp09": ("video", "vp9"), "mp4a": ("audio", "aac"), "ac-3": ("audio", "ac3"), "ec-3": ("audio", "eac3"), "Opus": ("audio", "opus"), "wvtt": ("text", "wvtt"), "stpp": ("text", "stpp"), "encv": ("video", None), "enca": ("audio", None)}
+ENTRIES = {"avc1": ("video", "h264"), "avc3": ("video", "h264"), "hvc1": ("video", "hevc"), "hev1": ("video", "hevc"), "av01": ("video", "av1"), "vp09": ("video", "vp9"), "mp4a": ("audio", "aac"), "ac-3": ("audio", "ac3"), "ec-3": ("audio", "eac3"), "Opus": ("audio", "opus"), "wvtt": ("text", "wvtt"), "stpp": ("text", "stpp"), "c608": ("captions", "c608"), "c708": ("captions", "c708"), "encv": ("video", None), "enca": ("audio", None)}
 
 
 def _tracks_of(data: bytes) -> dict[int, dict]:
@@ -229,9 +235,9 @@ def _tracks_of(data: bytes) -> dict[int, dict]:
                     if t["kind"] == "audio" and (c := box_config(box, data[p:q])):
                         t |= c
                     elif box == "avcC" and q - p >= 4:
-                        t |= {"profile": data[p + 1], "constraints": data[p + 2], "level": data[p + 3]}
+                        t |= {"profile": data[p + 1], "constraints": data[p + 2], "level": data[p + 3], "_width": (data[p + 4] & 3) + 1 if q - p > 4 else 4}
                     elif box == "hvcC" and q - p >= 13:
-                        t |= {"profile": data[p + 1] & 31, "tier": data[p + 1] >> 5 & 1, "level": data[p + 12]}
+                        t |= {"profile": data[p + 1] & 31, "tier": data[p + 1] >> 5 & 1, "level": data[p + 12], "_width": (data[p + 21] & 3) + 1 if q - p > 21 else 4}
                     elif box == "av1C" and q - p >= 3:
                         t |= {"profile": data[p + 1] >> 5, "level": data[p + 1] & 31, "tier": data[p + 2] >> 7}
                     elif box == "vpcC" and q - p >= 6:
@@ -241,9 +247,9 @@ def _tracks_of(data: bytes) -> dict[int, dict]:
                 found[number] = t
                 break
     for x, _ in _inside(data, "moov/mvex/trex", 0, len(data)):
-        number, _, length, _, flags = struct.unpack_from(">5I", data, x + 4)
+        number, _, length, size, flags = struct.unpack_from(">5I", data, x + 4)
         if number in found:
-            found[number]["_default"] = (length, flags)
+            found[number]["_default"] = (length, flags, size)
     return found
 
 
@@ -272,30 +278,72 @@ def _guarded(t: dict, data: bytes, a: int, b: int, n: int) -> None:
     t["encrypted_samples"], t["clear_samples"] = (t["encrypted_samples"] or 0) + enc, (t["clear_samples"] or 0) + n - enc
 
 
+def _fragments(data: bytes):
+    """Of each track in each movie fragment: the fragment's first byte, the track's span, and whether it is the fragment's first."""
+    i = 0
+    for kind, a, b in boxes(data):
+        if kind == "moof":
+            for nth, (x, y) in enumerate(_inside(data, "traf", a, b)):
+                yield i, x, y, nth == 0
+        i = b
+
+
+def _read_samples(t: dict, data: bytes, places: list[samples.Sample]) -> list[tuple[int, int]]:
+    """Reads what a track's samples say into it, and gives the cues of a text track in milliseconds. Encrypted samples say nothing."""
+    if t["protection"]:
+        return []
+    held = [(p, data[p.offset : p.offset + p.size]) for p in places if p.size and 0 <= p.offset and p.offset + p.size <= len(data)]
+    if not held:
+        return []
+    bodies = [body for _, body in held]
+    scale = t["timescale"] or 1000
+    ms = lambda ticks: round(ticks * 1000 / scale)
+    if t["kind"] == "video" and t["codec"] in ("h264", "hevc"):
+        width = t.get("_width", 4)
+        t["captions"] = samples.video_captions(bodies, t["codec"], width)
+        opens = samples.pictures(bodies[0], t["codec"], width)
+        if opens:  # the pictures themselves speak before the flags
+            t["opens_on_keyframe"] = opens[0]
+            t["has_keyframe"] = any(any(samples.pictures(body, t["codec"], width)) for body in bodies)
+    elif t["kind"] == "captions":
+        t["captions"] = samples.track_captions(bodies, t["codec"])
+    elif t["codec"] == "wvtt":
+        return [(ms(p.at), ms(p.at + p.lasts)) for p, body in held if samples.is_cue(body)]
+    elif t["codec"] == "stpp":
+        return [c for body in bodies for c in (parse_ttml(body) or {"cues": []})["cues"]]
+    return []
+
+
 def parse_mp4(data: bytes, init: bytes | None = None) -> dict | None:
     """Tracks of a fragment, described by its init segment or its own moov."""
     if not any(k in ("ftyp", "styp", "moof", "moov", "sidx") for k, _, _ in boxes(data)):
         return None
     tracks = _tracks_of(init or b"") | _tracks_of(data)
-    for a, b in _inside(data, "moof/traf", 0, len(data)):
+    places: dict[int, list[samples.Sample]] = {}
+    last_end = 0
+    for moof, a, b, first_of_moof in _fragments(data):
+        last_end = moof if first_of_moof else last_end
         for x, _ in _inside(data, "tfhd", a, b):
             flags, number = int.from_bytes(data[x + 1 : x + 4], "big"), struct.unpack_from(">I", data, x + 4)[0]
             i = x + 8 + (8 if flags & 1 else 0) + (4 if flags & 2 else 0)
             t = tracks.setdefault(number, track("other", None))
-            length, sample_flags = t.get("_default", (0, 0))
+            length, sample_flags, size = t.get("_default", (0, 0, 0))
+            # Without a stated base: the fragment itself, or for later tracks of an old form where the data before ends.
+            base = struct.unpack_from(">Q", data, x + 8)[0] if flags & 1 else moof if flags & 0x20000 else last_end
             if flags & 8:
                 length, i = struct.unpack_from(">I", data, i)[0], i + 4
             if flags & 16:
-                i += 4
+                size, i = struct.unpack_from(">I", data, i)[0], i + 4
             if flags & 32:
                 sample_flags = struct.unpack_from(">I", data, i)[0]
         had = t["samples"] or 0
-        at = 0
+        at, end = 0, base
         for x, _ in _inside(data, "tfdt", a, b):
             at = struct.unpack_from(">Q" if data[x] else ">I", data, x + 4)[0]
         for x, y in _inside(data, "trun", a, b):
             flags, n = int.from_bytes(data[x + 1 : x + 4], "big"), struct.unpack_from(">I", data, x + 4)[0]
             i = x + 8 + (4 if flags & 1 else 0)
+            end = base + struct.unpack_from(">i", data, x + 8)[0] if flags & 1 else end
             first = None
             if flags & 4:
                 first, i = struct.unpack_from(">I", data, i)[0], i + 4
@@ -303,16 +351,18 @@ def parse_mp4(data: bytes, init: bytes | None = None) -> dict | None:
             if n * each > y - i or not each and n > (1 << 24):
                 return None
             for k in range(n):
-                step, own, shift = length, first if k == 0 and first is not None else sample_flags, 0
+                step, own, shift, room = length, first if k == 0 and first is not None else sample_flags, 0, size
                 if flags & 256:
                     step, i = struct.unpack_from(">I", data, i)[0], i + 4
                 if flags & 512:
-                    i += 4
+                    room, i = struct.unpack_from(">I", data, i)[0], i + 4
                 if flags & 1024:
                     own, i = struct.unpack_from(">I", data, i)[0], i + 4
                 if flags & 2048:
                     shift, i = struct.unpack_from(">i" if data[x] else ">I", data, i)[0], i + 4
                 shown = at + shift
+                places.setdefault(number, []).append(samples.Sample(end, room, shown, step))
+                end += room
                 sync = not own & 0x10000
                 t["min_pts"] = shown if t["min_pts"] is None else min(t["min_pts"], shown)
                 t["max_pts"] = shown if t["max_pts"] is None else max(t["max_pts"], shown)
@@ -320,19 +370,21 @@ def parse_mp4(data: bytes, init: bytes | None = None) -> dict | None:
                     t["opens_on_keyframe"] = sync if t["opens_on_keyframe"] is None else t["opens_on_keyframe"]
                     t["has_keyframe"] = bool(t["has_keyframe"]) or sync
                 t["samples"], t["stated_dur"], at = (t["samples"] or 0) + 1, (t["stated_dur"] or 0) + step, at + step
+        last_end = end
         _guarded(t, data, a, b, (t["samples"] or 0) - had)
+    cues = [c for number in sorted(places) for c in _read_samples(tracks[number], data, places[number])]
     starts = {k: t["min_pts"] for k, t in tracks.items()}
     told = []
     first = next((k for k in tracks if starts[k] is not None), None)
     for kind, a, b in boxes(data):
-        if kind == "emsg" and len(told) < _MOST_SPLICES and first is not None and (m := emsg(data[a:b], starts[first], tracks[first]["timescale"] or 1)) and m["splice"]:
+        if kind == "emsg" and first is not None and (m := emsg(data[a:b], starts[first], tracks[first]["timescale"] or 1)) and m["splice"]:
             told.append(m["splice"] | {"pts": m["pts"] if m["splice"]["pts"] is None else m["splice"]["pts"], "timescale": tracks[first]["timescale"] if m["splice"]["pts"] is None else CLOCK})
     for t in tracks.values():
-        t.pop("_default", None), t.pop("_guard", None)
+        t.pop("_default", None), t.pop("_guard", None), t.pop("_width", None)
         if t["samples"]:
             t["frame_dur"] = t["stated_dur"] // t["samples"] or None
     guards = [_uuid(d[a + 4 : a + 20]) for d in (init or b"", data) for at in ("moov/pssh", "moof/pssh") for a, b in _inside(d, at, 0, len(d)) if b - a >= 20]
-    return {"container": "mp4", "drm": sorted(set(guards)), "splices": told, "tracks": [tracks[k] for k in sorted(tracks, key=lambda k: k or 0)]}
+    return {"container": "mp4", "drm": sorted(set(guards)), "splices": told, "cues": cues, "tracks": [tracks[k] for k in sorted(tracks, key=lambda k: k or 0)]}
 
 
 _CUE = re.compile(r"((?:\d+:)?\d{2}:\d{2}[.,]\d{3})\s+-->\s+((?:\d+:)?\d{2}:\d{2}[.,]\d{3})")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from mediaprism.media.containers import boxes
 
-MOST_ENTRIES, MOST_DEPTH = 20_000, 4
+MOST_DEPTH = 4
 
 
 def sidx(data: bytes, at: int = 0) -> dict | None:
@@ -36,10 +36,8 @@ def expand(index: dict | None, read: Callable[[int, int], bytes], depth: int = 1
     """Media entries in order; entries that are indexes are read and replaced by theirs, less than four deep."""
     out: list[dict] = []
     for e in index["entries"] if index else []:
-        if len(out) >= MOST_ENTRIES:
-            break
         if not e["is_index"]:
             out.append(e | {"timescale": index["timescale"]})
         elif depth < MOST_DEPTH:
             out += expand(sidx(read(e["offset"], e["size"]), e["offset"]), read, depth + 1)
-    return out[:MOST_ENTRIES]
+    return out

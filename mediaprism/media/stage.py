@@ -18,19 +18,18 @@ SPLICE = {"command": "string", "pts": "long", "timescale": "long", "event_id": "
 _ARROW = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "strings": pa.list_(pa.string())}
 _SQL = {"string": "string", "long": "bigint", "boolean": "boolean", "strings": "array<string>"}
 _TRACK, _SPLICE, _CUE = (pa.struct([(k, _ARROW[v]) for k, v in f.items()]) for f in (FIELDS, SPLICE, {"begin_ms": "long", "end_ms": "long"}))
-_MOST_CUES = 100_000
 
 
 def media(bodies: DataFrame) -> DataFrame:
-    """Of each body (uri, body, init; more columns stay) container (null: not recognised), supported, bytes, tracks, splices, drm, cues, map (the clock a subtitle file states).
+    """Of each body (uri, body, init; more columns stay) container (null: not recognised), supported (false: known, but of a kind that is not read), sealed (its samples are encrypted inside the stream), bytes, tracks, splices, drm, cues, map (the clock a subtitle file states).
 
     The key of a body is every column but ``body`` and ``init``.
     """
     keys = [c for c in bodies.columns if c not in ("body", "init")]
     struct = lambda fields: "struct<" + ",".join(f"{k}:{_SQL[v]}" for k, v in fields.items()) + ">"
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bodies.select(*keys).schema)
-    schema = f"{kept}, container string, supported boolean, bytes long, tracks array<{struct(FIELDS)}>, splices array<{struct(SPLICE)}>, drm array<string>, cues array<struct<begin_ms:bigint,end_ms:bigint>>, map long"
-    names = [*keys, "container", "supported", "bytes", "tracks", "splices", "drm", "cues", "map"]
+    schema = f"{kept}, container string, supported boolean, sealed boolean, bytes long, tracks array<{struct(FIELDS)}>, splices array<{struct(SPLICE)}>, drm array<string>, cues array<struct<begin_ms:bigint,end_ms:bigint>>, map long"
+    names = [*keys, "container", "supported", "sealed", "bytes", "tracks", "splices", "drm", "cues", "map"]
 
     def run(batches):
         for b in batches:
@@ -40,9 +39,9 @@ def media(bodies: DataFrame) -> DataFrame:
                 f = parse(raw, i.as_py()) or {}
                 tracks = [{k: t.get(k) for k in FIELDS} for t in f.get("tracks", [])]
                 splices = [{k: t.get(k) for k in SPLICE} for t in f.get("splices", [])]
-                cues = [{"begin_ms": a, "end_ms": z} for a, z in f.get("cues", [])[:_MOST_CUES]]
-                out.append((f.get("container"), bool(f) and not f.get("unsupported", False), len(raw), tracks, splices, f.get("drm", []), cues, f.get("map")))
-            kinds = [pa.string(), pa.bool_(), pa.int64(), pa.list_(_TRACK), pa.list_(_SPLICE), pa.list_(pa.string()), pa.list_(_CUE), pa.int64()]
+                cues = [{"begin_ms": a, "end_ms": z} for a, z in f.get("cues", [])]
+                out.append((f.get("container"), not f.get("unsupported", False), bool(f.get("sealed", False)), len(raw), tracks, splices, f.get("drm", []), cues, f.get("map")))
+            kinds = [pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.list_(_TRACK), pa.list_(_SPLICE), pa.list_(pa.string()), pa.list_(_CUE), pa.int64()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], *(pa.array([o[j] for o in out], k) for j, k in enumerate(kinds))], names)
 
     return bodies.select(*keys, "body", "init").mapInArrow(run, schema)

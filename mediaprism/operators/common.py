@@ -10,9 +10,24 @@ from pyspark.sql import functions as F
 from mediaprism.options import Options
 
 
+#: The relations that a run may lack, by name.
+EMPTY = {
+    "parts": "rendition long, sequence long, idx long, declared_us long, min_pts long, timescale long, parsed boolean, independent boolean, opens_keyframe boolean",
+    "splices": "splice long, rendition long, event long, pts long",
+    "breaks": "break long, rendition long, event long, media_pts long, at_sequence long, clock_us long, section_pts long",
+    "cues": "rendition long, sequence long, begin_us long, end_us long",
+    "probes": "host string, status long, asked_bytes long, got_bytes long, failed boolean",
+    "observations": "rendition long, poll long, observed_us long, uris array<string>, durations_us array<long>, target_us long, failed boolean",
+    "edges": "rendition long, sequence long, edge string, missing boolean, digest string",
+    "windows": "rendition long, window_us long, held boolean, since_us long, fetches long",
+}
+
+
 @dataclass(frozen=True)
 class Relations:
-    """``all_renditions`` includes those that failed; the others leave them out."""
+    """What one or many streams were found to hold. ``stream`` is a column of segments and renditions, whose ``rendition`` is unique over all streams; what compares
+    renditions does so within a stream. ``all_renditions`` includes those that failed; the others leave them out. A relation that is not given is empty.
+    """
 
     all_segments: DataFrame
     all_renditions: DataFrame
@@ -22,8 +37,16 @@ class Relations:
     cues: DataFrame | None = None
     probes: DataFrame | None = None
     observations: DataFrame | None = None
+    edges: DataFrame | None = None
+    windows: DataFrame | None = None
     options: Options = field(default_factory=Options)
 
+    def __post_init__(self):
+        spark = self.all_segments.sparkSession
+        for name, schema in EMPTY.items():
+            if getattr(self, name) is None:
+                object.__setattr__(self, name, spark.createDataFrame([], schema))
+
     @property
     def renditions(self) -> DataFrame:
         return self.all_renditions.where(~F.col("failed"))
@@ -46,6 +69,11 @@ def label(rendition: str = "rendition") -> Column:
     return F.concat(F.lit("r"), F.col(rendition).cast("string"))
 
 
+def of_stream(*tail: Column | str) -> Column:
+    """A target that belongs to a stream as a whole."""
+    return F.concat(F.lit("s"), F.col("stream").cast("string"), F.lit("/"), *[t if isinstance(t, Column) else F.lit(t) for t in tail])
+
+
 def place(rendition: str = "rendition", sequence: str = "sequence") -> Column:
     return F.concat_ws("/", label(rendition), F.col(sequence).cast("string"))
 

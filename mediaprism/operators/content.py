@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mediaprism.findings import finding, together
 from mediaprism.functions.codecs import aac_object_type, avc_level, avc_profile, declared_family, range_of_transfer
-from mediaprism.operators.common import Relations, first_by, label, place, upper_median
+from mediaprism.operators.common import Relations, first_by, label, of_stream, place, upper_median
 from mediaprism.options import AVC_TIERS
 
 
@@ -16,11 +16,10 @@ def _count(condition):
 
 
 def manifest(rel: Relations) -> DataFrame:
-    """One statement per playlist: unreachable, unusable, or its shape."""
+    """One statement per playlist: unreachable, or its shape."""
     n = rel.all_segments.groupBy("rendition").agg(F.count("*").alias("n"))
     r = rel.all_renditions.join(n, "rendition", "left")
-    rule = F.when(F.col("failed"), "unreachable").when(F.col("bandwidth") <= 0, "unusable").otherwise("shape")
-    return finding(r, "manifest", rule, label(), F.when(F.col("failed"), "ERROR").when(F.col("bandwidth") <= 0, "BAD").otherwise("OK"), F.coalesce("n", F.lit(0)))
+    return finding(r, "manifest", F.when(F.col("failed"), "unreachable").otherwise("shape"), label(), F.when(F.col("failed"), "ERROR").otherwise("OK"), F.coalesce("n", F.lit(0)))
 
 
 def fetch(rel: Relations) -> DataFrame:
@@ -43,8 +42,11 @@ def init(rel: Relations) -> DataFrame:
 def container(rel: Relations) -> DataFrame:
     s = rel.segments
     g = rel.parsed.groupBy("rendition").agg(F.countDistinct("container").alias("kinds"), _count(F.col("opaque")).alias("opaque"))
+    other = s.where("fetched AND NOT parsed AND NOT supported").groupBy("rendition").agg(F.count("*").alias("n"))
     return together(
-        finding(s.where("fetched AND NOT parsed"), "container", "unparseable", place(), "BAD", F.col("bytes")),
+        finding(s.where("fetched AND NOT parsed AND supported"), "container", "unparseable", place(), "BAD", F.col("bytes")),
+        # Known for what it is, but of a kind that is not read.
+        finding(other, "container", "unsupported", label(), "OK", F.col("n")),
         finding(g.where("opaque > 0"), "container", "opaque", label(), "OK", F.col("opaque")),
         finding(g, "container", F.when(F.col("kinds") > 1, "mixed").otherwise("uniform"), label(), F.when(F.col("kinds") > 1, "WARN").otherwise("OK"), F.col("kinds")),
     )
@@ -98,16 +100,17 @@ def keyframe(rel: Relations) -> DataFrame:
 
 def framerate(rel: Relations) -> DataFrame:
     s = rel.of(rel.parsed.where("kind <> 'audio' AND frame_dur > 0"), "fps_milli", with_init=True)
-    g = s.groupBy("rendition", "kind", "r_fps_milli").agg(upper_median(F.floor((F.col("timescale") * 1000).cast("double") / F.col("frame_dur")).cast("long")).alias("fps"))
+    g = s.groupBy("stream", "rendition", "kind", "r_fps_milli").agg(upper_median(F.floor((F.col("timescale") * 1000).cast("double") / F.col("frame_dur")).cast("long")).alias("fps"))
     off = F.abs(F.col("fps") - F.col("r_fps_milli")) * 100 > F.col("r_fps_milli") * rel.options.frame_rate_pct
     rule = F.when(F.col("r_fps_milli").isNull(), "undeclared").when(off, "differs").otherwise("agrees")
     own = finding(g, "framerate", rule, label(), F.when(off, "WARN").otherwise("OK"), F.col("fps") / 1000)
     v = g.where("kind = 'video'")
-    top = v.agg(F.max("fps").alias("top"), F.count("*").alias("rungs"))
+    ladder = Window.partitionBy("stream")
+    v = v.select("stream", "fps", F.max("fps").over(ladder).alias("top"), F.count("*").over(ladder).alias("rungs"))
     ratio = F.col("top").cast("double") / F.col("fps")
     whole = F.greatest(F.floor(ratio + 0.5).cast("double"), F.lit(1.0))
-    odd = v.join(F.broadcast(top)).where("rungs > 1").where(F.abs(ratio - whole) * 100 > whole * rel.options.frame_rate_pct).agg(F.count("*").alias("n"))
-    return together(own, finding(odd.where("n > 0"), "framerate", "ladder", F.lit("ladder"), "WARN", F.col("n")))
+    odd = v.where("rungs > 1").where(F.abs(ratio - whole) * 100 > whole * rel.options.frame_rate_pct).groupBy("stream").agg(F.count("*").alias("n"))
+    return together(own, finding(odd, "framerate", "ladder", of_stream("ladder"), "WARN", F.col("n")))
 
 
 def audio(rel: Relations) -> DataFrame:
@@ -124,21 +127,18 @@ def audio(rel: Relations) -> DataFrame:
 
 
 def captions(rel: Relations) -> DataFrame:
-    s = rel.of(rel.parsed.where("kind = 'video'"), "caption", "captions_none", with_init=True)
+    """All declared services against all that are seen. An analogue service stands for its field, a caption track for all services of its family; ids that are not known pass."""
+    s = rel.of(rel.parsed.where("kind = 'video'"), "captions", "captions_none", with_init=True)
     scanned = F.col("captions_scanned") & ~F.col("opaque")
-    family = lambda c: F.when(c.isin("CC1", "CC3"), "field1").when(c.isin("CC2", "CC4"), "field2").otherwise(c)
-    seen = F.when(scanned, family(F.col("caption_seen")))
-    g = s.groupBy("rendition", "r_caption", "r_captions_none").agg(_count(scanned).alias("n"), F.collect_set(seen).alias("seen"))
-    declared = F.col("r_caption").isNotNull()
-    rule = (
-        F.when(declared & (F.col("n") == 0), "unscanned")
-        .when(declared & ~F.array_contains("seen", family(F.col("r_caption"))), "missing")
-        .when(F.col("r_captions_none") & (F.size("seen") > 0), "unexpected")
-        .otherwise("agrees")
-    )
-    g = g.withColumn("rule", rule)
+    field = lambda c: F.when(c.isin("CC1", "CC3"), "field1").when(c.isin("CC2", "CC4"), "field2").otherwise(c)
+    g = s.groupBy("rendition", "r_captions", "r_captions_none").agg(_count(scanned).alias("n"), F.array_distinct(F.flatten(F.collect_list(F.when(scanned, F.col("captions_seen"))))).alias("seen"))
+    seen = F.transform("seen", field)
+    known = lambda c: c.rlike("^(CC[1-4]|SERVICE[0-9]+)$")
+    there = lambda c: F.array_contains(seen, field(c)) | (F.array_contains("seen", "c608") & c.startswith("CC")) | (F.array_contains("seen", "c708") & c.startswith("SERVICE"))
+    declared = F.size("r_captions") > 0
+    g = g.withColumn("gone", F.size(F.filter("r_captions", lambda c: known(c) & ~there(c)))).withColumn("rule", F.when(declared & (F.col("n") == 0), "unscanned").when(declared & (F.col("gone") > 0), "missing").when(F.col("r_captions_none") & (F.size("seen") > 0), "unexpected").otherwise("agrees"))
     status = F.when(F.col("rule") == "unscanned", "ERROR").when(F.col("rule") == "missing", "BAD").when(F.col("rule") == "unexpected", "WARN").otherwise("OK")
-    return finding(g, "captions", F.col("rule"), label(), status, F.size("seen"))
+    return finding(g, "captions", F.col("rule"), label(), status, F.when(F.col("rule") == "missing", F.col("gone")).otherwise(F.size("seen")))
 
 
 def encryption(rel: Relations) -> DataFrame:
@@ -154,15 +154,15 @@ def encryption(rel: Relations) -> DataFrame:
 def ladder(rel: Relations) -> DataFrame:
     r = rel.renditions
     v = r.where("kind = 'video'")
-    same = v.where("width > 0 AND height > 0 AND bandwidth > 0").groupBy("period", "width", "height", "bandwidth").agg(F.count("*").alias("n")).where("n > 1")
-    w = Window.partitionBy("period").orderBy("bandwidth", "rendition")
+    same = v.where("width > 0 AND height > 0 AND bandwidth > 0").groupBy("stream", "period", "width", "height", "bandwidth").agg(F.count("*").alias("n")).where("n > 1")
+    w = Window.partitionBy("stream", "period").orderBy("bandwidth", "rendition")
     lower = v.where("height IS NOT NULL").select("*", F.lag("height").over(w).alias("below")).where("height < below")
-    defined = r.where("kind = 'audio' AND group_id IS NOT NULL").select(F.col("group_id").alias("audio_group")).distinct()
-    dangling = v.where("audio_group IS NOT NULL").join(defined, "audio_group", "left_anti")
-    none = v.agg(F.count("*").alias("n")).where("n = 0")
-    at = F.concat(F.lit("p"), F.col("period").cast("string"), F.lit(":"), F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"), F.lit("@"), F.col("bandwidth").cast("string"))
+    defined = r.where("kind = 'audio' AND group_id IS NOT NULL").select("stream", F.col("group_id").alias("audio_group")).distinct()
+    dangling = v.where("audio_group IS NOT NULL").join(defined, ["stream", "audio_group"], "left_anti")
+    none = r.groupBy("stream").agg(_count(F.col("kind") == "video").alias("n")).where("n = 0")
+    at = of_stream("p", F.col("period").cast("string"), F.lit(":"), F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"), F.lit("@"), F.col("bandwidth").cast("string"))
     return together(
-        finding(none, "ladder", "no-video", F.lit("ladder"), "BAD"),
+        finding(none, "ladder", "no-video", of_stream("ladder"), "BAD"),
         finding(same, "ladder", "duplicate", at, "WARN", F.col("n")),
         finding(lower, "ladder", "inverted", label(), "WARN", F.col("below") - F.col("height")),
         finding(dangling, "ladder", "audio-group", label(), "BAD"),
@@ -171,13 +171,16 @@ def ladder(rel: Relations) -> DataFrame:
 
 
 def pop(rel: Relations) -> DataFrame:
-    """The reference copy of each segment against an edge's, by digest."""
-    g = rel.segments.where("fetched").groupBy("rendition").agg(F.count("*").alias("n"), _count(F.col("edge_missing")).alias("gone"), _count(~F.col("edge_missing") & (F.col("digest") != F.col("edge_digest"))).alias("other"))
+    """The reference copy of each segment against that of each edge, by digest: one statement an edge; without edges there is nothing to say."""
+    reference = rel.segments.where("fetched").select("stream", "rendition", "sequence", F.col("digest").alias("reference"))
+    g = rel.edges.join(reference, ["rendition", "sequence"]).groupBy("stream", "edge").agg(F.count("*").alias("n"), _count(F.col("missing")).alias("gone"), _count(~F.col("missing") & (F.col("digest") != F.col("reference"))).alias("other"))
+    whole = g.groupBy("stream").agg(F.sum(F.col("gone") + F.col("other")).alias("off"), F.max("n").alias("n"))
+    at = of_stream(F.col("edge"))
     return together(
-        finding(g.where("gone = n"), "pop", "unreachable", label(), "ERROR"),
-        finding(g.where("gone > 0 AND gone < n"), "pop", "missing", label(), "BAD", F.col("gone")),
-        finding(g.where("other > 0"), "pop", "differs", label(), "BAD", F.col("other")),
-        finding(g.where("gone = 0 AND other = 0"), "pop", "agrees", label(), "OK", F.col("n")),
+        finding(g.where("gone = n"), "pop", "unreachable", at, "ERROR"),
+        finding(g.where("gone > 0 AND gone < n"), "pop", "missing", at, "BAD", F.col("gone")),
+        finding(g.where("other > 0"), "pop", "differs", at, "BAD", F.col("other")),
+        finding(whole.where("off = 0"), "pop", "agrees", of_stream("edges"), "OK", F.col("n")),
     )
 
 
@@ -193,11 +196,11 @@ def cache(rel: Relations) -> DataFrame:
 def byterange(rel: Relations) -> DataFrame:
     """What each host answered to a request for its first bytes, against what its segments need and it advertises."""
     s = rel.segments.where("fetched")
-    g = s.groupBy("host").agg(F.max("ranged").alias("needed"), F.max("accepts_ranges").alias("advertised")).join(rel.probes, "host")
+    g = s.groupBy("stream", "host").agg(F.max("ranged").alias("needed"), F.max("accepts_ranges").alias("advertised")).join(rel.probes, "host")
     exact = (F.col("status") == 206) & (F.col("got_bytes") == F.col("asked_bytes"))
     rule = F.when(F.col("failed"), "probe-failed").when(exact, "partial").when(F.col("needed"), "needed").when(F.col("advertised"), "advertised").otherwise("unused")
     status = F.when(F.col("failed"), "ERROR").when(exact, "OK").when(F.col("needed"), "BAD").when(F.col("advertised"), "WARN").otherwise("OK")
-    return finding(g, "byterange", rule, F.col("host"), status, F.col("got_bytes"))
+    return finding(g, "byterange", rule, of_stream(F.col("host")), status, F.col("got_bytes"))
 
 
 def codecstring(rel: Relations) -> DataFrame:
@@ -247,17 +250,18 @@ def clear(rel: Relations) -> DataFrame:
 
 def scheme(rel: Relations) -> DataFrame:
     s = rel.of(rel.parsed.where("scheme IS NOT NULL"), "scheme")
-    g = s.groupBy("rendition", "kind", "r_scheme").agg(first_by([F.col("sequence")], "scheme", "crypt_pattern").alias("f"))
+    g = s.groupBy("stream", "rendition", "kind", "r_scheme").agg(first_by([F.col("sequence")], "scheme", "crypt_pattern").alias("f"))
     patterned = F.col("f.scheme").isin("cbcs", "cens")
     rule = F.when(F.col("f.crypt_pattern") & ~patterned, "pattern-without").when(patterned & (F.col("kind") == "video") & ~F.col("f.crypt_pattern"), "pattern-missing").when(F.col("r_scheme") != F.col("f.scheme"), "differs").otherwise("agrees")
     own = finding(g.withColumn("rule", rule), "scheme", F.col("rule"), label(), F.when(F.col("rule") == "agrees", "OK").otherwise("BAD"))
-    several = g.agg(F.countDistinct("f.scheme").alias("n")).where("n > 1")
-    return together(own, finding(several, "scheme", "ladder", F.lit("ladder"), "BAD", F.col("n")))
+    several = g.groupBy("stream").agg(F.countDistinct("f.scheme").alias("n")).where("n > 1")
+    return together(own, finding(several, "scheme", "ladder", of_stream("ladder"), "BAD", F.col("n")))
 
 
 def drm(rel: Relations) -> DataFrame:
+    """Protection systems: those that the manifest declares against those that the media names, as sets."""
     s = rel.of(rel.parsed, "drm")
-    g = s.groupBy("rendition", "r_drm").agg(F.collect_set("pssh").alias("there")).where("r_drm IS NOT NULL OR size(there) > 0").withColumn("said", F.array_compact(F.array("r_drm")))
+    g = s.groupBy("rendition", F.col("r_drm").alias("said")).agg(F.array_distinct(F.flatten(F.collect_list("pssh"))).alias("there")).where("size(said) > 0 OR size(there) > 0")
     missing = g.select("rendition", F.explode(F.array_except("said", "there")).alias("system"), "there")
     extra = g.select("rendition", F.explode(F.array_except("there", "said")).alias("system"))
     at = F.concat_ws("/", label(), F.col("system"))

@@ -6,10 +6,12 @@ from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mediaprism.findings import together
 from mediaprism.operators import content, timing
-from mediaprism.operators.common import Relations
+from mediaprism.operators.common import EMPTY, Relations
+from mediaprism.operators.retention import measure, windows_of
 from mediaprism.plans import relations as R
 from mediaprism.storage import saved
 
@@ -23,7 +25,7 @@ CHECKS: dict[str, Callable[[Relations], DataFrame]] = {
 }
 
 
-INPUTS = ("all_segments", "all_renditions", "parts", "splices", "breaks", "cues", "probes", "observations")
+INPUTS = ("all_segments", "all_renditions", *EMPTY)
 
 
 def register(name: str, check: Callable[[Relations], DataFrame]) -> None:
@@ -31,10 +33,14 @@ def register(name: str, check: Callable[[Relations], DataFrame]) -> None:
     CHECKS[name] = check
 
 
-def load(spark: SparkSession, sf_dir: str) -> Relations:
-    """The relations of a run, projected from the tables in a folder."""
+def load(spark: SparkSession, sf_dir: str, windows: bool = False) -> Relations:
+    """The relations of a run, projected from the tables in a folder. ``windows``: measure what live windows hold, in rounds of jobs."""
     of = lambda sql: R.relation(spark, sf_dir, sql)
-    return Relations(of(R.SEGMENTS), of(R.RENDITIONS), of(R.PARTS), of(R.SPLICES), of(R.BREAKS), of(R.CUES), of(R.PROBES), of(R.OBSERVATIONS))
+    rel = Relations(of(R.SEGMENTS), of(R.RENDITIONS), of(R.PARTS), of(R.SPLICES), of(R.BREAKS), of(R.CUES), of(R.PROBES), of(R.OBSERVATIONS), of(R.EDGES))
+    if not windows:
+        return rel
+    kept = rel.segments.select("rendition", "sequence", (F.col("kept") & F.col("parsed")).alias("held"))
+    return replace(rel, windows=measure(windows_of(rel.all_renditions, rel.segments), lambda asked: asked.join(kept, ["rendition", "sequence"])))
 
 
 def shared(relations: Relations) -> Relations:

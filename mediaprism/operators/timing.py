@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaprism.findings import finding, together
-from mediaprism.operators.common import Relations, first_by, label, place, previous, since_first, unwrapped
+from mediaprism.operators.common import Relations, first_by, label, of_stream, place, previous, since_first, unwrapped
 
 
 def _double(x):
@@ -39,10 +39,10 @@ def discontinuity(rel: Relations) -> DataFrame:
     same = F.col("codec").eqNullSafe(F.col("prev_codec")) & F.col("width").eqNullSafe(F.col("prev_width")) & F.col("height").eqNullSafe(F.col("prev_height"))
     idle = pair.where(F.col("discontinuity") & F.col("adjacent") & smooth & same)
     needless = finding(idle, "discontinuity", "nothing-changes", place(), "BAD", F.col("sequence"))
-    # The first rendition against each other one, by sequence: a group, not a product.
-    first = p.agg(F.min("rendition").alias("first"))
-    lead = p.join(F.broadcast(first), p["rendition"] == first["first"]).select("sequence", F.col("min_pts").alias("lead_pts"), F.col("discontinuity_sequence").alias("lead_ds"), F.col("rendition").alias("lead"))
-    both = p.join(lead, "sequence").where((F.col("rendition") != F.col("lead")) & (F.abs(F.col("min_pts") - F.col("lead_pts")) * 1_000_000 <= rel.options.gap_us * F.col("timescale")) & (F.col("discontinuity_sequence") != F.col("lead_ds")))
+    # The first rendition of a stream against each other one, by sequence: a group, not a product.
+    first = p.groupBy("stream").agg(F.min("rendition").alias("rendition"))
+    lead = p.join(first, ["stream", "rendition"]).select("stream", "sequence", F.col("min_pts").alias("lead_pts"), F.col("discontinuity_sequence").alias("lead_ds"), F.col("rendition").alias("lead"))
+    both = p.join(lead, ["stream", "sequence"]).where((F.col("rendition") != F.col("lead")) & (F.abs(F.col("min_pts") - F.col("lead_pts")) * 1_000_000 <= rel.options.gap_us * F.col("timescale")) & (F.col("discontinuity_sequence") != F.col("lead_ds")))
     apart = finding(both.groupBy("rendition").agg(F.min("sequence").alias("since")), "discontinuity", "sequence-differs", label(), "BAD", F.col("since"))
     declared = p.groupBy("rendition").agg(F.sum(F.col("discontinuity").cast("int")).alias("n")).where("n > 0")
     bad = idle.select("rendition").unionByName(both.select("rendition")).distinct()
@@ -73,12 +73,12 @@ def timeline(rel: Relations) -> DataFrame:
 
 
 def alignment(rel: Relations) -> DataFrame:
-    """Spread of starts over the video ladder, by period and sequence."""
-    g = rel.parsed.where("kind = 'video'").groupBy("period", "sequence").agg(F.count("*").alias("n"), (F.max("min_pts") - F.min("min_pts")).alias("spread"), F.max("timescale").alias("ts")).where("n > 1")
+    """Spread of starts over a stream's video ladder, by period and sequence."""
+    g = rel.parsed.where("kind = 'video'").groupBy("stream", "period", "sequence").agg(F.count("*").alias("n"), (F.max("min_pts") - F.min("min_pts")).alias("spread"), F.max("timescale").alias("ts")).where("n > 1")
     g = g.withColumn("off", F.col("spread") * 1_000_000 > rel.options.gap_us * F.col("ts"))
-    bad = finding(g.where("off"), "alignment", "spread", F.concat_ws("/", F.concat(F.lit("p"), F.col("period").cast("string")), F.col("sequence").cast("string")), "BAD", _double(F.col("spread")) / (F.col("ts") / 1000))
-    good = g.agg(F.count("*").alias("n"), F.max("off").alias("any")).where("n > 0 AND NOT any")
-    return together(bad, finding(good, "alignment", "aligned", F.lit("ladder"), "OK", F.col("n")))
+    bad = finding(g.where("off"), "alignment", "spread", of_stream("p", F.col("period").cast("string"), F.lit("/"), F.col("sequence").cast("string")), "BAD", _double(F.col("spread")) / (F.col("ts") / 1000))
+    good = g.groupBy("stream").agg(F.count("*").alias("n"), F.max("off").alias("any")).where("NOT any")
+    return together(bad, finding(good, "alignment", "aligned", of_stream("ladder"), "OK", F.col("n")))
 
 
 def pdt(rel: Relations) -> DataFrame:
@@ -95,9 +95,9 @@ def pdt(rel: Relations) -> DataFrame:
     bad = back.select("rendition").unionByName(worst.select("rendition")).distinct()
     good = finding(pair.groupBy("rendition").agg(F.count("*").alias("n")).join(bad, "rendition", "left_anti"), "pdt", "agrees", label(), "OK", F.col("n"))
     v = p.where("kind = 'video'").withColumn("origin", F.col("pdt_us") - F.expr("min_pts * 1000000 div timescale"))
-    g = v.groupBy("sequence").agg(F.count("*").alias("n"), (F.max("min_pts") - F.min("min_pts")).alias("media"), (F.max("origin") - F.min("origin")).alias("spread"), F.max("timescale").alias("ts"))
+    g = v.groupBy("stream", "sequence").agg(F.count("*").alias("n"), (F.max("min_pts") - F.min("min_pts")).alias("media"), (F.max("origin") - F.min("origin")).alias("spread"), F.max("timescale").alias("ts"))
     g = g.where((F.col("n") > 1) & (F.col("media") * 1_000_000 <= rel.options.gap_us * F.col("ts")) & (F.col("spread") > rel.options.gap_us))
-    return together(backwards, drifting, good, finding(g, "pdt", "ladder", F.concat(F.lit("seq"), F.col("sequence").cast("string")), "BAD", F.col("spread") / 1000))
+    return together(backwards, drifting, good, finding(g, "pdt", "ladder", of_stream("seq", F.col("sequence").cast("string")), "BAD", F.col("spread") / 1000))
 
 
 def parts(rel: Relations) -> DataFrame:
@@ -127,11 +127,11 @@ def parts(rel: Relations) -> DataFrame:
 
 
 def subtitles(rel: Relations) -> DataFrame:
-    """Cues against the span of their segment: the running declared time within the renditions's segments, from the first video clock on."""
+    """Cues against the span of their segment: the running declared time within the renditions's segments, from the stream's first video clock on."""
     w = Window.partitionBy("rendition").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
-    origin = rel.parsed.where("kind = 'video'").agg(F.min(F.floor(F.col("min_pts") * 1_000_000 / F.col("timescale"))).alias("origin"))
+    origin = rel.parsed.where("kind = 'video'").groupBy("stream").agg(F.min(F.floor(F.col("min_pts") * 1_000_000 / F.col("timescale"))).alias("origin"))
     s = rel.parsed.where("kind = 'text'").withColumn("start", F.coalesce(F.sum("declared_us").over(w), F.lit(0)))
-    s = s.crossJoin(F.broadcast(origin)).withColumn("since", F.coalesce("origin", F.lit(0)) + F.col("start")).select("rendition", "sequence", "declared_us", "since", "mapped", "origin")
+    s = s.join(origin, "stream", "left").withColumn("since", F.coalesce("origin", F.lit(0)) + F.col("start")).select("rendition", "sequence", "declared_us", "since", "mapped", "origin")
     c = s.join(rel.cues, ["rendition", "sequence"])
     tol = rel.options.gap_us
     c = c.withColumn("off", (F.col("begin_us") < F.col("since") - tol) | (F.col("end_us") > F.col("since") + F.col("declared_us") + tol))
@@ -185,13 +185,13 @@ def adbreak(rel: Relations) -> DataFrame:
 def period(rel: Relations) -> DataFrame:
     """Period boundaries: media drift against the first period, codecs and sizes that change."""
     p = rel.parsed.where("declared_start_us IS NOT NULL").withColumn("drift", F.col("min_pts") * 1_000_000 - F.col("declared_start_us") * F.col("timescale"))
-    per = p.groupBy("rendition", "period").agg(first_by([F.abs("drift"), F.col("sequence")], "drift", "timescale").alias("m"))
-    whole = per.groupBy("period").agg(first_by([-F.abs("m.drift"), F.col("rendition")], "m").alias("w")).select("period", "w.m.drift", "w.m.timescale")
-    first = whole.agg(F.min_by("drift", "period").alias("base"), F.min("period").alias("first"))
-    x = whole.join(F.broadcast(first)).where("period <> first").withColumn("ms", _double(F.col("drift") - F.col("base")) / (F.col("timescale") * 1000))
-    x = x.crossJoin(F.broadcast(rel.renditions.agg(F.max("target_us").alias("target"))))
+    per = p.groupBy("stream", "rendition", "period").agg(first_by([F.abs("drift"), F.col("sequence")], "drift", "timescale").alias("m"))
+    whole = per.groupBy("stream", "period").agg(first_by([-F.abs("m.drift"), F.col("rendition")], "m").alias("w")).select("stream", "period", "w.m.drift", "w.m.timescale")
+    of_one = Window.partitionBy("stream")
+    x = whole.select("*", F.min_by("drift", "period").over(of_one).alias("base"), F.min("period").over(of_one).alias("first")).where("period <> first").withColumn("ms", _double(F.col("drift") - F.col("base")) / (F.col("timescale") * 1000))
+    x = x.join(rel.renditions.groupBy("stream").agg(F.max("target_us").alias("target")), "stream")
     late, early = F.lit(rel.options.period_late_us / 1000), (F.col("target") + rel.options.period_late_us) / 1000
-    at = F.concat(F.lit("p"), F.col("period").cast("string"))
+    at = of_stream("p", F.col("period").cast("string"))
     drifting = finding(x, "period", F.when((F.col("ms") > late) | (F.col("ms") < -early), "drift").otherwise("placed"), at, F.when((F.col("ms") > late) | (F.col("ms") < -early), "BAD").otherwise("OK"), F.col("ms"))
     lists = rel.parsed.where("kind = 'video'").groupBy("rendition", "period").agg(F.array_join(F.array_sort(F.collect_set("codec")), ",").alias("codecs"), F.array_join(F.array_sort(F.collect_set(F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string")))), ",").alias("sizes"))
     w = Window.partitionBy("rendition").orderBy("period")
@@ -201,42 +201,51 @@ def period(rel: Relations) -> DataFrame:
 
 
 def dvr(rel: Relations) -> DataFrame:
-    """The oldest segment of a live window must still be there; the span that is, from the newest back."""
-    s = rel.of(rel.segments.where("kind = 'video'"), "live").where("r_live")
-    g = s.groupBy("rendition").agg(F.min_by("parsed", "sequence").alias("held"), F.max("sequence").alias("newest"), F.min(F.when(F.col("parsed"), F.col("sequence"))).alias("since"))
-    return finding(g, "dvr", F.when(F.col("held"), "held").otherwise("gone"), label(), F.when(F.col("held"), "OK").otherwise("BAD"), F.col("newest") - F.col("since") + 1)
+    """The oldest segment of a live window must still be there; where it is not, the span that was found to be. ``retention`` measures it."""
+    held = F.col("held")
+    return finding(rel.windows, "dvr", F.when(held, "held").otherwise("gone"), label(), F.when(held, "OK").otherwise("BAD"), F.when(held, F.col("window_us")).otherwise(F.col("since_us")) / 1e6)
 
 
 def availability(rel: Relations) -> DataFrame:
-    """Live renditions whose newest segments cannot be fetched: a trailing run."""
-    s = rel.of(rel.segments, "live").where("r_live")
+    """Live renditions whose manifest goes by the clock, and whose newest segments cannot be fetched: a trailing run."""
+    s = rel.of(rel.segments, "live", "format").where("r_live AND r_format = 'dash'")
     g = s.groupBy("rendition").agg(F.max("sequence").alias("newest"), F.coalesce(F.max(F.when(F.col("fetched"), F.col("sequence"))), F.min("sequence") - 1).alias("there"))
     g = g.withColumn("run", F.col("newest") - F.col("there"))
     return finding(g, "availability", F.when(F.col("run") > 0, "newest-missing").otherwise("there"), label(), F.when(F.col("run") > 0, "BAD").otherwise("OK"), F.col("run"))
 
 
 def watch(rel: Relations) -> DataFrame:
-    """A polled live edge: never moved, stalled, went backwards, or published slower or faster than time passes.
+    """A polled live edge: empty, never moved, stalled, went backwards, or published slower or faster than time passes.
 
-    The rate is judged over four segments at least; it may be off by a segment and a fifth of the time.
+    The previous newest segment is looked up in the next list: what follows it was published meanwhile; if it scrolled out, that is not known.
+    An edge that stood earlier in the previous list went backwards. The rate is judged over four segments at least, and may be off by one and a fifth of the time.
     """
     w = Window.partitionBy("rendition").orderBy("poll")
-    o = rel.observations.where("NOT failed").withColumn("was", F.lag("newest").over(w))
-    moved = F.col("was").isNotNull() & (F.col("newest") != F.col("was"))
-    mark = o.withColumn("at", F.when(moved, F.col("observed_us")))
-    since = F.coalesce(F.last("at", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.min("observed_us").over(Window.partitionBy("rendition")))
-    mark = mark.withColumn("gap", F.col("observed_us") - since)
-    g = mark.groupBy("rendition").agg(F.count("at").alias("advances"), F.max("gap").alias("stall"), F.sum(F.when(F.col("newest") < F.col("was"), 1).otherwise(0)).alias("back"), F.max("target_us").alias("target"), F.count("*").alias("looks"), (F.max_by("newest", "poll") - F.min_by("newest", "poll")).alias("published"), (F.max("observed_us") - F.min("observed_us")).alias("passed"))
-    ahead = F.col("published") * F.col("target") - F.col("passed")
-    slack = F.col("target") + F.col("passed") / 5
-    rated = g.where((F.col("passed") >= 4 * F.col("target")) & (F.col("advances") > 0)).where(F.abs(ahead) > slack)
-    failed = rel.observations.where("failed").groupBy("rendition").agg(F.count("*").alias("n"))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    o = rel.observations.where("NOT failed").withColumn("newest", F.try_element_at("uris", F.lit(-1)))
+    o = o.select("*", F.lag("uris").over(w).alias("was"), F.lag("newest").over(w).alias("last"), F.row_number().over(w).alias("nth"), F.coalesce(F.last("newest", True).over(before), F.lit("")).alias("shown"))
+    at = F.array_position("uris", F.col("last"))
+    published = F.when(at > 0, F.aggregate(F.slice("durations_us", (at + 1).cast("int"), F.size("uris")), F.lit(0).cast("long"), lambda a, b: a + b))
+    here, there = F.array_position("was", F.col("newest")), F.array_position("was", F.col("last"))
+    back = F.coalesce((F.col("newest") != F.col("last")) & (here > 0) & (here < there), F.lit(False))
+    moved = (F.col("nth") > 1) & F.col("newest").isNotNull() & (F.col("newest") != F.col("shown"))
+    o = o.select("*", moved.alias("moved"), published.alias("published"), back.alias("back")).withColumn("moved_us", F.when(F.col("moved"), F.col("observed_us")))
+    since = F.coalesce(F.last("moved_us", True).over(before), F.min("observed_us").over(Window.partitionBy("rendition")))
+    o = o.withColumn("gap", F.col("observed_us") - since).withColumn("one", F.when(F.col("published").isNotNull(), F.array_max("durations_us")))
+    g = o.groupBy("rendition").agg(
+        F.count("*").alias("looks"), F.count("newest").alias("filled"), F.count("moved_us").alias("advances"), F.max("gap").alias("stall"), F.max("back").alias("back"), F.max("target_us").alias("target"), (F.max("observed_us") - F.min("observed_us")).alias("passed"), F.sum("published").alias("media"), F.max("one").alias("one"),
+    )
+    ahead = F.col("media") - F.col("passed")
+    judged = g.where("looks > 1 AND advances > 0")
+    rated = judged.where("NOT back AND one > 0 AND passed >= 4 * one").where(F.abs(ahead) > F.col("one") + F.col("passed") / 5)
+    failed = rel.observations.groupBy("rendition").agg(F.sum(F.col("failed").cast("int")).alias("n"), F.count("*").alias("polls")).where("n > 0")
     stalled = F.col("stall") > F.col("target") * rel.options.stall_tolerance
-    rule = F.when(F.col("looks") == 1, "one-look").when(F.col("advances") == 0, "never-advanced").when(stalled, "stalled").otherwise("advancing")
-    status = F.when(F.col("looks") == 1, "OK").when((F.col("advances") == 0) | stalled, "BAD").otherwise("OK")
+    rule = F.when(F.col("looks") == 1, "one-look").when(F.col("filled") == 0, "empty").when(F.col("advances") == 0, "never-advanced").when(F.col("target").isNull(), "no-interval").when(stalled, "stalled").otherwise("advancing")
+    g = g.withColumn("rule", rule)
+    whole = F.col("rule").isin("empty", "never-advanced")
     return together(
-        finding(g, "watch", rule, label(), status, F.col("stall") / 1e6),
-        finding(g.where("back > 0"), "watch", "backwards", label(), "BAD", F.col("back")),
-        finding(rated, "watch", F.when(ahead < 0, "behind").otherwise("ahead"), label(), F.when(ahead < 0, "BAD").otherwise("WARN"), ahead / 1e6),
-        finding(failed, "watch", "poll-failed", label(), "ERROR", F.col("n")),
+        finding(g, "watch", F.col("rule"), label(), F.when(whole | (F.col("rule") == "stalled"), "BAD").otherwise("OK"), F.when(whole, F.col("passed")).when(F.col("rule") != "one-look", F.col("stall")) / 1e6),
+        finding(judged.where("back"), "watch", "backwards", label(), "BAD"),
+        finding(rated, "watch", F.when(ahead < 0, "behind").otherwise("ahead"), label(), F.when(ahead < 0, "BAD").otherwise("WARN"), F.abs(ahead) / 1e6),
+        finding(failed, "watch", F.when(F.col("n") == F.col("polls"), "all-failed").otherwise("poll-failed"), label(), "ERROR", F.col("n")),
     )

@@ -7,6 +7,7 @@ from mediaprism.plans.relations import oracle
 
 _R = "'r' || rendition"
 _P = "'r' || rendition || '/' || sequence"
+_S = "'s' || stream || '/'"
 _NONE = "CAST(NULL AS DOUBLE)"
 
 
@@ -39,7 +40,7 @@ _RI = "(SELECT * FROM r WHERE NOT init_failed)"
 
 SQL: dict[str, str] = {}
 
-SQL["manifest"] = oracle(_rows("manifest", (_case(("failed", "unreachable"), ("bandwidth <= 0", "unusable"), other="shape"), _R, _case(("failed", "ERROR"), ("bandwidth <= 0", "BAD"), other="OK"), "(SELECT count(*) FROM s0 WHERE s0.rendition = r0.rendition)", "r0")))
+SQL["manifest"] = oracle(_rows("manifest", (_case(("failed", "unreachable"), other="shape"), _R, _case(("failed", "ERROR"), other="OK"), "(SELECT count(*) FROM s0 WHERE s0.rendition = r0.rendition)", "r0")))
 
 SQL["fetch"] = oracle(_rows(
     "fetch",
@@ -54,7 +55,8 @@ SQL["init"] = oracle(_rows("init", ("unfetched", _R, "ERROR", "NULL", "r WHERE i
 
 SQL["container"] = oracle(_rows(
     "container",
-    ("unparseable", _P, "BAD", "bytes", "s WHERE fetched AND NOT parsed"),
+    ("unparseable", _P, "BAD", "bytes", "s WHERE fetched AND NOT parsed AND supported"),
+    ("unsupported", _R, "OK", "count(*)", "s WHERE fetched AND NOT parsed AND NOT supported GROUP BY rendition"),
     ("opaque", _R, "OK", "count(*)", "p WHERE opaque GROUP BY rendition"),
     (_case(("count(DISTINCT container) > 1", "mixed"), other="uniform"), _R, _case(("count(DISTINCT container) > 1", "WARN"), other="OK"), "count(DISTINCT container)", "p GROUP BY rendition"),
 ))
@@ -84,14 +86,14 @@ SQL["keyframe"] = _with(
 )
 
 SQL["framerate"] = _with(
-    f"""f AS (SELECT p.rendition, p.kind, fps_milli, CAST(floor(CAST(timescale * 1000 AS DOUBLE) / frame_dur) AS BIGINT) AS fps, row_number() OVER (PARTITION BY p.rendition ORDER BY floor(CAST(timescale * 1000 AS DOUBLE) / frame_dur)) AS k, count(*) OVER (PARTITION BY p.rendition) AS n
+    f"""f AS (SELECT p.stream, p.rendition, p.kind, fps_milli, CAST(floor(CAST(timescale * 1000 AS DOUBLE) / frame_dur) AS BIGINT) AS fps, row_number() OVER (PARTITION BY p.rendition ORDER BY floor(CAST(timescale * 1000 AS DOUBLE) / frame_dur)) AS k, count(*) OVER (PARTITION BY p.rendition) AS n
   FROM p JOIN {_RI} q USING (rendition) WHERE p.kind <> 'audio' AND frame_dur > 0),
-g AS (SELECT * FROM f WHERE k = n // 2 + 1), v AS (SELECT fps, max(fps) OVER () / CAST(fps AS DOUBLE) AS ratio, count(*) OVER () AS rungs FROM g WHERE kind = 'video'),
-odd AS (SELECT count(*) AS n FROM v WHERE rungs > 1 AND abs(ratio - greatest(floor(ratio + 0.5), 1)) * 100 > greatest(floor(ratio + 0.5), 1) * 2)""",
+g AS (SELECT * FROM f WHERE k = n // 2 + 1), v AS (SELECT stream, fps, max(fps) OVER (PARTITION BY stream) / CAST(fps AS DOUBLE) AS ratio, count(*) OVER (PARTITION BY stream) AS rungs FROM g WHERE kind = 'video'),
+odd AS (SELECT stream, count(*) AS n FROM v WHERE rungs > 1 AND abs(ratio - greatest(floor(ratio + 0.5), 1)) * 100 > greatest(floor(ratio + 0.5), 1) * 2 GROUP BY stream)""",
     _rows(
         "framerate",
         (_case(("fps_milli IS NULL", "undeclared"), ("abs(fps - fps_milli) * 100 > fps_milli * 2", "differs"), other="agrees"), _R, _case(("abs(fps - fps_milli) * 100 > fps_milli * 2", "WARN"), other="OK"), "fps / 1000", "g"),
-        ("ladder", "'ladder'", "WARN", "n", "odd WHERE n > 0"),
+        ("ladder", f"{_S} || 'ladder'", "WARN", "n", "odd"),
     ),
 )
 
@@ -103,10 +105,13 @@ j AS (SELECT *, coalesce(sr <> f AND NOT (sbr AND f * 2 = sr), FALSE) AS a, coal
 )
 
 SQL["captions"] = _with(
-    f"""f AS (SELECT p.rendition, caption, captions_none, captions_scanned AND NOT opaque AS sc, CASE WHEN caption_seen IN ('CC1', 'CC3') THEN 'field1' ELSE caption_seen END AS seen, CASE WHEN caption IN ('CC1', 'CC3') THEN 'field1' ELSE caption END AS want FROM p JOIN {_RI} q USING (rendition) WHERE p.kind = 'video'),
-g AS (SELECT rendition, want, captions_none, count(*) FILTER (WHERE sc) AS n, count(DISTINCT seen) FILTER (WHERE sc) AS kinds, count(*) FILTER (WHERE sc AND seen = want) AS hits FROM f GROUP BY ALL),
-j AS (SELECT *, {_case(("want IS NOT NULL AND n = 0", "unscanned"), ("want IS NOT NULL AND hits = 0", "missing"), ("captions_none AND kinds > 0", "unexpected"), other="agrees")} AS rule FROM g)""",
-    _rows("captions", ("rule", _R, _case(("rule = 'unscanned'", "ERROR"), ("rule = 'missing'", "BAD"), ("rule = 'unexpected'", "WARN"), other="OK"), "kinds", "j")),
+    f"""f AS (SELECT p.rendition, captions, captions_none, captions_scanned AND NOT opaque AS sc, captions_seen FROM p JOIN {_RI} q USING (rendition) WHERE p.kind = 'video'),
+e AS (SELECT DISTINCT rendition, c FROM (SELECT rendition, unnest(captions_seen) AS c FROM f WHERE sc)),
+g AS (SELECT rendition, captions, captions_none, count(*) FILTER (WHERE sc) AS n, (SELECT count(*) FROM e WHERE e.rendition = f.rendition) AS kinds FROM f GROUP BY 1, 2, 3),
+w AS (SELECT rendition, unnest(captions) AS c FROM g),
+gone AS (SELECT rendition, count(*) AS gone FROM w WHERE regexp_matches(c, '^(CC[1-4]|SERVICE[0-9]+)$') AND NOT EXISTS (FROM e WHERE e.rendition = w.rendition AND (e.c = w.c OR e.c LIKE 'CC%' AND w.c LIKE 'CC%' AND substr(e.c, 3)::INT % 2 = substr(w.c, 3)::INT % 2 OR e.c = 'c608' AND w.c LIKE 'CC%' OR e.c = 'c708' AND w.c LIKE 'SERVICE%')) GROUP BY 1),
+j AS (SELECT g.*, coalesce(gone, 0) AS gone, {_case(("len(captions) > 0 AND n = 0", "unscanned"), ("gone > 0", "missing"), ("captions_none AND kinds > 0", "unexpected"), other="agrees")} AS rule FROM g LEFT JOIN gone USING (rendition))""",
+    _rows("captions", ("rule", _R, _case(("rule = 'unscanned'", "ERROR"), ("rule = 'missing'", "BAD"), ("rule = 'unexpected'", "WARN"), other="OK"), "CASE WHEN rule = 'missing' THEN gone ELSE kinds END", "j")),
 )
 
 SQL["encryption"] = _with(
@@ -122,20 +127,20 @@ SQL["encryption"] = _with(
 )
 
 SQL["ladder"] = _with(
-    "v AS (SELECT *, lag(height) OVER (PARTITION BY period ORDER BY bandwidth, rendition) AS below FROM r WHERE kind = 'video')",
+    "v AS (SELECT *, lag(height) OVER (PARTITION BY stream, period ORDER BY bandwidth, rendition) AS below FROM r WHERE kind = 'video')",
     _rows(
         "ladder",
-        ("no-video", "'ladder'", "BAD", "NULL", "(SELECT count(*) AS n FROM v) WHERE n = 0"),
-        ("duplicate", "'p' || period || ':' || width || 'x' || height || '@' || bandwidth", "WARN", "count(*)", "v WHERE width > 0 AND height > 0 AND bandwidth > 0 GROUP BY period, width, height, bandwidth HAVING count(*) > 1"),
+        ("no-video", f"{_S} || 'ladder'", "BAD", "NULL", "(SELECT DISTINCT stream FROM r WHERE stream NOT IN (SELECT stream FROM v))"),
+        ("duplicate", f"{_S} || 'p' || period || ':' || width || 'x' || height || '@' || bandwidth", "WARN", "count(*)", "v WHERE width > 0 AND height > 0 AND bandwidth > 0 GROUP BY stream, period, width, height, bandwidth HAVING count(*) > 1"),
         ("inverted", _R, "WARN", "below - height", "v WHERE height < below"),
-        ("audio-group", _R, "BAD", "NULL", "v WHERE audio_group IS NOT NULL AND audio_group NOT IN (SELECT group_id FROM r WHERE kind = 'audio' AND group_id IS NOT NULL)"),
+        ("audio-group", _R, "BAD", "NULL", "v WHERE audio_group IS NOT NULL AND (stream, audio_group) NOT IN (SELECT (stream, group_id) FROM r WHERE kind = 'audio' AND group_id IS NOT NULL)"),
         ("no-codecs", _R, "WARN", "NULL", "v WHERE codecs = ''"),
     ),
 )
 
 SQL["pop"] = _with(
-    "g AS (SELECT rendition, count(*) AS n, count(*) FILTER (WHERE edge_missing) AS gone, count(*) FILTER (WHERE NOT edge_missing AND digest <> edge_digest) AS other FROM s WHERE fetched GROUP BY 1)",
-    _rows("pop", ("unreachable", _R, "ERROR", "NULL", "g WHERE gone = n"), ("missing", _R, "BAD", "gone", "g WHERE gone > 0 AND gone < n"), ("differs", _R, "BAD", "other", "g WHERE other > 0"), ("agrees", _R, "OK", "n", "g WHERE gone = 0 AND other = 0")),
+    "g AS (SELECT s.stream, edge, count(*) AS n, count(*) FILTER (WHERE missing) AS gone, count(*) FILTER (WHERE NOT missing AND s.digest <> e.digest) AS other FROM s JOIN edges e USING (rendition, sequence) WHERE fetched GROUP BY 1, 2)",
+    _rows("pop", ("unreachable", f"{_S} || edge", "ERROR", "NULL", "g WHERE gone = n"), ("missing", f"{_S} || edge", "BAD", "gone", "g WHERE gone > 0 AND gone < n"), ("differs", f"{_S} || edge", "BAD", "other", "g WHERE other > 0"), ("agrees", f"{_S} || 'edges'", "OK", "max(n)", "g GROUP BY stream HAVING sum(gone + other) = 0")),
 )
 
 SQL["cache"] = _with(
@@ -148,8 +153,8 @@ SQL["cache"] = _with(
 )
 
 SQL["byterange"] = _with(
-    "g AS (SELECT host, bool_or(ranged) AS needed, bool_or(accepts_ranges) AS adv FROM s WHERE fetched GROUP BY 1), j AS (SELECT *, coalesce(status = 206 AND got_bytes = asked_bytes, FALSE) AS exact FROM g JOIN probes USING (host))",
-    _rows("byterange", (_case(("failed", "probe-failed"), ("exact", "partial"), ("needed", "needed"), ("adv", "advertised"), other="unused"), "host", _case(("failed", "ERROR"), ("exact", "OK"), ("needed", "BAD"), ("adv", "WARN"), other="OK"), "got_bytes", "j")),
+    "g AS (SELECT stream, host, bool_or(ranged) AS needed, bool_or(accepts_ranges) AS adv FROM s WHERE fetched GROUP BY 1, 2), j AS (SELECT *, coalesce(status = 206 AND got_bytes = asked_bytes, FALSE) AS exact FROM g JOIN probes USING (host))",
+    _rows("byterange", (_case(("failed", "probe-failed"), ("exact", "partial"), ("needed", "needed"), ("adv", "advertised"), other="unused"), f"{_S} || host", _case(("failed", "ERROR"), ("exact", "OK"), ("needed", "BAD"), ("adv", "WARN"), other="OK"), "got_bytes", "j")),
 )
 
 SQL["codecstring"] = _with(
@@ -176,13 +181,13 @@ h AS (SELECT *, untold = 0 AND abs(lead - 2000000) > 100000 AS off FROM g WHERE
 )
 
 SQL["scheme"] = _with(
-    """g AS (SELECT p.rendition, p.kind, r.scheme AS said, arg_min(p.scheme, sequence) AS f, arg_min(crypt_pattern, sequence) AS pat FROM p JOIN r USING (rendition) WHERE p.scheme IS NOT NULL GROUP BY 1, 2, 3),
+    """g AS (SELECT p.stream, p.rendition, p.kind, r.scheme AS said, arg_min(p.scheme, sequence) AS f, arg_min(crypt_pattern, sequence) AS pat FROM p JOIN r USING (rendition) WHERE p.scheme IS NOT NULL GROUP BY 1, 2, 3, 4),
 j AS (SELECT *, CASE WHEN pat AND f NOT IN ('cbcs', 'cens') THEN 'pattern-without' WHEN f IN ('cbcs', 'cens') AND kind = 'video' AND NOT pat THEN 'pattern-missing' WHEN said <> f THEN 'differs' ELSE 'agrees' END AS rule FROM g)""",
-    _rows("scheme", ("rule", _R, _case(("rule = 'agrees'", "OK"), other="BAD"), "NULL", "j"), ("ladder", "'ladder'", "BAD", "n", "(SELECT count(DISTINCT f) AS n FROM g) WHERE n > 1")),
+    _rows("scheme", ("rule", _R, _case(("rule = 'agrees'", "OK"), other="BAD"), "NULL", "j"), ("ladder", f"{_S} || 'ladder'", "BAD", "n", "(SELECT stream, count(DISTINCT f) AS n FROM g GROUP BY stream) WHERE n > 1")),
 )
 
 SQL["drm"] = _with(
-    """d AS (SELECT DISTINCT rendition, drm AS sys FROM p JOIN r USING (rendition) WHERE drm IS NOT NULL), h AS (SELECT DISTINCT rendition, pssh AS sys FROM p WHERE pssh IS NOT NULL),
+    """d AS (SELECT DISTINCT rendition, unnest(drm) AS sys FROM p JOIN r USING (rendition)), h AS (SELECT DISTINCT rendition, unnest(pssh) AS sys FROM p),
 u AS (SELECT rendition FROM d UNION SELECT rendition FROM h)""",
     _rows(
         "drm",
@@ -228,8 +233,8 @@ g AS (SELECT rendition, sum(cc_errors) AS br, count(*) FILTER (WHERE compared) A
 
 SQL["discontinuity"] = _with(
     _PAIR.format(src="(SELECT * FROM p WHERE kind NOT IN ('text', 'iframe'))") + """, idle AS (SELECT * FROM pair WHERE discontinuity AND adjacent AND abs(drift) <= 100000 * timescale AND codec IS NOT DISTINCT FROM lc AND width IS NOT DISTINCT FROM lw AND height IS NOT DISTINCT FROM lh),
-lead AS (SELECT sequence, min_pts AS lpts, discontinuity_sequence AS lds, rendition AS lr FROM pair WHERE rendition = (SELECT min(rendition) FROM pair)),
-apart AS (SELECT rendition, sequence FROM pair JOIN lead USING (sequence) WHERE rendition <> lr AND abs(min_pts - lpts) * 1000000 <= 100000 * timescale AND discontinuity_sequence <> lds)""",
+lead AS (SELECT stream, sequence, min_pts AS lpts, discontinuity_sequence AS lds, rendition AS lr FROM pair WHERE rendition IN (SELECT min(rendition) FROM pair GROUP BY stream)),
+apart AS (SELECT rendition, sequence FROM pair JOIN lead USING (stream, sequence) WHERE rendition <> lr AND abs(min_pts - lpts) * 1000000 <= 100000 * timescale AND discontinuity_sequence <> lds)""",
     _rows(
         "discontinuity",
         ("nothing-changes", _P, "BAD", "sequence", "idle"),
@@ -256,21 +261,21 @@ SQL["timeline"] = _with(
 )
 
 SQL["alignment"] = _with(
-    "g AS (SELECT period, sequence, max(min_pts) - min(min_pts) AS spread FROM p WHERE kind = 'video' GROUP BY 1, 2 HAVING count(*) > 1)",
-    _rows("alignment", ("spread", "'p' || period || '/' || sequence", "BAD", "CAST(spread AS DOUBLE) / 90", "g WHERE spread * 1000000 > 9000000000"), ("aligned", "'ladder'", "OK", "n", "(SELECT count(*) AS n, max(spread) AS m FROM g) WHERE n > 0 AND m * 1000000 <= 9000000000")),
+    "g AS (SELECT stream, period, sequence, max(min_pts) - min(min_pts) AS spread FROM p WHERE kind = 'video' GROUP BY 1, 2, 3 HAVING count(*) > 1)",
+    _rows("alignment", ("spread", f"{_S} || 'p' || period || '/' || sequence", "BAD", "CAST(spread AS DOUBLE) / 90", "g WHERE spread * 1000000 > 9000000000"), ("aligned", f"{_S} || 'ladder'", "OK", "n", "(SELECT stream, count(*) AS n, max(spread) AS m FROM g GROUP BY stream) WHERE n > 0 AND m * 1000000 <= 9000000000")),
 )
 
 SQL["pdt"] = _with(
     _PAIR.format(src="(SELECT * FROM p WHERE kind <> 'text' AND pdt_us IS NOT NULL)") + """, c AS (SELECT *, pdt_us - lclock AS clock, (pdt_us - lclock) * timescale - (min_pts - lp) * 1000000 AS off FROM pair WHERE adjacent),
 back AS (SELECT rendition, min(sequence) AS sequence, count(*) AS n FROM c WHERE clock <= 0 GROUP BY 1),
 dr AS (SELECT *, row_number() OVER (PARTITION BY rendition ORDER BY abs(off) DESC, sequence) AS rk FROM c WHERE NOT discontinuity AND abs(off) > 100000 * timescale),
-lad AS (SELECT sequence, max(min_pts) - min(min_pts) AS media, max(pdt_us - min_pts * 1000000 // timescale) - min(pdt_us - min_pts * 1000000 // timescale) AS spread FROM pair WHERE kind = 'video' GROUP BY 1 HAVING count(*) > 1)""",
+lad AS (SELECT stream, sequence, max(min_pts) - min(min_pts) AS media, max(pdt_us - min_pts * 1000000 // timescale) - min(pdt_us - min_pts * 1000000 // timescale) AS spread FROM pair WHERE kind = 'video' GROUP BY 1, 2 HAVING count(*) > 1)""",
     _rows(
         "pdt",
         ("backwards", _P, "BAD", "n", "back"),
         ("drift", _P, "BAD", "CAST(off AS DOUBLE) / (timescale * 1000)", "dr WHERE rk = 1"),
         ("agrees", _R, "OK", "count(*)", "c WHERE rendition NOT IN (SELECT rendition FROM back) AND rendition NOT IN (SELECT rendition FROM dr) GROUP BY rendition"),
-        ("ladder", "'seq' || sequence", "BAD", "spread / CAST(1000 AS DOUBLE)", "lad WHERE media * 1000000 <= 9000000000 AND spread > 100000"),
+        ("ladder", f"{_S} || 'seq' || sequence", "BAD", "spread / CAST(1000 AS DOUBLE)", "lad WHERE media * 1000000 <= 9000000000 AND spread > 100000"),
     ),
 )
 
@@ -293,14 +298,14 @@ f AS (SELECT e.*, {_FOLD("(p0 - min_pts)")} * 1000000 AS early, {_FOLD("(p1 - mi
 )
 
 SQL["subtitles"] = _with(
-    """org AS (SELECT min(CAST(floor(min_pts * CAST(1000000 AS DOUBLE) / timescale) AS BIGINT)) AS o FROM p WHERE kind = 'video'),
-t AS (SELECT rendition, sequence, declared_us, mapped, o + coalesce(sum(declared_us) OVER (PARTITION BY rendition ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since FROM p, org WHERE kind = 'text'),
+    """org AS (SELECT stream, min(CAST(floor(min_pts * CAST(1000000 AS DOUBLE) / timescale) AS BIGINT)) AS o FROM p WHERE kind = 'video' GROUP BY stream),
+t AS (SELECT rendition, sequence, declared_us, mapped, o, coalesce(o, 0) + coalesce(sum(declared_us) OVER (PARTITION BY rendition ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since FROM p LEFT JOIN org USING (stream) WHERE kind = 'text'),
 c AS (SELECT t.*, begin_us - since AS d, begin_us < since - 100000 OR end_us > since + declared_us + 100000 AS off FROM t JOIN cues USING (rendition, sequence)),
-g AS (SELECT rendition, bool_or(mapped) AS mapped, (SELECT count(*) FROM c WHERE c.rendition = t.rendition) AS n, coalesce((SELECT bool_or(off) FROM c WHERE c.rendition = t.rendition), FALSE) AS bad FROM t GROUP BY rendition)""",
+g AS (SELECT rendition, bool_or(mapped) AS mapped, max(o) AS o, (SELECT count(*) FROM c WHERE c.rendition = t.rendition) AS n, coalesce((SELECT bool_or(off) FROM c WHERE c.rendition = t.rendition), FALSE) AS bad FROM t GROUP BY rendition)""",
     _rows(
         "subtitles",
         ("outside", _P, "BAD", "min(d) / 1e6", "c WHERE off GROUP BY rendition, sequence"),
-        (_case(("n = 0", "no-cues"), ("NOT mapped", "no-map"), other="inside"), _R, _case(("n = 0 OR NOT mapped", "WARN"), other="OK"), "n", "g WHERE NOT bad"),
+        (_case(("n = 0", "no-cues"), ("NOT mapped", "no-map"), ("o IS NULL", "no-origin"), other="inside"), _R, _case(("n = 0 OR NOT mapped", "WARN"), other="OK"), "n", "g WHERE NOT bad"),
     ),
 )
 
@@ -326,39 +331,53 @@ told AS (SELECT b.rendition, break, {_FOLD("(section_pts - pts)")} AS off FROM b
 SQL["period"] = _with(
     """d AS (SELECT *, min_pts * 1000000 - declared_start_us * timescale AS drift FROM p WHERE declared_start_us IS NOT NULL),
 a AS (SELECT *, row_number() OVER (PARTITION BY rendition, period ORDER BY abs(drift), sequence) AS rk FROM d),
-b AS (SELECT period, drift, row_number() OVER (PARTITION BY period ORDER BY abs(drift) DESC, rendition) AS rk FROM a WHERE rk = 1),
-c AS (SELECT period, CAST(drift - (SELECT drift FROM b WHERE rk = 1 ORDER BY period LIMIT 1) AS DOUBLE) / 90000000 AS ms FROM b WHERE rk = 1 AND period <> (SELECT min(period) FROM b)),
+b AS (SELECT stream, period, drift, row_number() OVER (PARTITION BY stream, period ORDER BY abs(drift) DESC, rendition) AS rk FROM a WHERE rk = 1),
+f AS (SELECT stream, arg_min(drift, period) AS base, min(period) AS first FROM b WHERE rk = 1 GROUP BY stream),
+c AS (SELECT stream, period, CAST(drift - base AS DOUBLE) / 90000000 AS ms FROM b JOIN f USING (stream) WHERE rk = 1 AND period <> first),
 l AS (SELECT rendition, period, string_agg(DISTINCT codec, ',' ORDER BY codec) AS codecs, string_agg(DISTINCT width || 'x' || height, ',' ORDER BY width || 'x' || height) AS sizes FROM p WHERE kind = 'video' GROUP BY 1, 2),
 m AS (SELECT *, lag(codecs) OVER o AS pc, lag(sizes) OVER o AS ps FROM l WINDOW o AS (PARTITION BY rendition ORDER BY period))""",
     _rows(
         "period",
-        (_case(("ms > 500 OR ms < -2500", "drift"), other="placed"), "'p' || period", _case(("ms > 500 OR ms < -2500", "BAD"), other="OK"), "ms", "c"),
+        (_case(("ms > 500 OR ms < -2500", "drift"), other="placed"), f"{_S} || 'p' || period", _case(("ms > 500 OR ms < -2500", "BAD"), other="OK"), "ms", "c"),
         ("codecs-change", "'r' || rendition || '/p' || period", "BAD", "NULL", "m WHERE pc <> codecs"),
         ("sizes-change", "'r' || rendition || '/p' || period", "WARN", "NULL", "m WHERE ps <> sizes"),
     ),
 )
 
+#: The search once more, round by round: the oldest place first, then four halvings.
+_HALVES = "\n".join(f"""h{k} AS (SELECT h.rendition, CASE WHEN low > high OR kept THEN low ELSE (low + high) // 2 + 1 END AS low, CASE WHEN low <= high AND kept THEN (low + high) // 2 - 1 ELSE high END AS high, CASE WHEN low <= high AND kept THEN (low + high) // 2 ELSE found END AS found
+  FROM h{k - 1} h LEFT JOIN pt ON pt.rendition = h.rendition AND pt.k = (low + high) // 2),""" for k in range(1, 5))
 SQL["dvr"] = _with(
-    "g AS (SELECT s.rendition, arg_min(parsed, sequence) AS held, max(sequence) - min(sequence) FILTER (WHERE parsed) + 1 AS span FROM s JOIN r USING (rendition) WHERE s.kind = 'video' AND live GROUP BY 1)",
-    _rows("dvr", (_case(("held", "held"), other="gone"), _R, _case(("held", "OK"), other="BAD"), "span", "g")),
+    f"""top AS (SELECT rendition, row_number() OVER (PARTITION BY stream ORDER BY bandwidth DESC, rendition DESC) AS rk FROM r WHERE live AND kind = 'video' AND rendition IN (SELECT rendition FROM s)),
+ws AS (SELECT s.*, row_number() OVER o - 1 AS k, count(*) OVER (PARTITION BY rendition) AS n, sum(declared_us) OVER (PARTITION BY rendition) AS whole FROM s JOIN top USING (rendition) WHERE rk = 1 WINDOW o AS (PARTITION BY rendition ORDER BY sequence)),
+asked AS (SELECT * FROM ws WHERE n <= 16 OR k = 0 OR floor(k * 15 / (n - 1)) > floor((k - 1) * 15 / (n - 1))),
+pt AS (SELECT rendition, sequence, declared_us, kept AND parsed AS kept, whole, row_number() OVER (PARTITION BY rendition ORDER BY sequence) - 1 AS k, count(*) OVER (PARTITION BY rendition) AS n, lead(sequence) OVER (PARTITION BY rendition ORDER BY sequence) - sequence AS step FROM asked),
+h0 AS (SELECT rendition, 0 AS low, n - 1 AS high, -1 AS found FROM pt WHERE k = 0 AND NOT kept AND n > 1),
+{_HALVES}
+since AS (SELECT h.rendition, found, CASE WHEN found < 0 THEN 0 WHEN found = max(n) - 1 THEN arg_max(declared_us, k) ELSE sum(greatest(step, 1) * declared_us) FILTER (WHERE k >= found AND k < n - 1) END AS since FROM h4 h JOIN pt USING (rendition) GROUP BY 1, 2)""",
+    _rows("dvr", (_case(("kept", "held"), other="gone"), _R, _case(("kept", "OK"), other="BAD"), "CASE WHEN kept THEN whole ELSE since END / 1e6", "pt LEFT JOIN since USING (rendition) WHERE k = 0")),
 )
 
 SQL["availability"] = _with(
-    "g AS (SELECT s.rendition, max(sequence) - coalesce(max(sequence) FILTER (WHERE fetched), min(sequence) - 1) AS run FROM s JOIN r USING (rendition) WHERE live GROUP BY 1)",
+    "g AS (SELECT s.rendition, max(sequence) - coalesce(max(sequence) FILTER (WHERE fetched), min(sequence) - 1) AS run FROM s JOIN r USING (rendition) WHERE live AND format = 'dash' GROUP BY 1)",
     _rows("availability", (_case(("run > 0", "newest-missing"), other="there"), _R, _case(("run > 0", "BAD"), other="OK"), "run", "g")),
 )
 
 SQL["watch"] = _with(
-    """o AS (SELECT *, lag(newest) OVER (PARTITION BY rendition ORDER BY poll) AS was FROM observations WHERE NOT failed),
-a AS (SELECT *, was IS NOT NULL AND newest <> was AS moved FROM o),
-b AS (SELECT *, observed_us - coalesce(max(CASE WHEN moved THEN observed_us END) OVER (PARTITION BY rendition ORDER BY poll ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), min(observed_us) OVER (PARTITION BY rendition)) AS gap FROM a),
-g AS (SELECT rendition, count(*) FILTER (WHERE moved) AS adv, max(gap) AS stall, count(*) FILTER (WHERE newest < was) AS back, max(target_us) AS target, count(*) AS looks, arg_max(newest, poll) - arg_min(newest, poll) AS published, max(observed_us) - min(observed_us) AS passed FROM b GROUP BY 1),
-h AS (SELECT *, published * target - passed AS ahead FROM g WHERE passed >= 4 * target AND adv > 0)""",
+    """o AS (SELECT *, uris[len(uris)] AS newest FROM observations WHERE NOT failed),
+a AS (SELECT *, lag(uris) OVER w AS was, lag(newest) OVER w AS last, row_number() OVER w AS nth, coalesce(last_value(newest IGNORE NULLS) OVER (PARTITION BY rendition ORDER BY poll ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS shown FROM o WINDOW w AS (PARTITION BY rendition ORDER BY poll)),
+b AS (SELECT *, nth > 1 AND newest IS NOT NULL AND newest <> shown AS moved, CASE WHEN last IS NOT NULL AND list_position(uris, last) > 0 THEN coalesce(list_sum(durations_us[list_position(uris, last) + 1 :]), 0) END AS published,
+  coalesce(newest <> last AND list_position(was, newest) > 0 AND list_position(was, newest) < list_position(was, last), FALSE) AS back FROM a),
+c AS (SELECT *, observed_us - coalesce(max(CASE WHEN moved THEN observed_us END) OVER (PARTITION BY rendition ORDER BY poll ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), min(observed_us) OVER (PARTITION BY rendition)) AS gap, CASE WHEN published IS NOT NULL THEN list_max(durations_us) END AS one FROM b),
+g AS (SELECT rendition, count(*) AS looks, count(newest) AS full_looks, count(*) FILTER (WHERE moved) AS adv, max(gap) AS stall, bool_or(back) AS back, max(target_us) AS target, max(observed_us) - min(observed_us) AS passed, CAST(sum(published) AS BIGINT) AS media, max(one) AS one FROM c GROUP BY 1),
+h AS (SELECT *, media - passed AS ahead FROM g WHERE looks > 1 AND adv > 0 AND NOT back AND media IS NOT NULL AND one > 0 AND passed >= 4 * one),
+f AS (SELECT rendition, count(*) FILTER (WHERE failed) AS failed, count(*) AS n FROM observations GROUP BY 1),
+j AS (SELECT *, CASE WHEN looks = 1 THEN 'one-look' WHEN full_looks = 0 THEN 'empty' WHEN adv = 0 THEN 'never-advanced' WHEN target IS NULL THEN 'no-interval' WHEN stall > target * 3 THEN 'stalled' ELSE 'advancing' END AS rule FROM g)""",
     _rows(
         "watch",
-        (_case(("looks = 1", "one-look"), ("adv = 0", "never-advanced"), ("stall > target * 3", "stalled"), other="advancing"), _R, _case(("looks = 1", "OK"), ("adv = 0 OR stall > target * 3", "BAD"), other="OK"), "stall / 1e6", "g"),
-        ("backwards", _R, "BAD", "back", "g WHERE back > 0"),
-        (_case(("ahead < 0", "behind"), other="ahead"), _R, _case(("ahead < 0", "BAD"), other="WARN"), "ahead / 1e6", "h WHERE abs(ahead) > target + passed / CAST(5 AS DOUBLE)"),
-        ("poll-failed", _R, "ERROR", "count(*)", "observations WHERE failed GROUP BY rendition"),
+        ("rule", _R, _case(("rule IN ('empty', 'never-advanced', 'stalled')", "BAD"), other="OK"), "CASE WHEN rule IN ('empty', 'never-advanced') THEN passed WHEN rule <> 'one-look' THEN stall END / 1e6", "j"),
+        ("backwards", _R, "BAD", "NULL", "g WHERE back AND looks > 1 AND adv > 0"),
+        (_case(("ahead < 0", "behind"), other="ahead"), _R, _case(("ahead < 0", "BAD"), other="WARN"), "abs(ahead) / 1e6", "h WHERE abs(ahead) > one + passed / CAST(5 AS DOUBLE)"),
+        (_case(("failed = n", "all-failed"), other="poll-failed"), _R, "ERROR", "failed", "f WHERE failed > 0"),
     ),
 )

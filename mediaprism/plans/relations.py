@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 SEGMENTS = """
-SELECT u AS rendition,
+SELECT CAST(floor(u / 10) AS BIGINT) AS stream, u AS rendition,
   CASE WHEN u % 10 < 6 THEN 'video' WHEN u % 10 < 8 THEN 'audio' WHEN u % 10 = 8 THEN 'text' ELSE 'iframe' END AS kind,
   CAST(floor((n - 1) / 24) AS INT) AS period,
   n + CAST(floor(n / 20) AS BIGINT) AS sequence,
   i % 37 <> 0 AS fetched,
   i % 37 <> 0 AND i % 41 <> 0 AS parsed,
+  i % 41 <> 0 OR u % 4 <> 1 AS supported,
   i % 53 = 0 AS truncated,
+  n > u % 4 * 4 AS kept,
   u % 30 = 4 AS opaque,
   CAST(v + 20000 AS BIGINT) AS bytes,
   CAST(CASE WHEN i % 71 = 0 THEN 2900000 WHEN u % 13 = 0 THEN 2150000 ELSE 2000000 END AS BIGINT) AS declared_us,
@@ -46,7 +48,7 @@ SELECT u AS rendition,
   u % 10 = 9 OR u % 35 = 3 AS ranged,
   i % 2 = 0 AS accepts_ranges,
   u % 10 < 6 AND i % 3 <> 0 AS captions_scanned,
-  CASE WHEN i % 4 = 0 THEN 'CC1' WHEN i % 4 = 1 AND u % 5 = 1 THEN 'SERVICE1' END AS caption_seen,
+  CASE WHEN i % 4 = 0 THEN {list}('CC1', 'CC2') WHEN i % 4 = 1 AND u % 5 = 1 THEN {list}('SERVICE1', 'CC1') WHEN i % 4 = 2 AND u % 20 = 12 THEN {list}('c708') ELSE {none} END AS captions_seen,
   u % 6 = 1 OR u % 6 = 2 AND n % 3 = 0 AS key_declared,
   u % 6 = 1 AND u % 4 <> 3 AS decrypted,
   u % 6 = 1 AND i % 149 = 0 AS decrypt_failed,
@@ -55,13 +57,11 @@ SELECT u AS rendition,
   CASE WHEN u % 6 = 5 OR u % 12 = 2 THEN u % 8 = 1 END AS crypt_pattern,
   CAST(CASE WHEN u % 6 = 5 OR u % 12 = 2 THEN CASE WHEN n <= 1 + u % 3 THEN 50 ELSE 0 END END AS BIGINT) AS clear_samples,
   CAST(CASE WHEN u % 6 = 5 OR u % 12 = 2 THEN CASE WHEN n <= 1 + u % 3 OR u % 24 = 2 THEN 0 ELSE 50 END END AS BIGINT) AS encrypted_samples,
-  CASE WHEN u % 6 = 5 THEN CASE WHEN u % 9 = 2 THEN 'playready' ELSE 'widevine' END END AS pssh,
+  CASE WHEN u % 6 = 5 THEN CASE WHEN u % 9 = 2 THEN {list}('playready') WHEN i % 2 = 0 THEN {list}('widevine', 'playready') ELSE {list}('widevine') END ELSE {none} END AS pssh,
   CASE WHEN u % 3 = 1 THEN 'MISS' WHEN i % 5 = 0 THEN 'HIT' WHEN i % 5 < 3 THEN 'MISS' END AS cache_status,
   i % 199 = 0 AS uncacheable,
   'host' || CAST(u % 9 AS {string}) AS host,
-  CAST(i % 251 AS BIGINT) AS digest,
-  CAST(CASE WHEN i % 307 = 0 THEN (i + 1) % 251 ELSE i % 251 END AS BIGINT) AS edge_digest,
-  i % 163 = 0 AS edge_missing,
+  CAST(i % 251 AS {string}) AS digest,
   CAST(CASE WHEN i % 2 = 0 THEN 100 END AS BIGINT) AS profile_idc,
   CAST(CASE WHEN i % 2 = 0 THEN 31 + CASE WHEN u % 14 = 0 THEN 9 ELSE 0 END END AS BIGINT) AS level_idc,
   CAST(CASE WHEN i % 5 <> 0 THEN CASE WHEN u % 16 = 0 THEN 16 ELSE 1 END END AS BIGINT) AS transfer,
@@ -71,7 +71,7 @@ FROM (SELECT event_id AS i, user_id AS u, event_type AS t, CAST(round(value * 10
 """
 
 RENDITIONS = """
-SELECT u AS rendition,
+SELECT CAST(floor(u / 10) AS BIGINT) AS stream, u AS rendition,
   CASE WHEN u % 10 < 6 THEN 'video' WHEN u % 10 < 8 THEN 'audio' WHEN u % 10 = 8 THEN 'text' ELSE 'iframe' END AS kind,
   CAST(u % 2 AS INT) AS period,
   CAST(CASE WHEN u % 25 = 0 THEN 0 ELSE 90000 + (u % 6) * 12000 + CASE WHEN u % 11 = 0 THEN 300000 ELSE 0 END END AS BIGINT) AS bandwidth,
@@ -81,7 +81,7 @@ SELECT u AS rendition,
   CAST(CASE WHEN u % 10 < 6 AND u % 8 <> 0 THEN 25000 END AS BIGINT) AS fps_milli,
   CAST(CASE WHEN u % 10 BETWEEN 6 AND 7 THEN 48000 END AS BIGINT) AS sample_rate,
   CAST(CASE WHEN u % 10 BETWEEN 6 AND 7 THEN CASE WHEN u % 27 = 0 THEN 6 ELSE 2 END END AS BIGINT) AS channels,
-  CASE WHEN u % 10 < 6 AND u % 5 = 0 THEN 'CC3' WHEN u % 10 < 6 AND u % 5 = 1 THEN 'SERVICE1' WHEN u % 10 < 6 AND u % 5 = 2 THEN 'CC1' END AS caption,
+  CASE WHEN u % 10 < 6 AND u % 5 = 0 THEN {list}('CC3', 'CC2') WHEN u % 10 < 6 AND u % 5 = 1 THEN {list}('SERVICE1', 'CC4') WHEN u % 10 < 6 AND u % 5 = 2 THEN {list}('CC1', 'SERVICE2', 'AD1') ELSE {none} END AS captions,
   u % 10 < 6 AND u % 5 = 3 AS captions_none,
   CASE WHEN u % 10 < 6 AND u % 4 = 0 THEN 'aud' || CAST(u % 3 AS {string}) END AS audio_group,
   CASE WHEN u % 10 BETWEEN 6 AND 7 THEN 'aud' || CAST(u % 2 AS {string}) END AS group_id,
@@ -90,10 +90,11 @@ SELECT u AS rendition,
   CAST(CASE WHEN u % 16 < 2 THEN 16 WHEN u % 16 < 8 THEN 1 END AS BIGINT) AS transfer,
   CASE WHEN u % 16 < 2 THEN 'PQ' WHEN u % 16 = 3 THEN 'HLG' ELSE 'SDR' END AS video_range,
   CASE WHEN u % 6 = 5 THEN 'cenc' END AS scheme,
-  CASE WHEN u % 6 = 5 THEN CASE WHEN u % 9 = 5 THEN 'fairplay' ELSE 'widevine' END END AS drm,
+  CASE WHEN u % 6 = 5 THEN CASE WHEN u % 9 = 5 THEN {list}('fairplay', 'widevine') ELSE {list}('widevine', 'playready') END ELSE {none} END AS drm,
   u % 2 = 0 AS live,
   CAST(2000000 AS BIGINT) AS target_us,
-  CAST(CASE WHEN u % 4 = 0 THEN 550000 ELSE 500000 END AS BIGINT) AS part_target_us
+  CAST(CASE WHEN u % 4 = 0 THEN 550000 ELSE 500000 END AS BIGINT) AS part_target_us,
+  CASE WHEN floor(u / 10) % 2 = 0 THEN 'dash' ELSE 'hls' END AS format
 FROM (SELECT DISTINCT user_id AS u FROM events) e
 """
 
@@ -127,9 +128,9 @@ FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY
 #: Cues of text segments, as times on the media clock: a cue or two a segment, none in some.
 CUES = f"""
 SELECT rendition, sequence, CAST(origin_us + start_us + d AS BIGINT) AS begin_us, CAST(origin_us + start_us + d + 500000 AS BIGINT) AS end_us
-FROM (SELECT rendition, sequence, ordinal, k, coalesce(sum(declared_us) OVER (PARTITION BY rendition, k ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_us, (ordinal % 7 - 1) * CASE WHEN rendition % 20 = 8 THEN 400000 ELSE 100000 END + k * 100000 AS d
+FROM (SELECT stream, rendition, sequence, ordinal, k, coalesce(sum(declared_us) OVER (PARTITION BY rendition, k ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_us, (ordinal % 7 - 1) * CASE WHEN rendition % 20 = 8 THEN 400000 ELSE 100000 END + k * 100000 AS d
   FROM ({SEGMENTS}) x CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) k WHERE parsed AND kind = 'text') y
-CROSS JOIN (SELECT min(CAST(floor(min_pts / 9) AS BIGINT) * 100) AS origin_us FROM ({SEGMENTS}) z WHERE parsed AND kind = 'video') o
+JOIN (SELECT stream, min(CAST(floor(min_pts / 9) AS BIGINT) * 100) AS origin_us FROM ({SEGMENTS}) z WHERE parsed AND kind = 'video' GROUP BY stream) o ON o.stream = y.stream
 WHERE rendition % 50 <> 18 AND (k = 0 OR ordinal % 3 = 0)
 """
 
@@ -140,14 +141,26 @@ SELECT 'host' || CAST(h AS {string}) AS host, CAST(CASE WHEN h % 5 = 4 THEN NULL
 FROM (SELECT DISTINCT user_id % 9 AS h FROM events) e
 """
 
+#: Polls of live playlists as the lists they showed: some stand still, go back, jump out of the window, are empty, fail or state no interval.
 OBSERVATIONS = """
-SELECT u AS rendition, n AS poll, CAST(n * 2000000 AS BIGINT) AS observed_us,
-  CAST(CASE WHEN u % 23 = 0 THEN 7 WHEN u % 9 = 4 AND n BETWEEN 20 AND 28 THEN 20 WHEN u % 14 = 3 AND n = 30 THEN 25 ELSE n + CASE WHEN u % 8 = 5 THEN n ELSE 0 END END AS BIGINT) AS newest,
-  CAST(2000000 AS BIGINT) AS target_us, i % 397 = 0 AS failed
+SELECT rendition, poll, observed_us, CASE WHEN rendition % 29 = 3 THEN {none} ELSE {each}(newest - 5, newest), {x} 's' || CAST(x AS {string})) END AS uris,
+  CASE WHEN rendition % 29 = 3 THEN {no_longs} ELSE {each}(newest - 5, newest), {x} CAST(1900000 + x % 3 * 100000 AS BIGINT)) END AS durations_us,
+  CAST(CASE WHEN rendition % 31 <> 4 THEN 2000000 END AS BIGINT) AS target_us, failed
+FROM (SELECT u AS rendition, n AS poll, CAST(n * 2000000 AS BIGINT) AS observed_us,
+  CAST(100 + CASE WHEN u % 23 = 0 THEN 7 WHEN u % 9 = 4 AND n BETWEEN 20 AND 28 THEN 20 WHEN u % 14 = 3 AND n = 30 THEN 25 WHEN u % 13 = 6 THEN n * 9 WHEN u % 11 = 7 THEN floor(n / 2) ELSE n + CASE WHEN u % 8 = 5 THEN n ELSE 0 END END AS BIGINT) AS newest, i % 397 = 0 OR u % 37 = 36 AS failed
+FROM (SELECT event_id AS i, user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) e) o
+"""
+
+#: What other edges answered to the same requests; the third is out of reach.
+EDGES = """
+SELECT u AS rendition, n + CAST(floor(n / 20) AS BIGINT) AS sequence, 'edge' || CAST(k AS {string}) AS edge, k = 2 OR k = 1 AND i % 163 = 0 AS missing,
+  CAST(CASE WHEN k = 1 AND i % 107 = 0 THEN (i + 1) % 251 ELSE i % 251 END AS {string}) AS digest
 FROM (SELECT event_id AS i, user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) e
+CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k) k WHERE k <= CAST(floor(u / 10) AS BIGINT) % 4
 """
 
-SPARK, DUCKDB = {"string": "STRING"}, {"string": "VARCHAR"}
+SPARK = {"string": "STRING", "list": "array", "none": "CAST(array() AS ARRAY<STRING>)", "each": "transform(sequence", "x": "x ->", "no_longs": "CAST(array() AS ARRAY<BIGINT>)"}
+DUCKDB = {"string": "VARCHAR", "list": "list_value", "none": "CAST([] AS VARCHAR[])", "each": "list_transform(generate_series", "x": "lambda x:", "no_longs": "CAST([] AS BIGINT[])"}
 
 
 def dialect(sql: str, words: dict[str, str]) -> str:
@@ -160,13 +173,20 @@ def relation(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 def oracle(body: str) -> str:
     """A query over ``s`` (segments), ``p`` (the parsed ones), ``r`` (renditions), all of usable renditions, and the other relations."""
+    others = ", ".join(f"{name} AS ({dialect(sql, DUCKDB)})" for name, sql in OTHERS.items())
     return f"""WITH s0 AS ({dialect(SEGMENTS, DUCKDB)}), r0 AS ({dialect(RENDITIONS, DUCKDB)}),
 r AS (SELECT * FROM r0 WHERE NOT failed), s AS (SELECT s0.* FROM s0 JOIN r USING (rendition)),
 p AS (SELECT s.* FROM s WHERE parsed),
-parts AS ({PARTS}), splices AS ({SPLICES}), breaks AS ({BREAKS}), cues AS ({dialect(CUES, DUCKDB)}), probes AS ({dialect(PROBES, DUCKDB)}), observations AS ({OBSERVATIONS})
+{others}
 {body}"""
 
 
-def on(sql: str, segments: str, renditions: str) -> str:
-    """A check's SQL over other segments and renditions than the projected ones."""
-    return sql.replace(f"s0 AS ({dialect(SEGMENTS, DUCKDB)})", f"s0 AS ({segments})").replace(f"r0 AS ({dialect(RENDITIONS, DUCKDB)})", f"r0 AS ({renditions})")
+OTHERS = {"parts": PARTS, "splices": SPLICES, "breaks": BREAKS, "cues": CUES, "probes": PROBES, "observations": OBSERVATIONS, "edges": EDGES}
+
+
+def on(sql: str, segments: str, renditions: str, **others: str) -> str:
+    """A check's SQL over other relations than the projected ones; those not given are empty."""
+    given = {"s0": (SEGMENTS, segments), "r0": (RENDITIONS, renditions)} | {name: (projected, others.get(name, f"SELECT * FROM ({dialect(projected, DUCKDB)}) WHERE FALSE")) for name, projected in OTHERS.items()}
+    for name, (projected, other) in given.items():
+        sql = sql.replace(f"{name} AS ({dialect(projected, DUCKDB)})", f"{name} AS ({other})")
+    return sql

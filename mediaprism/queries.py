@@ -15,11 +15,11 @@ from mediaprism.sources import dash, hls
 
 
 def _check(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: CHECKS[name](load(spark, sf_dir))
+    return lambda spark, sf_dir: CHECKS[name](load(spark, sf_dir, windows=name == "dvr"))
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_checks(shared(load(spark, sf_dir)))
+    return run_checks(shared(load(spark, sf_dir, windows=True)))
 
 
 def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,13 +66,10 @@ def sink_otlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("stream", "name", F.array_join(F.transform("p.attributes", lambda a: F.concat(a["key"], F.lit("="), a["value"]["stringValue"])), ",").alias("attributes"), F.col("p.asDouble").alias("value"))
 
 
-#: Checks that the made streams feed; the others find nothing to look at there.
-STREAM_CHECKS = "manifest fetch container bitrate resolution tracks keyframe framerate ladder cache codecstring continuity duration alignment pdt discontinuity".split()
-
-
 def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From manifests and media as bytes to findings."""
-    return run_checks(from_stream(*synthetic.streams(spark, sf_dir)), STREAM_CHECKS)
+    """From manifests and media as bytes to the findings of all checks, over two streams and a further edge."""
+    masters, corpus, edge = synthetic.streams(spark, sf_dir)
+    return run_checks(from_stream(masters, corpus, edges={"near": edge}))
 
 
 def _double(column: str, name: str | None = None) -> Column:
@@ -142,7 +139,7 @@ UNION ALL SELECT DISTINCT '# TYPE mediaprism_' || name || ' gauge' FROM m""",
     "sink_json": """SELECT 'src' AS source, arg_max(status, sev) AS worst, count(*) FILTER (WHERE sev = 0) AS "OK", count(*) FILTER (WHERE sev = 1) AS "WARN", count(*) FILTER (WHERE sev = 2) AS "BAD", count(*) FILTER (WHERE sev = 3) AS "ERROR", any_value(segments) AS segments, CAST(any_value(bytes) AS BIGINT) AS bytes, CAST(4.5 AS DOUBLE) AS duration_seconds, count(*) AS n, arg_max(status, sev) AS first FROM g, facts""",
     "sink_otlp": """SELECT 's' AS stream, 'mediaprism.' || replace(name, '_', '.') AS name, coalesce('check=' || "check", '') || coalesce(',status=' || status, '') AS attributes, value FROM m""",
 }
-_STREAM = "\nUNION ALL ".join(f"SELECT * FROM ({relations.on(oracles.SQL[n], synthetic.SEGMENTS, synthetic.RENDITIONS)})" for n in STREAM_CHECKS)
+_STREAM = "\nUNION ALL ".join(f"SELECT * FROM ({relations.on(q, synthetic.SEGMENTS, synthetic.RENDITIONS, edges=synthetic.EDGES, probes=synthetic.PROBES)})" for q in oracles.SQL.values())
 SQL: dict[str, str] = oracles.SQL | manifests.SQL | {
     "stream_report": _STREAM,
     **scalars.SQL,

@@ -110,11 +110,12 @@ def filled(template: Column, rep_id: Column, bandwidth: Column, number: Column,
     return F.replace(out, F.lit("\x00"), F.lit("$"))
 
 
-def segments(manifests: DataFrame, now: float | None = None, most: int = 20_000, live_tail: int = 12) -> DataFrame:
-    """Segments of templates, lists and plain files; those behind an index come from the media. ``now``: seconds since availability start, for live ones without a timeline.
+def segments(manifests: DataFrame, now: float | None = None, most: int = 10_000_000, live_tail: int = 12) -> DataFrame:
+    """Segments of templates, lists and plain files; those behind an index come from the media (``indexed.expand``).
 
-    A repeat below 0 fills the period; entries of no duration are skipped; ``most`` segments a
-    representation, the newest ``live_tail`` of a live one by number.
+    A repeat below 0 fills the period; entries of no duration are skipped. Live ones without a timeline follow the clock: ``now``, seconds
+    since availability start, or else this machine's time against the stated one; of them come the newest ``live_tail``. A representation of more than ``most`` segments
+    is a mistake of the manifest and raises.
     """
     r = representations(manifests).where("media IS NOT NULL")
     key = ["manifest_id", "period_index", "set_index", "rep_index"]
@@ -127,22 +128,27 @@ def segments(manifests: DataFrame, now: float | None = None, most: int = 20_000,
     inside = Window.partitionBy(*key, "island").orderBy("i")
     e = e.withColumn("from", F.coalesce(F.first("s._t").over(inside), F.lit(0)) + F.coalesce(F.sum(F.col("s._d") * (F.coalesce(plain, F.lit(0)) + 1)).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     e = e.withColumn("repeat", F.coalesce(plain, F.greatest(F.floor((F.col("fill_end") - F.col("from")) / F.col("s._d")).cast("long") - 1, F.lit(0))))
-    e = e.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("repeat"), F.lit(most))))).withColumn("time", F.col("from") + F.col("k") * F.col("s._d")).withColumn("d", F.col("s._d"))
-    e = e.withColumn("index", F.row_number().over(Window.partitionBy(*key).orderBy("i", "k")) - 1).where(F.col("index") < most)
+    e = e.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), _bounded(F.col("repeat"), most)))).withColumn("time", F.col("from") + F.col("k") * F.col("s._d")).withColumn("d", F.col("s._d"))
+    e = e.withColumn("index", F.row_number().over(Window.partitionBy(*key).orderBy("i", "k")) - 1)
     d = r.where("timeline IS NULL AND segment_duration > 0")
     length = F.col("segment_duration") / F.col("timescale")
-    d = d.withColumn("count", F.when((F.col("type") == "dynamic") & F.lit(now is not None), F.floor((F.lit(now or 0.0) - F.coalesce("period_start", F.lit(0.0))) / length)).otherwise(F.ceil(F.col("period_duration") / length)).cast("long")).where("count > 0")
+    passed = F.lit(now) if now is not None else (F.unix_micros(F.current_timestamp()) - F.unix_micros(F.coalesce("available", F.timestamp_seconds(F.lit(0))))) / 1e6
+    d = d.withColumn("count", F.when(F.col("type") == "dynamic", F.floor((passed - F.coalesce("period_start", F.lit(0.0))) / length)).otherwise(F.ceil(F.col("period_duration") / length)).cast("long")).where("count > 0")
     first = F.when(F.col("type") == "dynamic", F.greatest(F.col("count") - live_tail, F.lit(0))).otherwise(F.lit(0)).cast("long")
-    d = d.withColumn("index", F.explode(F.sequence(first, F.least(F.col("count"), first + most) - 1))).withColumn("time", F.col("index") * F.col("segment_duration")).withColumn("d", F.col("segment_duration"))
+    d = d.withColumn("index", F.explode(F.sequence(first, _bounded(F.col("count") - first, most) + first - 1))).withColumn("time", F.col("index") * F.col("segment_duration")).withColumn("d", F.col("segment_duration"))
     columns = [*key, "rep_id", "bandwidth", "kind", "timescale", "start_number", "media", "initialization", "base_url", "period_start", "presentation_time_offset", "index", "time", "d"]
     both = e.select(*columns).unionByName(d.select(*columns))
     number = F.col("start_number") + F.col("index")
     fill = lambda t: resolved(F.col("base_url"), filled(t, F.col("rep_id"), F.col("bandwidth"), number, F.col("time")))
     none = F.lit(None).cast("long")
-    made = both.select(*key, "rep_id", "kind", number.alias("sequence"), fill(F.col("media")).alias("uri"), F.when(F.col("initialization").isNotNull(), fill(F.col("initialization"))).alias("init_uri"), (F.col("d") / F.col("timescale")).alias("duration"), (F.col("period_start") + (F.col("time") - F.col("presentation_time_offset")) / F.col("timescale")).alias("declared_start"), none.alias("range_offset"), none.alias("range_length"))
+    made = both.select(*key, "rep_id", "kind", number.alias("sequence"), fill(F.col("media")).alias("uri"), F.when(F.col("initialization").isNotNull(), fill(F.col("initialization"))).alias("init_uri"), (F.col("d") / F.col("timescale")).alias("duration"), (F.col("period_start") + (F.col("time") - F.col("presentation_time_offset")) / F.col("timescale")).alias("declared_start"), none.alias("range_offset"), none.alias("range_length"), (F.col("time") / F.col("timescale")).alias("media_start"))
     return made.unionByName(_listed(manifests, key)).unionByName(_files(manifests, key))
 
 
+def _bounded(count: Column, most: int) -> Column:
+    return F.when(count > most, F.raise_error(F.format_string("a representation of %d segments", count)).cast("bigint")).otherwise(count)
+
+
 def span(text: Column) -> tuple[Column, Column]:
     """Offset and length of a range ``first-last``."""
     first, last = F.regexp_extract(text, r"^(\d+)-", 1).try_cast("long"), F.regexp_extract(text, r"-(\d+)$", 1).try_cast("long")
@@ -154,14 +160,14 @@ def _listed(manifests: DataFrame, key: list[str]) -> DataFrame:
     length = F.col("listed._duration") / F.coalesce(_unset(F.col("listed._timescale")), F.lit(1))
     offset, size = span(F.coalesce("s._mediaRange", F.lit("")))
     init = F.col("listed.Initialization._sourceURL")
-    return r.select(*key, "rep_id", "kind", (F.coalesce("listed._startNumber", F.lit(1)) + F.col("i")).alias("sequence"), F.when(F.col("s._media").isNotNull(), resolved(F.col("base_url"), F.col("s._media"))).otherwise(F.col("base_url")).alias("uri"), F.when(init.isNotNull(), resolved(F.col("base_url"), init)).alias("init_uri"), length.alias("duration"), (F.col("period_start") + F.col("i") * length).alias("declared_start"), offset.alias("range_offset"), size.alias("range_length"))
+    return r.select(*key, "rep_id", "kind", (F.coalesce("listed._startNumber", F.lit(1)) + F.col("i")).alias("sequence"), F.when(F.col("s._media").isNotNull(), resolved(F.col("base_url"), F.col("s._media"))).otherwise(F.col("base_url")).alias("uri"), F.when(init.isNotNull(), resolved(F.col("base_url"), init)).alias("init_uri"), length.alias("duration"), (F.col("period_start") + F.col("i") * length).alias("declared_start"), offset.alias("range_offset"), size.alias("range_length"), (F.col("i") * length).alias("media_start"))
 
 
 def _files(manifests: DataFrame, key: list[str]) -> DataFrame:
     """A representation that is one file, as subtitles beside the media are."""
     r = representations(manifests).where("addressing = 'file'")
     none = F.lit(None).cast("long")
-    return r.select(*key, "rep_id", "kind", F.lit(1).cast("long").alias("sequence"), F.col("base_url").alias("uri"), F.lit(None).cast("string").alias("init_uri"), F.col("period_duration").alias("duration"), F.col("period_start").alias("declared_start"), none.alias("range_offset"), none.alias("range_length"))
+    return r.select(*key, "rep_id", "kind", F.lit(1).cast("long").alias("sequence"), F.col("base_url").alias("uri"), F.lit(None).cast("string").alias("init_uri"), F.col("period_duration").alias("duration"), F.col("period_start").alias("declared_start"), none.alias("range_offset"), none.alias("range_length"), F.lit(None).cast("double").alias("media_start"))
 
 
 def indexes(manifests: DataFrame, guess: int = 512 << 10) -> DataFrame:

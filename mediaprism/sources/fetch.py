@@ -27,20 +27,18 @@ def byte_range(offset, length):
 
 
 def from_corpus(requests: DataFrame, corpus: DataFrame, cap: int = 64 << 20) -> DataFrame:
-    """Answers to requests (uri, offset, length; nulls for a whole body) from a table (uri, status, body and, if there, headers).
+    """Answers to requests (uri, offset, length; nulls for a whole body; further columns stay) from a table (uri, status, body and, if there, headers).
 
     A range is cut out of the body and answered by 206. Without an entry the answer is an error; success is 200 or 206;
     longer bodies are cut and marked.
     """
     headers = F.col("headers") if "headers" in corpus.columns else F.lit(None).cast("map<string,array<string>>")
-    found = requests.select("uri", "offset", "length").join(corpus.select("uri", "status", F.col("body").alias("_whole"), headers.alias("headers")), "uri", "left")
+    found = requests.join(corpus.select("uri", "status", F.col("body").alias("_whole"), headers.alias("headers")), "uri", "left")
     ranged = F.col("length").isNotNull()
     asked = F.when(ranged, F.substr(F.col("_whole"), (F.coalesce("offset", F.lit(0)) + 1).cast("int"), F.col("length").cast("int"))).otherwise(F.col("_whole"))
     ok = F.col("status").isin(200, 206)
     return found.withColumn("_asked", asked).select(
-        "uri",
-        "offset",
-        "length",
+        *requests.columns,
         F.when(ranged & (F.col("status") == 200), 206).otherwise(F.col("status")).alias("status"),
         "headers",
         F.expr(f"substring(_asked, 1, {cap})").alias("body"),
@@ -50,7 +48,7 @@ def from_corpus(requests: DataFrame, corpus: DataFrame, cap: int = 64 << 20) ->
 
 
 def over_http(requests: DataFrame, *, cap: int = 64 << 20, timeout: float = 15, headers: dict[str, str] | None = None, insecure: bool = False, edges: dict[str, str] | None = None) -> DataFrame:
-    """Answers over HTTP to requests (uri, offset, length), read by executors in the rows' own partitions.
+    """Answers over HTTP to requests (uri, offset, length; further columns stay), read by executors in the rows' own partitions.
 
     ``edges``: hosts to dial at another address (``host[:port]``), under their own name; a stated port replaces the URL's.
     The result is to be written before anything reads it twice.
@@ -59,16 +57,18 @@ def over_http(requests: DataFrame, *, cap: int = 64 << 20, timeout: float = 15,
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for uri, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for i, (uri, offset, length) in enumerate(zip(*(b.column(c).to_pylist() for c in ("uri", "offset", "length")), strict=True)):
                 span = {} if length is None else {"Range": f"bytes={offset or 0}-{(offset or 0) + length - 1}"}
                 a = get(uri, sent | span, cap, timeout, insecure, edges or {})
-                row = {"uri": uri, "offset": offset, "length": length, **a}
-                yield pa.RecordBatch.from_pylist([row], schema=_ANSWER)
+                answer = pa.RecordBatch.from_pylist([a], schema=_ANSWER)
+                yield pa.RecordBatch.from_arrays([*b.slice(i, 1).columns, *answer.columns], [*b.schema.names, *_ANSWER.names])
 
-    return requests.select("uri", F.col("offset").cast("long").alias("offset"), F.col("length").cast("long").alias("length")).mapInArrow(read, "uri string, offset long, length long, status int, headers map<string,array<string>>, content_type string, body binary, truncated boolean, elapsed_us long, error string")
+    asked = requests.withColumns({c: F.col(c).cast("long") for c in ("offset", "length")})
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema)
+    return asked.mapInArrow(read, kept + ", status int, headers map<string,array<string>>, content_type string, body binary, truncated boolean, elapsed_us long, error string")
 
 
-_ANSWER = pa.schema([("uri", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.list_(pa.string()))), ("content_type", pa.string()), ("body", pa.binary()), ("truncated", pa.bool_()), ("elapsed_us", pa.int64()), ("error", pa.string())])
+_ANSWER = pa.schema([("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.list_(pa.string()))), ("content_type", pa.string()), ("body", pa.binary()), ("truncated", pa.bool_()), ("elapsed_us", pa.int64()), ("error", pa.string())])
 
 
 def get(uri: str, headers: dict[str, str], cap: int, timeout: float, insecure: bool, edges: dict[str, str]) -> dict:

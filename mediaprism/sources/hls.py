@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediaprism.functions.text import attributes, hex_iv, hex_section, program_date_time, resolution, resolved
+from mediaprism.functions.text import attributes, drm_system, hex_iv, hex_section, program_date_time, resolution, resolved
 
 
 def lines(manifests: DataFrame) -> DataFrame:
@@ -152,6 +152,15 @@ def ad_breaks(manifests: DataFrame) -> DataFrame:
     )
 
 
+def key_systems(manifests: DataFrame) -> DataFrame:
+    """manifest_id and the key formats that any of a playlist's keys name, session keys among them; plain keys name none."""
+    a = attributes(F.col("value"))
+    keys = lines(manifests).where("tag IN ('EXT-X-KEY', 'EXT-X-SESSION-KEY')").select("manifest_id", a["METHOD"].alias("method"), drm_system(a["KEYFORMAT"]).alias("system"))
+    # Sample encryption by whole blocks is one scheme, by counter the other.
+    scheme = F.when(F.upper("method") == "SAMPLE-AES-CTR", "cenc").when(F.upper("method") == "SAMPLE-AES", "cbcs")
+    return keys.groupBy("manifest_id").agg(F.array_sort(F.collect_set("system")).alias("systems"), F.min(scheme).alias("scheme"))
+
+
 def segments(manifests: DataFrame) -> DataFrame:
     """Media segments in order, with sticky MAP and KEY, pending tags, byte ranges and wall clocks carried on."""
     r = lines(manifests)
@@ -199,6 +208,8 @@ def segments(manifests: DataFrame) -> DataFrame:
         (F.col("first_ds") + F.col("discontinuities")).alias("discontinuity_sequence"),
         F.when(F.col("length").isNotNull(), F.struct("offset", "length")).alias("byte_range"),
         F.col("map.uri").alias("init_uri"),
+        # A map's range without an offset begins at 0.
+        F.when(F.col("map.range") != "", F.struct(F.coalesce(F.regexp_extract("map.range", r"@(\d+)", 1).try_cast("long"), F.lit(0)).alias("offset"), F.regexp_extract("map.range", r"^(\d+)", 1).try_cast("long").alias("length"))).alias("init_range"),
         F.timestamp_micros(F.unix_micros(anchor) + passed).alias("pdt"),
         (F.col("pdt_stated").isNull() & anchor.isNotNull()).alias("pdt_derived"),
         keyed(F.col("key.method")).alias("key_method"),
