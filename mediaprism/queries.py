@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mediaprism import findings, sinks
 from mediaprism.operators.registry import CHECKS, load, run_checks, shared
-from mediaprism.plans import manifests, oracles, relations, scalars, synthetic
+from mediaprism.plans import manifests, oracles, relations, scalars, synthetic, synthetic_dash
 from mediaprism.plans.stream import from_stream
 from mediaprism.sources import dash, hls
 
@@ -72,6 +72,11 @@ def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_checks(from_stream(masters, corpus, edges={"near": edge}))
 
 
+def dash_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from DASH manifests, of templates, indexes and indexes of indexes, and fragmented media."""
+    return run_checks(from_stream(*synthetic_dash.presentations(spark, sf_dir)))
+
+
 def _double(column: str, name: str | None = None) -> Column:
     """Whole numbers that may be null, as engines name their types differently."""
     return F.col(column).cast("double").alias(name or column)
@@ -118,7 +123,7 @@ def dash_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dash.events(manifests.presentations(spark, sf_dir)).drop("content")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _check(name) for name in CHECKS} | {"report_summary": report_summary} | {f.__name__: f for f in (scalars.functions, sink_text, sink_markdown, sink_prometheus, sink_json, sink_otlp, stream_report, hls_segments, hls_parts, hls_breaks, hls_playlists, hls_renditions, dash_segments, dash_representations, dash_events)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _check(name) for name in CHECKS} | {"report_summary": report_summary} | {f.__name__: f for f in (scalars.functions, sink_text, sink_markdown, sink_prometheus, sink_json, sink_otlp, stream_report, dash_report, hls_segments, hls_parts, hls_breaks, hls_playlists, hls_renditions, dash_segments, dash_representations, dash_events)}
 
 _ALL = "\nUNION ALL ".join(f"SELECT * FROM ({q})" for q in oracles.SQL.values())
 _FOUND = "WITH f AS (" + "\nUNION ALL ".join(f"SELECT * FROM ({oracles.SQL[n]})" for n in _SHOWN) + "), facts AS (" + relations.oracle("SELECT count(*) AS segments, sum(bytes) AS bytes FROM s0 WHERE fetched") + """),
@@ -140,8 +145,10 @@ UNION ALL SELECT DISTINCT '# TYPE mediaprism_' || name || ' gauge' FROM m""",
     "sink_otlp": """SELECT 's' AS stream, 'mediaprism.' || replace(name, '_', '.') AS name, coalesce('check=' || "check", '') || coalesce(',status=' || status, '') AS attributes, value FROM m""",
 }
 _STREAM = "\nUNION ALL ".join(f"SELECT * FROM ({relations.on(q, synthetic.SEGMENTS, synthetic.RENDITIONS, edges=synthetic.EDGES, probes=synthetic.PROBES)})" for q in oracles.SQL.values())
+_DASH = "\nUNION ALL ".join(f"SELECT * FROM ({relations.on(q, synthetic_dash.SEGMENTS, synthetic_dash.RENDITIONS, cues=synthetic_dash.CUES, probes=synthetic_dash.PROBES)})" for q in oracles.SQL.values())
 SQL: dict[str, str] = oracles.SQL | manifests.SQL | {
     "stream_report": _STREAM,
+    "dash_report": _DASH,
     **scalars.SQL,
     **{n: _FOUND + q for n, q in _SINKS.items()},
     "report_summary": f'SELECT "check", status, count(*) AS n FROM ({_ALL}) GROUP BY 1, 2',
