@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,15 +48,15 @@ class Relations:
             if getattr(self, name) is None:
                 object.__setattr__(self, name, spark.createDataFrame([], schema))
 
-    @property
+    @cached_property
     def renditions(self) -> DataFrame:
         return self.all_renditions.where(~F.col("failed"))
 
-    @property
+    @cached_property
     def segments(self) -> DataFrame:
         return self.all_segments.join(self.renditions.select("rendition"), "rendition", "left_semi")
 
-    @property
+    @cached_property
     def parsed(self) -> DataFrame:
         return self.segments.where("parsed")
 

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediaprism.operators.common import EMPTY
 from mediaprism.storage import saved
 
 ROUNDS = 4
@@ -51,6 +52,8 @@ def measure(windows: DataFrame, holds: Callable[[DataFrame], DataFrame], rounds:
     ``holds`` takes requests (rendition and the fields of a point) and gives rendition and held of each.
     """
     windows = saved(windows)
+    if windows.isEmpty():
+        return windows.sparkSession.createDataFrame([], EMPTY["windows"])
 
     def ask(state: DataFrame, at: Column) -> DataFrame:
         requests = saved(state.select("rendition", F.get("points", at).alias("p")).select("rendition", "p.*"))
@@ -62,12 +65,14 @@ def measure(windows: DataFrame, holds: Callable[[DataFrame], DataFrame], rounds:
     done = None
     for _ in range(rounds):
         state = saved(state)
+        if state.where("low <= high").isEmpty():
+            break
         over = state.where("low > high")
         done = over if done is None else done.unionByName(over)
         mid = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
         state = ask(state.where("low <= high"), mid).select(
             "rendition", "points", F.when(F.col("answer"), F.col("low")).otherwise(mid + 1).alias("low"), F.when(F.col("answer"), mid - 1).otherwise(F.col("high")).alias("high"), F.when(F.col("answer"), mid).otherwise(F.col("found")).alias("found"), (F.col("fetches") + 1).alias("fetches")
         )
-    ended = saved(done.unionByName(state))
+    ended = saved(state if done is None else done.unionByName(state))
     told = ended.select("rendition", F.when(F.col("found") < 0, 0).otherwise(span_us(F.col("points"), F.col("found"))).alias("_since"), F.col("fetches").alias("_fetches"))
     return whole.join(told, "rendition", "left").select("rendition", "window_us", "held", F.coalesce("_since", "since_us").alias("since_us"), F.coalesce("_fetches", "fetches").alias("fetches"))

@@ -138,12 +138,12 @@ def dash_listing(manifests: DataFrame, fetch: Fetch, rungs: int | None = None, n
     """Of DASH manifests (manifest_id, url, body). A representation that goes on in later periods, by its id, is one rendition."""
     none, text_none = F.lit(None).cast("long"), F.lit(None).cast("string")
     key = ["manifest_id", "period_index", "set_index", "rep_index"]
-    reps = saved(dash.representations(manifests).withColumn("n", F.lit(0)).drop("p", "a", "r"))
-    reps = evenly(reps, rungs).withColumn("rendition", _numbered(F.coalesce("rep_id", F.concat_ws(":", "set_index", "rep_index"))))
+    reps = saved(dash.representations(manifests))
+    reps = evenly(reps.withColumn("n", F.lit(0)), rungs).withColumn("rendition", _numbered(F.coalesce("rep_id", F.concat_ws(":", "set_index", "rep_index"))))
     reps = saved(reps)
     owner = reps.select(*key, "rendition", F.col("type").alias("_type"), "scheme", "period_start", F.col("timescale").alias("_scale"), F.col("presentation_time_offset").alias("pto"))
-    named = dash.segments(manifests, now).select(*key, "kind", "sequence", "uri", "init_uri", "duration", "range_offset", "range_length", "media_start", none.alias("init_offset"), none.alias("init_length"))
-    ranges = dash.indexes(manifests)
+    named = dash.segments(manifests, now, found=reps).select(*key, "kind", "sequence", "uri", "init_uri", "duration", "range_offset", "range_length", "media_start", none.alias("init_offset"), none.alias("init_length"))
+    ranges = dash.indexes(manifests, found=reps)
     first, size = dash.span(F.coalesce("init_range", F.lit("")))
     # An index that is not located stands somewhere after the init; the file's first bytes hold both.
     begins = ranges.select(*key, "kind", "uri", F.col("range_offset").alias("offset"), F.col("range_length").alias("length"), first.alias("init_offset"), F.coalesce(size, F.when(F.col("range_offset") > 0, F.col("range_offset"))).alias("init_length"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaprism.functions.text import iso_duration, lenient_utc, resolved
+from mediaprism.storage import saved
 
 _TEMPLATE = "STRUCT<_media: STRING, _initialization: STRING, _timescale: BIGINT, _duration: BIGINT, _startNumber: BIGINT, _presentationTimeOffset: BIGINT, SegmentTimeline: STRUCT<S: ARRAY<STRUCT<_t: BIGINT, _d: BIGINT, _r: BIGINT>>>>"
 _INIT = "STRUCT<_sourceURL: STRING, _range: STRING>"
@@ -110,14 +111,15 @@ def filled(template: Column, rep_id: Column, bandwidth: Column, number: Column,
     return F.replace(out, F.lit("\x00"), F.lit("$"))
 
 
-def segments(manifests: DataFrame, now: float | None = None, most: int = 10_000_000, live_tail: int = 12) -> DataFrame:
+def segments(manifests: DataFrame, now: float | None = None, most: int = 10_000_000, live_tail: int = 12, found: DataFrame | None = None) -> DataFrame:
     """Segments of templates, lists and plain files; those behind an index come from the media (``indexed.expand``).
 
     A repeat below 0 fills the period; entries of no duration are skipped. Live ones without a timeline follow the clock: ``now``, seconds
     since availability start, or else this machine's time against the stated one; of them come the newest ``live_tail``. A representation of more than ``most`` segments
-    is a mistake of the manifest and raises.
+    is a mistake of the manifest and raises. ``found``: the representations, if they have been read; else they are, once, and written.
     """
-    r = representations(manifests).where("media IS NOT NULL")
+    found = saved(representations(manifests)) if found is None else found
+    r = found.where("media IS NOT NULL")
     key = ["manifest_id", "period_index", "set_index", "rep_index"]
     e = r.where("timeline IS NOT NULL").select("*", F.posexplode("timeline").alias("i", "s")).where("s._d > 0")
     w = Window.partitionBy(*key).orderBy("i")
@@ -142,7 +144,7 @@ def segments(manifests: DataFrame, now: float | None = None, most: int = 10_000_
     fill = lambda t: resolved(F.col("base_url"), filled(t, F.col("rep_id"), F.col("bandwidth"), number, F.col("time")))
     none = F.lit(None).cast("long")
     made = both.select(*key, "rep_id", "kind", number.alias("sequence"), fill(F.col("media")).alias("uri"), F.when(F.col("initialization").isNotNull(), fill(F.col("initialization"))).alias("init_uri"), (F.col("d") / F.col("timescale")).alias("duration"), (F.col("period_start") + (F.col("time") - F.col("presentation_time_offset")) / F.col("timescale")).alias("declared_start"), none.alias("range_offset"), none.alias("range_length"), (F.col("time") / F.col("timescale")).alias("media_start"))
-    return made.unionByName(_listed(manifests, key)).unionByName(_files(manifests, key))
+    return made.unionByName(_listed(found, key)).unionByName(_files(found, key))
 
 
 def _bounded(count: Column, most: int) -> Column:
@@ -155,24 +157,24 @@ def span(text: Column) -> tuple[Column, Column]:
     return first, last - first + 1
 
 
-def _listed(manifests: DataFrame, key: list[str]) -> DataFrame:
-    r = representations(manifests).where("addressing = 'list'").select("*", F.posexplode("listed.SegmentURL").alias("i", "s"))
+def _listed(found: DataFrame, key: list[str]) -> DataFrame:
+    r = found.where("addressing = 'list'").select("*", F.posexplode("listed.SegmentURL").alias("i", "s"))
     length = F.col("listed._duration") / F.coalesce(_unset(F.col("listed._timescale")), F.lit(1))
     offset, size = span(F.coalesce("s._mediaRange", F.lit("")))
     init = F.col("listed.Initialization._sourceURL")
     return r.select(*key, "rep_id", "kind", (F.coalesce("listed._startNumber", F.lit(1)) + F.col("i")).alias("sequence"), F.when(F.col("s._media").isNotNull(), resolved(F.col("base_url"), F.col("s._media"))).otherwise(F.col("base_url")).alias("uri"), F.when(init.isNotNull(), resolved(F.col("base_url"), init)).alias("init_uri"), length.alias("duration"), (F.col("period_start") + F.col("i") * length).alias("declared_start"), offset.alias("range_offset"), size.alias("range_length"), (F.col("i") * length).alias("media_start"))
 
 
-def _files(manifests: DataFrame, key: list[str]) -> DataFrame:
+def _files(found: DataFrame, key: list[str]) -> DataFrame:
     """A representation that is one file, as subtitles beside the media are."""
-    r = representations(manifests).where("addressing = 'file'")
+    r = found.where("addressing = 'file'")
     none = F.lit(None).cast("long")
     return r.select(*key, "rep_id", "kind", F.lit(1).cast("long").alias("sequence"), F.col("base_url").alias("uri"), F.lit(None).cast("string").alias("init_uri"), F.col("period_duration").alias("duration"), F.col("period_start").alias("declared_start"), none.alias("range_offset"), none.alias("range_length"), F.lit(None).cast("double").alias("media_start"))
 
 
-def indexes(manifests: DataFrame, guess: int = 512 << 10) -> DataFrame:
+def indexes(manifests: DataFrame, guess: int = 512 << 10, found: DataFrame | None = None) -> DataFrame:
     """What to read of representations behind a segment index: uri, and the range stated or the file's first bytes."""
-    r = representations(manifests).where("addressing = 'index'")
+    r = (representations(manifests) if found is None else found).where("addressing = 'index'")
     offset, size = span(F.coalesce("indexed._indexRange", F.lit("")))
     return r.select("manifest_id", "period_index", "set_index", "rep_index", "rep_id", "kind", "period_start", F.col("base_url").alias("uri"), F.coalesce(offset, F.lit(0)).alias("range_offset"), F.coalesce(size, F.lit(guess)).alias("range_length"), F.col("indexed.Initialization._range").alias("init_range"))
 
