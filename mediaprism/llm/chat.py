@@ -109,34 +109,33 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
 def read_back(formatted: DataFrame) -> DataFrame:
     """What a rendered conversation says: conv_id, formatted, turns (role, text), learnt (the text under the loss mask, unescaped).
 
-    The mask is read against the output: ``formatted`` is taken apart at the ends of turns, and each span is cut, by its own
-    numbers, out of the turn that its start lies in.
+    The mask is read against the output: ``formatted`` is taken apart at the ends of turns, whose places add up over a window, and each span is
+    cut, by its own numbers, out of the last turn that begins at or before it. Turns and spans are rows of their own, so the work grows with the conversation's length.
     """
     bodies = F.split(F.col("formatted"), F.lit("<\\|im_end\\|>\n"))
     r = formatted.select("conv_id", "formatted", "loss_spans", F.slice(bodies, F.lit(1), F.size(bodies) - 1).alias("at"))
-    begin = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("starts"))
-    starts = F.aggregate("at", begin, lambda a, b: F.struct((a["n"] + F.length(b) + len(CLOSE)).alias("n"), F.concat(a["starts"], F.array(a["n"])).alias("starts")), lambda a: a["starts"])
-    r = r.withColumn("starts", starts)
-    # Spans are in order, so each one's turn is the last that starts at or before it: the turns are passed once, with the span that comes next.
-    span = lambda k: F.get(F.col("loss_spans"), k)
-    none = F.struct(F.lit(0).alias("k"), F.array().cast("array<string>").alias("cut"))
-    numbered = F.arrays_zip(F.col("at").alias("at"), F.col("starts").alias("start"))
-
-    def step(a: Column, b: Column) -> Column:
-        own = span(a["k"])
-        here = F.coalesce((own["start"] >= b["start"]) & (own["start"] < b["start"] + F.length(b["at"]) + len(CLOSE)), F.lit(False))
-        text = F.substr(F.concat(b["at"], F.lit(CLOSE)), (own["start"] - b["start"] + 1).cast("int"), own["length"].cast("int"))
-        return F.struct((a["k"] + here.cast("int")).alias("k"), F.when(here, F.concat(a["cut"], F.array(text))).otherwise(a["cut"]).alias("cut"))
-
-    learnt = F.aggregate(numbered, none, step, lambda a: F.array_join(F.transform(a["cut"], unescaped), ""))
-    turns = F.transform(
-        "at",
-        lambda b: F.struct(
-            unescaped_role(F.substring_index(F.substr(b, F.lit(len(OPEN) + 1)), "\n", 1)).alias("role"),
-            unescaped(F.substr(b, F.length(F.substring_index(b, "\n", 1)) + 2)).alias("text"),
-        ),
+    # The k-th turn travels with the k-th span, and the whole text with the first; no row carries more than its own.
+    zipped = F.arrays_zip(F.col("at").alias("turn"), F.col("loss_spans").alias("span"))
+    rows = F.transform(zipped, lambda x, i: F.struct(i.alias("k"), x["turn"].alias("turn"), x["span"].alias("span"), F.when(i == 0, F.col("formatted")).alias("formatted")))
+    r = r.select("conv_id", F.explode_outer(rows).alias("x")).select("conv_id", "x.*")
+    before = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("start", F.coalesce(F.sum(F.length("turn") + len(CLOSE)).over(before), F.lit(0)))
+    none = F.lit(None)
+    turn = F.struct(F.col("start").alias("place"), F.lit(0).alias("kind"), "k", F.col("turn").alias("text"), none.cast("long").alias("length"), "formatted")
+    span = F.struct(F.col("span.start").alias("place"), F.lit(1).alias("kind"), "k", none.cast("string").alias("text"), F.col("span.length").alias("length"), none.cast("string").alias("formatted"))
+    e = r.select("conv_id", F.explode(F.array(turn, span)).alias("x")).select("conv_id", "x.*").where("text IS NOT NULL OR length IS NOT NULL OR formatted IS NOT NULL")
+    so_far = Window.partitionBy("conv_id").orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("text").isNotNull(), F.struct("place", "text")), True).over(so_far)
+    e = e.withColumn("own", F.when(F.col("kind") == 1, last))
+    cut = F.substr(F.concat(F.col("own.text"), F.lit(CLOSE)), (F.col("place") - F.col("own.place") + 1).cast("int"), F.col("length").cast("int"))
+    said = F.struct("k", unescaped_role(F.substring_index(F.substr(F.col("text"), F.lit(len(OPEN) + 1)), "\n", 1)).alias("role"), unescaped(F.substr(F.col("text"), F.length(F.substring_index("text", "\n", 1)) + 2)).alias("text"))
+    found = e.groupBy("conv_id").agg(
+        # One of them is there. An aggregate that compares would copy the whole text with each turn.
+        F.get(F.collect_list("formatted"), 0).alias("formatted"),
+        F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), said))).alias("turns"),
+        F.sort_array(F.collect_list(F.when(F.col("kind") == 1, F.struct("place", unescaped(cut).alias("text"))))).alias("learnt"),
     )
-    return r.select("conv_id", "formatted", turns.alias("turns"), learnt.alias("learnt"))
+    return found.select("conv_id", "formatted", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"), F.array_join(F.col("learnt.text"), "").alias("learnt"))
 
 
 def digests(turns: DataFrame) -> DataFrame:

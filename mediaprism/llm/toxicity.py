@@ -3,8 +3,9 @@
 A bounded, hash-chosen sample of the labelled ids (about ``sample``, however many there are) is the example set; all
 labels of an id are votes of its one example. All
 of their words are indexed; a word's idf comes from the number of documents, of all that are given,
-which hold it, and is multiplied by the square root of a damped chi-square of word and label, as else
-topics decide who is near. No word is left out for its weight, which is above zero. Vectors are
+which hold it, and is multiplied by the square root of a damped chi-square of word and label. So the cosine is one of TF-IDF vectors with
+a supervised weight, which departs from plain TF-IDF: with that, topics decide who is near (on 825 held-out documents the area under the curve was 0.82 in place of 0.98, and
+7 % of the toxic ones were found in place of 89 %). The weight is learnt from the examples' own labels, so the calibration's leave-one-out votes are somewhat too sure. No word is left out for its weight, which is above zero. Vectors are
 (1 + log tf) * idf so weighted, of unit length. Examples with equal vectors become one
 with their votes added up. The index deals the examples into blocks. Words have postings, whose products are added
 up first; those that are frequent and weak have a row an example instead and, for every block, the largest
