@@ -1,7 +1,7 @@
 """The live-edge monitor as a Structured Streaming query.
 
 State per rendition: the observations that may still be overtaken by earlier ones, and the edge as it was when the
-watermark last passed: newest segment, when it last moved, the longest gap, counts, what was published. No source
+watermark last passed: the last list, when its newest last moved, the longest gap, counts, what was published. No source
 promises an order, so an observation waits until the watermark has passed it and is then taken in the order of
 time; one that comes later than the watermark allows is dropped. A timer at the next waiting one takes it
 up when nothing else arrives; a second one speaks of silence, and forgets a rendition that has long been silent. The
@@ -19,23 +19,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OBSERVATION = "rendition long, poll long, observed_us long, newest long, target_us long, failed boolean"
-OUTPUT = "rendition long, looks long, advances long, stall_us long, backwards long, failures long, target_us long, last_newest long, published long, passed_us long, rule string, silent boolean"
+OBSERVATION = "rendition long, poll long, observed_us long, uris array<string>, durations_us array<long>, target_us long, failed boolean"
+OUTPUT = "rendition long, looks long, advances long, stall_us long, backwards long, failures long, target_us long, last_newest string, published_us long, passed_us long, rule string, rate string, silent boolean"
 #: Of these a rendition that stays silent for so many targets is forgotten.
 FORGET = 100
-_WAITING = "poll long, observed_us long, newest long, target_us long, failed boolean"
-_EDGE = "looks long, advances long, stall long, back long, failures long, target long, newest long, moved long, seen long, first long, since long"
+_WAITING = "poll long, observed_us long, uris array<string>, durations_us array<long>, target_us long, failed boolean"
+_EDGE = "looks long, filled long, advances long, stall long, back long, failures long, target long, shown string, uris array<string>, moved long, seen long, since long, media long, one long"
 
 
-def rule_of(looks: int, advances: int, stall: int, target: int, failures: int, tolerance: int) -> str:
+def rule_of(looks: int, filled: int, advances: int, stall: int, target: int, failures: int, tolerance: int) -> str:
     """What a series says so far; without a stated interval nothing is judged."""
     if not looks:
         return "all-failed" if failures else "empty"
     if looks == 1:
         return "one-look"
+    if not filled:
+        return "empty"
+    if not advances:
+        return "never-advanced"
     if not target:
         return "no-interval"
-    return "never-advanced" if not advances else "stalled" if stall > target * tolerance else "advancing"
+    return "stalled" if stall > target * tolerance else "advancing"
+
+
+def rate_of(media: int, one: int, passed: int, back: int) -> str | None:
+    """``behind`` or ``ahead`` of time by more than a segment and a fifth of it, over four segments at least; none if not known."""
+    if media < 0 or back or not one or passed < 4 * one or abs(media - passed) <= one + passed / 5:
+        return None
+    return "behind" if media < passed else "ahead"
+
+
+def published(before: list[str], uris: list[str], durations: list[int]) -> int | None:
+    """What stands in a list after the newest of the list before; None if that has scrolled out."""
+    return sum(durations[uris.index(before[-1]) + 1 :]) if before and before[-1] in uris else None
+
+
+def went_back(before: list[str], uris: list[str]) -> bool:
+    """Whether the newest stood in the list before already, ahead of that one's newest."""
+    return bool(before and uris) and uris[-1] != before[-1] and uris[-1] in before and before.index(uris[-1]) < before.index(before[-1])
 
 
 class LiveEdge(StatefulProcessor):
@@ -48,9 +69,10 @@ class LiveEdge(StatefulProcessor):
         self.edge = handle.getValueState("edge", _EDGE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(r) for frame in rows for r in frame[["poll", "observed_us", "newest", "target_us", "failed"]].itertuples(index=False)]
-        for poll, at, newest, target, failed in new:
-            self.waiting.appendValue((int(poll), int(at), -1 if pd.isna(newest) else int(newest), 0 if pd.isna(target) else int(target), bool(failed)))
+        whole = lambda x: 0 if pd.isna(x) else int(x)
+        for frame in rows:
+            for poll, at, uris, durations, target, failed in frame[["poll", "observed_us", "uris", "durations_us", "target_us", "failed"]].itertuples(index=False):
+                self.waiting.appendValue((int(poll), int(at), [] if uris is None else [str(u) for u in uris], [] if durations is None else [int(d) for d in durations], whole(target), bool(failed)))
         yield from self._take(key, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -60,18 +82,26 @@ class LiveEdge(StatefulProcessor):
         now = timers.getCurrentWatermarkInMs()
         held = sorted(self.waiting.get(), key=lambda r: (r[1], r[0])) if self.waiting.exists() else []
         ready, later = [r for r in held if r[1] // 1000 <= now], [r for r in held if r[1] // 1000 > now]
-        looks, advances, stall, back, failures, target, newest, moved, seen, first, since = self.edge.get() if self.edge.exists() else (0,) * 6 + (-1,) * 5
-        for _, at, new, goal, failed in ready:
-            if failed or new < 0:
-                failures, seen = failures + int(failed), max(seen, at)
+        looks, filled, advances, stall, back, failures, target, shown, before, moved, seen, since, media, one = self.edge.get() if self.edge.exists() else (0,) * 7 + ("", [], -1, -1, -1, -1, 0)
+        before = list(before)
+        for _, at, uris, durations, goal, failed in ready:
+            uris, durations = list(uris), list(durations)
+            seen = max(seen, at)
+            if failed:
+                failures += 1
                 continue
             if looks == 0:
-                moved, first, since = at, new, at
+                moved, since = at, at
             stall = max(stall, at - moved)
-            if looks and new != newest:
-                advances, back, moved = advances + 1, back + int(new < newest), at
-            looks, newest, target, seen = looks + 1, new, max(target, goal), max(seen, at)
-        said = rule_of(looks, advances, stall, target, failures, self.tolerance)
+            if looks:
+                back += int(went_back(before, uris))
+                if (new := published(before, uris, durations)) is not None:
+                    media, one = max(media, 0) + new, max(one, *durations)
+                if uris and uris[-1] != shown:
+                    advances, moved = advances + 1, at
+            looks, filled, target, before = looks + 1, filled + int(bool(uris)), max(target, goal), uris
+            shown = uris[-1] if uris else shown
+        said = rule_of(looks, filled, advances, stall, target, failures, self.tolerance)
         limit = target * self.tolerance
         silent = fired is not None and not later and target and seen >= 0 and now * 1000 > seen + limit
         if ready:
@@ -87,9 +117,10 @@ class LiveEdge(StatefulProcessor):
         elif silent:
             self.handle.registerTimer((seen + FORGET * target) // 1000 + 1)
         if ready:
-            self.edge.update((looks, advances, stall, back, failures, target, newest, moved, seen, first, since))
+            self.edge.update((looks, filled, advances, stall, back, failures, target, shown, before, moved, seen, since, media, one))
         if ready or silent:
-            row = (key[0], looks, advances, stall, back, failures, target, newest, newest - first if looks else 0, seen - since if looks else 0, said, bool(silent))
+            passed = seen - since if looks else 0
+            row = (key[0], looks, advances, stall, back, failures, target, shown or None, max(media, 0), passed, said, rate_of(media, one, passed, back), bool(silent))
             yield pd.DataFrame([row], columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
     def close(self) -> None:

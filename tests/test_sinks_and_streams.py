@@ -1,6 +1,7 @@
 """Renderings, the fetch source on a corpus, and streaming against batch."""
 
 import json
+import time
 
 from conftest import SF
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from mediaprism import sinks
 from mediaprism.operators.registry import load
 from mediaprism.operators.timing import watch
 from mediaprism.sources.fetch import byte_range, from_corpus
+from mediaprism.streaming.polls import PollSource
 from mediaprism.streaming.watch import watch_stream
 
 
@@ -53,7 +55,7 @@ def run_stream(spark, series, tmp_path, parts):
     """The series as that many files in turn, each with whatever rows it is given, and a last one far on that lets all others count."""
     for k, part in enumerate(parts):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{k:02d}"))
-    far = spark.createDataFrame([(-1, 0, 10**13, 0, 2_000_000, False)], series.schema)
+    far = spark.createDataFrame([(-1, 0, 10**13, [], [], 2_000_000, False)], series.schema)
     for k in (90, 91):
         far.coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
     was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
@@ -72,12 +74,38 @@ def test_stream_says_what_the_batch_says_though_rows_come_late(spark, tmp_path):
     from dataclasses import replace
 
     rel = load(spark, SF)
-    series = rel.observations.where("rendition % 5 = 0")
+    series = rel.observations.where("rendition % 3 = 0")
     # Later polls come in the first file, earlier ones in the second.
     out = run_stream(spark, series, tmp_path, [series.where("poll % 3 = 1"), series.where("poll % 3 <> 1")])
     last = {f"r{r['rendition']}": r for r in sorted(out, key=lambda r: r["looks"] + r["failures"])}
-    batch = {r["target"]: r for r in watch(replace(rel, observations=series)).where("rule IN ('advancing', 'stalled', 'never-advanced', 'one-look')").collect()}
+    batch = {r["target"]: r for r in watch(replace(rel, observations=series)).where("rule IN ('advancing', 'stalled', 'one-look', 'no-interval')").collect()}
     assert batch and set(batch) <= set(last)
     for name, r in batch.items():
         assert (last[name]["rule"], last[name]["stall_us"] / 1e6) == (r["rule"], r["value"])
     assert any(r["silent"] for r in out)
+    other = {r["target"]: r["rule"] for r in watch(replace(rel, observations=series)).where("rule IN ('behind', 'ahead', 'backwards', 'empty', 'never-advanced')").collect()}
+    for name, rule in other.items():
+        x = last[name]
+        assert rule in (x["rate"], x["rule"]) or (rule == "backwards" and x["backwards"] > 0)
+
+
+def test_polls_go_on_where_they_stopped(spark, tmp_path):
+    """A folder of polls: three are read, then, after a restart from the checkpoint, the other two; none is lost or comes twice."""
+    for poll in range(1, 6):
+        body = "#EXTM3U\n#EXT-X-TARGETDURATION:2\n" + "".join(f"#EXTINF:2.0,\n{k}.ts\n" for k in range(poll, poll + 3))
+        (tmp_path / f"a{poll}.m3u8").write_text(body)
+    spark.dataSource.register(PollSource)
+    lists = f"7 {tmp_path}/a{{poll}}.m3u8\n8 {tmp_path}/none.m3u8"
+    for polls in (3, 5):
+        source = spark.readStream.format("live_polls").option("playlists", lists).option("interval", "0.1").option("polls", str(polls)).load()
+        q = source.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).start()
+        for _ in range(300):
+            time.sleep(0.1)
+            if q.lastProgress and q.lastProgress["sources"][0]["endOffset"] and json.loads(str(q.lastProgress["sources"][0]["endOffset"]).replace("'", '"'))["poll"] >= polls:
+                break
+        q.processAllAvailable()
+        q.stop()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    got = sorted((r["poll"], [u.rsplit("/", 1)[1] for u in r["uris"]], r["durations_us"], r["target_us"]) for r in rows if r["rendition"] == 7)
+    assert got == [(p, [f"{k}.ts" for k in range(p, p + 3)], [2_000_000] * 3, 2_000_000) for p in range(1, 6)]
+    assert sorted((r["poll"], r["failed"]) for r in rows if r["rendition"] == 8) == [(p, True) for p in range(1, 6)]
