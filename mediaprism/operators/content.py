@@ -273,32 +273,113 @@ def drm(rel: Relations) -> DataFrame:
     )
 
 
+def _openings(s: DataFrame, *keys: str) -> DataFrame:
+    """Of each rendition how many openings are known, which are no keyframe for certain, and which are not settled.
+
+    Where the container states it there is nothing to argue with; a bitstream that holds a keyframe elsewhere is no evidence, in decode order, either way.
+    """
+    known = F.col("opens_keyframe").isNotNull() & ~F.col("opaque")
+    late = known & ~F.col("opens_keyframe")
+    bad = late & ((F.col("container") == "mp4") | ~F.coalesce("has_keyframe", F.lit(True)))
+    return s.groupBy("rendition", *keys).agg(F.count("*").alias("n"), _count(known).alias("verified"), _count(bad).alias("bad"), _count(late & ~bad).alias("unsettled"), F.min(F.when(bad, F.col("sequence"))).alias("sequence"), _count(F.col("pictures") > 1).alias("several"))
+
+
 def iframe(rel: Relations) -> DataFrame:
+    """I-frame playlists: readable, one keyframe an entry, and on the timeline of the video of their size."""
     s = rel.segments.where("kind = 'iframe'")
-    g = s.groupBy("rendition").agg(F.count("*").alias("n"), _count(~F.col("parsed")).alias("gone"), _count(F.col("parsed") & (F.col("opens_keyframe") == F.lit(False))).alias("closed"))
+    gone = s.groupBy("rendition").agg(_count(~F.col("parsed")).alias("gone"))
     empty = rel.renditions.where("kind = 'iframe'").join(s, "rendition", "left_anti")
+    g = _openings(rel.parsed.where("kind = 'iframe'"))
+    start = F.floor(F.col("min_pts") * 1_000_000 / F.col("timescale"))
+    begins = rel.parsed.where("min_pts IS NOT NULL AND kind IN ('video', 'iframe')").groupBy("stream", "rendition", "kind").agg(F.min_by(start, "sequence").alias("start")).join(rel.renditions.select("rendition", "width", "height"), "rendition")
+    video, own = begins.where("kind = 'video'").drop("kind"), begins.where("kind = 'iframe'").drop("kind")
+    # The last rung of the same size speaks for the video, else the first of any.
+    pairs = own.join(video.select("stream", F.col("rendition").alias("rung"), F.col("start").alias("video"), F.col("width").alias("_w"), F.col("height").alias("_h")), "stream")
+    same = F.coalesce((F.col("width") == F.col("_w")) & (F.col("height") == F.col("_h")), F.lit(False))
+    near = pairs.groupBy("stream", "rendition", "start").agg(F.min_by("video", F.struct((~same).alias("other"), F.when(same, -F.col("rung")).otherwise(F.col("rung")).alias("nth"))).alias("video"))
+    lasts = rel.parsed.where("measured_us > 0").groupBy("stream", "rendition").agg(upper_median(F.col("measured_us")).alias("lasts")).groupBy("stream").agg(F.min_by("lasts", "rendition").alias("slack"))
+    near = near.join(lasts, "stream", "left").withColumn("drift", F.col("start") - F.col("video")).withColumn("on", F.abs("drift") <= F.coalesce("slack", F.lit(2_000_000)))
     return together(
         finding(empty, "iframe", "empty", label(), "ERROR"),
-        finding(g.where("gone > 0"), "iframe", "unreadable", label(), "BAD", F.col("gone")),
-        finding(g.where("closed > 0"), "iframe", "no-keyframe", label(), "BAD", F.col("closed")),
-        finding(g.where("gone = 0 AND closed = 0"), "iframe", "opens", label(), "OK", F.col("n")),
+        finding(gone.where("gone > 0"), "iframe", "unreadable", label(), "BAD", F.col("gone")),
+        finding(g.where("bad > 0"), "iframe", "no-keyframe", place(), "BAD", F.col("bad")),
+        finding(g.where("several > 0"), "iframe", "several-pictures", label(), "WARN", F.col("several")),
+        finding(g.where("bad = 0 AND verified = 0"), "iframe", "unverified", label(), "OK", F.col("n")),
+        finding(g.where("bad = 0 AND verified > 0"), "iframe", F.when(F.col("unsettled") > 0, "unsettled").otherwise("opens"), label(), "OK", F.col("verified")),
+        finding(near, "iframe", F.when(F.col("on"), "same-timeline").otherwise("other-timeline"), label(), F.when(F.col("on"), "OK").otherwise("BAD"), F.col("drift") / 1000),
     )
 
 
-def profile(rel: Relations) -> DataFrame:
-    """Authoring rules beyond correctness: rate peaks, even durations, IDR openings, rate tiers."""
+def _apple_peak(rel: Relations) -> list[DataFrame]:
+    g = _rates(rel).where("kind = 'video'").withColumn("ratio", F.col("peak.bps") / F.col("avg"))
+    return [finding(g, "profile", "apple:peak-vs-average", label(), F.when(F.col("ratio") > 2, "WARN").otherwise("OK"), F.round("ratio", 6))]
+
+
+def _apple_duration(rel: Relations) -> list[DataFrame]:
+    """Within a rendition, where a shorter last one of an ended presentation does not count; and the shortest rung against the longest."""
+    d = rel.of(rel.parsed.where("kind <> 'text' AND measured_us > 0"), "live")
+    whole = Window.partitionBy("rendition")
+    d = d.select("stream", "rendition", "kind", "sequence", "measured_us", "r_live", F.count("*").over(whole).alias("n"), F.max("sequence").over(whole).alias("last"), F.min_by("measured_us", "sequence").over(whole).alias("first_us"))
+    kept = d.where(~(~F.col("r_live") & (F.col("n") > 1) & (F.col("sequence") == F.col("last")) & (F.col("measured_us") < F.col("first_us"))))
+    usual = kept.groupBy("rendition").agg(upper_median(F.col("measured_us")).alias("usual"), F.count("*").alias("n"), F.min("measured_us").alias("low"), F.max("measured_us").alias("high")).where("n > 1")
+    pct = F.greatest(F.col("usual") - F.col("low"), F.col("high") - F.col("usual")).cast("double") * 100 / F.col("usual")
+    off = pct > rel.options.profile_duration_pct
+    rungs = d.where("kind = 'video'").groupBy("stream", "rendition").agg(upper_median(F.col("measured_us")).alias("usual"))
+    ends = rungs.groupBy("stream").agg(F.min(F.struct("usual", "rendition")).alias("low"), F.max(F.struct("usual", (-F.col("rendition")).alias("nth"))).alias("high"), F.count("*").alias("n")).where("n > 1")
+    apart = ends.where((F.col("high.usual") - F.col("low.usual")) * 100 > F.col("low.usual") * rel.options.profile_duration_pct)
+    at = of_stream("ladder:r", F.col("low.rendition").cast("string"), F.lit(":r"), (-F.col("high.nth")).cast("string"))
+    return [
+        finding(usual, "profile", "apple:segment-duration", label(), F.when(off, "WARN").otherwise("OK"), F.when(off, F.round(pct, 6)).otherwise(F.col("usual") / 1e6)),
+        finding(apart, "profile", "apple:segment-duration", at, "WARN", (F.col("high.usual") - F.col("low.usual")) / 1000),
+    ]
+
+
+def _apple_idr(rel: Relations) -> list[DataFrame]:
+    g = _openings(rel.of(rel.parsed.where("kind = 'video'"), with_init=True)).where("verified > 0")
+    bad = F.col("bad") > 0
+    return [finding(g, "profile", "apple:idr-per-segment", F.when(bad, place()).otherwise(label()), F.when(bad, "WARN").otherwise("OK"), F.when(bad, F.col("bad")).when(F.col("unsettled") > 0, F.col("unsettled")).otherwise(F.col("verified")))]
+
+
+def _apple_tier(rel: Relations) -> list[DataFrame]:
+    """The measured average against the tier of the nearest size, by the logarithm of pixels; the table covers one codec."""
     rates = _rates(rel).where("kind = 'video'")
-    peak = rates.withColumn("ratio", F.col("peak.bps") / F.col("avg"))
-    d = rel.parsed.where("kind <> 'text'")
-    med = d.groupBy("rendition").agg(upper_median(F.col("declared_us")).alias("med"))
-    uneven = d.join(med, "rendition").where(F.abs(F.col("declared_us") - F.col("med")) * 10 > F.col("med")).groupBy("rendition").agg(F.count("*").alias("n"))
-    idr = rel.parsed.where("kind = 'video' AND NOT opens_keyframe").groupBy("rendition").agg(F.count("*").alias("n"))
-    size = rel.parsed.where("kind = 'video' AND codec = 'h264' AND width > 0").groupBy("rendition").agg(first_by([F.col("sequence")], "width", "height").alias("f"))
-    near = F.array_sort(F.array(*[F.struct(F.abs(F.ln((F.col("f.width") * F.col("f.height")).cast("double") / (w * h))).alias("far"), F.lit(i).alias("i"), F.lit(kbps).alias("kbps")) for i, (w, h, kbps) in enumerate(AVC_TIERS)]))
-    tier = rates.join(size, "rendition").withColumn("share", F.col("avg") / (F.get(near, 0)["kbps"] * 1000))
-    return together(
-        finding(peak.where("ratio > 2"), "profile", "peak-vs-average", label(), "WARN", F.round("ratio", 6)),
-        finding(uneven, "profile", "segment-duration", label(), "WARN", F.col("n")),
-        finding(idr, "profile", "idr-per-segment", label(), "WARN", F.col("n")),
-        finding(tier.where("share < 0.5 OR share > 2"), "profile", "bitrate-tier", label(), "WARN", F.round("share", 6)),
-    )
+    coded = rel.parsed.where("kind = 'video'").groupBy("rendition").agg(F.min_by(F.struct("width", "height"), F.when(F.col("width") > 0, F.col("sequence"))).alias("f"), F.min_by("codec", F.when(F.col("codec").isNotNull(), F.col("sequence"))).alias("codec"))
+    g = rates.join(coded, "rendition").join(rel.renditions.select("rendition", F.col("width").alias("_w"), F.col("height").alias("_h")), "rendition")
+    g = g.withColumn("pixels", F.coalesce(F.col("f.width") * F.col("f.height"), F.col("_w") * F.col("_h"))).where("pixels > 0")
+    near = F.array_sort(F.array(*[F.struct(F.abs(F.ln(F.col("pixels").cast("double") / (w * h))).alias("far"), F.lit(i).alias("i"), F.lit(kbps).alias("kbps")) for i, (w, h, kbps) in enumerate(AVC_TIERS)]))
+    other = F.coalesce(F.col("codec") != "h264", F.lit(False))
+    g = g.withColumn("share", F.when(~other, F.col("avg") / (F.get(near, 0)["kbps"] * 1000)))
+    return [finding(g, "profile", "apple:bitrate-tier", label(), F.when((F.col("share") < 0.5) | (F.col("share") > 2), "WARN").otherwise("OK"), F.round("share", 6))]
+
+
+def _apple_rate(rel: Relations) -> list[DataFrame]:
+    """A constant rate in each rung, and all rungs at the top rung's or a whole fraction of it."""
+    s = rel.of(rel.parsed.where("kind = 'video' AND frame_dur > 0"), with_init=True)
+    s = s.withColumn("fps", F.floor((F.col("timescale") * 1000).cast("double") / F.col("frame_dur")).cast("long"))
+    g = s.groupBy("stream", "rendition").agg(upper_median(F.col("fps")).alias("usual"), F.min("fps").alias("low"), F.max("fps").alias("high"))
+    worst = F.when(F.col("usual") - F.col("low") >= F.col("high") - F.col("usual"), F.col("low")).otherwise(F.col("high"))
+    off = F.abs(worst - F.col("usual")) * 100 > F.col("usual") * rel.options.frame_rate_pct
+    ladder = Window.partitionBy("stream")
+    ratio = F.max("usual").over(ladder).cast("double") / F.col("usual")
+    whole = F.greatest(F.floor(ratio + 0.5).cast("double"), F.lit(1.0))
+    rungs = g.select("stream", "usual", off.alias("off"), (F.abs(ratio - whole) * 100 > whole * rel.options.frame_rate_pct).alias("odd"))
+    rungs = rungs.groupBy("stream").agg(F.count("*").alias("n"), _count(F.col("odd")).alias("odd"), _count(F.col("off")).alias("off"), F.max("usual").alias("top")).where("n > 1 AND (odd > 0 OR off = 0)")
+    return [
+        finding(g.where(off), "profile", "apple:frame-rate", label(), "WARN", worst / 1000),
+        finding(rungs, "profile", "apple:frame-rate", of_stream("ladder"), F.when(F.col("odd") > 0, "WARN").otherwise("OK"), F.when(F.col("odd") > 0, F.col("odd")).otherwise(F.col("top") / 1000)),
+    ]
+
+
+#: The rules of each profile; ids are stable. A profile without rules says so.
+PROFILES = {"apple": (_apple_peak, _apple_duration, _apple_idr, _apple_tier, _apple_rate), "dash-if": ()}
+
+
+def profile(rel: Relations) -> DataFrame:
+    """Authoring rules beyond correctness, of the profile that the options name."""
+    name = rel.options.profile
+    streams = rel.renditions.select("stream").distinct()
+    if name == "none":
+        return finding(streams.where("FALSE"), "profile", "none", of_stream("profile"), "OK")
+    if not PROFILES[name]:
+        return finding(streams, "profile", f"{name}:not-implemented", of_stream("profile"), "OK")
+    return together(*(part for rule in PROFILES[name] for part in rule(rel)))

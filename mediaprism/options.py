@@ -17,6 +17,9 @@ class Options:
     clear_lead_slack_us: int = 100_000
     period_late_us: int = 500_000
     clock_skew_us: int = 1_000_000
+    #: ``apple``, ``dash-if`` (which has no rules yet and says so) or ``none``.
+    profile: str = "apple"
+    profile_duration_pct: int = 10
 
 
 # Recommended average bit rates (kbit/s) of AVC rungs by coded size.

@@ -198,25 +198,56 @@ u AS (SELECT rendition FROM d UNION SELECT rendition FROM h)""",
     ),
 )
 
+#: Openings that are known, that are no keyframe for certain, and that are not settled.
+_OPEN = """rendition, count(*) AS n, count(*) FILTER (WHERE known) AS verified, count(*) FILTER (WHERE known AND NOT opens_keyframe AND sure) AS bad, count(*) FILTER (WHERE known AND NOT opens_keyframe AND NOT sure) AS unsettled, min(sequence) FILTER (WHERE known AND NOT opens_keyframe AND sure) AS sequence, count(*) FILTER (WHERE pictures > 1) AS several
+  FROM (SELECT *, opens_keyframe IS NOT NULL AND NOT opaque AS known, container = 'mp4' OR has_keyframe = FALSE AS sure FROM p) GROUP BY rendition"""
 SQL["iframe"] = _with(
-    "g AS (SELECT rendition, count(*) AS n, count(*) FILTER (WHERE NOT parsed) AS gone, count(*) FILTER (WHERE parsed AND opens_keyframe = FALSE) AS closed FROM s WHERE kind = 'iframe' GROUP BY 1)",
-    _rows("iframe", ("empty", _R, "ERROR", "NULL", "r WHERE kind = 'iframe' AND rendition NOT IN (SELECT rendition FROM s)"), ("unreadable", _R, "BAD", "gone", "g WHERE gone > 0"), ("no-keyframe", _R, "BAD", "closed", "g WHERE closed > 0"), ("opens", _R, "OK", "n", "g WHERE gone = 0 AND closed = 0")),
+    f"""o AS (SELECT {_OPEN.replace("FROM p)", "FROM p WHERE kind = 'iframe')")}),
+b AS (SELECT p.stream, p.rendition, p.kind, r.width, r.height, arg_min(CAST(floor(min_pts * CAST(1000000 AS DOUBLE) / timescale) AS BIGINT), sequence) AS start FROM p JOIN r USING (rendition) WHERE min_pts IS NOT NULL AND p.kind IN ('video', 'iframe') GROUP BY 1, 2, 3, 4, 5),
+n AS (SELECT i.stream, i.rendition, i.start, v.start AS video, row_number() OVER (PARTITION BY i.rendition ORDER BY coalesce(i.width = v.width AND i.height = v.height, FALSE) DESC, CASE WHEN i.width = v.width AND i.height = v.height THEN -v.rendition ELSE v.rendition END) AS rk FROM b i JOIN b v ON v.stream = i.stream AND v.kind = 'video' WHERE i.kind = 'iframe'),
+md AS (SELECT stream, rendition, measured_us, row_number() OVER (PARTITION BY rendition ORDER BY measured_us) AS rk, count(*) OVER (PARTITION BY rendition) AS n FROM p WHERE measured_us > 0),
+slack AS (SELECT stream, arg_min(measured_us, rendition) AS slack FROM md WHERE rk = n // 2 + 1 GROUP BY stream),
+t AS (SELECT rendition, start - video AS drift, abs(start - video) <= coalesce(slack, 2000000) AS ok FROM n LEFT JOIN slack USING (stream) WHERE rk = 1)""",
+    _rows(
+        "iframe",
+        ("empty", _R, "ERROR", "NULL", "r WHERE kind = 'iframe' AND rendition NOT IN (SELECT rendition FROM s)"),
+        ("unreadable", _R, "BAD", "count(*)", "s WHERE kind = 'iframe' AND NOT parsed GROUP BY rendition"),
+        ("no-keyframe", _P, "BAD", "bad", "o WHERE bad > 0"),
+        ("several-pictures", _R, "WARN", "several", "o WHERE several > 0"),
+        ("unverified", _R, "OK", "n", "o WHERE bad = 0 AND verified = 0"),
+        (_case(("unsettled > 0", "unsettled"), other="opens"), _R, "OK", "verified", "o WHERE bad = 0 AND verified > 0"),
+        (_case(("ok", "same-timeline"), other="other-timeline"), _R, _case(("ok", "OK"), other="BAD"), "drift / CAST(1000 AS DOUBLE)", "t"),
+    ),
 )
 
 _TIERS = ", ".join(f"({i}, {w * h}, {k})" for i, (w, h, k) in enumerate(AVC_TIERS))
 SQL["profile"] = _with(
-    _RATES + f""", d AS (SELECT rendition, declared_us, row_number() OVER (PARTITION BY rendition ORDER BY declared_us) AS rk, count(*) OVER (PARTITION BY rendition) AS n FROM p WHERE kind <> 'text'),
-med AS (SELECT rendition, declared_us AS med FROM d WHERE rk = n // 2 + 1),
-sz AS (SELECT rendition, arg_min(width * height, sequence) AS px FROM p WHERE kind = 'video' AND codec = 'h264' AND width > 0 GROUP BY 1),
+    _RATES + f""", d AS (SELECT p.stream, rendition, p.kind, measured_us, sequence, live, count(*) OVER w AS n, max(sequence) OVER w AS last, arg_min(measured_us, sequence) OVER w AS first_us FROM p JOIN r USING (rendition) WHERE p.kind <> 'text' AND measured_us > 0 WINDOW w AS (PARTITION BY rendition)),
+kd AS (SELECT rendition, measured_us, row_number() OVER (PARTITION BY rendition ORDER BY measured_us) AS rk, count(*) OVER (PARTITION BY rendition) AS n FROM d WHERE NOT (NOT live AND n > 1 AND sequence = last AND measured_us < first_us)),
+us AS (SELECT rendition, max(n) AS n, max(CASE WHEN rk = n // 2 + 1 THEN measured_us END) AS usual, min(measured_us) AS low, max(measured_us) AS high FROM kd GROUP BY 1 HAVING max(n) > 1),
+up AS (SELECT *, CAST(greatest(usual - low, high - usual) AS DOUBLE) * 100 / usual AS pct FROM us),
+vd AS (SELECT stream, rendition, measured_us, row_number() OVER (PARTITION BY rendition ORDER BY measured_us) AS rk, count(*) OVER (PARTITION BY rendition) AS n FROM d WHERE kind = 'video'),
+vu AS (SELECT stream, rendition, measured_us AS usual FROM vd WHERE rk = n // 2 + 1),
+en AS (SELECT stream, arg_min(rendition, (usual, rendition)) AS lr, min(usual) AS low, arg_min(rendition, (-usual, rendition)) AS hr, max(usual) AS high FROM vu GROUP BY 1 HAVING count(*) > 1),
+o AS (SELECT {_OPEN.replace("FROM p)", f"FROM p WHERE kind = 'video' AND rendition IN (SELECT rendition FROM {_RI}))")}),
+sz AS (SELECT p.rendition, coalesce(arg_min(p.width * p.height, sequence) FILTER (WHERE p.width > 0), max(r.width * r.height)) AS px, arg_min(codec, sequence) FILTER (WHERE codec IS NOT NULL) AS codec FROM p JOIN r USING (rendition) WHERE p.kind = 'video' GROUP BY 1),
 tiers(i, tpx, kbps) AS (VALUES {_TIERS}),
-near AS (SELECT rendition, kbps, row_number() OVER (PARTITION BY rendition ORDER BY abs(ln(CAST(px AS DOUBLE) / tpx)), i) AS rk FROM sz CROSS JOIN tiers),
-tier AS (SELECT rendition, av / (kbps * 1000) AS share FROM rates JOIN near USING (rendition) WHERE kind = 'video' AND rk = 1)""",
+near AS (SELECT rendition, codec, kbps, row_number() OVER (PARTITION BY rendition ORDER BY abs(ln(CAST(px AS DOUBLE) / tpx)), i) AS rk FROM sz CROSS JOIN tiers WHERE px > 0),
+tier AS (SELECT rendition, CASE WHEN codec IS NULL OR codec = 'h264' THEN av / (kbps * 1000) END AS share FROM rates JOIN near USING (rendition) WHERE kind = 'video' AND rk = 1),
+fr AS (SELECT stream, rendition, fps, row_number() OVER (PARTITION BY rendition ORDER BY fps) AS rk, count(*) OVER (PARTITION BY rendition) AS n FROM (SELECT *, CAST(floor(CAST(timescale * 1000 AS DOUBLE) / frame_dur) AS BIGINT) AS fps FROM p WHERE kind = 'video' AND frame_dur > 0 AND rendition IN (SELECT rendition FROM {_RI}))),
+fu AS (SELECT stream, rendition, max(CASE WHEN rk = n // 2 + 1 THEN fps END) AS usual, min(fps) AS low, max(fps) AS high FROM fr GROUP BY 1, 2),
+fw AS (SELECT *, CASE WHEN usual - low >= high - usual THEN low ELSE high END AS worst, max(usual) OVER (PARTITION BY stream) / CAST(usual AS DOUBLE) AS ratio FROM fu),
+fo AS (SELECT *, abs(worst - usual) * 100 > usual * 2 AS off, abs(ratio - greatest(floor(ratio + 0.5), 1)) * 100 > greatest(floor(ratio + 0.5), 1) * 2 AS odd FROM fw),
+fl AS (SELECT stream, count(*) AS n, count(*) FILTER (WHERE odd) AS odd, count(*) FILTER (WHERE off) AS off, max(usual) AS top FROM fo GROUP BY 1)""",
     _rows(
         "profile",
-        ("peak-vs-average", _R, "WARN", "round(peak / av, 6)", "rates WHERE kind = 'video' AND peak / av > 2"),
-        ("segment-duration", _R, "WARN", "count(*)", "d JOIN med USING (rendition) WHERE abs(declared_us - med) * 10 > med GROUP BY rendition"),
-        ("idr-per-segment", _R, "WARN", "count(*)", "p WHERE kind = 'video' AND NOT opens_keyframe GROUP BY rendition"),
-        ("bitrate-tier", _R, "WARN", "round(share, 6)", "tier WHERE share < 0.5 OR share > 2"),
+        ("'apple:peak-vs-average'", _R, _case(("peak / av > 2", "WARN"), other="OK"), "round(peak / av, 6)", "rates WHERE kind = 'video'"),
+        ("'apple:segment-duration'", _R, _case(("pct > 10", "WARN"), other="OK"), "CASE WHEN pct > 10 THEN round(pct, 6) ELSE usual / 1e6 END", "up"),
+        ("'apple:segment-duration'", f"{_S} || 'ladder:r' || lr || ':r' || hr", "WARN", "(high - low) / CAST(1000 AS DOUBLE)", "en WHERE (high - low) * 100 > low * 10"),
+        ("'apple:idr-per-segment'", f"CASE WHEN bad > 0 THEN {_P} ELSE {_R} END", _case(("bad > 0", "WARN"), other="OK"), "CASE WHEN bad > 0 THEN bad WHEN unsettled > 0 THEN unsettled ELSE verified END", "o WHERE verified > 0"),
+        ("'apple:bitrate-tier'", _R, _case(("share < 0.5 OR share > 2", "WARN"), other="OK"), "round(share, 6)", "tier"),
+        ("'apple:frame-rate'", _R, "WARN", "worst / CAST(1000 AS DOUBLE)", "fo WHERE off"),
+        ("'apple:frame-rate'", f"{_S} || 'ladder'", _case(("odd > 0", "WARN"), other="OK"), "CASE WHEN odd > 0 THEN odd ELSE top / CAST(1000 AS DOUBLE) END", "fl WHERE n > 1 AND (odd > 0 OR off = 0)"),
     ),
 )
 

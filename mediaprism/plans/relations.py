@@ -22,8 +22,8 @@ SELECT CAST(floor(u / 10) AS BIGINT) AS stream, u AS rendition,
   u % 30 = 4 AS opaque,
   CAST(v + 20000 AS BIGINT) AS bytes,
   CAST(CASE WHEN i % 71 = 0 THEN 2900000 WHEN u % 13 = 0 THEN 2150000 ELSE 2000000 END AS BIGINT) AS declared_us,
-  CAST(CASE WHEN i % 29 <> 0 THEN 2000000 + (i % 5) * 1000 END AS BIGINT) AS measured_us,
-  CAST((8589934592 - 1800000 + (n + CAST(floor(n / 20) AS BIGINT)) * 180000 + CASE WHEN i % 97 = 0 THEN 27000 WHEN i % 89 = 0 THEN -27000 ELSE i % 3 END) % 8589934592 AS BIGINT) AS min_pts,
+  CAST(CASE WHEN i % 29 <> 0 THEN CASE WHEN u % 30 = 13 THEN 2500000 WHEN u % 21 = 4 AND n % 7 = 0 THEN 2600000 ELSE 2000000 END + (i % 5) * 1000 END AS BIGINT) AS measured_us,
+  CAST((8589934592 - 1800000 + (n + CAST(floor(n / 20) AS BIGINT)) * 180000 + CASE WHEN i % 97 = 0 THEN 27000 WHEN i % 89 = 0 THEN -27000 ELSE i % 3 END + CASE WHEN u % 40 = 19 THEN 900000 ELSE 0 END) % 8589934592 AS BIGINT) AS min_pts,
   CAST(90000 AS BIGINT) AS timescale,
   CAST(CASE WHEN i % 211 = 0 THEN i % 4 ELSE 0 END AS BIGINT) AS cc_errors,
   t = 'error' AND i % 4 = 0 AS discontinuity,
@@ -39,6 +39,7 @@ SELECT CAST(floor(u / 10) AS BIGINT) AS stream, u AS rendition,
   CASE WHEN i % 11 <> 0 THEN i % 13 <> 0 END AS opens_keyframe,
   CASE WHEN i % 11 <> 0 THEN i % 113 <> 0 END AS has_keyframe,
   CAST(CASE WHEN u % 10 < 6 AND i % 17 <> 0 THEN CASE WHEN u % 12 = 5 THEN 3003 WHEN u % 15 = 1 THEN 3400 ELSE 3600 END + i % 2 END AS BIGINT) AS frame_dur,
+  CAST(CASE WHEN u % 10 = 9 THEN 1 + CASE WHEN i % 23 = 0 THEN 1 ELSE 0 END WHEN u % 10 < 6 THEN 50 END AS BIGINT) AS pictures,
   CAST(CASE WHEN u % 10 BETWEEN 6 AND 7 THEN CASE WHEN i % 67 = 0 THEN 44100 ELSE 48000 END END AS BIGINT) AS sample_rate,
   CAST(CASE WHEN u % 10 BETWEEN 6 AND 7 THEN 2 END AS BIGINT) AS channels,
   CAST(CASE WHEN u % 10 BETWEEN 6 AND 7 AND u % 30 <> 6 THEN CASE WHEN u % 20 = 17 THEN 5 ELSE 2 END END AS BIGINT) AS object_type,
@@ -75,8 +76,8 @@ SELECT CAST(floor(u / 10) AS BIGINT) AS stream, u AS rendition,
   CASE WHEN u % 10 < 6 THEN 'video' WHEN u % 10 < 8 THEN 'audio' WHEN u % 10 = 8 THEN 'text' ELSE 'iframe' END AS kind,
   CAST(u % 2 AS INT) AS period,
   CAST(CASE WHEN u % 25 = 0 THEN 0 ELSE 90000 + (u % 6) * 12000 + CASE WHEN u % 11 = 0 THEN 300000 ELSE 0 END END AS BIGINT) AS bandwidth,
-  CAST(CASE WHEN u % 10 < 6 THEN 320 + (u % 6) * 320 END AS BIGINT) AS width,
-  CAST(CASE WHEN u % 10 < 6 THEN 180 + (u % 6) * 180 + CASE WHEN u % 17 = 3 THEN -180 ELSE 0 END END AS BIGINT) AS height,
+  CAST(CASE WHEN u % 10 < 6 OR u % 20 = 9 THEN 320 + (u % 6) * 320 END AS BIGINT) AS width,
+  CAST(CASE WHEN u % 10 < 6 OR u % 20 = 9 THEN 180 + (u % 6) * 180 + CASE WHEN u % 17 = 3 THEN -180 ELSE 0 END END AS BIGINT) AS height,
   CASE WHEN u % 19 = 1 THEN '' WHEN u % 10 < 6 THEN 'avc1.64001f,mp4a.40.2' WHEN u % 10 < 8 THEN 'mp4a.40.' || CASE WHEN u % 4 = 2 THEN '5' ELSE '2' END ELSE 'wvtt' END AS codecs,
   CAST(CASE WHEN u % 10 < 6 AND u % 8 <> 0 THEN 25000 END AS BIGINT) AS fps_milli,
   CAST(CASE WHEN u % 10 BETWEEN 6 AND 7 THEN 48000 END AS BIGINT) AS sample_rate,

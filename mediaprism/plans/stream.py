@@ -243,7 +243,7 @@ def relations(listing: Listing, fetch: Fetch, options: Options | None = None, *,
     segments = x.select(
         "stream", "rendition", "kind", "period", "sequence", "fetched", _readable().alias("parsed"), F.coalesce("supported", F.lit(True)).alias("supported"), "truncated", opaque.alias("opaque"), F.col("fetched_bytes").alias("bytes"), "declared_us",
         F.floor(span * 1_000_000 / F.col("t.timescale")).alias("measured_us"), "t.min_pts", "t.timescale", F.coalesce(F.aggregate("tracks", F.lit(0).cast("long"), lambda s, t: s + F.coalesce(t["cc_errors"], F.lit(0))), F.lit(0)).alias("cc_errors"), "discontinuity", "discontinuity_sequence",
-        "declared_start_us", "pdt_us", "container", "v.width", "v.height", count("video").alias("video_tracks"), count("audio").alias("audio_tracks"), "own.codec", F.when(~opaque, F.col("v.opens_on_keyframe")).alias("opens_keyframe"), F.when(~opaque, F.col("v.has_keyframe")).alias("has_keyframe"), "v.frame_dur",
+        "declared_start_us", "pdt_us", "container", "v.width", "v.height", count("video").alias("video_tracks"), count("audio").alias("audio_tracks"), "own.codec", F.when(~opaque, F.col("v.opens_on_keyframe")).alias("opens_keyframe"), F.when(~opaque, F.col("v.has_keyframe")).alias("has_keyframe"), "v.frame_dur", F.col("v.samples").alias("pictures"),
         "a.sample_rate", "a.channels", "a.object_type", "a.sbr", "a.ps", (F.col("map").isNotNull() | (F.col("container") != "webvtt")).alias("mapped"), F.col("length").isNotNull().alias("ranged"), "accepts_ranges", (F.size(heard) > 0).alias("captions_scanned"), F.array_sort(F.array_distinct(F.flatten(F.transform(heard, lambda t: t["captions"])))).alias("captions_seen"), F.col("key_method").isNotNull().alias("key_declared"), "decrypted", "decrypt_failed",
         guard.isNotNull().alias("encrypted"), guard["protection"].alias("scheme"), guard["crypt_pattern"].alias("crypt_pattern"), guard["clear_samples"].alias("clear_samples"), guard["encrypted_samples"].alias("encrypted_samples"), F.coalesce("drm", F.array().cast("array<string>")).alias("pssh"), "cache_status", "uncacheable", "host", "digest",
         F.col("v.profile").alias("profile_idc"), F.col("v.level").alias("level_idc"), F.col("v.transfer").alias("transfer"), F.col("sequence").alias("ordinal"),

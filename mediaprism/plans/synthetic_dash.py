@@ -138,7 +138,7 @@ FROM (SELECT DISTINCT user_id AS u FROM events) e WHERE {_WANTED}"""
 SEGMENTS = f"""SELECT stream, rendition, CASE WHEN {_VIDEO} THEN 'video' ELSE 'text' END AS kind, 0 AS period, n AS sequence, what <> 'missing' AS fetched, what = 'media' AS parsed, TRUE AS supported, TRUE AS kept, FALSE AS truncated, FALSE AS opaque,
   CAST(CASE WHEN what = 'garbage' THEN 9 WHEN NOT {_VIDEO} THEN {len(fragment("text", 0, None, False, False))} ELSE {_BARE} + CASE WHEN field AND service THEN {_CAPTION[True, True]} WHEN field THEN {_CAPTION[True, False]} WHEN service THEN {_CAPTION[False, True]} ELSE 0 END END AS BIGINT) AS bytes, CAST(2000000 AS BIGINT) AS declared_us,
   CAST(2000000 AS BIGINT) AS measured_us, start AS min_pts, CAST(90000 AS BIGINT) AS timescale, 0 AS cc_errors, FALSE AS discontinuity, 0 AS discontinuity_sequence, CAST((n - 1) * 2000000 AS BIGINT) AS declared_start_us, CAST(NULL AS BIGINT) AS pdt_us, 'mp4' AS container, CAST(CASE WHEN {_VIDEO} THEN 320 + u % 6 * 16 END AS BIGINT) AS width, CAST(CASE WHEN {_VIDEO} THEN 176 + u % 6 * 16 END AS BIGINT) AS height,
-  ({_VIDEO})::INT AS video_tracks, 0 AS audio_tracks, CASE WHEN {_VIDEO} THEN 'h264' ELSE 'wvtt' END AS codec, CASE WHEN {_VIDEO} THEN idr = 0 AND idr IS NOT NULL END AS opens_keyframe, CASE WHEN {_VIDEO} THEN idr IS NOT NULL END AS has_keyframe, CAST(CASE WHEN {_VIDEO} THEN 18000 END AS BIGINT) AS frame_dur,
+  ({_VIDEO})::INT AS video_tracks, 0 AS audio_tracks, CASE WHEN {_VIDEO} THEN 'h264' ELSE 'wvtt' END AS codec, CASE WHEN {_VIDEO} THEN idr = 0 AND idr IS NOT NULL END AS opens_keyframe, CASE WHEN {_VIDEO} THEN idr IS NOT NULL END AS has_keyframe, CAST(CASE WHEN {_VIDEO} THEN 18000 END AS BIGINT) AS frame_dur, CASE WHEN {_VIDEO} THEN 10 END AS pictures,
   CASE WHEN {_VIDEO} THEN 77 END AS profile_idc, CASE WHEN {_VIDEO} THEN 31 END AS level_idc, CAST(NULL AS BIGINT) AS transfer, CAST(NULL AS BIGINT) AS object_type, CAST(NULL AS BOOLEAN) AS sbr, CAST(NULL AS BIGINT) AS sample_rate, CAST(NULL AS BIGINT) AS channels, FALSE AS key_declared, FALSE AS decrypted, FALSE AS decrypt_failed, FALSE AS encrypted, CAST(NULL AS VARCHAR) AS scheme, CAST(NULL AS BOOLEAN) AS crypt_pattern,
   CAST(NULL AS BIGINT) AS clear_samples, CAST(NULL AS BIGINT) AS encrypted_samples, CAST([] AS VARCHAR[]) AS pssh, {_VIDEO} AS captions_scanned, CASE WHEN {_VIDEO} AND field AND service THEN ['CC1', 'SERVICE1'] WHEN {_VIDEO} AND field THEN ['CC1'] WHEN {_VIDEO} AND service THEN ['SERVICE1'] ELSE CAST([] AS VARCHAR[]) END AS captions_seen, TRUE AS mapped, how IN ('index', 'indexes') AS ranged, FALSE AS accepts_ranges, 'cdn.example' AS host, CAST(i AS VARCHAR) AS digest, CAST(NULL AS VARCHAR) AS cache_status, FALSE AS uncacheable, n AS ordinal
 FROM (SELECT *, {_NUMBER}, {_GIVEN} FROM {_EVENTS} e WHERE {_WANTED}) g"""
