@@ -80,7 +80,10 @@ def _as_fingerprint(k: int):
 
 
 def item_fingerprints(items: DataFrame, window: int, item_col: str, text_col: str) -> DataFrame:
-    """fp, k (words it spans), item, whole (the item's words if they are fewer than a window, else null), context (words around), at (its place there)."""
+    """fp, k (words it spans), whole (the item's words if they are fewer than a window, else null), context (words around), at (its place there), items that have all this.
+
+    A phrase that many items hold in the same words is one mark, so a document meets and extends it once.
+    """
     rows = items.select(F.col(item_col).alias("item"), words_of(F.col(text_col)).alias("words")).where(F.size("words") > 0)
     long = rows.where(F.size("words") >= window).select("item", "words", F.explode_outer(_winnowed(F.col("words"), window)).alias("gram"))
     place = _place(F.col("gram"))
@@ -88,13 +91,13 @@ def item_fingerprints(items: DataFrame, window: int, item_col: str, text_col: st
     long = long.select(_hash(F.col("gram")).alias("fp"), F.lit(K).alias("k"), "item", F.lit(None).cast("int").alias("whole"), F.slice("words", place - before + 1, before + window).alias("context"), before.alias("at"))
     short = rows.where(F.size("words") < window)
     short = short.select(_hash(F.xxhash64("words")).alias("fp"), F.size("words").alias("k"), "item", F.size("words").alias("whole"), F.col("words").alias("context"), F.lit(0).alias("at"))
-    return long.unionByName(short).distinct()
+    return long.unionByName(short).groupBy("fp", "k", "whole", "context", "at").agg(F.collect_set("item").alias("items"))
 
 
 def find_hits(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = 200_000, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """One row per document: id, n_words, spans (start, length of the runs found), items (those that occur)."""
     marks = saved(item_fingerprints(items, window, item_col, item_text_col))
-    heavy = F.aggregate("context", F.lit(0).cast("long"), lambda a, w: a + F.octet_length(w) + 40)
+    heavy = F.aggregate("context", F.lit(0).cast("long"), lambda a, w: a + F.octet_length(w) + 40) + 40 * F.size("items")
     sizes = marks.groupBy("whole").agg(F.count("*").alias("n"), F.sum(heavy + 100).alias("bytes")).collect()  # window rows at most
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("id"), text_key(text).alias("version"), words_of(text).alias("words"))
@@ -104,10 +107,10 @@ def find_hits(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col: st
     if sum(r["n"] for r in sizes) <= broadcast_rows and sum(r["bytes"] for r in sizes) <= broadcast_bytes:
         # A row meets the marks where it is. One more fingerprint, met by one more mark, stands for each document, and
         # an outer explode spares Spark a filter that computes them twice.
-        every = marks.sparkSession.range(1).select(F.lit(_EVERY).alias("fp"), F.lit(0).alias("k"), F.lit(None).cast(marks.schema["item"].dataType).alias("item"), F.lit(None).cast("int").alias("whole"), F.array().cast("array<string>").alias("context"), F.lit(0).alias("at"))
+        every = marks.sparkSession.range(1).select(F.lit(_EVERY).alias("fp"), F.lit(0).alias("k"), F.lit(None).cast("int").alias("whole"), F.array().cast("array<string>").alias("context"), F.lit(0).alias("at"), F.array().cast(marks.schema["items"].dataType).alias("items"))
         found = F.concat(F.array(F.struct(F.lit(0).alias("k"), F.lit(_EVERY).alias("fp"), F.lit(0).alias("p"))), *found)
         met = rows.select("id", "version", "words", F.explode_outer(found).alias("f")).select("id", "version", "words", "f.k", "f.fp", "f.p").join(F.broadcast(marks.unionByName(every)), ["k", "fp"])
-        per = _spans_of(met, window).groupBy("id", "version", "n_words").agg(F.sum("rows").cast("int").alias("rows"), F.collect_set("item").alias("items"), F.collect_set("span").alias("spans"))
+        per = _spans_of(met, window).groupBy("id", "version", "n_words").agg(F.sum("rows").cast("int").alias("rows"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.collect_set("span").alias("spans"))
         out = per.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("rows"))))
     else:
         # Only fingerprints travel. Documents that meet an item get their words again, and all others none.
@@ -118,19 +121,19 @@ def find_hits(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col: st
         texts = docs.select(F.col(id_col).alias("id"), text_key(text).alias("version"), text.alias("text")).join(which, same, "left_semi").dropDuplicates(["id", "version"])
         texts = texts.select(F.col("id").alias("_id"), F.col("version").alias("_version"), words_of(F.col("text")).alias("words"))
         hits = _spans_of(met.join(texts, same).drop("_id", "_version"), window).where("span IS NOT NULL")
-        per = hits.groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_set("item").alias("items"), F.collect_set("span").alias("spans"))
+        per = hits.groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.collect_set("span").alias("spans"))
         counted = docs.select(F.col(id_col).alias("id"), text_key(text).alias("version"), F.size(words_of(text)).alias("n_words"))
-        out = counted.join(per, same, "left").withColumns({"items": F.coalesce("items", F.array().cast(f"array<{marks.schema['item'].dataType.simpleString()}>")), "spans": F.coalesce("spans", F.array().cast("array<struct<start:int,length:int>>"))})
+        out = counted.join(per, same, "left").withColumns({"items": F.coalesce("items", F.array().cast(marks.schema["items"].dataType)), "spans": F.coalesce("spans", F.array().cast("array<struct<start:int,length:int>>"))})
     return out.select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), F.sort_array("spans").alias("spans"), "items")
 
 
 def _spans_of(met: DataFrame, window: int) -> DataFrame:
-    """Of meetings (words, p, context, at, item, whole) the run that each extends to, where it is long enough: id, version, n_words, item, span; rows says which stands for a document."""
+    """Of meetings (words, p, context, at, items, whole) the run that each extends to, where it is long enough: id, version, n_words, items, span; rows says which stands for a document."""
     # Equality along the meeting's diagonal, in the context's places.
     p, at, n = F.col("p"), F.col("at"), F.size("words")
     lo = F.greatest(F.lit(0), at - p)
     hi = F.least(F.size("context"), n - p + at)
-    met = met.select("id", "version", n.alias("n_words"), (F.col("k") == 0).alias("marker"), "item", "whole", p.alias("p"), (at - lo).alias("before"), F.zip_with(F.slice("words", p - at + lo + 1, F.greatest(hi - lo, F.lit(0))), F.slice("context", lo + 1, F.greatest(hi - lo, F.lit(0))), lambda a, b: a == b).alias("same"))
+    met = met.select("id", "version", n.alias("n_words"), (F.col("k") == 0).alias("marker"), "items", "whole", p.alias("p"), (at - lo).alias("before"), F.zip_with(F.slice("words", p - at + lo + 1, F.greatest(hi - lo, F.lit(0))), F.slice("context", lo + 1, F.greatest(hi - lo, F.lit(0))), lambda a, b: a == b).alias("same"))
     right = F.array_position(F.slice("same", F.col("before") + 1, F.size("same")), False)
     left = F.array_position(F.reverse(F.slice("same", F.lit(1), F.col("before"))), False)
     met = met.select(
@@ -138,7 +141,7 @@ def _spans_of(met: DataFrame, window: int) -> DataFrame:
         "version",
         "n_words",
         "marker",
-        "item",
+        "items",
         "whole",
         F.when(right > 0, right - 1).otherwise(F.size("same") - F.col("before")).cast("int").alias("after"),
         F.when(left > 0, left - 1).otherwise(F.col("before")).cast("int").alias("ahead"),
@@ -146,7 +149,7 @@ def _spans_of(met: DataFrame, window: int) -> DataFrame:
     )
     length = F.col("after") + F.col("ahead")
     hit = ~F.col("marker") & (length >= F.coalesce("whole", F.lit(window)))
-    return met.select("id", "version", "n_words", F.when(hit, F.col("item")).alias("item"), F.when(hit, F.struct((F.col("p") - F.col("ahead")).alias("start"), length.alias("length"))).alias("span"), F.when(F.col("marker"), 1).otherwise(0).alias("rows"))
+    return met.select("id", "version", "n_words", F.when(hit, F.col("items")).alias("items"), F.when(hit, F.struct((F.col("p") - F.col("ahead")).alias("start"), length.alias("length"))).alias("span"), F.when(F.col("marker"), 1).otherwise(0).alias("rows"))
 
 
 def covered(spans: Column) -> Column:

@@ -173,6 +173,8 @@ def selected(hashes: np.ndarray, words: np.ndarray, bounds: np.ndarray, min_word
     if not len(start):
         return start, end, np.zeros(0, np.int64), np.zeros(0, np.uint64)
     total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    if len(words) >> int(_PLACE_BITS):
+        raise ValueError(f"a text of {len(words)} lines; at most 2^{_PLACE_BITS} can be numbered")
     until = np.searchsorted(total, total[:-1] + gram_words, side="left")  # beyond the text's end where it has no gram
     grams = run_hashes(hashes, np.arange(len(words)), np.minimum(until, len(words)), _BASES[0])
     last = np.searchsorted(until, end, side="right")

@@ -128,3 +128,19 @@ def test_level_is_reached_by_the_lists():
         t = rng.randint(0, int(tops.sum()))
         level, reach = lexical_search._level(t, tops)
         assert reach == np.minimum(tops, level).sum() <= t and np.minimum(tops, level + 1).sum() >= min(t, tops.sum())
+
+
+# --- 6: a phrase of many items
+
+
+def test_a_phrase_that_many_items_share_is_one_mark(spark):
+    from mediaprism.llm import decontamination
+
+    phrase = " ".join(f"word{k}" for k in range(13))
+    items = spark.createDataFrame([(i, phrase) for i in range(500)], "item_id long, text string")
+    marks = decontamination.item_fingerprints(items, 13, "item_id", "text").collect()
+    assert len(marks) == 1 and sorted(marks[0]["items"]) == list(range(500))
+    docs = spark.createDataFrame([(1, f"x {phrase} y"), (2, "word0 word1")], "doc_id long, text string")
+    for how in ({}, {"broadcast_rows": 0}):
+        got = {r["doc_id"]: r for r in decontamination.decontamination_report(docs, items, **how).collect()}
+        assert (got[1]["n_hit"], got[1]["n_items"], got[2]["n_hit"], got[2]["n_items"]) == (13, 500, 0, 0)
