@@ -20,6 +20,8 @@ EMPTY = {
     "probes": "host string, status long, asked_bytes long, got_bytes long, failed boolean",
     "observations": "rendition long, poll long, observed_us long, uris array<string>, durations_us array<long>, target_us long, failed boolean",
     "edges": "rendition long, sequence long, edge string, missing boolean, digest string",
+    "clocks": "stream long, sources long, spoken boolean, now_us long, skew_us long",
+    "ahead": "rendition long, served boolean",
     "windows": "rendition long, window_us long, held boolean, since_us long, fetches long",
 }
 
@@ -40,6 +42,8 @@ class Relations:
     observations: DataFrame | None = None
     edges: DataFrame | None = None
     windows: DataFrame | None = None
+    clocks: DataFrame | None = None
+    ahead: DataFrame | None = None
     options: Options = field(default_factory=Options)
 
     def __post_init__(self):

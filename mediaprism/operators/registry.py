@@ -36,7 +36,7 @@ def register(name: str, check: Callable[[Relations], DataFrame]) -> None:
 def load(spark: SparkSession, sf_dir: str, windows: bool = False) -> Relations:
     """The relations of a run, projected from the tables in a folder. ``windows``: measure what live windows hold, in rounds of jobs."""
     of = lambda sql: R.relation(spark, sf_dir, sql)
-    rel = Relations(of(R.SEGMENTS), of(R.RENDITIONS), of(R.PARTS), of(R.SPLICES), of(R.BREAKS), of(R.CUES), of(R.PROBES), of(R.OBSERVATIONS), of(R.EDGES))
+    rel = Relations(of(R.SEGMENTS), of(R.RENDITIONS), of(R.PARTS), of(R.SPLICES), of(R.BREAKS), of(R.CUES), of(R.PROBES), of(R.OBSERVATIONS), of(R.EDGES), clocks=of(R.CLOCKS), ahead=of(R.AHEAD))
     if not windows:
         return rel
     kept = rel.segments.select("rendition", "sequence", (F.col("kept") & F.col("parsed")).alias("held"))

@@ -207,11 +207,19 @@ def dvr(rel: Relations) -> DataFrame:
 
 
 def availability(rel: Relations) -> DataFrame:
-    """Live renditions whose manifest goes by the clock, and whose newest segments cannot be fetched: a trailing run."""
+    """Live streams whose manifest goes by the clock: the clock itself, segments that it promises and that are not there (a trailing run), and one that is there too early."""
     s = rel.of(rel.segments, "live", "format").where("r_live AND r_format = 'dash'")
     g = s.groupBy("rendition").agg(F.max("sequence").alias("newest"), F.coalesce(F.max(F.when(F.col("fetched"), F.col("sequence"))), F.min("sequence") - 1).alias("there"))
     g = g.withColumn("run", F.col("newest") - F.col("there"))
-    return finding(g, "availability", F.when(F.col("run") > 0, "newest-missing").otherwise("there"), label(), F.when(F.col("run") > 0, "BAD").otherwise("OK"), F.col("run"))
+    streams = rel.renditions.where("live AND format = 'dash'").select("stream").distinct().join(rel.clocks, "stream", "left")
+    off = F.abs("skew_us") > rel.options.clock_skew_us
+    rule = F.when(off, "clock-off").when(F.col("skew_us").isNotNull(), "clock-agrees").when((F.col("sources") > 0) & ~F.col("spoken"), "clock-unsupported").when(F.col("sources") > 0, "clock-silent").otherwise("no-clock")
+    early = rel.ahead.where("served").join(rel.renditions.select("rendition"), "rendition", "left_semi")
+    return together(
+        finding(g, "availability", F.when(F.col("run") > 0, "newest-missing").otherwise("there"), label(), F.when(F.col("run") > 0, "BAD").otherwise("OK"), F.col("run")),
+        finding(streams, "availability", rule, of_stream("clock"), F.when(off, "WARN").otherwise("OK"), F.col("skew_us") / 1e6),
+        finding(early, "availability", "next-served", label(), "WARN"),
+    )
 
 
 def watch(rel: Relations) -> DataFrame:

@@ -391,7 +391,12 @@ since AS (SELECT h.rendition, found, CASE WHEN found < 0 THEN 0 WHEN found = max
 
 SQL["availability"] = _with(
     "g AS (SELECT s.rendition, max(sequence) - coalesce(max(sequence) FILTER (WHERE fetched), min(sequence) - 1) AS run FROM s JOIN r USING (rendition) WHERE live AND format = 'dash' GROUP BY 1)",
-    _rows("availability", (_case(("run > 0", "newest-missing"), other="there"), _R, _case(("run > 0", "BAD"), other="OK"), "run", "g")),
+    _rows(
+        "availability",
+        (_case(("run > 0", "newest-missing"), other="there"), _R, _case(("run > 0", "BAD"), other="OK"), "run", "g"),
+        (_case(("abs(skew_us) > 1000000", "clock-off"), ("skew_us IS NOT NULL", "clock-agrees"), ("sources > 0 AND NOT spoken", "clock-unsupported"), ("sources > 0", "clock-silent"), other="no-clock"), f"{_S} || 'clock'", _case(("abs(skew_us) > 1000000", "WARN"), other="OK"), "skew_us / 1e6", "(SELECT DISTINCT stream FROM r WHERE live AND format = 'dash') LEFT JOIN clocks USING (stream)"),
+        ("next-served", _R, "WARN", "NULL", "ahead JOIN r USING (rendition) WHERE served"),
+    ),
 )
 
 SQL["watch"] = _with(

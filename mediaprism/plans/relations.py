@@ -160,6 +160,16 @@ FROM (SELECT event_id AS i, user_id AS u, row_number() OVER (PARTITION BY user_i
 CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k) k WHERE k <= CAST(floor(u / 10) AS BIGINT) % 4
 """
 
+#: What the time sources of a stream said, and whether the segment after the newest of one of its renditions is there already.
+CLOCKS = """
+SELECT DISTINCT CAST(floor(u / 10) AS BIGINT) AS stream, CAST(floor(u / 20) AS BIGINT) % 5 AS sources, floor(u / 20) % 5 <> 3 AS spoken, CAST(NULL AS BIGINT) AS now_us,
+  CAST(CASE WHEN floor(u / 20) % 5 = 1 THEN 1500000 WHEN floor(u / 20) % 5 = 2 THEN -200000 END AS BIGINT) AS skew_us
+FROM (SELECT DISTINCT user_id AS u FROM events) e WHERE floor(u / 20) % 5 > 0
+"""
+AHEAD = """
+SELECT u AS rendition, u % 3 = 0 AS served FROM (SELECT DISTINCT user_id AS u FROM events) e WHERE u % 10 = 0
+"""
+
 SPARK = {"string": "STRING", "list": "array", "none": "CAST(array() AS ARRAY<STRING>)", "each": "transform(sequence", "x": "x ->", "no_longs": "CAST(array() AS ARRAY<BIGINT>)"}
 DUCKDB = {"string": "VARCHAR", "list": "list_value", "none": "CAST([] AS VARCHAR[])", "each": "list_transform(generate_series", "x": "lambda x:", "no_longs": "CAST([] AS BIGINT[])"}
 
@@ -182,7 +192,7 @@ p AS (SELECT s.* FROM s WHERE parsed),
 {body}"""
 
 
-OTHERS = {"parts": PARTS, "splices": SPLICES, "breaks": BREAKS, "cues": CUES, "probes": PROBES, "observations": OBSERVATIONS, "edges": EDGES}
+OTHERS = {"parts": PARTS, "splices": SPLICES, "breaks": BREAKS, "cues": CUES, "probes": PROBES, "observations": OBSERVATIONS, "edges": EDGES, "clocks": CLOCKS, "ahead": AHEAD}
 
 
 def on(sql: str, segments: str, renditions: str, **others: str) -> str:

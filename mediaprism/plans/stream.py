@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from mediaprism.functions import text
 from mediaprism.media import stage
+from mediaprism.operators import clock
 from mediaprism.operators.common import Relations
 from mediaprism.operators.retention import measure, windows_of
 from mediaprism.options import Options
@@ -42,6 +43,8 @@ class Listing:
     segments: DataFrame
     breaks: DataFrame | None = None
     parts: DataFrame | None = None
+    clocks: DataFrame | None = None
+    ahead: DataFrame | None = None
 
 
 def evenly(renditions: DataFrame, k: int | None) -> DataFrame:
@@ -138,7 +141,9 @@ def dash_listing(manifests: DataFrame, fetch: Fetch, rungs: int | None = None, n
     """Of DASH manifests (manifest_id, url, body). A representation that goes on in later periods, by its id, is one rendition."""
     none, text_none = F.lit(None).cast("long"), F.lit(None).cast("string")
     key = ["manifest_id", "period_index", "set_index", "rep_index"]
-    reps = saved(dash.representations(manifests))
+    clocks = clock.resolve(dash.time_sources(manifests), fetch)
+    told = clocks.where("now_us IS NOT NULL").select(F.col("stream").alias("manifest_id"), F.col("now_us").alias("clock_us"))
+    reps = saved(dash.representations(manifests).join(told, "manifest_id", "left"))
     reps = evenly(reps.withColumn("n", F.lit(0)), rungs).withColumn("rendition", _numbered(F.coalesce("rep_id", F.concat_ws(":", "set_index", "rep_index"))))
     reps = saved(reps)
     owner = reps.select(*key, "rendition", F.col("type").alias("_type"), "scheme", "period_start", F.col("timescale").alias("_scale"), F.col("presentation_time_offset").alias("pto"))
@@ -163,7 +168,12 @@ def dash_listing(manifests: DataFrame, fetch: Fetch, rungs: int | None = None, n
         F.col("manifest_id").alias("stream"), "rendition", "kind", F.col("period_index").alias("period"), "bandwidth", F.nullif(F.col("width"), F.lit(0)).cast("long").alias("width"), F.nullif(F.col("height"), F.lit(0)).cast("long").alias("height"), "codecs", F.round(F.col("frame_rate") * 1000).cast("long").alias("fps_milli"), F.col("sample_rate").cast("long").alias("sample_rate"), F.col("channels").cast("long").alias("channels"),
         F.col("caption_ids").alias("captions"), F.lit(False).alias("captions_none"), text_none.alias("audio_group"), text_none.alias("group_id"), F.lit(False).alias("failed"), F.col("transfer").cast("long").alias("transfer"), text_none.alias("video_range"), "scheme", F.array_sort("drm_systems").alias("drm"), (F.col("type") == "dynamic").alias("live"), none.alias("target_us"), none.alias("part_target_us"), F.lit("dash").alias("format"),
     )
-    return Listing(saved(renditions), saved(segments))
+    # The segment after the newest, of one video rendition a stream: a range of it tells whether it is there before its time.
+    first_rung = Window.partitionBy("manifest_id").orderBy("rendition")
+    nexts = dash.next_segments(reps, now).where("kind = 'video'").join(owner.select(*key, "rendition"), key).withColumn("nth", F.row_number().over(first_rung)).where("nth = 1")
+    nexts = saved(nexts.select("rendition", "uri", F.lit(0).cast("long").alias("offset"), F.lit(PROBE_BYTES).cast("long").alias("length")))
+    ahead = fetch(nexts).select("rendition", F.col("error").isNull().alias("served"))
+    return Listing(saved(renditions), saved(segments), clocks=clocks, ahead=saved(ahead))
 
 
 def read_bodies(requests: DataFrame, fetch: Fetch) -> DataFrame:
@@ -258,7 +268,7 @@ def relations(listing: Listing, fetch: Fetch, options: Options | None = None, *,
     held = measure(windows, lambda asked: read_bodies(asked, fetch).select("rendition", _readable().alias("held")))
     return Relations(
         saved(segments), saved(renditions), splices=splices, breaks=listing.breaks, cues=cues,
-        parts=saved(_parts_read(listing.parts, fetch)) if listing.parts is not None else None, probes=probe_ranges(parsed, fetch), edges=compare_edges(parsed, edges or {}), windows=held, options=replace(options or Options()),
+        parts=saved(_parts_read(listing.parts, fetch)) if listing.parts is not None else None, probes=probe_ranges(parsed, fetch), edges=compare_edges(parsed, edges or {}), windows=held, clocks=listing.clocks, ahead=listing.ahead, options=replace(options or Options()),
     )
 
 
@@ -277,5 +287,5 @@ def from_stream(masters: DataFrame, corpus: DataFrame, options: Options | None =
         listings = [hls_listing(sorted_out.drop("form"), fetch, rungs)]
     whole = listings[0]
     for more in listings[1:]:
-        whole = Listing(whole.renditions.unionByName(more.renditions), whole.segments.unionByName(more.segments), whole.breaks, whole.parts)
+        whole = Listing(whole.renditions.unionByName(more.renditions), whole.segments.unionByName(more.segments), whole.breaks, whole.parts, more.clocks, more.ahead)
     return relations(whole, fetch, options, sample=sample, edges={k: of(v) for k, v in (edges or {}).items()})

@@ -23,7 +23,7 @@ _REPRESENTATION = f"STRUCT<_id: STRING, _bandwidth: BIGINT, {_COMMON}>"
 _SET = f"STRUCT<_contentType: STRING, _lang: STRING, Accessibility: {_NAMED}, {_COMMON}, Representation: ARRAY<{_REPRESENTATION}>>"
 _EVENTS = "ARRAY<STRUCT<_schemeIdUri: STRING, _timescale: BIGINT, _presentationTimeOffset: BIGINT, Event: ARRAY<STRUCT<_id: STRING, _presentationTime: BIGINT, _duration: BIGINT, _VALUE: STRING>>>>"
 _PERIOD = f"STRUCT<_id: STRING, _start: STRING, _duration: STRING, BaseURL: STRING, EventStream: {_EVENTS}, SegmentTemplate: {_TEMPLATE}, SegmentList: {_LIST}, AdaptationSet: ARRAY<{_SET}>>"
-SCHEMA = f"_type STRING, _mediaPresentationDuration STRING, _availabilityStartTime STRING, _timeShiftBufferDepth STRING, _minimumUpdatePeriod STRING, BaseURL STRING, Period ARRAY<{_PERIOD}>"
+SCHEMA = f"_type STRING, _mediaPresentationDuration STRING, _availabilityStartTime STRING, _timeShiftBufferDepth STRING, _minimumUpdatePeriod STRING, BaseURL STRING, UTCTiming {_NAMED}, Period ARRAY<{_PERIOD}>"
 #: Where a template leaves none of its own, timings begin there.
 _CICP = {"primaries": "urn:mpeg:mpegB:cicp:ColourPrimaries", "transfer": "urn:mpeg:mpegB:cicp:TransferCharacteristics", "matrix": "urn:mpeg:mpegB:cicp:MatrixCoefficients"}
 
@@ -116,7 +116,7 @@ def segments(manifests: DataFrame, now: float | None = None, most: int = 10_000_
 
     A repeat below 0 fills the period; entries of no duration are skipped. Live ones without a timeline follow the clock: ``now``, seconds
     since availability start, or else this machine's time against the stated one; of them come the newest ``live_tail``. A representation of more than ``most`` segments
-    is a mistake of the manifest and raises. ``found``: the representations, if they have been read; else they are, once, and written.
+    is a mistake of the manifest and raises. ``found``: the representations, if they have been read; else they are, once, and written. They may carry ``clock_us``, the time that a stream goes by.
     """
     found = saved(representations(manifests)) if found is None else found
     r = found.where("media IS NOT NULL")
@@ -134,7 +134,9 @@ def segments(manifests: DataFrame, now: float | None = None, most: int = 10_000_
     e = e.withColumn("index", F.row_number().over(Window.partitionBy(*key).orderBy("i", "k")) - 1)
     d = r.where("timeline IS NULL AND segment_duration > 0")
     length = F.col("segment_duration") / F.col("timescale")
-    passed = F.lit(now) if now is not None else (F.unix_micros(F.current_timestamp()) - F.unix_micros(F.coalesce("available", F.timestamp_seconds(F.lit(0))))) / 1e6
+    clock = F.unix_micros(F.current_timestamp())
+    clock = F.coalesce("clock_us", clock) if "clock_us" in found.columns else clock
+    passed = F.lit(now) if now is not None else (clock - F.unix_micros(F.coalesce("available", F.timestamp_seconds(F.lit(0))))) / 1e6
     d = d.withColumn("count", F.when(F.col("type") == "dynamic", F.floor((passed - F.coalesce("period_start", F.lit(0.0))) / length)).otherwise(F.ceil(F.col("period_duration") / length)).cast("long")).where("count > 0")
     first = F.when(F.col("type") == "dynamic", F.greatest(F.col("count") - live_tail, F.lit(0))).otherwise(F.lit(0)).cast("long")
     d = d.withColumn("index", F.explode(F.sequence(first, _bounded(F.col("count") - first, most) + first - 1))).withColumn("time", F.col("index") * F.col("segment_duration")).withColumn("d", F.col("segment_duration"))
@@ -186,6 +188,23 @@ def events(manifests: DataFrame) -> DataFrame:
     return e.select("manifest_id", "period_index", F.col("x._schemeIdUri").alias("scheme"), F.col("e._id").alias("id"), (F.col("start") + (F.coalesce("e._presentationTime", F.lit(0)) - F.coalesce("x._presentationTimeOffset", F.lit(0))) / scale).alias("start"), (F.col("e._duration") / scale).alias("duration"), F.trim("e._VALUE").alias("content"))
 
 
+def time_sources(manifests: DataFrame) -> DataFrame:
+    """stream, n, scheme and value of the time sources that live manifests name, in order."""
+    m = parsed(manifests).where("mpd._type = 'dynamic'").select(F.col("manifest_id").alias("stream"), F.posexplode("mpd.UTCTiming").alias("n", "t"))
+    return m.select("stream", "n", F.col("t._schemeIdUri").alias("scheme"), F.trim("t._value").alias("value"))
+
+
+def next_segments(found: DataFrame, now: float | None = None) -> DataFrame:
+    """Of representations read (and their ``clock_us``, if any) of live templates by duration the address of the segment after the newest: the keys and uri."""
+    r = found.where("type = 'dynamic' AND addressing = 'template' AND timeline IS NULL AND segment_duration > 0")
+    clock = F.unix_micros(F.current_timestamp())
+    clock = F.coalesce("clock_us", clock) if "clock_us" in found.columns else clock
+    passed = F.lit(now) if now is not None else (clock - F.unix_micros(F.coalesce("available", F.timestamp_seconds(F.lit(0))))) / 1e6
+    count = F.greatest(F.floor((passed - F.coalesce("period_start", F.lit(0.0))) * F.col("timescale") / F.col("segment_duration")), F.lit(0)).cast("long")
+    uri = resolved(F.col("base_url"), filled(F.col("media"), F.col("rep_id"), F.col("bandwidth"), F.col("start_number") + count, count * F.col("segment_duration")))
+    return r.select("manifest_id", "period_index", "set_index", "rep_index", "kind", uri.alias("uri"))
+
+
 def window_edges(manifests: DataFrame, now: float, probes: int = 16) -> DataFrame:
     """Of live templates by duration: the next segment's number, the oldest one that should still be there, and numbers evenly between to probe.
 

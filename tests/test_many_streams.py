@@ -138,3 +138,38 @@ def test_addresses_resolve_as_the_standard_says(spark):
     rows = [(b, r) for b in bases for r in references]
     got = spark.createDataFrame(rows, "b string, r string").select("b", "r", resolved(F.col("b"), F.col("r")).alias("x")).collect()
     assert [(x["b"], x["r"], x["x"]) for x in got] == [(b, r, urljoin(b, r) if b else r) for b, r in rows]
+
+
+# --- the clock
+
+
+def test_time_sources_and_the_next_segment(spark):
+    template = '<Period><AdaptationSet contentType="video"><Representation id="v" bandwidth="1"><SegmentTemplate timescale="1" duration="2" media="$Number$.m4s"/></Representation></AdaptationSet></Period>'
+    named = lambda *s: "".join(f'<UTCTiming schemeIdUri="urn:mpeg:dash:utc:{k}:2014" value="{v}"/>' for k, v in s)
+    live = lambda sources: f'<MPD type="dynamic" availabilityStartTime="2024-01-01T00:00:00Z">{sources}{template}</MPD>'
+    rows = [
+        (1, live(named(("direct", "2024-01-01T00:01:00Z")))),
+        (2, live(named(("ntp", "x"), ("http-iso", "http://t/none"), ("http-head", "http://t/head")))),
+        (3, live(named(("ntp", "x")))),
+        (4, live("")),
+        (5, live(named(("http-xsdate", "http://t/body")))),
+    ]
+    manifests = spark.createDataFrame([(n, "http://h/m.mpd", b) for n, b in rows], "manifest_id long, url string, body string")
+    headers = {"Date": ["Mon, 01 Jan 2024 00:02:00 GMT"]}
+    bodies = [("http://t/head", b"x", headers), ("http://t/body", b" 2024-01-01T00:03:00Z\n", {}), ("http://h/31.m4s", b"early", {}), ("http://h/60.m4s", b"last", {})]
+    corpus = spark.createDataFrame([(u, 200, bytearray(b), h) for u, b, h in bodies], "uri string, status int, body binary, headers map<string,array<string>>")
+    asked = []
+
+    def fetch(requests):
+        asked.append(requests.count())
+        return from_corpus(requests, corpus)
+
+    rel = stream.relations(stream.dash_listing(manifests, fetch), fetch)
+    at = 1_704_067_200
+    clocks = {r["stream"]: (r["sources"], r["spoken"], r["now_us"] and r["now_us"] // 1_000_000 - at) for r in rel.clocks.collect()}
+    assert clocks == {1: (1, True, 60), 2: (3, True, 120), 3: (1, False, None), 5: (1, True, 180)} and asked[0] == 3
+    newest = {r["stream"]: r["n"] for r in rel.all_segments.groupBy("stream").agg(F.max("sequence").alias("n")).collect()}
+    assert (newest[1], newest[2], newest[5]) == (30, 60, 90)
+    found = {(r["rule"], r["target"]) for r in run_checks(rel, ["availability"]).collect()}
+    assert {("clock-off", "s1/clock"), ("clock-unsupported", "s3/clock"), ("no-clock", "s4/clock"), ("next-served", "r100001"), ("newest-missing", "r100001"), ("there", "r200001")} <= found
+    assert not any(rule == "next-served" and target != "r100001" for rule, target in found)
