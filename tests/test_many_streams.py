@@ -26,7 +26,8 @@ def test_streams_together_say_what_each_says_alone(spark):
 
     def of(streams):
         r = both.where(F.col("stream").isin(streams))
-        own = {k: getattr(whole, k).join(r.select("rendition"), "rendition", "left_semi") for k in EMPTY if k != "probes"}
+        own = {k: getattr(whole, k).join(r.select("rendition"), "rendition", "left_semi") for k in EMPTY if k not in ("probes", "clocks")}
+        own["clocks"] = whole.clocks.where(F.col("stream").isin(streams))
         return replace(whole, all_renditions=r, all_segments=whole.all_segments.where(F.col("stream").isin(streams)), **own)
 
     together, alone = rows_of(run_checks(of([0, 1])).toPandas()), sorted(rows_of(run_checks(of([0])).toPandas()) + rows_of(run_checks(of([1])).toPandas()))
