@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mediaprism.media.containers import parse
+from mediaprism.media.splices import splice
 
 FIELDS = {
     "kind": "string", "codec": "string", "timescale": "long", "min_pts": "long", "max_pts": "long", "samples": "long", "stated_dur": "long", "frame_dur": "long", "width": "long", "height": "long",
@@ -47,6 +50,13 @@ def media(bodies: DataFrame) -> DataFrame:
     return bodies.select(*keys, "body", "init").mapInArrow(run, schema)
 
 
+@F.pandas_udf(T.StructType([T.StructField("event", T.LongType()), T.StructField("pts", T.LongType())]))
+def section_told(sections: pd.Series) -> pd.DataFrame:
+    """Event and clock (90,000 ticks a second) of splice sections that a manifest carries; nulls where one is damaged or states none."""
+    told = [(s is not None and splice(bytes(s))) or {} for s in sections]
+    return pd.DataFrame({"event": pd.array([t.get("event_id") for t in told], dtype="Int64"), "pts": pd.array([t.get("pts") for t in told], dtype="Int64")})
+
+
 def tracks(parsed: DataFrame) -> DataFrame:
     """One row per track, in container order."""
     return parsed.select("uri", "container", F.posexplode("tracks").alias("track_ordinal", "t")).select("uri", "container", "track_ordinal", "t.*")

@@ -15,7 +15,7 @@ from mediaprism.options import Options
 EMPTY = {
     "parts": "rendition long, sequence long, idx long, declared_us long, min_pts long, timescale long, parsed boolean, independent boolean, opens_keyframe boolean",
     "splices": "splice long, rendition long, event long, pts long",
-    "breaks": "break long, rendition long, event long, media_pts long, at_sequence long, clock_us long, section_pts long",
+    "breaks": "break long, rendition long, event long, media_pts long, media_us long, at_sequence long, clock_us long, section_pts long",
     "cues": "rendition long, sequence long, begin_us long, end_us long",
     "probes": "host string, status long, asked_bytes long, got_bytes long, failed boolean",
     "observations": "rendition long, poll long, observed_us long, uris array<string>, durations_us array<long>, target_us long, failed boolean",

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaprism.findings import finding, together
-from mediaprism.functions.codecs import aac_object_type, avc_level, avc_profile, declared_family, range_of_transfer
+from mediaprism.functions.codecs import aac_object_type, declared_family, declared_video, range_of_transfer
 from mediaprism.operators.common import Relations, first_by, label, of_stream, place, upper_median
 from mediaprism.options import AVC_TIERS
 
@@ -204,12 +204,24 @@ def byterange(rel: Relations) -> DataFrame:
 
 
 def codecstring(rel: Relations) -> DataFrame:
-    v = rel.of(rel.parsed.where("kind = 'video' AND profile_idc IS NOT NULL"), "codecs")
-    g = v.groupBy("rendition", "r_codecs").agg(first_by([F.col("sequence")], "profile_idc", "level_idc").alias("f"))
-    p, lv = avc_profile(F.col("r_codecs")), avc_level(F.col("r_codecs"))
-    below, above = (p < F.col("f.profile_idc")) | (lv < F.col("f.level_idc")), (p > F.col("f.profile_idc")) | (lv > F.col("f.level_idc"))
-    rule = F.when(p.isNull(), "undecomposable").when(below, "understated").when(above, "overstated").otherwise("agrees")
-    video = finding(g, "codecstring", rule, label(), F.when(below, "BAD").when(above, "WARN").otherwise("OK"), F.col("f.level_idc"))
+    """Profile, level and tier that the string declares against those of the first media that states any, each told of its own; then the audio's object type.
+
+    Declared below what is coded, players fail at the decoder; declared above, players that could are kept away.
+    """
+    v = rel.of(rel.parsed.where("kind = 'video' AND profile_idc IS NOT NULL"), "codecs").where("r_codecs <> ''")
+    g = v.groupBy("rendition", "r_codecs").agg(first_by([F.col("sequence")], "profile_idc", "level_idc", "tier").alias("f")).withColumn("d", declared_video(F.col("r_codecs")))
+
+    def told(rule: Column | str, status: Column | str, value: str) -> Column:
+        return F.struct(*[(x if isinstance(x, Column) else F.lit(x)).alias(k) for k, x in (("rule", rule), ("status", status))], F.col(value).cast("double").alias("value"))
+
+    def apart(name: str, said: str, got: str) -> Column:
+        below = F.col(said) < F.col(got)
+        return F.when(F.col(said) != F.col(got), told(F.concat(F.lit(name), F.when(below, "-understated").otherwise("-overstated")), F.when(below, "BAD").otherwise("WARN"), got))
+
+    off = F.array_compact(F.array(apart("profile", "d.profile", "f.profile_idc"), apart("level", "d.level", "f.level_idc"), F.when(F.col("d.tier") != F.col("f.tier"), told("tier-differs", "WARN", "f.tier"))))
+    said = F.when(F.col("d").isNull(), F.array(told("undecomposable", "OK", "f.level_idc"))).when(F.size(off) > 0, off).otherwise(F.array(told("agrees", "OK", "f.level_idc")))
+    g = g.select("rendition", F.explode(said).alias("x"))
+    video = finding(g, "codecstring", F.col("x.rule"), label(), F.col("x.status"), F.col("x.value"))
     a = rel.of(rel.parsed.where("kind = 'audio'"), "codecs").groupBy("rendition", "r_codecs").agg(F.min_by("codec", "sequence").alias("codec"), first_by([F.col("object_type").isNull(), F.col("sequence")], "object_type", "sbr").alias("m"))
     said, got = aac_object_type(F.col("r_codecs")), F.col("m.object_type")
     family = F.coalesce(declared_family(F.col("r_codecs"), F.lit("audio")) != F.col("codec"), F.lit(False))

@@ -127,10 +127,10 @@ def parts(rel: Relations) -> DataFrame:
 
 
 def subtitles(rel: Relations) -> DataFrame:
-    """Cues against the span of their segment: the running declared time within the renditions's segments, from the stream's first video clock on."""
+    """Cues against the span of their segment: the running declared time of the rendition's segments, those not read among them, from the stream's first video clock on."""
     w = Window.partitionBy("rendition").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
     origin = rel.parsed.where("kind = 'video'").groupBy("stream").agg(F.min(F.floor(F.col("min_pts") * 1_000_000 / F.col("timescale"))).alias("origin"))
-    s = rel.parsed.where("kind = 'text'").withColumn("start", F.coalesce(F.sum("declared_us").over(w), F.lit(0)))
+    s = rel.segments.where("kind = 'text'").withColumn("start", F.coalesce(F.sum("declared_us").over(w), F.lit(0))).where("parsed")
     s = s.join(origin, "stream", "left").withColumn("since", F.coalesce("origin", F.lit(0)) + F.col("start")).select("rendition", "sequence", "declared_us", "since", "mapped", "origin")
     c = s.join(rel.cues, ["rendition", "sequence"])
     tol = rel.options.gap_us
@@ -157,7 +157,8 @@ def adbreak(rel: Relations) -> DataFrame:
     edges = starts.unionByName(close)
     b = rel.breaks.join(span, "rendition").join(v.select("rendition", F.col("sequence").alias("at_sequence"), F.col("min_pts").alias("sequence_pts")), ["rendition", "at_sequence"], "left")
     by_clock = F.col("anchor.min_pts") + F.floor((F.col("clock_us") - F.col("anchor.pdt_us")) * F.col("scale") / 1_000_000)
-    declared = b.select("rendition", F.concat(label(), F.lit("@b"), F.col("break").cast("string")).alias("name"), F.lit("break").alias("what"), since_first(F.coalesce("media_pts", "sequence_pts", by_clock), F.col("first")).alias("at"))
+    by_media = F.floor(_double(F.col("media_us")) * F.col("scale") / 1_000_000)
+    declared = b.select("rendition", F.concat(label(), F.lit("@b"), F.col("break").cast("string")).alias("name"), F.lit("break").alias("what"), since_first(F.coalesce("media_pts", by_media, "sequence_pts", by_clock), F.col("first")).alias("at"))
     spliced = rel.splices.join(span.select("rendition", "first"), "rendition").select("rendition", F.concat(label(), F.lit("@"), F.col("splice").cast("string")).alias("name"), F.lit("splice").alias("what"), since_first(F.col("pts"), F.col("first")).alias("at"))
     points = declared.unionByName(spliced)
     none = F.lit(None).cast("string")
@@ -173,7 +174,8 @@ def adbreak(rel: Relations) -> DataFrame:
     off = F.col("away") * 1_000_000 > tol
     rule = F.concat("what", F.when(off, "-off-boundary").otherwise("-on-boundary"))
     told = rel.breaks.where("section_pts IS NOT NULL").join(rel.splices.where("pts IS NOT NULL").groupBy("rendition", "event").agg(F.min_by("pts", "splice").alias("pts")), ["rendition", "event"]).join(span.select("rendition", "scale"), "rendition")
-    told = told.withColumn("off", unwrapped(F.col("section_pts") - F.col("pts"))).where(F.abs("off") * 1_000_000 > tol)
+    # A section's clock has 90,000 ticks a second, the media's as many as it states.
+    told = told.withColumn("off", unwrapped(F.floor(_double(F.col("section_pts")) * F.col("scale") / 90_000) - F.col("pts"))).where(F.abs("off") * 1_000_000 > tol)
     untimed = points.where("at IS NULL").groupBy("rendition").agg(F.count("*").alias("n"))
     return together(
         finding(x, "adbreak", rule, F.col("name"), F.when(off, "BAD").otherwise("OK"), ms(F.col("away"))),

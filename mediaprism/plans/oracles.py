@@ -69,7 +69,7 @@ SQL["resolution"] = _with(
 )
 
 SQL["tracks"] = _with(
-    f"""f AS (SELECT p.*, CASE WHEN p.kind = 'video' AND codecs LIKE 'avc1%' THEN 'h264' WHEN p.kind = 'audio' AND codecs LIKE 'mp4a%' THEN 'aac' END AS family FROM p JOIN {_RI} q USING (rendition) WHERE p.kind IN ('video', 'audio')),
+    f"""f AS (SELECT p.*, CASE WHEN p.kind = 'video' AND codecs LIKE 'avc1%' THEN 'h264' WHEN p.kind = 'video' AND (codecs LIKE 'hvc1%' OR codecs LIKE 'hev1%') THEN 'hevc' WHEN p.kind = 'video' AND codecs LIKE 'av01%' THEN 'av1' WHEN p.kind = 'audio' AND codecs LIKE 'mp4a%' THEN 'aac' END AS family FROM p JOIN {_RI} q USING (rendition) WHERE p.kind IN ('video', 'audio')),
 g AS (SELECT rendition, kind, family, count(*) AS n, count(*) FILTER (WHERE video_tracks = 0) AS blind, count(DISTINCT video_tracks * 10 + audio_tracks) AS layouts, arg_min(codec, sequence) AS codec FROM f GROUP BY ALL)""",
     _rows(
         "tracks",
@@ -158,12 +158,18 @@ SQL["byterange"] = _with(
 )
 
 SQL["codecstring"] = _with(
-    """v AS (SELECT p.rendition, arg_min(profile_idc, sequence) AS pi, arg_min(level_idc, sequence) AS li, max(codecs LIKE 'avc1.64001f%') AS said FROM p JOIN r USING (rendition) WHERE p.kind = 'video' AND profile_idc IS NOT NULL GROUP BY 1),
+    """said(c, dp, dl, dt) AS (VALUES ('avc1.64001f', 100, 31, NULL), ('avc1.66.30', 66, 30, NULL), ('hev1.A2.4.L93.B0', 2, 93, 0), ('hvc1.2.4.H93.B0', 2, 93, 1), ('av01.0.08M.08', 0, 8, 0)),
+v AS (SELECT p.rendition, any_value(split_part(codecs, ',', 1)) AS c, arg_min(profile_idc, sequence) AS pi, arg_min(level_idc, sequence) AS li, arg_min(tier, sequence) AS ti FROM p JOIN r USING (rendition) WHERE p.kind = 'video' AND profile_idc IS NOT NULL AND codecs <> '' GROUP BY 1),
+w AS (SELECT * FROM v LEFT JOIN said USING (c)),
 a AS (SELECT p.rendition, max(CASE WHEN codecs LIKE 'mp4a.40.%' THEN CAST(substr(codecs, 9) AS INT) END) AS ot, arg_min(object_type, sequence) FILTER (WHERE object_type IS NOT NULL) AS got, coalesce(arg_min(sbr, sequence) FILTER (WHERE object_type IS NOT NULL), arg_min(sbr, sequence)) AS rep FROM p JOIN r USING (rendition) WHERE p.kind = 'audio' GROUP BY 1),
 b AS (SELECT *, CASE WHEN ot IS NULL OR got IS NULL THEN 'no-type' WHEN ot = got THEN CASE WHEN rep AND ot NOT IN (5, 29) THEN 'sbr-undeclared' ELSE 'type-agrees' END WHEN ot IN (5, 29) AND got = 2 THEN 'he-over-lc' WHEN (rep OR got IN (5, 29)) AND ot NOT IN (5, 29) THEN 'sbr-undeclared' ELSE 'type-differs' END AS rule FROM a)""",
     _rows(
         "codecstring",
-        (_case(("NOT said", "undecomposable"), ("100 < pi OR 31 < li", "understated"), ("100 > pi OR 31 > li", "overstated"), other="agrees"), _R, _case(("said AND (100 < pi OR 31 < li)", "BAD"), ("said AND (100 > pi OR 31 > li)", "WARN"), other="OK"), "li", "v"),
+        ("undecomposable", _R, "OK", "li", "w WHERE dp IS NULL"),
+        (_case(("dp < pi", "profile-understated"), other="profile-overstated"), _R, _case(("dp < pi", "BAD"), other="WARN"), "pi", "w WHERE dp <> pi"),
+        (_case(("dl < li", "level-understated"), other="level-overstated"), _R, _case(("dl < li", "BAD"), other="WARN"), "li", "w WHERE dl <> li"),
+        ("tier-differs", _R, "WARN", "ti", "w WHERE dt <> ti"),
+        ("agrees", _R, "OK", "li", "w WHERE dp = pi AND dl = li AND coalesce(dt = ti, TRUE)"),
         ("rule", _R, _case(("rule = 'sbr-undeclared'", "BAD"), ("rule = 'type-differs'", "WARN"), other="OK"), "got", "b"),
     ),
 )
@@ -330,7 +336,8 @@ f AS (SELECT e.*, {_FOLD("(p0 - min_pts)")} * 1000000 AS early, {_FOLD("(p1 - mi
 
 SQL["subtitles"] = _with(
     """org AS (SELECT stream, min(CAST(floor(min_pts * CAST(1000000 AS DOUBLE) / timescale) AS BIGINT)) AS o FROM p WHERE kind = 'video' GROUP BY stream),
-t AS (SELECT rendition, sequence, declared_us, mapped, o, coalesce(o, 0) + coalesce(sum(declared_us) OVER (PARTITION BY rendition ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since FROM p LEFT JOIN org USING (stream) WHERE kind = 'text'),
+t0 AS (SELECT rendition, sequence, declared_us, mapped, parsed, o, coalesce(o, 0) + coalesce(sum(declared_us) OVER (PARTITION BY rendition ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since FROM s LEFT JOIN org USING (stream) WHERE kind = 'text'),
+t AS (SELECT * FROM t0 WHERE parsed),
 c AS (SELECT t.*, begin_us - since AS d, begin_us < since - 100000 OR end_us > since + declared_us + 100000 AS off FROM t JOIN cues USING (rendition, sequence)),
 g AS (SELECT rendition, bool_or(mapped) AS mapped, max(o) AS o, (SELECT count(*) FROM c WHERE c.rendition = t.rendition) AS n, coalesce((SELECT bool_or(off) FROM c WHERE c.rendition = t.rendition), FALSE) AS bad FROM t GROUP BY rendition)""",
     _rows(
@@ -345,7 +352,7 @@ SQL["adbreak"] = _with(
 sp AS (SELECT rendition, arg_min(min_pts, sequence) AS first, arg_max(min_pts, sequence) AS lp, max(sequence) AS ms, arg_min(pdt_us, sequence) FILTER (WHERE pdt_us IS NOT NULL) AS ac, arg_min(min_pts, sequence) FILTER (WHERE pdt_us IS NOT NULL) AS ap FROM v GROUP BY 1),
 e AS (SELECT rendition, {_FOLD("(min_pts - first)")} AS edge FROM v JOIN sp USING (rendition)
   UNION ALL SELECT sp.rendition, {_FOLD("(lp - first)")} + CAST(floor(measured_us * CAST(90000 AS DOUBLE) / 1000000) AS BIGINT) FROM sp JOIN v ON v.rendition = sp.rendition AND v.sequence = ms WHERE measured_us IS NOT NULL),
-w0 AS (SELECT b.*, first, coalesce(media_pts, v.min_pts, ap + CAST(floor((clock_us - ac) * CAST(90000 AS DOUBLE) / 1000000) AS BIGINT)) AS pt FROM breaks b JOIN sp USING (rendition) LEFT JOIN v ON v.rendition = b.rendition AND v.sequence = at_sequence),
+w0 AS (SELECT b.*, first, coalesce(media_pts, CAST(floor(media_us * CAST(90000 AS DOUBLE) / 1000000) AS BIGINT), v.min_pts, ap + CAST(floor((clock_us - ac) * CAST(90000 AS DOUBLE) / 1000000) AS BIGINT)) AS pt FROM breaks b JOIN sp USING (rendition) LEFT JOIN v ON v.rendition = b.rendition AND v.sequence = at_sequence),
 pts AS (SELECT rendition, 'r' || rendition || '@b' || break AS name, 'break' AS what, {_FOLD("(pt - first)")} AS pos FROM w0
   UNION ALL SELECT rendition, 'r' || rendition || '@' || splice, 'splice', {_FOLD("(pts - first)")} FROM splices JOIN sp USING (rendition)),
 j AS (SELECT name, what, min(abs(pos - edge)) AS away, min(edge) <= pos AND max(edge) >= pos AS inside FROM pts JOIN e USING (rendition) WHERE pos IS NOT NULL GROUP BY name, what, pos),

@@ -63,8 +63,9 @@ SELECT CAST(floor(u / 10) AS BIGINT) AS stream, u AS rendition,
   i % 199 = 0 AS uncacheable,
   'host' || CAST(u % 9 AS {string}) AS host,
   CAST(i % 251 AS {string}) AS digest,
-  CAST(CASE WHEN i % 2 = 0 THEN 100 END AS BIGINT) AS profile_idc,
-  CAST(CASE WHEN i % 2 = 0 THEN 31 + CASE WHEN u % 14 = 0 THEN 9 ELSE 0 END END AS BIGINT) AS level_idc,
+  CAST(CASE WHEN i % 2 = 0 THEN CASE WHEN u % 7 = 2 THEN 2 ELSE 100 END END AS BIGINT) AS profile_idc,
+  CAST(CASE WHEN i % 2 = 0 THEN CASE WHEN u % 7 = 2 THEN CASE WHEN u % 5 = 1 THEN 120 ELSE 93 END ELSE 31 + CASE WHEN u % 14 = 0 THEN 9 ELSE 0 END END END AS BIGINT) AS level_idc,
+  CAST(CASE WHEN u % 7 = 2 THEN CASE WHEN u % 4 = 2 THEN 1 ELSE 0 END END AS BIGINT) AS tier,
   CAST(CASE WHEN i % 5 <> 0 THEN CASE WHEN u % 16 = 0 THEN 16 ELSE 1 END END AS BIGINT) AS transfer,
   i AS ordinal
 FROM (SELECT event_id AS i, user_id AS u, event_type AS t, CAST(round(value * 100) AS BIGINT) AS v,
@@ -78,7 +79,7 @@ SELECT CAST(floor(u / 10) AS BIGINT) AS stream, u AS rendition,
   CAST(CASE WHEN u % 25 = 0 THEN 0 ELSE 90000 + (u % 6) * 12000 + CASE WHEN u % 11 = 0 THEN 300000 ELSE 0 END END AS BIGINT) AS bandwidth,
   CAST(CASE WHEN u % 10 < 6 OR u % 20 = 9 THEN 320 + (u % 6) * 320 END AS BIGINT) AS width,
   CAST(CASE WHEN u % 10 < 6 OR u % 20 = 9 THEN 180 + (u % 6) * 180 + CASE WHEN u % 17 = 3 THEN -180 ELSE 0 END END AS BIGINT) AS height,
-  CASE WHEN u % 19 = 1 THEN '' WHEN u % 10 < 6 THEN 'avc1.64001f,mp4a.40.2' WHEN u % 10 < 8 THEN 'mp4a.40.' || CASE WHEN u % 4 = 2 THEN '5' ELSE '2' END ELSE 'wvtt' END AS codecs,
+  CASE WHEN u % 19 = 1 THEN '' WHEN u % 10 < 6 THEN CASE WHEN u % 14 = 2 THEN CASE WHEN u % 3 = 0 THEN 'hvc1.2.4.H93.B0' ELSE 'hev1.A2.4.L93.B0' END WHEN u % 23 = 5 THEN 'avc1.66.30' WHEN u % 29 = 4 THEN 'av01.0.08M.08' WHEN u % 31 = 3 THEN 'dvh1.05.01' ELSE 'avc1.64001f' END || ',mp4a.40.2' WHEN u % 10 < 8 THEN 'mp4a.40.' || CASE WHEN u % 4 = 2 THEN '5' ELSE '2' END ELSE 'wvtt' END AS codecs,
   CAST(CASE WHEN u % 10 < 6 AND u % 8 <> 0 THEN 25000 END AS BIGINT) AS fps_milli,
   CAST(CASE WHEN u % 10 BETWEEN 6 AND 7 THEN 48000 END AS BIGINT) AS sample_rate,
   CAST(CASE WHEN u % 10 BETWEEN 6 AND 7 THEN CASE WHEN u % 27 = 0 THEN 6 ELSE 2 END END AS BIGINT) AS channels,
@@ -116,10 +117,11 @@ SELECT event_id AS splice, user_id AS rendition, CAST(event_id % 100000 AS BIGIN
 FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'signup' AND user_id % 10 < 6) e
 """
 
-#: Breaks that the manifest declares: by media time, else by sequence, else by wall clock; some carry a section with a clock of its own.
+#: Breaks that the manifest declares: by media time in ticks or else in microseconds, else by sequence, else by wall clock; some carry a section with a clock of its own.
 BREAKS = """
 SELECT event_id AS break, user_id AS rendition, CAST(event_id % 100000 AS BIGINT) AS event,
   CAST(CASE WHEN event_id % 3 = 0 THEN (8589934592 - 1800000 + n * 720000) % 8589934592 + CASE WHEN event_id % 15 = 0 THEN 45000 ELSE 0 END END AS BIGINT) AS media_pts,
+  CAST(CASE WHEN event_id % 9 = 2 THEN floor(((8589934592 - 1800000 + n * 720000) % 8589934592 + CASE WHEN event_id % 2 = 0 THEN 45000 ELSE 0 END) / 9) * 100 END AS BIGINT) AS media_us,
   CAST(CASE WHEN event_id % 3 = 1 THEN n * 4 END AS BIGINT) AS at_sequence,
   CAST(CASE WHEN event_id % 4 <> 0 THEN 1700000000000000 + n * 8000000 + CASE WHEN event_id % 7 = 0 THEN 700000 ELSE 0 END END AS BIGINT) AS clock_us,
   CAST(CASE WHEN event_id % 6 = 0 THEN (8589934592 - 1800000 + n * 720000 + CASE WHEN event_id % 5 = 0 THEN 60000 ELSE event_id % 1000 END + CASE WHEN event_id % 12 = 0 THEN 90000 ELSE 0 END) % 8589934592 END AS BIGINT) AS section_pts
@@ -129,10 +131,10 @@ FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY
 #: Cues of text segments, as times on the media clock: a cue or two a segment, none in some.
 CUES = f"""
 SELECT rendition, sequence, CAST(origin_us + start_us + d AS BIGINT) AS begin_us, CAST(origin_us + start_us + d + 500000 AS BIGINT) AS end_us
-FROM (SELECT stream, rendition, sequence, ordinal, k, coalesce(sum(declared_us) OVER (PARTITION BY rendition, k ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_us, (ordinal % 7 - 1) * CASE WHEN rendition % 20 = 8 THEN 400000 ELSE 100000 END + k * 100000 AS d
-  FROM ({SEGMENTS}) x CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) k WHERE parsed AND kind = 'text') y
+FROM (SELECT stream, rendition, sequence, ordinal, parsed, k, coalesce(sum(declared_us) OVER (PARTITION BY rendition, k ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_us, (ordinal % 7 - 1) * CASE WHEN rendition % 20 = 8 THEN 400000 ELSE 100000 END + k * 100000 AS d
+  FROM ({SEGMENTS}) x CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) k WHERE kind = 'text') y
 JOIN (SELECT stream, min(CAST(floor(min_pts / 9) AS BIGINT) * 100) AS origin_us FROM ({SEGMENTS}) z WHERE parsed AND kind = 'video' GROUP BY stream) o ON o.stream = y.stream
-WHERE rendition % 50 <> 18 AND (k = 0 OR ordinal % 3 = 0)
+WHERE parsed AND rendition % 50 <> 18 AND (k = 0 OR ordinal % 3 = 0)
 """
 
 #: One request for the first bytes of a host: what it answered.

@@ -126,7 +126,8 @@ def hls_listing(manifests: DataFrame, fetch: Fetch, rungs: int | None = None) ->
     )
 
     b = hls.ad_breaks(lists)
-    breaks = b.select(F.xxhash64("manifest_id", "id", "at_sequence", "start").alias("break"), F.col("manifest_id").alias("rendition"), none.alias("event"), none.alias("media_pts"), "at_sequence", F.unix_micros("start").alias("clock_us"), none.alias("section_pts"))
+    b = b.select("*", F.when(F.col("section").isNotNull(), stage.section_told("section")).alias("told"))
+    breaks = saved(b.select(F.xxhash64("manifest_id", "id", "at_sequence", "start").alias("break"), F.col("manifest_id").alias("rendition"), F.col("told.event").alias("event"), none.alias("media_pts"), none.alias("media_us"), "at_sequence", F.unix_micros("start").alias("clock_us"), F.col("told.pts").alias("section_pts")))
     p = newest_with_parts(hls.parts(lists).withColumnRenamed("manifest_id", "rendition"), PART_SEGMENTS).where("NOT gap")
     carried = ("init_uri", "init_offset", "init_length", "key_uri", "key_iv", "key_method")
     # Parts carry what their segment does; those of a segment that is not listed yet, what the newest does.
@@ -173,7 +174,11 @@ def dash_listing(manifests: DataFrame, fetch: Fetch, rungs: int | None = None, n
     nexts = dash.next_segments(reps, now).where("kind = 'video'").join(owner.select(*key, "rendition"), key).withColumn("nth", F.row_number().over(first_rung)).where("nth = 1")
     nexts = saved(nexts.select("rendition", "uri", F.lit(0).cast("long").alias("offset"), F.lit(PROBE_BYTES).cast("long").alias("length")))
     ahead = fetch(nexts).select("rendition", F.col("error").isNull().alias("served"))
-    return Listing(saved(renditions), saved(segments), clocks=clocks, ahead=saved(ahead))
+    # An event counts from its period's start, where the media stands at the representation's time offset.
+    b = dash.ad_breaks(manifests).select("*", F.when(F.col("section").isNotNull(), stage.section_told("section")).alias("told"))
+    b = b.join(owner.join(reps.where("kind = 'video'").select(*key), key), ["manifest_id", "period_index"])
+    breaks = b.select(F.col("n").alias("break"), "rendition", F.col("told.event").alias("event"), none.alias("media_pts"), _us(F.col("offset") + F.col("pto") / F.col("_scale")).alias("media_us"), none.alias("at_sequence"), none.alias("clock_us"), F.col("told.pts").alias("section_pts"))
+    return Listing(saved(renditions), saved(segments), saved(breaks), clocks=clocks, ahead=saved(ahead))
 
 
 def read_bodies(requests: DataFrame, fetch: Fetch) -> DataFrame:
@@ -256,7 +261,7 @@ def relations(listing: Listing, fetch: Fetch, options: Options | None = None, *,
         "declared_start_us", "pdt_us", "container", "v.width", "v.height", count("video").alias("video_tracks"), count("audio").alias("audio_tracks"), "own.codec", F.when(~opaque, F.col("v.opens_on_keyframe")).alias("opens_keyframe"), F.when(~opaque, F.col("v.has_keyframe")).alias("has_keyframe"), "v.frame_dur", F.col("v.samples").alias("pictures"),
         "a.sample_rate", "a.channels", "a.object_type", "a.sbr", "a.ps", (F.col("map").isNotNull() | (F.col("container") != "webvtt")).alias("mapped"), F.col("length").isNotNull().alias("ranged"), "accepts_ranges", (F.size(heard) > 0).alias("captions_scanned"), F.array_sort(F.array_distinct(F.flatten(F.transform(heard, lambda t: t["captions"])))).alias("captions_seen"), F.col("key_method").isNotNull().alias("key_declared"), "decrypted", "decrypt_failed",
         guard.isNotNull().alias("encrypted"), guard["protection"].alias("scheme"), guard["crypt_pattern"].alias("crypt_pattern"), guard["clear_samples"].alias("clear_samples"), guard["encrypted_samples"].alias("encrypted_samples"), F.coalesce("drm", F.array().cast("array<string>")).alias("pssh"), "cache_status", "uncacheable", "host", "digest",
-        F.col("v.profile").alias("profile_idc"), F.col("v.level").alias("level_idc"), F.col("v.transfer").alias("transfer"), F.col("sequence").alias("ordinal"),
+        F.col("v.profile").alias("profile_idc"), F.col("v.level").alias("level_idc"), F.col("v.tier").alias("tier"), F.col("v.transfer").alias("transfer"), F.col("sequence").alias("ordinal"),
     )
     missing = parsed.groupBy("rendition").agg(F.max("init_missing").alias("init_failed"))
     renditions = listing.renditions.join(missing, "rendition", "left").withColumn("init_failed", F.coalesce("init_failed", F.lit(False)))
@@ -287,5 +292,5 @@ def from_stream(masters: DataFrame, corpus: DataFrame, options: Options | None =
         listings = [hls_listing(sorted_out.drop("form"), fetch, rungs)]
     whole = listings[0]
     for more in listings[1:]:
-        whole = Listing(whole.renditions.unionByName(more.renditions), whole.segments.unionByName(more.segments), whole.breaks, whole.parts, more.clocks, more.ahead)
+        whole = Listing(whole.renditions.unionByName(more.renditions), whole.segments.unionByName(more.segments), whole.breaks.unionByName(more.breaks), whole.parts, more.clocks, more.ahead)
     return relations(whole, fetch, options, sample=sample, edges={k: of(v) for k, v in (edges or {}).items()})

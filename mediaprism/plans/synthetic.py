@@ -112,7 +112,7 @@ FROM (SELECT DISTINCT user_id AS u FROM events) e"""
 SEGMENTS = f"""SELECT stream, rendition, 'video' AS kind, 0 AS period, n AS sequence, what <> 'missing' AS fetched, what = 'media' AS parsed, TRUE AS supported, TRUE AS kept, FALSE AS truncated, FALSE AS opaque, CAST(CASE WHEN what = 'media' THEN 188 * (12 - (i % 211 = 0)::INT) ELSE 9 END AS BIGINT) AS bytes, CAST(CASE WHEN i % 71 = 0 THEN 2900000 ELSE 2000000 END AS BIGINT) AS declared_us,
   CAST(2000000 AS BIGINT) AS measured_us, CAST(start AS BIGINT) AS min_pts, CAST(90000 AS BIGINT) AS timescale, CAST(CASE WHEN i % 211 = 0 THEN 1 ELSE 0 END AS BIGINT) AS cc_errors, i % 29 = 0 AS discontinuity, sum((i % 29 = 0)::INT) OVER (PARTITION BY u ORDER BY n) AS discontinuity_sequence, CAST(NULL AS BIGINT) AS declared_start_us,
   1704067200000000 + n * 2000000 + CASE WHEN i % 83 = 0 THEN 300000 ELSE 0 END AS pdt_us, 'ts' AS container, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height, 1 AS video_tracks, 0 AS audio_tracks, 'h264' AS codec, idr = 0 AND idr IS NOT NULL AS opens_keyframe, idr IS NOT NULL AS has_keyframe, CAST(18000 AS BIGINT) AS frame_dur, 10 - (i % 211 = 0)::INT AS pictures,
-  77 AS profile_idc, 31 AS level_idc, CAST(NULL AS BIGINT) AS transfer, CAST(NULL AS BIGINT) AS object_type, CAST(NULL AS BOOLEAN) AS sbr, CAST(NULL AS BIGINT) AS sample_rate, CAST(NULL AS BIGINT) AS channels, FALSE AS key_declared, FALSE AS decrypted, FALSE AS decrypt_failed, FALSE AS encrypted, CAST(NULL AS VARCHAR) AS scheme, CAST(NULL AS BOOLEAN) AS crypt_pattern,
+  77 AS profile_idc, 31 AS level_idc, CAST(NULL AS BIGINT) AS tier, CAST(NULL AS BIGINT) AS transfer, CAST(NULL AS BIGINT) AS object_type, CAST(NULL AS BOOLEAN) AS sbr, CAST(NULL AS BIGINT) AS sample_rate, CAST(NULL AS BIGINT) AS channels, FALSE AS key_declared, FALSE AS decrypted, FALSE AS decrypt_failed, FALSE AS encrypted, CAST(NULL AS VARCHAR) AS scheme, CAST(NULL AS BOOLEAN) AS crypt_pattern,
   CAST(NULL AS BIGINT) AS clear_samples, CAST(NULL AS BIGINT) AS encrypted_samples, CAST([] AS VARCHAR[]) AS pssh, TRUE AS captions_scanned, CAST([] AS VARCHAR[]) AS captions_seen, FALSE AS mapped, FALSE AS ranged, FALSE AS accepts_ranges, 'cdn.example' AS host, CAST(i AS VARCHAR) AS digest, 'HIT' AS cache_status, FALSE AS uncacheable, n AS ordinal
 FROM (SELECT *, {_NUMBER}, {_GIVEN} FROM {_EVENTS} e) g WHERE u % 45 <> 44"""
 

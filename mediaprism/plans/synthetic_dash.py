@@ -16,6 +16,8 @@ from mediaprism.plans.synthetic import PICTURES, STEP, parameter_set
 
 _SITE = "https://cdn.example/vod"
 _ENTRIES = 8
+#: A splice section: event 7 at tick 900,000, for which no media here has a splice.
+_SECTION = "/DAgAAAAAAAAAP/wDwUAAAAHf0/+AA27oAABAAAAAAAAAAAA"
 _EVENTS = "(SELECT user_id AS u, event_id AS i, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
 #: What each fragment is given, for both engines.
 _GIVEN = """CAST((n - 1) * 180000 + CASE WHEN i % 97 = 0 THEN 27000 ELSE 0 END AS BIGINT) AS start, CASE WHEN i % 113 = 0 THEN NULL WHEN i % 13 = 0 THEN 4 ELSE 0 END AS idr, i % 3 = 0 AS field, i % 5 = 0 AND u % 4 <> 3 AS service,
@@ -124,7 +126,12 @@ def presentations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     heard = '<Accessibility schemeIdUri="urn:scte:dash:cc:cea-608:2015" value="CC1=eng"/><Accessibility schemeIdUri="urn:scte:dash:cc:cea-708:2015" value="1=lang:eng"/>'
     of = lambda text: F.array_join(F.array_sort(F.collect_list(F.when((F.col("how") == "text") == F.lit(text), F.col("r")))), "")
     sets = reps.withColumn("r", F.when(F.col("how") == "text", words).otherwise(video)).groupBy(F.floor(F.col("u") / 10).alias("manifest_id")).agg(of(False).alias("video"), of(True).alias("text"))
-    body_ = F.concat(F.lit('<MPD type="static" mediaPresentationDuration="PT9999S"><Period>'), F.when(F.col("video") != "", F.concat(F.lit(f'<AdaptationSet contentType="video" mimeType="video/mp4">{heard}'), "video", F.lit("</AdaptationSet>"))).otherwise(""), F.when(F.col("text") != "", F.concat(F.lit('<AdaptationSet contentType="text" mimeType="application/mp4">'), "text", F.lit("</AdaptationSet>"))).otherwise(""), F.lit("</Period></MPD>"))
+    # Events at the fragments of one representation: half of them off a segment's start, a third with a section, and one of another scheme.
+    event = F.format_string('<Event presentationTime="%d" id="%d">%s</Event>', (F.col("n") - 1) * 2000 + F.when(F.col("i") % 2 == 0, 500).otherwise(0), "i", F.when(F.col("i") % 3 == 0, f"<scte35:Signal><scte35:Binary>{_SECTION}</scte35:Binary></scte35:Signal>").otherwise(""))
+    told = e.where("u % 10 = 0 AND i % 11 = 0").groupBy(F.floor(F.col("u") / 10).alias("manifest_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", event.alias("x")))), lambda x: x["x"]), "").alias("x"))
+    told = told.select("manifest_id", F.concat(F.lit('<EventStream schemeIdUri="urn:scte:scte35:2014:xml+bin" timescale="1000">'), "x", F.lit('</EventStream><EventStream schemeIdUri="urn:other"><Event presentationTime="1"/></EventStream>')).alias("told"))
+    sets = sets.join(told, "manifest_id", "left").na.fill("", ["told"])
+    body_ = F.concat(F.lit('<MPD type="static" mediaPresentationDuration="PT9999S"><Period>'), "told", F.when(F.col("video") != "", F.concat(F.lit(f'<AdaptationSet contentType="video" mimeType="video/mp4">{heard}'), "video", F.lit("</AdaptationSet>"))).otherwise(""), F.when(F.col("text") != "", F.concat(F.lit('<AdaptationSet contentType="text" mimeType="application/mp4">'), "text", F.lit("</AdaptationSet>"))).otherwise(""), F.lit("</Period></MPD>"))
     return sets.select("manifest_id", F.lit(f"{_SITE}/manifest.mpd").alias("url"), body_.alias("body")), corpus
 
 
@@ -139,8 +146,10 @@ SEGMENTS = f"""SELECT stream, rendition, CASE WHEN {_VIDEO} THEN 'video' ELSE 't
   CAST(CASE WHEN what = 'garbage' THEN 9 WHEN NOT {_VIDEO} THEN {len(fragment("text", 0, None, False, False))} ELSE {_BARE} + CASE WHEN field AND service THEN {_CAPTION[True, True]} WHEN field THEN {_CAPTION[True, False]} WHEN service THEN {_CAPTION[False, True]} ELSE 0 END END AS BIGINT) AS bytes, CAST(2000000 AS BIGINT) AS declared_us,
   CAST(2000000 AS BIGINT) AS measured_us, start AS min_pts, CAST(90000 AS BIGINT) AS timescale, 0 AS cc_errors, FALSE AS discontinuity, 0 AS discontinuity_sequence, CAST((n - 1) * 2000000 AS BIGINT) AS declared_start_us, CAST(NULL AS BIGINT) AS pdt_us, 'mp4' AS container, CAST(CASE WHEN {_VIDEO} THEN 320 + u % 6 * 16 END AS BIGINT) AS width, CAST(CASE WHEN {_VIDEO} THEN 176 + u % 6 * 16 END AS BIGINT) AS height,
   ({_VIDEO})::INT AS video_tracks, 0 AS audio_tracks, CASE WHEN {_VIDEO} THEN 'h264' ELSE 'wvtt' END AS codec, CASE WHEN {_VIDEO} THEN idr = 0 AND idr IS NOT NULL END AS opens_keyframe, CASE WHEN {_VIDEO} THEN idr IS NOT NULL END AS has_keyframe, CAST(CASE WHEN {_VIDEO} THEN 18000 END AS BIGINT) AS frame_dur, CASE WHEN {_VIDEO} THEN 10 END AS pictures,
-  CASE WHEN {_VIDEO} THEN 77 END AS profile_idc, CASE WHEN {_VIDEO} THEN 31 END AS level_idc, CAST(NULL AS BIGINT) AS transfer, CAST(NULL AS BIGINT) AS object_type, CAST(NULL AS BOOLEAN) AS sbr, CAST(NULL AS BIGINT) AS sample_rate, CAST(NULL AS BIGINT) AS channels, FALSE AS key_declared, FALSE AS decrypted, FALSE AS decrypt_failed, FALSE AS encrypted, CAST(NULL AS VARCHAR) AS scheme, CAST(NULL AS BOOLEAN) AS crypt_pattern,
+  CASE WHEN {_VIDEO} THEN 77 END AS profile_idc, CASE WHEN {_VIDEO} THEN 31 END AS level_idc, CAST(NULL AS BIGINT) AS tier, CAST(NULL AS BIGINT) AS transfer, CAST(NULL AS BIGINT) AS object_type, CAST(NULL AS BOOLEAN) AS sbr, CAST(NULL AS BIGINT) AS sample_rate, CAST(NULL AS BIGINT) AS channels, FALSE AS key_declared, FALSE AS decrypted, FALSE AS decrypt_failed, FALSE AS encrypted, CAST(NULL AS VARCHAR) AS scheme, CAST(NULL AS BOOLEAN) AS crypt_pattern,
   CAST(NULL AS BIGINT) AS clear_samples, CAST(NULL AS BIGINT) AS encrypted_samples, CAST([] AS VARCHAR[]) AS pssh, {_VIDEO} AS captions_scanned, CASE WHEN {_VIDEO} AND field AND service THEN ['CC1', 'SERVICE1'] WHEN {_VIDEO} AND field THEN ['CC1'] WHEN {_VIDEO} AND service THEN ['SERVICE1'] ELSE CAST([] AS VARCHAR[]) END AS captions_seen, TRUE AS mapped, how IN ('index', 'indexes') AS ranged, FALSE AS accepts_ranges, 'cdn.example' AS host, CAST(i AS VARCHAR) AS digest, CAST(NULL AS VARCHAR) AS cache_status, FALSE AS uncacheable, n AS ordinal
 FROM (SELECT *, {_NUMBER}, {_GIVEN} FROM {_EVENTS} e WHERE {_WANTED}) g"""
+BREAKS = f"""SELECT b.n AS break, rendition, CAST(NULL AS BIGINT) AS event, CAST(NULL AS BIGINT) AS media_pts, begins AS media_us, CAST(NULL AS BIGINT) AS at_sequence, CAST(NULL AS BIGINT) AS clock_us, CAST(NULL AS BIGINT) AS section_pts
+FROM (SELECT CAST(floor(u / 10) AS BIGINT) AS stream, row_number() OVER (PARTITION BY floor(u / 10) ORDER BY n) AS n, CAST((n - 1) * 2000000 + CASE WHEN i % 2 = 0 THEN 500000 ELSE 0 END AS BIGINT) AS begins FROM {_EVENTS} e WHERE u % 10 = 0 AND i % 11 = 0) b JOIN ({RENDITIONS}) v ON v.stream = b.stream AND v.kind = 'video'"""
 CUES = f"""SELECT rendition, n AS sequence, CAST(round(start / 90.0) * 1000 AS BIGINT) AS begin_us, CAST(round((start + 90000) / 90.0) * 1000 AS BIGINT) AS end_us FROM (SELECT *, {_NUMBER}, {_GIVEN} FROM {_EVENTS} e WHERE {_WANTED}) g WHERE how = 'text' AND what = 'media'"""
 PROBES = f"""SELECT 'cdn.example' AS host, 206 AS status, arg_min(bytes, (rendition, sequence)) AS asked_bytes, arg_min(bytes, (rendition, sequence)) AS got_bytes, FALSE AS failed FROM ({SEGMENTS}) WHERE fetched AND ranged HAVING count(*) > 0"""

@@ -145,7 +145,7 @@ UNION ALL SELECT DISTINCT '# TYPE mediaprism_' || name || ' gauge' FROM m""",
     "sink_otlp": """SELECT 's' AS stream, 'mediaprism.' || replace(name, '_', '.') AS name, coalesce('check=' || "check", '') || coalesce(',status=' || status, '') AS attributes, value FROM m""",
 }
 _STREAM = "\nUNION ALL ".join(f"SELECT * FROM ({relations.on(q, synthetic.SEGMENTS, synthetic.RENDITIONS, edges=synthetic.EDGES, probes=synthetic.PROBES)})" for q in oracles.SQL.values())
-_DASH = "\nUNION ALL ".join(f"SELECT * FROM ({relations.on(q, synthetic_dash.SEGMENTS, synthetic_dash.RENDITIONS, cues=synthetic_dash.CUES, probes=synthetic_dash.PROBES)})" for q in oracles.SQL.values())
+_DASH = "\nUNION ALL ".join(f"SELECT * FROM ({relations.on(q, synthetic_dash.SEGMENTS, synthetic_dash.RENDITIONS, cues=synthetic_dash.CUES, probes=synthetic_dash.PROBES, breaks=synthetic_dash.BREAKS)})" for q in oracles.SQL.values())
 SQL: dict[str, str] = oracles.SQL | manifests.SQL | {
     "stream_report": _STREAM,
     "dash_report": _DASH,

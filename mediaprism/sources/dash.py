@@ -21,16 +21,18 @@ _PROTECTION = "ARRAY<STRUCT<_schemeIdUri: STRING, _value: STRING, pssh: STRING>>
 _COMMON = f"_codecs: STRING, _mimeType: STRING, _width: INT, _height: INT, _frameRate: STRING, _audioSamplingRate: STRING, BaseURL: STRING, SegmentTemplate: {_TEMPLATE}, SegmentList: {_LIST}, SegmentBase: {_BASE}, ContentProtection: {_PROTECTION}, AudioChannelConfiguration: {_NAMED}, SupplementalProperty: {_NAMED}, EssentialProperty: {_NAMED}"
 _REPRESENTATION = f"STRUCT<_id: STRING, _bandwidth: BIGINT, {_COMMON}>"
 _SET = f"STRUCT<_contentType: STRING, _lang: STRING, Accessibility: {_NAMED}, {_COMMON}, Representation: ARRAY<{_REPRESENTATION}>>"
-_EVENTS = "ARRAY<STRUCT<_schemeIdUri: STRING, _timescale: BIGINT, _presentationTimeOffset: BIGINT, Event: ARRAY<STRUCT<_id: STRING, _presentationTime: BIGINT, _duration: BIGINT, _VALUE: STRING>>>>"
+_EVENTS = "ARRAY<STRUCT<_schemeIdUri: STRING, _timescale: BIGINT, _presentationTimeOffset: BIGINT, Event: ARRAY<STRUCT<_id: STRING, _presentationTime: BIGINT, _duration: BIGINT, _VALUE: STRING, Signal: STRUCT<Binary: STRING>>>>>"
 _PERIOD = f"STRUCT<_id: STRING, _start: STRING, _duration: STRING, BaseURL: STRING, EventStream: {_EVENTS}, SegmentTemplate: {_TEMPLATE}, SegmentList: {_LIST}, AdaptationSet: ARRAY<{_SET}>>"
 SCHEMA = f"_type STRING, _mediaPresentationDuration STRING, _availabilityStartTime STRING, _timeShiftBufferDepth STRING, _minimumUpdatePeriod STRING, BaseURL STRING, UTCTiming {_NAMED}, Period ARRAY<{_PERIOD}>"
+# Schemes of event streams that carry splice sections.
+SPLICE_SCHEMES = ("urn:scte:scte35:2013:xml", "urn:scte:scte35:2014:xml+bin", "urn:scte:scte35:2013:bin")
 #: Where a template leaves none of its own, timings begin there.
 _CICP = {"primaries": "urn:mpeg:mpegB:cicp:ColourPrimaries", "transfer": "urn:mpeg:mpegB:cicp:TransferCharacteristics", "matrix": "urn:mpeg:mpegB:cicp:MatrixCoefficients"}
 
 
 def parsed(manifests: DataFrame) -> DataFrame:
-    """The documents, with the namespace prefixes of inline protection data taken off."""
-    plain = F.regexp_replace("body", "(</?)[A-Za-z0-9]+:pssh", "$1pssh")
+    """The documents, with the namespace prefixes of inline protection data and splice sections taken off."""
+    plain = F.regexp_replace("body", "(</?)[A-Za-z0-9]+:(pssh|Signal|Binary)\\b", "$1$2")
     url = F.col("url") if "url" in manifests.columns else F.lit(None).cast("string")
     return manifests.select("manifest_id", url.alias("url"), F.from_xml(plain, SCHEMA, {"rowTag": "MPD"}).alias("mpd"))
 
@@ -188,6 +190,16 @@ def events(manifests: DataFrame) -> DataFrame:
     return e.select("manifest_id", "period_index", F.col("x._schemeIdUri").alias("scheme"), F.col("e._id").alias("id"), (F.col("start") + (F.coalesce("e._presentationTime", F.lit(0)) - F.coalesce("x._presentationTimeOffset", F.lit(0))) / scale).alias("start"), (F.col("e._duration") / scale).alias("duration"), F.trim("e._VALUE").alias("content"))
 
 
+def ad_breaks(manifests: DataFrame) -> DataFrame:
+    """Events of splice schemes: manifest_id, period_index, n (their place in the manifest, from 1), offset (seconds from their period's start; null if none is stated), section (bytes; null if the event holds none)."""
+    e = periods(manifests).select("manifest_id", "period_index", F.posexplode("p.EventStream").alias("i", "x")).where(F.lower(F.trim("x._schemeIdUri")).isin(*SPLICE_SCHEMES))
+    e = e.select("*", F.posexplode("x.Event").alias("j", "e"))
+    offset = (F.col("e._presentationTime") - F.coalesce("x._presentationTimeOffset", F.lit(0))) / F.coalesce(_unset(F.col("x._timescale")), F.lit(1))
+    held = F.regexp_replace(F.coalesce("e.Signal.Binary", "e._VALUE"), r"\s", "")
+    place = F.row_number().over(Window.partitionBy("manifest_id").orderBy("period_index", "i", "j"))
+    return e.select("manifest_id", "period_index", place.cast("long").alias("n"), offset.alias("offset"), F.when(held != "", F.try_to_binary(held, F.lit("base64"))).alias("section"))
+
+
 def time_sources(manifests: DataFrame) -> DataFrame:
     """stream, n, scheme and value of the time sources that live manifests name, in order."""
     m = parsed(manifests).where("mpd._type = 'dynamic'").select(F.col("manifest_id").alias("stream"), F.posexplode("mpd.UTCTiming").alias("n", "t"))
