@@ -58,7 +58,7 @@ def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL: dict[str, str] = {
     "functions": """SELECT i, CAST(i + 1 AS VARCHAR) AS attribute, 'x,' || i AS quoted, (i % 3) * 86400 + (i % 24) * 3600 + (i % 60) * 61 + CAST(0.5 AS DOUBLE) AS iso, i AS width,
   CAST(1704067200000000 - 7200000000 + (i % 60) * 1000000 + 250000 AS DOUBLE) AS pdt, CAST(1704067200000000 + (i % 60) * 1000000 AS DOUBLE) AS http, CAST(1704067200000000 + (i % 60) * 1000000 AS DOUBLE) AS lenient,
-  CASE WHEN i = 0 THEN '0 B' WHEN i = 1 THEN '512.0 KiB' WHEN i < 2048 THEN i // 2 || CASE WHEN i % 2 = 1 THEN '.5 MiB' ELSE '.0 MiB' END ELSE printf('%.1f GiB', floor(i / CAST(204.8 AS DOUBLE) + 0.5) / 10) END AS bytes,
+  CASE WHEN i = 0 THEN '0 B' WHEN i = 1 THEN '512.0 KiB' WHEN i < 2048 THEN i // 2 || CASE WHEN i % 2 = 1 THEN '.5 MiB' ELSE '.0 MiB' END WHEN i < 2097152 THEN printf('%.1f GiB', floor(i / CAST(204.8 AS DOUBLE) + 0.5) / 10) ELSE printf('%.1f TiB', floor(i / CAST(209715.2 AS DOUBLE) + 0.5) / 10) END AS bytes,
   CASE WHEN i = 0 THEN '0 bps' WHEN i < 4 THEN i * 250 || ' kbps' ELSE i // 4 || CASE i % 4 WHEN 0 THEN '.00' WHEN 1 THEN '.25' WHEN 2 THEN '.50' ELSE '.75' END || ' Mbps' END AS bitrate,
   CASE i % 4 WHEN 0 THEN '25' WHEN 1 THEN '25.25' WHEN 2 THEN '25.5' ELSE '25.75' END || ' fps' AS fps, CASE WHEN i % 2 = 0 THEN '22.05 kHz' ELSE '44.1 kHz' END AS rate,
   CASE i % 9 + 1 WHEN 1 THEN 'mono' WHEN 2 THEN 'stereo' WHEN 6 THEN '5.1' WHEN 8 THEN '7.1' ELSE i % 9 + 1 || ' ch' END AS channels, CASE WHEN i % 7 >= 3 THEN '+' ELSE '' END || (i % 7 - 3) * 5 || ' ms' AS ms,
