@@ -21,7 +21,7 @@ from mediaprism.operators.retention import measure, windows_of
 from mediaprism.options import Options
 from mediaprism.sources import dash, hls, indexed
 from mediaprism.sources.fetch import from_corpus
-from mediaprism.storage import saved
+from mediaprism.storage import saved, spread
 
 #: Takes requests (uri, offset, length; further columns stay) and adds status, headers, body, truncated and error.
 Fetch = Callable[[DataFrame], DataFrame]
@@ -103,7 +103,7 @@ def hls_listing(manifests: DataFrame, fetch: Fetch, rungs: int | None = None) ->
     columns = {"n": F.lit(0), "kind": F.lit("video"), "uri": F.col("url"), "bandwidth": F.lit(0).cast("long"), "codecs": F.lit(""), "rendition": F.col("manifest_id") * _ROOM + 1}
     r = saved(r.unionByName(alone.select("manifest_id", *[v.alias(k) for k, v in columns.items()]), allowMissingColumns=True).drop("url", "body"))
     given = alone.select(F.col("manifest_id").alias("stream"), (F.col("manifest_id") * _ROOM + 1).alias("manifest_id"), "url", F.col("body").cast("string").alias("body"))
-    asked = r.join(alone.select("manifest_id"), "manifest_id", "left_anti").select(F.col("manifest_id").alias("stream"), F.col("rendition").alias("manifest_id"), "uri", none.alias("offset"), none.alias("length"))
+    asked = saved(r.join(alone.select("manifest_id"), "manifest_id", "left_anti").select(F.col("manifest_id").alias("stream"), F.col("rendition").alias("manifest_id"), "uri", none.alias("offset"), none.alias("length")))
     read = fetch(asked).where("error IS NULL").select("stream", "manifest_id", F.col("uri").alias("url"), F.col("body").cast("string").alias("body"))
     lists = saved(read.unionByName(given))
     owner = r.select("rendition", F.col("manifest_id").alias("stream"), "kind")
@@ -187,11 +187,11 @@ def read_bodies(requests: DataFrame, fetch: Fetch) -> DataFrame:
     Inits and keys are fetched once each and joined while the rows are small.
     """
     none = F.lit(None).cast("long")
-    inits = requests.where("init_uri IS NOT NULL").select(F.col("init_uri").alias("uri"), F.col("init_offset").alias("offset"), F.col("init_length").alias("length")).distinct()
+    inits = saved(requests.where("init_uri IS NOT NULL").select(F.col("init_uri").alias("uri"), F.col("init_offset").alias("offset"), F.col("init_length").alias("length")).distinct())
     inits = fetch(inits).where("error IS NULL").select(F.col("uri").alias("_iu"), F.col("offset").alias("_io"), F.col("length").alias("_il"), F.col("body").alias("init"))
-    keys = fetch(requests.where("key_uri IS NOT NULL").select(F.col("key_uri").alias("uri"), none.alias("offset"), none.alias("length")).distinct()).where("error IS NULL").select(F.col("uri").alias("_ku"), F.col("body").alias("key_body"))
+    keys = fetch(saved(requests.where("key_uri IS NOT NULL").select(F.col("key_uri").alias("uri"), none.alias("offset"), none.alias("length")).distinct())).where("error IS NULL").select(F.col("uri").alias("_ku"), F.col("body").alias("key_body"))
     same = (F.col("init_uri") == F.col("_iu")) & F.col("init_offset").eqNullSafe(F.col("_io")) & F.col("init_length").eqNullSafe(F.col("_il"))
-    small = requests.join(inits, same, "left").join(keys, F.col("key_uri") == F.col("_ku"), "left").drop("_iu", "_io", "_il", "_ku")
+    small = saved(requests.join(inits, same, "left").join(keys, F.col("key_uri") == F.col("_ku"), "left").drop("_iu", "_io", "_il", "_ku"))
     got = fetch(small)
     whole = F.upper(F.coalesce("key_method", F.lit(""))).isin("AES-128", "AES-256")
     opened = text.decrypted(F.col("body"), F.col("key_body"), F.coalesce("key_iv", text.sequence_iv(F.col("sequence"))))
@@ -203,7 +203,7 @@ def read_bodies(requests: DataFrame, fetch: Fetch) -> DataFrame:
         text.host(F.col("uri")).alias("host"), text.digest(F.col("body")).alias("digest"), (F.col("init_uri").isNotNull() & F.col("init").isNull()).alias("init_missing"), *[v.alias(k) for k, v in cache_columns(F.col("headers")).items()],
         F.when(fetched & (~whole | opened.isNotNull()), F.when(whole, opened).otherwise(F.col("body"))).alias("body"), "init",
     )
-    return saved(stage.media(flat))
+    return saved(stage.media(spread(flat)))
 
 
 def _readable() -> Column:

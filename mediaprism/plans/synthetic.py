@@ -7,10 +7,14 @@ projected relations.
 
 from __future__ import annotations
 
+import functools
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mediaprism.storage import saved, spread
+
 PICTURES, STEP, CLOCK = 10, 18_000, 90_000
 _SITE = "https://cdn.example/live"
 _EVENTS = "(SELECT user_id AS u, event_id AS i, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
@@ -34,6 +38,7 @@ class _Bits:
         return bytes(sum(b << 7 - k for k, b in enumerate(padded[i : i + 8])) for i in range(0, len(padded), 8))
 
 
+@functools.cache
 def parameter_set(width: int, height: int) -> bytes:
     """An AVC main profile set, level 3.1; sizes are multiples of 16."""
     raw = _Bits().put(8, 77).put(8, 0).put(8, 31).ue(0).ue(0).ue(2).ue(1).put(1, 0).ue(width // 16 - 1).ue(height // 16 - 1).put(4, 0b1100).bytes()
@@ -85,21 +90,21 @@ def streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
         for b in batches:
             rows = b.to_pylist()
             bodies = [b"not media" if r["what"] == "garbage" else segment(r["start"], r["width"], r["height"], r["idr"], r["lost"]) for r in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bodies, pa.binary())], ["uri", "body"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bodies, pa.binary())], ["uri", "i", "body"])
 
     made = e.where("what <> 'missing'").select(seg.alias("uri"), "i", "start", "width", "height", "idr", "lost", "what")
-    media = made.select("uri", "start", "width", "height", "idr", "lost", "what").mapInArrow(make, "uri string, body binary")
+    media = saved(spread(made).mapInArrow(make, "uri string, i long, body binary"))
     stamp = F.date_format(F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("n") * 2000 + F.when(F.col("i") % 83 == 0, 300).otherwise(0)), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
     line = F.concat(F.when(F.col("i") % 29 == 0, "#EXT-X-DISCONTINUITY\n").otherwise(""), F.lit("#EXT-X-PROGRAM-DATE-TIME:"), stamp, F.lit("\n#EXTINF:"), F.when(F.col("i") % 71 == 0, "2.9").otherwise("2.0"), F.lit(",\n"), F.col("n").cast("string"), F.lit(".ts"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "\n")
     lists = e.groupBy("u").agg(F.concat(F.lit("#EXTM3U\n#EXT-X-TARGETDURATION:2\n#EXT-X-MEDIA-SEQUENCE:1\n"), body, F.lit("\n#EXT-X-ENDLIST\n")).cast("binary").alias("body")).where("u % 45 <> 44")
     lists = lists.select(F.concat(F.lit(f"{_SITE}/"), F.col("u").cast("string"), F.lit("/index.m3u8")).alias("uri"), "body")
-    corpus = media.unionByName(lists).select("uri", F.lit(200).alias("status"), "body", F.create_map(F.lit("X-Cache"), F.array(F.lit("HIT from edge"))).alias("headers"))
+    answer = lambda bodies: bodies.select("uri", F.lit(200).alias("status"), "body", F.create_map(F.lit("X-Cache"), F.array(F.lit("HIT from edge"))).alias("headers"))
+    corpus = answer(media.select("uri", "body").unionByName(saved(lists)))
     users = e.select("u").distinct()
     variant = F.format_string("#EXT-X-STREAM-INF:BANDWIDTH=%d,RESOLUTION=%dx%d,CODECS=\"avc1.64001f\",FRAME-RATE=5.000\n%d/index.m3u8", 9000 + F.col("u") % 6 * 10, 320 + F.col("u") % 6 * 16, 176 + F.col("u") % 6 * 16, "u")
     master = users.groupBy((F.col("u") % 2).cast("long").alias("manifest_id")).agg(F.concat(F.lit("#EXTM3U\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("u", variant.alias("v")))), lambda x: x["v"]), "\n")).alias("body"))
-    changed = made.where("i % 31 <> 0").select("uri", "i")
-    edge = changed.join(corpus, "uri").withColumn("body", F.when(F.col("i") % 43 == 0, F.concat("body", F.lit("stale").cast("binary"))).otherwise(F.col("body"))).drop("i")
+    edge = answer(media.where("i % 31 <> 0").withColumn("body", F.when(F.col("i") % 43 == 0, F.concat("body", F.lit("stale").cast("binary"))).otherwise(F.col("body"))))
     return master.withColumn("url", F.lit(f"{_SITE}/master.m3u8")), corpus, edge
 
 

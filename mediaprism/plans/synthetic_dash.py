@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaprism.plans.synthetic import PICTURES, STEP, parameter_set
+from mediaprism.plans.synthetic import PICTURES, STEP
+from mediaprism.storage import saved, spread
 
 _SITE = "https://cdn.example/vod"
 _ENTRIES = 8
@@ -113,9 +114,9 @@ def presentations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         return pd.DataFrame([(key[0], f"{_SITE}/{key[0]}/all.mp4", whole, at, size)], columns=["u", "uri", "body", "at", "size"])
 
     chosen = e.select(*columns)
-    apart = chosen.where("how NOT IN ('index', 'indexes') AND what <> 'missing'").mapInArrow(pieces, "uri string, body binary")
-    heads = chosen.where("how NOT IN ('index', 'indexes')").select("u", "how", "width", "height").distinct().mapInArrow(inits, "uri string, body binary")
-    singles = chosen.where("how IN ('index', 'indexes')").groupBy("u").applyInPandas(files, "u long, uri string, body binary, at long, size long")
+    apart = saved(spread(chosen.where("how NOT IN ('index', 'indexes') AND what <> 'missing'")).mapInArrow(pieces, "uri string, body binary"))
+    heads = saved(chosen.where("how NOT IN ('index', 'indexes')").select("u", "how", "width", "height").distinct().mapInArrow(inits, "uri string, body binary"))
+    singles = saved(chosen.where("how IN ('index', 'indexes')").groupBy("u").applyInPandas(files, "u long, uri string, body binary, at long, size long"))
     corpus = apart.unionByName(heads).unionByName(singles.select("uri", "body")).withColumn("status", F.lit(200))
     reps = e.groupBy("u", "how", "width", "height").agg(F.count("*").alias("n")).join(singles.select("u", "at", "size"), "u", "left")
     timed = F.format_string('<SegmentTemplate timescale="90000" media="%d/$Number$.m4s" initialization="%d/init.mp4" startNumber="1"><SegmentTimeline><S t="0" d="180000" r="%d"/></SegmentTimeline></SegmentTemplate>', "u", "u", F.col("n") - 1)
@@ -132,7 +133,7 @@ def presentations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     told = told.select("manifest_id", F.concat(F.lit('<EventStream schemeIdUri="urn:scte:scte35:2014:xml+bin" timescale="1000">'), "x", F.lit('</EventStream><EventStream schemeIdUri="urn:other"><Event presentationTime="1"/></EventStream>')).alias("told"))
     sets = sets.join(told, "manifest_id", "left").na.fill("", ["told"])
     body_ = F.concat(F.lit('<MPD type="static" mediaPresentationDuration="PT9999S"><Period>'), "told", F.when(F.col("video") != "", F.concat(F.lit(f'<AdaptationSet contentType="video" mimeType="video/mp4">{heard}'), "video", F.lit("</AdaptationSet>"))).otherwise(""), F.when(F.col("text") != "", F.concat(F.lit('<AdaptationSet contentType="text" mimeType="application/mp4">'), "text", F.lit("</AdaptationSet>"))).otherwise(""), F.lit("</Period></MPD>"))
-    return sets.select("manifest_id", F.lit(f"{_SITE}/manifest.mpd").alias("url"), body_.alias("body")), corpus
+    return saved(sets.select("manifest_id", F.lit(f"{_SITE}/manifest.mpd").alias("url"), body_.alias("body"))), corpus
 
 
 _NUMBER = "CAST(floor(u / 10) AS BIGINT) AS stream, CAST(floor(u / 10) AS BIGINT) * 100000 + dense_rank() OVER (PARTITION BY floor(u / 10) ORDER BY CAST(u AS VARCHAR)) AS rendition"

@@ -21,6 +21,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SCHEMA = "uri string, range string, status int, content_type string, body binary, truncated boolean, elapsed_us bigint, error string"
 
 
+#: Ranges that begin in one stretch of so many bytes are cut together.
+STRETCH = 16 << 20
+
+
 def byte_range(offset, length):
     """The header of a byte range."""
     return F.when(length.isNotNull(), F.format_string("bytes=%d-%d", offset, offset + length - 1))
@@ -33,12 +37,21 @@ def from_corpus(requests: DataFrame, corpus: DataFrame, cap: int = 64 << 20) ->
     longer bodies are cut and marked.
     """
     headers = F.col("headers") if "headers" in corpus.columns else F.lit(None).cast("map<string,array<string>>")
-    found = requests.join(corpus.select("uri", "status", F.col("body").alias("_whole"), headers.alias("headers")), "uri", "left")
-    ranged = F.col("length").isNotNull()
-    asked = F.when(ranged, F.substr(F.col("_whole"), (F.coalesce("offset", F.lit(0)) + 1).cast("int"), F.col("length").cast("int"))).otherwise(F.col("_whole"))
+    held = corpus.select("uri", "status", F.col("body").alias("_whole"), headers.alias("headers"))
+    ranged, columns = F.col("length").isNotNull(), requests.columns
+    # Inner joins, so that few requests go to the bodies and not the bodies to them; what has no entry is found by the addresses alone.
+    none = requests.join(corpus.select("uri"), "uri", "left_anti").select(*columns, *[F.lit(None).cast(held.schema[c].dataType).alias(c) for c in ("status", "headers", "_whole")])
+    found = none.unionByName(requests.where(~ranged).join(held, "uri").select(*columns, "status", "headers", "_whole")).withColumnRenamed("_whole", "_asked")
+    parts = requests.where(ranged)
+    if not parts.isEmpty():
+        # All ranges of one stretch of a body are cut while that body is there once.
+        stretch = parts.groupBy("uri", F.floor(F.coalesce("offset", F.lit(0)) / STRETCH)).agg(F.collect_list(F.struct(*columns)).alias("_asks")).select("uri", "_asks").join(held, "uri")
+        cut = lambda r: F.struct(r.alias("r"), F.substr(F.col("_whole"), (F.coalesce(r["offset"], F.lit(0)) + 1).cast("int"), r["length"].cast("int")).alias("_asked"))
+        cuts = stretch.select("status", "headers", F.explode(F.transform("_asks", cut)).alias("c"))
+        found = found.unionByName(cuts.select("c.r.*", "status", "headers", "c._asked"))
     ok = F.col("status").isin(200, 206)
-    return found.withColumn("_asked", asked).select(
-        *requests.columns,
+    return found.select(
+        *columns,
         F.when(ranged & (F.col("status") == 200), 206).otherwise(F.col("status")).alias("status"),
         "headers",
         F.expr(f"substring(_asked, 1, {cap})").alias("body"),
