@@ -16,10 +16,11 @@ def _count(condition):
 
 
 def manifest(rel: Relations) -> DataFrame:
-    """One statement per playlist: unreachable, or its shape."""
+    """One statement per playlist: unreachable, unusable (it states no bandwidth where it has to), or its shape."""
     n = rel.all_segments.groupBy("rendition").agg(F.count("*").alias("n"))
     r = rel.all_renditions.join(n, "rendition", "left")
-    return finding(r, "manifest", F.when(F.col("failed"), "unreachable").otherwise("shape"), label(), F.when(F.col("failed"), "ERROR").otherwise("OK"), F.coalesce("n", F.lit(0)))
+    rule = F.when(F.col("failed"), "unreachable").when(F.col("bandwidth") <= 0, "unusable").otherwise("shape")
+    return finding(r, "manifest", rule, label(), F.when(F.col("failed"), "ERROR").when(F.col("bandwidth") <= 0, "BAD").otherwise("OK"), F.coalesce("n", F.lit(0)))
 
 
 def fetch(rel: Relations) -> DataFrame:

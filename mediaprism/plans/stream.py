@@ -119,8 +119,9 @@ def hls_listing(manifests: DataFrame, fetch: Fetch, rungs: int | None = None) ->
     session = hls.key_systems(masters).select("manifest_id", F.col("systems").alias("shared"))
     head = hls.playlists(lists).select(F.col("manifest_id").alias("rendition"), "live", "target_duration", "part_target")
     empty = F.array().cast("array<string>")
+    # Entries of groups and playlists given directly have no place for a bandwidth, so none is stated rather than zero.
     renditions = r.join(head, "rendition", "left").join(keys, "rendition", "left").join(session, "manifest_id", "left").select(
-        F.col("manifest_id").alias("stream"), "rendition", "kind", F.lit(0).alias("period"), "bandwidth", F.nullif(F.col("width"), F.lit(0)).cast("long").alias("width"), F.nullif(F.col("height"), F.lit(0)).cast("long").alias("height"), "codecs", F.round(F.col("frame_rate") * 1000).cast("long").alias("fps_milli"),
+        F.col("manifest_id").alias("stream"), "rendition", "kind", F.lit(0).alias("period"), F.when(F.col("n").eqNullSafe(0) | F.col("group_id").isNotNull(), F.nullif(F.col("bandwidth"), F.lit(0))).otherwise(F.col("bandwidth")).alias("bandwidth"), F.nullif(F.col("width"), F.lit(0)).cast("long").alias("width"), F.nullif(F.col("height"), F.lit(0)).cast("long").alias("height"), "codecs", F.round(F.col("frame_rate") * 1000).cast("long").alias("fps_milli"),
         none.alias("sample_rate"), F.nullif(F.col("channels"), F.lit(0)).cast("long").alias("channels"), F.coalesce("caption_ids", empty).alias("captions"), F.coalesce("captions_none", F.lit(False)).alias("captions_none"), "audio_group", "group_id", F.col("live").isNull().alias("failed"),
         none.alias("transfer"), "video_range", "scheme", F.array_sort(F.array_union(F.coalesce("own", empty), F.coalesce("shared", empty))).alias("drm"), F.coalesce("live", F.lit(False)).alias("live"), _us(F.col("target_duration")).alias("target_us"), _us(F.col("part_target")).alias("part_target_us"), F.lit("hls").alias("format"),
     )

@@ -2,10 +2,9 @@
 
 import duckdb
 from conftest import SF, rows_of
-from pyspark.sql import functions as F
 
 from mediaprism.operators.registry import load, run_checks
-from mediaprism.plans import synthetic, synthetic_dash
+from mediaprism.plans import stream, synthetic, synthetic_dash
 from mediaprism.queries import QUERIES, SQL
 from mediaprism.sources.fetch import from_corpus
 
@@ -44,3 +43,18 @@ def test_functions_of_large_numbers_agree_with_sql(spark, tmp_path):
     c.execute(f"CREATE VIEW events AS FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
     got = QUERIES["functions"](spark, str(tmp_path)).toPandas()
     assert rows_of(got) == rows_of(c.execute(SQL["functions"]).df()) and (got["bytes"].str.endswith("TiB")).sum() == 3
+
+
+def test_playlists_without_a_bandwidth(spark, duck):
+    got = QUERIES["manifest"](spark, SF).toPandas()
+    assert rows_of(got) == rows_of(duck.execute(SQL["manifest"]).df()) and "unusable" in set(got["rule"])
+
+
+def test_only_variants_have_to_state_a_bandwidth(spark):
+    site = "https://h/"
+    master = '#EXTM3U\n#EXT-X-MEDIA:TYPE=AUDIO,GROUP-ID="a",NAME="x",URI="a.m3u8"\n#EXT-X-STREAM-INF:CODECS="avc1.64001f",AUDIO="a"\nv.m3u8\n'
+    media = "#EXTM3U\n#EXT-X-TARGETDURATION:2\n#EXTINF:2,\n1.ts\n#EXT-X-ENDLIST\n"
+    lists = spark.createDataFrame([(1, site + "m.m3u8", master), (2, site + "alone.m3u8", media)], "manifest_id long, url string, body string")
+    corpus = spark.createDataFrame([(site + u, 200, media.encode()) for u in ("a.m3u8", "v.m3u8")], "uri string, status int, body binary")
+    found = stream.hls_listing(lists, lambda asked: from_corpus(asked, corpus)).renditions.select("stream", "kind", "bandwidth").collect()
+    assert {(r["stream"], r["kind"], r["bandwidth"]) for r in found} == {(1, "audio", None), (1, "video", 0), (2, "video", None)}
