@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import operator
 import re
 import struct
 import unicodedata
@@ -26,6 +27,9 @@ WORD_ENDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Printable ASCII, line breaks and the letters and signs of Latin-1: for texts of these alone,
 #: composing is the identity and ``str.split`` and ``str.lower`` agree with the tokenizer.
 _PLAIN = re.compile("[^\t\n\r -~\xa1-\xff]")
+#: The letters and the digits among them after ``str.lower``, as that pattern's classes have them, and the pattern in these terms.
+_LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PLAIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+").findall
 
 
 def byte_symbols() -> dict[int, str]:
@@ -46,24 +50,23 @@ def _spec(path: str) -> dict:
 class WordIds:
     """Token ids of whole texts as little-endian 32-bit values, for ``word_bpe_49k.json``.
 
-    White space always separates tokens there, so the ids of a text are those of its chunks one
-    after another. Texts with other characters than plain ones, or with a special string in
-    them, go through the library whole.
+    Words are found in the whole text by the pattern and looked up one by one; what is looked up is words, not what
+    stands between white space, as there are far fewer of the former. Texts with other characters than plain
+    ones, or with a special string in them, go through the library whole.
     """
 
-    def __init__(self, path: str, room: int = 32 << 20):
+    def __init__(self, path: str, room: int = 128 << 20):
         self.tokenizer = Tokenizer.from_file(path)
         spec = _spec(path)
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.quick = spec["model"].get("end_of_word_suffix") == "</w>" and WORD_ENDS in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\")
-        model, symbols, split = self.tokenizer.model, byte_symbols(), regex.compile(WORD_ENDS).findall
+        model, symbols, number = self.tokenizer.model, byte_symbols(), operator.attrgetter("id")
 
         def ids_of(word: str) -> bytes:
-            found = [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(symbols))]
+            found = list(map(number, model.tokenize(word.encode().decode("latin-1").translate(symbols))))
             return struct.pack(f"<{len(found)}I", *found)
 
-        self.words = Kept(ids_of, room // 2)
-        self.chunks = Kept(lambda chunk: b"".join(map(self.words.__getitem__, split(chunk))), room // 2)
+        self.words = self.chunks = Kept(ids_of, room)  # one table; a chunk is a word here
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -71,7 +74,7 @@ class WordIds:
         if not self.quick or _PLAIN.search(text) or any(s in text for s in self.specials):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(self.chunks.__getitem__, text.lower().split()))
+        return b"".join(map(self.words.__getitem__, _PLAIN_WORDS(text.lower())))
 
 
 def merged_length(symbols: list, ranks: dict[tuple, tuple]) -> int:

@@ -121,6 +121,27 @@ def test_what_is_kept_is_bounded_in_bytes():
     assert len([k for d in (words.chunks, words.words) for k in d]) == len(held)
 
 
+def test_words_are_encoded_once_whatever_stands_beside_them():
+    """Many words, each beside other signs each time: chunks that are all different, of words that are not."""
+    words, asked = tokenization.WordIds(WORDS), []
+    find = words.words.find
+    words.words.find = lambda word: asked.append(word) or find(word)
+    some = ["".join("abcdefghij"[int(d)] for d in f"{i:05d}") for i in range(60_000)]
+    texts = [" ".join(f"{w}{sign}" for w in some) for sign in (".", ",", "!?", "(x)")]
+    library = words.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [words.encode(t) for t in texts] == [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in library]
+    assert len(asked) == len(set(asked)) <= len(some) + 6
+
+
+def test_plain_letters_and_digits_are_those_of_the_pattern():
+    words, library = tokenization.WordIds(WORDS), Tokenizer.from_file(WORDS)
+    plain = [chr(i) for i in [9, 10, 13, *range(32, 127), *range(0xA1, 0x100)]]
+    for a in plain:
+        for text in (f"x{a}y{a}{a}1{a}'s{a} {a}", "".join(f"{a}{b}" for b in plain)):
+            ids = library.encode(text, add_special_tokens=False).ids
+            assert words.encode(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
 def test_merging_pops_the_lowest_rank_first():
     ranks = {("a", "b"): (1, "ab"), ("b", "c"): (0, "bc"), ("a", "bc"): (2, "abc")}
     assert tokenization.merged_length(list("abc"), ranks) == 1 and tokenization.merged_length(list("aab"), ranks) == 2 and tokenization.merged_length([], ranks) == 0
