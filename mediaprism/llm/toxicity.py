@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import copy
 import functools
+import hashlib
 import itertools
 import math
 import re
@@ -35,7 +36,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (as pa.compute)
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaprism.llm.common import sampled, saved, text_key
@@ -43,6 +44,8 @@ from mediaprism.llm.common import sampled, saved, text_key
 _WORD = re.compile(r"[^\W_]+")
 #: Types of ids; others are taken as Arrow infers them.
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+#: What ``_deal`` makes.
+_DEALT = ("width", "common", "heavy", "peaks", "norms", "post_start", "post_at", "post_weight")
 #: More than single precision can be off by in a sum of products of two vectors of unit length.
 _ROUNDING = 1e-5
 
@@ -70,7 +73,7 @@ class Rows:
     def of(pairs: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
         return Rows(
             np.cumsum([0, *(len(t) for t, _ in pairs)]),
-            np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for t, _ in pairs)]),
+            np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32, copy=False) for t, _ in pairs)]),
             np.concatenate([np.zeros(0), *(w for _, w in pairs)]),
         )
 
@@ -104,7 +107,7 @@ def vector(counts: dict[int, int] | tuple[np.ndarray, np.ndarray], idf: np.ndarr
 
 
 class ExampleIndex:
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: Rows, ids: list, n: np.ndarray, toxic: np.ndarray, *, blank: tuple[int, int], id_kind: str = "bigint", k: int = 25, block: int = 64, sharpness: float = 4.0, prior_weight: float = 0.5):
+    def __init__(self, terms: list[str] | pa.Array, idf: np.ndarray, examples: Rows, ids: list, n: np.ndarray, toxic: np.ndarray, *, blank: tuple[int, int], id_kind: str = "bigint", k: int = 25, block: int = 64, sharpness: float = 4.0, prior_weight: float = 0.5):
         self.terms, self.idf, self.k, self.block, self.sharpness, self.prior_weight = terms, idf, k, block, sharpness, prior_weight
         # Examples whose strongest terms agree stand together, which keeps the blocks' bounds low.
         strongest = [examples.terms[a:b][np.argsort(-examples.weights[a:b], kind="stable")[[0, -1 if b - a == 1 else 1]]] for a, b in zip(examples.start[:-1], examples.start[1:], strict=True)]
@@ -113,7 +116,6 @@ class ExampleIndex:
         self.blank, self.id_kind = blank, id_kind
         self.share = (self.toxic.sum() + blank[1]) / max(1, self.n.sum() + blank[0])
         self.curve = (1.0, 0.0)
-        self._deal()
 
     def _deal(self) -> None:
         """The postings, and the rows and block maxima of words that are frequent and weak, from the examples.
@@ -140,17 +142,19 @@ class ExampleIndex:
         self.post_start = np.concatenate([[0], np.cumsum(np.where(weak, 0, df))]).astype(np.int64)
         self.post_at, self.post_weight = at[posted], x.weights[posted]
 
-    def __getstate__(self) -> dict:
-        # What is dealt is larger than the examples; each worker deals it again.
-        return {k: v for k, v in self.__dict__.items() if k not in ("where", "common", "heavy", "peaks", "norms", "post_start", "post_at", "post_weight")}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
+    def __getattr__(self, name: str):
+        # What is dealt is larger than the examples, so it is made where neighbours are first asked for: in the workers.
+        if name not in _DEALT or "examples" not in self.__dict__:
+            raise AttributeError(name)
         self._deal()
+        return self.__dict__[name]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("where", *_DEALT)}
 
     @functools.cached_property
     def where(self) -> dict[str, int]:
-        return {t: i for i, t in enumerate(self.terms)}
+        return numbered(self.terms)
 
     @property
     def vectors(self) -> np.ndarray:
@@ -244,25 +248,33 @@ class ExampleIndex:
         v = np.clip(votes, 1e-4, 1 - 1e-4)
         return 1 / (1 + np.exp(-(a * np.log(v / (1 - v)) + b)))
 
-    def calibrate(self) -> None:
-        """Logistic regression on the log odds of leave-one-out votes, by Newton steps."""
+    def left_out(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The votes on the examples at these places, each with one label of its own taken off: a 0 and a 1. 256 at a time."""
+        out = np.zeros((2, len(places)))
+        for i in range(0, len(places), 256):
+            part = places[i : i + 256]
+            sims, where = self.nearest(self.examples.take(part))
+            mine = where == part[:, None]  # its own entry first, with its label taken off
+            sims = np.where(mine, 1.0, np.minimum(sims, 1 - 2e-6))
+            for label in (0, 1):
+                out[label, i : i + 256] = self.votes(sims, where, np.full(len(part), float(label)))
+        return out[0], out[1]
+
+    def calibrate(self, left_out: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """Logistic regression on the log odds of leave-one-out votes, those of all examples in order, by Newton steps."""
         xs, ys, ws = [], [], []
+        found = left_out or self.left_out(np.arange(len(self.ids)))
         for label in (0, 1):
             count = self.toxic if label else self.n - self.toxic
             at = np.nonzero(count > 0)[0]
-            for i in range(0, len(at), 256):
-                part = at[i : i + 256]
-                sims, where = self.nearest(self.examples.take(part))
-                mine = where == part[:, None]  # its own entry first, with its label taken off
-                sims = np.where(mine, 1.0, np.minimum(sims, 1 - 2e-6))
-                xs.append(self.votes(sims, where, np.full(len(part), float(label))))
-                ys.append(np.full(len(part), float(label)))
-                ws.append(count[part].astype(float))
+            xs.append(found[label][at])
+            ys.append(np.full(len(at), float(label)))
+            ws.append(count[at].astype(float))
         if self.blank[0]:
             xs.append(np.full(2, self.blank_vote()))
             ys.append(np.array([0.0, 1.0]))
             ws.append(np.array([self.blank[0] - self.blank[1], self.blank[1]], dtype=float))
-        if not xs:
+        if not sum(map(len, xs)):
             return
         x, y, w = (np.concatenate(z) for z in (xs, ys, ws))
         v = np.clip(x, 1e-4, 1 - 1e-4)
@@ -290,12 +302,17 @@ class ExampleIndex:
         return self.calibrated(votes), sims, where
 
 
+def numbered(terms: list[str] | pa.Array) -> dict[str, int]:
+    """The number of each term."""
+    return {t: i for i, t in enumerate(terms.to_pylist() if isinstance(terms, pa.Array) else terms)}
+
+
 def association(toxic: np.ndarray, df: np.ndarray, share: float) -> np.ndarray:
     """By how many standard deviations each word's toxic examples are off their expected number; damped for rare words, above zero for all."""
     return np.maximum(np.abs(toxic - df * share) / np.sqrt(df * share * (1 - share) + 0.5), 0.01)
 
 
-def build_index(rows: list[tuple], terms: list[str], idf: np.ndarray, **options) -> ExampleIndex:
+def build_index(rows: list[tuple], terms: list[str] | pa.Array, idf: np.ndarray, *, calibrated: bool = True, **options) -> ExampleIndex:
     """``rows``: example id, its votes, those for toxic, counts by term (or terms and their counts)."""
     blank_n = blank_toxic = 0
     groups: dict[bytes, list] = {}
@@ -304,17 +321,22 @@ def build_index(rows: list[tuple], terms: list[str], idf: np.ndarray, **options)
             blank_n, blank_toxic = blank_n + n, blank_toxic + toxic
             continue
         v = vector(counts, idf)
-        g = groups.setdefault(v[0].tobytes() + np.round(v[1], 9).tobytes(), [v, doc, 0, 0])
+        key = hashlib.blake2b(v[0].tobytes() + np.round(v[1], 9).tobytes(), digest_size=16).digest()
+        g = groups.setdefault(key, [v, doc, 0, 0])
         g[2] += n
         g[3] += toxic
     kept = list(groups.values())
     column = lambda i: np.array([g[i] for g in kept], dtype=np.int64)
-    index = ExampleIndex(terms, idf, Rows.of([g[0] for g in kept]), [g[1] for g in kept], column(2), column(3), blank=(blank_n, blank_toxic), **options)
-    index.calibrate()
+    examples = Rows.of([g[0] for g in kept])
+    for g in kept:
+        g[0] = None  # copied
+    index = ExampleIndex(terms, idf, examples, [g[1] for g in kept], column(2), column(3), blank=(blank_n, blank_toxic), **options)
+    if calibrated:
+        index.calibrate()
     return index
 
 
-def labelled_examples(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[DataFrame, list[str]]:
+def labelled_examples(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[DataFrame, pa.Array]:
     """Of about ``sample`` labelled ids at most id, n (labels), toxic, words; and all their words."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n"), F.sum((F.col(label_col) > 0).cast("long")).alias("_toxic"))
     known = saved(known)
@@ -326,23 +348,25 @@ def labelled_examples(docs: DataFrame, labels: DataFrame, *, id_col: str, text_c
 
     def read(batches):
         for b in batches:
-            found = [words(t) for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([list(c.items()) for c in found], pa.map_(pa.string(), pa.int32()))], ["id", "n", "toxic", "words"])
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                found = [list(words(t.as_py()).items()) for t in part.column(3)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, pa.map_(pa.string(), pa.int32()))], ["id", "n", "toxic", "words"])
 
     examples = saved(rows.mapInArrow(read, f"id {kind}, n long, toxic long, words map<string,int>"))
-    # What comes to the driver comes as Arrow, which is small there. Words of many examples come first,
+    # What comes to the driver comes as Arrow and stays so, which is small there. Words of many examples come first,
     # which keeps those that are looked up most near each other in memory.
     held = examples.select(F.explode(F.map_keys("words")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term")
-    return examples, held.select("term").toArrow().column(0).to_pylist()
+    return examples, held.select("term").toArrow().combine_chunks().column(0).combine_chunks()
 
 
-def term_counts(docs: DataFrame, terms: list[str], *, text_col: str = "text", also: tuple[Column, ...] = ()) -> DataFrame:
+def term_counts(docs: DataFrame, terms: list[str] | pa.Array, *, text_col: str = "text", also: tuple[Column, ...] = ()) -> DataFrame:
     """The columns of ``also`` and, of each text, the numbers of the ``terms`` in it (_terms) and how often each occurs (_times)."""
     rows = docs.select(*also, F.col(text_col).alias("_text"))
     kept = rows.schema[:-1]
-    where = {t: i for i, t in enumerate(terms)}
 
     def count(batches):
+        where = numbered(terms)
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
@@ -353,7 +377,7 @@ def term_counts(docs: DataFrame, terms: list[str], *, text_col: str = "text", al
     return rows.mapInArrow(count, schema)
 
 
-def index_of(examples: DataFrame, terms: list[str], counts: DataFrame, **options) -> ExampleIndex:
+def index_of(examples: DataFrame, terms: list[str] | pa.Array, counts: DataFrame, **options) -> ExampleIndex:
     """The index of the examples; ``counts`` are those of all documents, whose number and terms give the idf."""
 
     def total(batches):
@@ -365,19 +389,20 @@ def index_of(examples: DataFrame, terms: list[str], counts: DataFrame, **options
         at = np.nonzero(n)[0]
         yield pa.RecordBatch.from_arrays([pa.array(np.where(at == len(terms), -1, at)), pa.array(n[at])], ["term", "n"])
 
-    where = {t: i for i, t in enumerate(terms)}
-
-    def numbered(batches):
+    def by_number(batches):
+        where = numbered(terms)
         for b in batches:
-            found = [x.as_py() for x in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([[where[t] for t, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[c for _, c in x] for x in found], pa.list_(pa.int32()))], ["id", "n", "toxic", "terms", "times"])
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                found = [x.as_py() for x in part.column(3)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([[where[t] for t, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[c for _, c in x] for x in found], pa.list_(pa.int32()))], ["id", "n", "toxic", "terms", "times"])
 
     kind = examples.schema["id"].dataType.simpleString()
-    got = examples.mapInArrow(numbered, f"id {kind}, n long, toxic long, terms array<int>, times array<int>").toArrow().combine_chunks()
+    got = examples.mapInArrow(by_number, f"id {kind}, n long, toxic long, terms array<int>, times array<int>").toArrow().combine_chunks()
     arrays = lambda name: [x.values.to_numpy() for x in got.column(name)]
     rows = list(zip(*(got.column(c).to_pylist() for c in ("id", "n", "toxic")), zip(arrays("terms"), arrays("times"), strict=True), strict=True))
     idf = np.zeros(0)
-    if terms:
+    if len(terms):
         held = counts.select("_terms").mapInArrow(total, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
         number, n = (held.column(i).to_numpy() for i in (0, 1))
         n = n[np.argsort(number)]  # all documents first, then each term's
@@ -386,16 +411,41 @@ def index_of(examples: DataFrame, terms: list[str], counts: DataFrame, **options
             df[found] += 1
             toxic[found] += bad / votes
         idf = np.log(1 + n[0] / n[1:]) * association(toxic, df, sum(bad / votes for _, votes, bad, _ in rows) / len(rows))
-    return build_index(rows, terms, idf, id_kind=kind, **options)
+    index = build_index(rows, terms, idf, calibrated=False, id_kind=kind, **options)
+    index.calibrate(left_out_votes(examples.sparkSession, index))
+    return index
+
+
+def without_terms(index: ExampleIndex) -> ExampleIndex:
+    """The index for texts that come as numbers."""
+    index = copy.copy(index)
+    index.terms = []
+    index.__dict__.pop("where", None)
+    return index
+
+
+def left_out_votes(spark: SparkSession, index: ExampleIndex) -> tuple[np.ndarray, np.ndarray]:
+    """``left_out`` of all examples, by tasks of 256 of them or more, so that the driver deals no index; it gets two numbers an example."""
+    index, n = without_terms(index), len(index.ids)
+    if not n:
+        return np.zeros(0), np.zeros(0)
+
+    def run(batches):
+        for b in batches:
+            places = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, index.left_out(places))], ["id", "v0", "v1"])
+
+    tasks = min(spark.sparkContext.defaultParallelism, -(-n // 256))
+    got = spark.range(0, n, 1, tasks).mapInArrow(run, "id long, v0 double, v1 double").toArrow()
+    order = np.argsort(got.column(0).to_numpy())
+    return got.column(1).to_numpy()[order], got.column(2).to_numpy()[order]
 
 
 def score_counts(counts: DataFrame, index: ExampleIndex, evidence: int = 3) -> DataFrame:
     """The other columns of ``counts``, score, predicted, evidence (example id, similarity, votes)."""
     kept = [f for f in counts.schema if f.name not in ("_terms", "_times")]
     example = index.id_kind
-    index = copy.copy(index)
-    index.terms = []  # texts come as numbers here
-    index.__dict__.pop("where", None)
+    index = without_terms(index)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"score double, predicted int, evidence array<struct<example:{example},similarity:double,votes:bigint,toxic:bigint>>"])
 
     def run(batches):
@@ -416,7 +466,9 @@ def score_counts(counts: DataFrame, index: ExampleIndex, evidence: int = 3) -> D
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 8000, **options) -> ExampleIndex:
     """An index over a sample of the ids of ``labels`` (id, label). The driver gets the words of about ``sample`` texts at most, with their counts."""
     examples, terms = labelled_examples(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample)
-    return index_of(examples, terms, term_counts(docs, terms, text_col=text_col), **options)
+    index = index_of(examples, terms, term_counts(docs, terms, text_col=text_col), **options)
+    index.terms = terms.to_pylist()
+    return index
 
 
 def score_toxicity(docs: DataFrame, index: ExampleIndex, *, id_col: str = "doc_id", text_col: str = "text", also: tuple[Column, ...] = (), evidence: int = 3) -> DataFrame:

@@ -351,6 +351,18 @@ def test_fit_counts_what_it_is_given(spark):
     assert got["p"]["evidence"][0]["example"] == "p" and got["p"]["score"] > got["q"]["score"]
 
 
+def test_the_driver_deals_no_index(spark):
+    """Left-out votes come from tasks, equal to those taken here; what is dealt is made where neighbours are asked for."""
+    docs = spark.createDataFrame([(i, f"{'idiot ' * (i % 3 == 0)}word{i % 40} and {'nice ' * (i % 5)} w{i}") for i in range(700)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(700)], "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels)
+    assert len(index.ids) > 512 and not {"heavy", "peaks", "post_at", "post_weight"} & set(index.__dict__)
+    assert all((a == b).all() for a, b in zip(toxicity.left_out_votes(spark, index), index.left_out(np.arange(len(index.ids))), strict=True))
+    curve = index.curve
+    index.calibrate()
+    assert index.curve == curve != (1.0, 0.0)
+
+
 def test_samples_do_not_become_empty(spark):
     """At any size the share asked for is met by hashes of 63 bits."""
     from mediaprism.llm.common import sampled
