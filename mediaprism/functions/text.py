@@ -12,10 +12,17 @@ def attributes(text: Column) -> Column:
     """An attribute list as a map: names in upper case, quotes protect commas and are dropped, the last of a name wins."""
     names = F.transform(F.regexp_extract_all(text, F.lit(_ATTRIBUTE), F.lit(1)), F.upper)
     values = F.transform(F.regexp_extract_all(text, F.lit(_ATTRIBUTE), F.lit(2)), lambda v: F.regexp_replace(F.trim(v), '^"|"$', ""))
-    pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
+    # Bound as a lambda's variable, what is found is found once, however often it is named below.
+    once = lambda x, use: F.get(F.transform(F.array(x), use), 0)
     # Of equal names only the last is kept, so no session setting is needed.
-    last = F.filter(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i"))), lambda p: ~F.exists(F.slice(names, p["i"] + 2, F.size(names)), lambda n: n == p["k"]))
-    return F.map_from_arrays(F.transform(last, lambda p: p["k"]), F.transform(last, lambda p: p["v"]))
+    last = lambda pairs: F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    as_map = lambda pairs: F.map_from_arrays(F.transform(pairs, lambda p: p["k"]), F.transform(pairs, lambda p: p["v"]))
+    return once(F.arrays_zip(names.alias("k"), values.alias("v")), lambda pairs: once(last(pairs), as_map))
+
+
+def whole_number(text: Column, pattern: str) -> Column:
+    """The group of a pattern as a number, null where it does not match: a cast of the empty string would raise and catch in each row."""
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("long")
 
 
 def resolution(value: Column) -> Column:

@@ -9,14 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediaprism.functions.text import attributes, drm_system, hex_iv, hex_section, program_date_time, resolution, resolved
+from mediaprism.functions.text import attributes, drm_system, hex_iv, hex_section, program_date_time, resolution, resolved, whole_number
+
+
+# The tags that are read for segments.
+_OF_SEGMENTS = ("EXTINF", "EXT-X-BYTERANGE", "EXT-X-PROGRAM-DATE-TIME", "EXT-X-GAP", "EXT-X-DISCONTINUITY", "EXT-X-MAP", "EXT-X-KEY")
 
 
 def lines(manifests: DataFrame) -> DataFrame:
     """manifest_id, n (line number), line, tag and value of each non-empty line."""
-    rows = manifests.select("manifest_id", F.posexplode(F.split(F.regexp_replace("body", "\r", ""), "\n")).alias("n", "line")).withColumn("line", F.trim("line")).where("line <> ''")
-    tag = F.regexp_extract("line", "^#(EXT[A-Z0-9-]*)", 1)
-    return rows.select("*", tag.alias("tag"), F.when(F.col("line").contains(":"), F.regexp_replace("line", "^[^:]*:", "")).otherwise("").alias("value"), (~F.col("line").startswith("#")).alias("is_uri"))
+    rows = manifests.select("manifest_id", F.posexplode(F.split(F.replace("body", F.lit("\r"), F.lit("")), "\n")).alias("n", "line")).withColumn("line", F.trim("line")).where("line <> ''")
+    tag = F.when(F.col("line").startswith("#EXT"), F.regexp_extract("line", "^#(EXT[A-Z0-9-]*)", 1)).otherwise("")
+    return rows.select("*", tag.alias("tag"), F.when(F.col("line").contains(":"), F.substr("line", F.locate(":", "line") + 1)).otherwise("").alias("value"), (~F.col("line").startswith("#")).alias("is_uri"))
 
 
 def _located(rows: DataFrame, manifests: DataFrame, *columns: str) -> DataFrame:
@@ -107,7 +111,7 @@ def _numbered(manifests: DataFrame) -> DataFrame:
 
 def _ranges(rows: DataFrame, order: str, text: Column) -> DataFrame:
     """``offset`` and ``length`` of byte ranges; one without an offset goes on after the one before of the same URI, else begins at 0."""
-    r = rows.withColumns({"length": F.regexp_extract(F.coalesce(text, F.lit("")), r"^(\d+)", 1).try_cast("long"), "_stated": F.regexp_extract(F.coalesce(text, F.lit("")), r"@(\d+)$", 1).try_cast("long")})
+    r = rows.withColumns({"length": whole_number(text, r"^(\d+)"), "_stated": whole_number(text, r"@(\d+)$")})
     same = Window.partitionBy("manifest_id", "uri").orderBy(order)
     r = r.withColumn("_island", F.sum(F.when(F.col("_stated").isNotNull() | F.col("length").isNull(), 1).otherwise(0)).over(same))
     inside = Window.partitionBy("manifest_id", "uri", "_island").orderBy(order)
@@ -163,15 +167,17 @@ def key_systems(manifests: DataFrame) -> DataFrame:
 
 def segments(manifests: DataFrame) -> DataFrame:
     """Media segments in order, with sticky MAP and KEY, pending tags, byte ranges and wall clocks carried on."""
-    r = lines(manifests)
+    # Lines that say nothing about segments are left out before they are sorted.
+    r = lines(manifests).where(F.col("is_uri") | F.col("tag").isin(*_OF_SEGMENTS))
     by_line = Window.partitionBy("manifest_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     at = lambda tag: F.col("tag") == tag
     carried = lambda c: F.last(c, ignorenulls=True).over(by_line)
-    key = F.when(at("EXT-X-KEY"), F.struct(*[attributes(F.col("value"))[k].alias(k.lower()) for k in ("METHOD", "URI", "IV", "KEYFORMAT")]))
+    r = r.withColumn("a", F.when(at("EXT-X-MAP") | at("EXT-X-KEY"), attributes(F.col("value"))))
+    key = F.when(at("EXT-X-KEY"), F.struct(*[F.col("a")[k].alias(k.lower()) for k in ("METHOD", "URI", "IV", "KEYFORMAT")]))
     r = r.select(
         "*",
         (F.sum(F.col("is_uri").cast("int")).over(by_line) - F.col("is_uri").cast("int")).alias("segment"),
-        carried(F.when(at("EXT-X-MAP"), F.struct(attributes(F.col("value"))["URI"].alias("uri"), attributes(F.col("value"))["BYTERANGE"].alias("range")))).alias("map"),
+        carried(F.when(at("EXT-X-MAP"), F.struct(F.col("a")["URI"].alias("uri"), F.col("a")["BYTERANGE"].alias("range")))).alias("map"),
         carried(key).alias("key"),
         F.sum(at("EXT-X-DISCONTINUITY").cast("int")).over(by_line).alias("discontinuities"),
     )
@@ -209,7 +215,7 @@ def segments(manifests: DataFrame) -> DataFrame:
         F.when(F.col("length").isNotNull(), F.struct("offset", "length")).alias("byte_range"),
         F.col("map.uri").alias("init_uri"),
         # A map's range without an offset begins at 0.
-        F.when(F.col("map.range") != "", F.struct(F.coalesce(F.regexp_extract("map.range", r"@(\d+)", 1).try_cast("long"), F.lit(0)).alias("offset"), F.regexp_extract("map.range", r"^(\d+)", 1).try_cast("long").alias("length"))).alias("init_range"),
+        F.when(F.col("map.range") != "", F.struct(F.coalesce(whole_number(F.col("map.range"), r"@(\d+)"), F.lit(0)).alias("offset"), whole_number(F.col("map.range"), r"^(\d+)").alias("length"))).alias("init_range"),
         F.timestamp_micros(F.unix_micros(anchor) + passed).alias("pdt"),
         (F.col("pdt_stated").isNull() & anchor.isNotNull()).alias("pdt_derived"),
         keyed(F.col("key.method")).alias("key_method"),

@@ -109,3 +109,14 @@ def test_window_edges_of_a_live_template(spark):
     assert dash.window_edges(manifests(spark, mpd), now=9.0).first()["unsupported"]
     s = dash.segments(manifests(spark, mpd), now=110.0).orderBy("sequence").collect()
     assert [r["sequence"] for r in s] == list(range(14, 26))
+
+
+def test_attributes_are_found_once_and_no_cast_raises(spark, capsys):
+    """Each regular expression stands once in a list's plan, and numbers that are not there are null before the cast."""
+    odd = [None, "", "A=1,a=2,B=\"x,y\",A=3", "=,A", 'K="",k=', "A=1,B=2,C=3,B=4"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").select("i", text.attributes(F.col("t")).alias("a"), text.whole_number(F.col("t"), r"^A=(\d+)").alias("n"))
+    got = [(r["a"], r["n"]) for r in df.orderBy("i").collect()]
+    assert got == [(None, None), ({}, None), ({"A": "3", "B": "x,y"}, 1), ({}, None), ({"K": ""}, None), ({"A": "1", "B": "4", "C": "3"}, 1)]
+    df.explain(True)
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert plan.count("regexp_extract_all(") == 2
