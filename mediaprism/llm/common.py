@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +63,23 @@ def text_key(text: Column) -> Column:
     return F.coalesce(F.md5(text.cast("binary")), F.lit(""))
 
 
+@functools.lru_cache(maxsize=1)
+def resident(make: Callable, *args):
+    """What a worker makes once and keeps from task to task, such as a table of words; one such thing at a time."""
+    return make(*args)
+
+
+def make_room() -> None:
+    """Lets go what a worker still keeps of other stages, and memory that Arrow has freed but not given back.
+
+    Workers outlive stages, so a stage that holds much itself calls this in its tasks first.
+    """
+    if resident.cache_info().currsize:
+        resident.cache_clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 class Kept(dict):
     """What keys were found to give, as far as ``room`` bytes hold; long keys are not kept.
 

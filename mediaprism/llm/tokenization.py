@@ -6,7 +6,6 @@ encoded anew each time, so a task's memory does not grow with its input.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import operator
@@ -17,7 +16,7 @@ import unicodedata
 import regex
 from tokenizers import Tokenizer
 
-from mediaprism.llm.common import Kept
+from mediaprism.llm.common import Kept, resident
 
 # The pattern by which the byte-level vocabulary splits text before its merges.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -165,11 +164,9 @@ class ByteCounts:
         return self._plain(text)
 
 
-@functools.cache
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return resident(WordIds, path)
 
 
-@functools.cache
 def byte_counts(path: str) -> ByteCounts:
-    return ByteCounts(path)
+    return resident(ByteCounts, path)

@@ -39,7 +39,7 @@ import pyarrow.compute  # noqa: F401  (as pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaprism.llm.common import sampled, saved, text_key
+from mediaprism.llm.common import make_room, sampled, saved, text_key
 
 _WORD = re.compile(r"[^\W_]+")
 #: Types of ids; others are taken as Arrow infers them.
@@ -123,8 +123,10 @@ class ExampleIndex:
         Rows and maxima are of single precision; what they decide leaves room for its error, and sums are
         taken again in double precision.
         """
-        at, x = self.examples.at(), self.examples
-        df = np.bincount(x.terms, minlength=len(self.idf))
+        x, n = self.examples, len(self.examples)
+        # Some rows at a time: an order of all entries takes several times the memory of what is made.
+        parts = [(i, slice(x.start[i], x.start[min(i + 512, n)])) for i in range(0, n, 512)]
+        df = sum((np.bincount(x.terms[p], minlength=len(self.idf)) for _, p in parts), np.zeros(len(self.idf), np.int64))
         frequent = df > max(8, len(self.ids) // 64)
         weak = frequent & (self.idf <= np.quantile(self.idf[frequent], 0.4)) if frequent.any() else frequent
         common = np.nonzero(weak)[0]
@@ -133,14 +135,21 @@ class ExampleIndex:
         # Padded to whole blocks; what is padded has no weight and is never a neighbour.
         self.width = -(-len(self.ids) // self.block) * self.block
         self.heavy = np.zeros((self.width, len(common)), np.float32)
-        own = self.common[x.terms] >= 0
-        self.heavy[at[own], self.common[x.terms[own]]] = x.weights[own]
+        self.post_start = np.concatenate([[0], np.cumsum(np.where(weak, 0, df))]).astype(np.int64)
+        self.post_at, self.post_weight = np.zeros(self.post_start[-1], np.int32), np.zeros(self.post_start[-1])
+        free = self.post_start[:-1].copy()
+        for i, p in parts:
+            t, w, at = x.terms[p], x.weights[p], np.repeat(np.arange(i, min(i + 512, n), dtype=np.int32), np.diff(x.start[i : i + 513]))
+            own = weak[t]
+            self.heavy[at[own], self.common[t[own]]] = w[own]
+            posted = np.nonzero(~own)[0]
+            posted = posted[np.argsort(t[posted], kind="stable")]
+            t, first, times = np.unique(t[posted], return_index=True, return_counts=True)
+            to = np.repeat(free[t] - first, times) + np.arange(len(posted))
+            self.post_at[to], self.post_weight[to] = at[posted], w[posted]
+            free[t] += times
         self.peaks = self.heavy.reshape(self.width // self.block, self.block, len(common)).max(axis=1).T
         self.norms = np.sqrt(np.einsum("ij,ij->i", self.heavy, self.heavy, dtype=float))
-        posted = np.nonzero(~own)[0]
-        posted = posted[np.argsort(x.terms[posted], kind="stable")]
-        self.post_start = np.concatenate([[0], np.cumsum(np.where(weak, 0, df))]).astype(np.int64)
-        self.post_at, self.post_weight = at[posted], x.weights[posted]
 
     def __getattr__(self, name: str):
         # What is dealt is larger than the examples, so it is made where neighbours are first asked for: in the workers.
@@ -249,15 +258,15 @@ class ExampleIndex:
         return 1 / (1 + np.exp(-(a * np.log(v / (1 - v)) + b)))
 
     def left_out(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The votes on the examples at these places, each with one label of its own taken off: a 0 and a 1. 256 at a time."""
+        """The votes on the examples at these places, each with one label of its own taken off: a 0 and a 1. 64 at a time."""
         out = np.zeros((2, len(places)))
-        for i in range(0, len(places), 256):
-            part = places[i : i + 256]
+        for i in range(0, len(places), 64):
+            part = places[i : i + 64]
             sims, where = self.nearest(self.examples.take(part))
             mine = where == part[:, None]  # its own entry first, with its label taken off
             sims = np.where(mine, 1.0, np.minimum(sims, 1 - 2e-6))
             for label in (0, 1):
-                out[label, i : i + 256] = self.votes(sims, where, np.full(len(part), float(label)))
+                out[label, i : i + 64] = self.votes(sims, where, np.full(len(part), float(label)))
         return out[0], out[1]
 
     def calibrate(self, left_out: tuple[np.ndarray, np.ndarray] | None = None) -> None:
@@ -347,6 +356,7 @@ def labelled_examples(docs: DataFrame, labels: DataFrame, *, id_col: str, text_c
     kind = docs.schema[id_col].dataType.simpleString()
 
     def read(batches):
+        make_room()
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
@@ -366,6 +376,7 @@ def term_counts(docs: DataFrame, terms: list[str] | pa.Array, *, text_col: str =
     kept = rows.schema[:-1]
 
     def count(batches):
+        make_room()
         where = numbered(terms)
         for b in batches:
             for i in range(0, b.num_rows, 512):
@@ -431,6 +442,7 @@ def left_out_votes(spark: SparkSession, index: ExampleIndex) -> tuple[np.ndarray
         return np.zeros(0), np.zeros(0)
 
     def run(batches):
+        make_room()
         for b in batches:
             places = b.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, index.left_out(places))], ["id", "v0", "v1"])
@@ -449,11 +461,12 @@ def score_counts(counts: DataFrame, index: ExampleIndex, evidence: int = 3) -> D
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"score double, predicted int, evidence array<struct<example:{example},similarity:double,votes:bigint,toxic:bigint>>"])
 
     def run(batches):
+        make_room()
         names = pa.array(index.ids, _ARROW.get(example))
         kind = pa.list_(pa.struct([("example", names.type), ("similarity", pa.float64()), ("votes", pa.int64()), ("toxic", pa.int64())]))
         for b in batches:
-            for i in range(0, b.num_rows, 128):
-                part = b.slice(i, 128)
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
                 terms, times = (part.column(len(kept) + j).flatten().to_numpy() for j in (0, 1))
                 sizes = pa.compute.list_value_length(part.column(len(kept))).to_numpy()
                 score, sims, where = index.score(Rows(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), terms.astype(np.int64), times.astype(float)))

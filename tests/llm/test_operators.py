@@ -387,6 +387,35 @@ def test_toxicity_scores(spark):
     assert {r["score"] for r in toxicity.score_toxicity(odd(spark), empty).collect()} == {0.0}
 
 
+def test_workers_let_go_of_other_stages_tables():
+    import gc
+    import weakref
+
+    from mediaprism.llm.common import make_room
+
+    held = weakref.ref(tokenization.word_ids(WORDS))
+    assert held() is tokenization.word_ids(WORDS)
+    make_room()
+    assert held() is None
+    counts = weakref.ref(tokenization.byte_counts(BYTES))
+    tokenization.word_ids(WORDS)
+    gc.collect()
+    assert counts() is None
+
+
+def test_toxicity_index_is_dealt_in_little_more_than_it_holds():
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    rows = [(i, 1, i % 2, {int(t): 1 for t in r.integers(0, 20_000, 300) ** 2 // 20_000}) for i in range(3000)]
+    index = toxicity.build_index(rows, [str(t) for t in range(20_000)], r.random(20_000) + 0.1, calibrated=False)
+    tracemalloc.start()
+    index._deal()
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 1.2 * held
+
+
 def test_toxicity_query(spark):
     out = queries.op5_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
     assert sum(r["predicted"] == r["toxic"] for r in out) / len(out) > 0.85
