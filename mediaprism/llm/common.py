@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import gc
 import tempfile
 import uuid
@@ -63,10 +62,15 @@ def text_key(text: Column) -> Column:
     return F.coalesce(F.md5(text.cast("binary")), F.lit(""))
 
 
-@functools.lru_cache(maxsize=1)
+_RESIDENT: dict = {}
+
+
 def resident(make: Callable, *args):
-    """What a worker makes once and keeps from task to task, such as a table of words; one such thing at a time."""
-    return make(*args)
+    """What a worker makes once and keeps from task to task, such as a table of words; one such thing at a time, the last one goes before the next is made."""
+    if (make, *args) not in _RESIDENT:
+        make_room()
+        _RESIDENT[make, *args] = make(*args)
+    return _RESIDENT[make, *args]
 
 
 def make_room() -> None:
@@ -74,8 +78,8 @@ def make_room() -> None:
 
     Workers outlive stages, so a stage that holds much itself calls this in its tasks first.
     """
-    if resident.cache_info().currsize:
-        resident.cache_clear()
+    if _RESIDENT:
+        _RESIDENT.clear()
         gc.collect()
     pa.default_memory_pool().release_unused()
 

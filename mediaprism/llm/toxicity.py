@@ -8,8 +8,9 @@ a supervised weight, which departs from plain TF-IDF: with that, topics decide w
 7 % of the toxic ones were found in place of 89 %). The weight is learnt from the examples' own labels, so the calibration's leave-one-out votes are somewhat too sure. No word is left out for its weight, which is above zero. Vectors are
 (1 + log tf) * idf so weighted, of unit length. Examples with equal vectors become one
 with their votes added up. The index deals the examples into blocks. Words have postings, whose products are added
-up first; those that are frequent and weak have a row an example instead and, for every block, the largest
-weight there. A query visits a block, and an example in it, only if the best posted sum and the bound from
+up first; frequent words have a row an example instead. Of those the strong are multiplied for many queries at
+once and added to the same sums, as their postings would be most of all; the weak have, for every block, the largest
+weight there. A query visits a block, and an example in it, only if the best of these sums and the bound from
 those maxima reach what its k-th best neighbour has at least, so the neighbours are exact. They vote with similarity
 to the power ``sharpness``; a logistic curve fitted on leave-one-out votes of the examples turns votes
 into calibrated scores. The neighbours' ids are returned as evidence.
@@ -31,7 +32,8 @@ import itertools
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -39,26 +41,44 @@ import pyarrow.compute  # noqa: F401  (as pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaprism.llm.common import make_room, sampled, saved, text_key
+from mediaprism.llm.common import make_room, resident, sampled, saved, text_key
 
-_WORD = re.compile(r"[^\W_]+")
+#: Of bytes below 128 all but letters and digits become blanks, as do characters beyond that are of no word.
+_ASCII = bytes(range(128))
+_ODD = re.compile(r"[^\x00-\x7F\w]+")
+_SPACED = bytes(i if i > 127 or chr(i).isalnum() else 32 for i in range(256))
 #: Types of ids; others are taken as Arrow infers them.
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 #: What ``_deal`` makes.
-_DEALT = ("width", "common", "heavy", "peaks", "norms", "post_start", "post_at", "post_weight")
-#: More than single precision can be off by in a sum of products of two vectors of unit length.
-_ROUNDING = 1e-5
+_DEALT = ("width", "common", "strong", "heavy", "peaks", "norms", "rounding", "post_start", "posts")
+#: Queries whose products with the rows of strong words are taken at once.
+_AT_ONCE = 128
+
+
+def word_list(text: str | None) -> list[str]:
+    """The runs of letters and digits in a lower-cased text, as ``[^\\W_]+`` finds them."""
+    if not text:
+        return []
+    text = text.lower()
+    coded = text.encode("utf-8", "surrogatepass")
+    if len(coded) > len(text) and not coded.translate(None, _ASCII).decode("utf-8", "surrogatepass").isalnum():
+        coded = _ODD.sub(" ", text).encode("utf-8", "surrogatepass")
+    return coded.translate(_SPACED).decode("utf-8", "surrogatepass").split()
 
 
 def words(text: str | None) -> Counter:
-    return Counter(_WORD.findall(text.lower())) if text else Counter()
+    return Counter(word_list(text))
 
 
-def known_words(text: str | None, where: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of the words of a text that have one, and how often each occurs."""
-    found = words(text)
-    numbers = np.fromiter(map(where.get, found, itertools.repeat(-1)), np.int64, len(found))
-    return numbers[numbers >= 0], np.fromiter(found.values(), np.int64, len(found))[numbers >= 0]
+def known_words(texts: Iterable[str | None], where: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many words that have a number each text holds; these numbers, in order by text, and how often each occurs."""
+    found = [word_list(t) for t in texts]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    numbers = np.fromiter(map(where.get, itertools.chain.from_iterable(found), itertools.repeat(-1)), np.int64, int(sizes.sum()))
+    key = np.repeat(np.arange(len(found)), sizes) * max(1, len(where)) + numbers
+    key, times = np.unique(key[numbers >= 0], return_counts=True)
+    text, numbers = np.divmod(key, max(1, len(where)))
+    return np.bincount(text, minlength=len(found)), numbers, times
 
 
 @dataclass
@@ -118,38 +138,44 @@ class ExampleIndex:
         self.curve = (1.0, 0.0)
 
     def _deal(self) -> None:
-        """The postings, and the rows and block maxima of words that are frequent and weak, from the examples.
+        """The postings, the rows of frequent words, and the block maxima of those that are weak too, from the examples.
 
-        Rows and maxima are of single precision; what they decide leaves room for its error, and sums are
+        A row of frequent words costs less than their postings, as their products are taken for many queries
+        at once. All these are of single precision; what they decide leaves room for its error, and sums are
         taken again in double precision.
         """
         x, n = self.examples, len(self.examples)
         # Some rows at a time: an order of all entries takes several times the memory of what is made.
-        parts = [(i, slice(x.start[i], x.start[min(i + 512, n)])) for i in range(0, n, 512)]
-        df = sum((np.bincount(x.terms[p], minlength=len(self.idf)) for _, p in parts), np.zeros(len(self.idf), np.int64))
-        frequent = df > max(8, len(self.ids) // 64)
+        parts = lambda size: ((i, min(i + size, n), slice(x.start[i], x.start[min(i + size, n)])) for i in range(0, n, size))
+        df = sum((np.bincount(x.terms[p], minlength=len(self.idf)) for _, _, p in parts(512)), np.zeros(len(self.idf), np.int64))
+        frequent = df > max(8, len(self.ids) // 26)
         weak = frequent & (self.idf <= np.quantile(self.idf[frequent], 0.4)) if frequent.any() else frequent
-        common = np.nonzero(weak)[0]
+        # Columns of the weak, then of the strong.
+        n_weak, n_all = int(weak.sum()), int(frequent.sum())
         self.common = np.full(len(self.idf), -1)
-        self.common[common] = np.arange(len(common))
+        self.common[weak] = np.arange(n_weak)
+        self.common[frequent & ~weak] = np.arange(n_weak, n_all)
+        # More than single precision can be off by in a sum of products of two vectors of unit length.
+        self.rounding = (n_all + 8) * 2.0**-24
         # Padded to whole blocks; what is padded has no weight and is never a neighbour.
         self.width = -(-len(self.ids) // self.block) * self.block
-        self.heavy = np.zeros((self.width, len(common)), np.float32)
-        self.post_start = np.concatenate([[0], np.cumsum(np.where(weak, 0, df))]).astype(np.int64)
-        self.post_at, self.post_weight = np.zeros(self.post_start[-1], np.int32), np.zeros(self.post_start[-1])
+        self.heavy, self.strong = (np.zeros((self.width, c), np.float32) for c in (n_weak, n_all - n_weak))
+        self.post_start = np.concatenate([[0], np.cumsum(np.where(frequent, 0, df))]).astype(np.int64)
+        self.posts = np.zeros(self.post_start[-1], [("at", np.int32), ("weight", np.float32)])
         free = self.post_start[:-1].copy()
-        for i, p in parts:
-            t, w, at = x.terms[p], x.weights[p], np.repeat(np.arange(i, min(i + 512, n), dtype=np.int32), np.diff(x.start[i : i + 513]))
-            own = weak[t]
-            self.heavy[at[own], self.common[t[own]]] = w[own]
-            posted = np.nonzero(~own)[0]
+        for i, end, p in parts(128):
+            t, w, at = x.terms[p], x.weights[p], np.repeat(np.arange(i, end, dtype=np.int32), np.diff(x.start[i : end + 1]))
+            to = self.common[t]
+            for rows, first, own in ((self.heavy, 0, (to >= 0) & (to < n_weak)), (self.strong, n_weak, to >= n_weak)):
+                rows[at[own], to[own] - first] = w[own]
+            posted = np.nonzero(to < 0)[0]
             posted = posted[np.argsort(t[posted], kind="stable")]
             t, first, times = np.unique(t[posted], return_index=True, return_counts=True)
             to = np.repeat(free[t] - first, times) + np.arange(len(posted))
-            self.post_at[to], self.post_weight[to] = at[posted], w[posted]
+            self.posts["at"][to], self.posts["weight"][to] = at[posted], w[posted]
             free[t] += times
-        self.peaks = self.heavy.reshape(self.width // self.block, self.block, len(common)).max(axis=1).T
-        self.norms = np.sqrt(np.einsum("ij,ij->i", self.heavy, self.heavy, dtype=float))
+        self.peaks = self.heavy.reshape(self.width // self.block, self.block, n_weak).max(axis=1).T
+        self.norms = np.sqrt(np.einsum("ij,ij->i", self.heavy, self.heavy, dtype=float)).astype(np.float32)
 
     def __getattr__(self, name: str):
         # What is dealt is larger than the examples, so it is made where neighbours are first asked for: in the workers.
@@ -170,52 +196,65 @@ class ExampleIndex:
         """All examples over all terms; for small indexes."""
         return self.examples.dense(len(self.idf))
 
-    def posted_sums(self, q: Rows) -> np.ndarray:
-        """For each query and example the products of the words that have postings."""
-        out = np.zeros((len(q), self.width))
+    def sure_sums(self, q: Rows, strong: np.ndarray) -> np.ndarray:
+        """For each query and example the products of all words but the weak: of those in ``strong`` by rows, of the others by postings."""
+        out = strong @ self.strong.T
         for i, (a, b) in enumerate(zip(q.start[:-1], q.start[1:], strict=True)):
             posted = self.common[q.terms[a:b]] < 0
             t, w = q.terms[a:b][posted], q.weights[a:b][posted]
             if len(t):
-                first, last = self.post_start[t], self.post_start[t + 1]
-                lists = [slice(x, y) for x, y in zip(first.tolist(), last.tolist(), strict=True)]
-                own = np.concatenate([self.post_weight[x] for x in lists]) * np.repeat(w, last - first)
-                out[i] = np.bincount(np.concatenate([self.post_at[x] for x in lists]), own, minlength=self.width)
+                size = self.post_start[t + 1] - self.post_start[t]
+                end = np.cumsum(size)
+                # A posting is taken as one number of 64 bits, which is quicker than by fields.
+                found = self.posts.view(np.int64).take(np.arange(end[-1]) + np.repeat(self.post_start[t] + size - end, size)).view(self.posts.dtype)
+                out[i] += np.bincount(found["at"], found["weight"] * np.repeat(w, size), minlength=self.width)
         return out
 
+    def kth_best(self, blocks: np.ndarray, tops: np.ndarray) -> float:
+        """The k-th best of the sums, which is in one of the blocks of the k best tops, as each of these has a sum no less than the last of them."""
+        if len(tops) > self.k:
+            blocks = blocks[tops >= np.partition(tops, -self.k)[-self.k]]
+        return np.partition(blocks, -self.k, axis=None)[-self.k]
+
     def nearest(self, queries: Rows | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Similarities and places of the k best examples of each query; -1 where there are fewer.
 
-        The k-th best posted sum bounds the k-th best similarity from below. From above a block's similarities are bounded by
-        its best posted sum and the lesser of two bounds of weak words: by their maxima in the block, and by its longest
+        The k-th best sum of all words but the weak bounds the k-th best similarity from below. From above a block's similarities are bounded by
+        its best such sum and the lesser of two bounds of weak words: by their maxima in the block, and by its longest
         example, as no product exceeds that of two lengths. Blocks, and examples in them, that cannot reach
-        the former are passed over. Those of the best posted sums are summed first, which raises it.
+        the former are passed over. Those of the best sums are summed first, which raises it.
         """
         given = queries if isinstance(queries, Rows) else Rows.of_dense(queries)
         q, k = len(given), self.k
         best, where = np.full((q, k), -1.0), np.full((q, k), -1)
         if not q or not self.width:
             return best, where
-        at, own = given.at(), self.common[given.terms] >= 0
-        heavy = np.zeros((q, self.heavy.shape[1]), np.float32)
-        heavy[at[own], self.common[given.terms[own]]] = given.weights[own]
-        long = np.sqrt(np.bincount(at[own], given.weights[own] ** 2, minlength=q))
-        sums = self.posted_sums(given)
-        bound = sums.reshape(q, -1, self.block).max(axis=2) + np.minimum(heavy @ self.peaks, long[:, None] * self.norms.reshape(-1, self.block).max(axis=1))
-        floor = np.partition(sums, -k, axis=1)[:, -k] - _ROUNDING if self.width > k else np.full(q, -1.0)
-        visit = (bound >= floor[:, None] - _ROUNDING) & (bound > 0)
+        n_weak, n_strong, off = self.heavy.shape[1], self.strong.shape[1], self.rounding
+        rows = np.zeros((q, n_weak + n_strong), np.float32)
+        at, to = given.at(), self.common[given.terms]
+        rows[at[to >= 0], to[to >= 0]] = given.weights[to >= 0]
+        heavy = rows[:, :n_weak]
+        long = np.sqrt(np.einsum("ij,ij->i", heavy, heavy, dtype=float)).astype(np.float32)
+        sums = self.sure_sums(given, rows[:, n_weak:])
+        blocks, norms = sums.reshape(q, -1, self.block), self.norms.reshape(-1, self.block)
+        tops = blocks.max(axis=2)
+        bound = tops + np.minimum(heavy @ self.peaks, long[:, None] * norms.max(axis=1))
+        floor = np.array([self.kth_best(s, top) for s, top in zip(blocks, tops, strict=True)]) - off if self.width > k else np.full(q, -1.0)
+        visit = (bound >= floor[:, None] - off) & (bound > 0)
         whole = np.zeros(len(self.idf))
         x = self.examples
         for i in range(q):
-            e = (np.nonzero(visit[i])[0][:, None] * self.block + np.arange(self.block)).ravel()
-            s, up = sums[i, e], sums[i, e] + long[i] * self.norms[e]
-            left = (up >= floor[i] - _ROUNDING) & (up > 0) & (e < len(x))
-            e, s, up = e[left], s[left], up[left]
+            b = np.nonzero(visit[i])[0]
+            s = blocks[i, b]
+            up = s + long[i] * norms[b]
+            # What is padded has no weight, so nothing above it.
+            left = np.nonzero((up >= floor[i] - off).ravel() & (up > 0).ravel())[0]
+            e, s, up = b[left // self.block] * self.block + left % self.block, s.ravel()[left], up.ravel()[left]
             if len(e) > 3 * k:
                 order = np.argpartition(-s, 2 * k)
                 e, s, up = e[order], s[order], up[order]
                 s[: 2 * k] += self.heavy[e[: 2 * k]] @ heavy[i]
-                low = np.partition(s[: 2 * k], k)[k] - 2 * _ROUNDING  # 2 k of them, so the k-th best is no less
+                low = np.partition(s[: 2 * k], k)[k] - 2 * off  # 2 k of them, so the k-th best is no less
                 rest = 2 * k + np.nonzero(up[2 * k :] >= low)[0]
                 s[rest] += self.heavy[e[rest]] @ heavy[i]
                 near = np.concatenate([np.arange(2 * k), rest])
@@ -224,14 +263,15 @@ class ExampleIndex:
                 s = s + self.heavy[e] @ heavy[i]
             if len(e) > k:
                 # The best, with room for rounding, are summed again exactly.
-                e = e[s >= np.partition(s, -k)[-k] - 2 * _ROUNDING]
+                e = e[s >= np.partition(s, -k)[-k] - 2 * off]
             if not len(e):
                 continue
             mine = slice(given.start[i], given.start[i + 1])
             whole[given.terms[mine]] = given.weights[mine]
-            size = x.start[e + 1] - x.start[e]
-            entry = np.arange(size.sum()) + np.repeat(x.start[e] - np.cumsum(size) + size, size)
-            exact = np.round(np.add.reduceat(x.weights[entry] * whole[x.terms[entry]], np.cumsum(size) - size), 9)
+            first, last = x.start[e], x.start[e + 1]
+            entries = [slice(a, z) for a, z in zip(first.tolist(), last.tolist(), strict=True)]
+            product = np.concatenate([x.weights[p] for p in entries]) * whole.take(np.concatenate([x.terms[p] for p in entries]))
+            exact = np.round(np.add.reduceat(product, np.cumsum(last - first) - (last - first)), 9)
             whole[given.terms[mine]] = 0
             order = np.lexsort([e, -exact])[:k]
             order = order[exact[order] > 1e-9]
@@ -258,15 +298,15 @@ class ExampleIndex:
         return 1 / (1 + np.exp(-(a * np.log(v / (1 - v)) + b)))
 
     def left_out(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The votes on the examples at these places, each with one label of its own taken off: a 0 and a 1. 64 at a time."""
+        """The votes on the examples at these places, each with one label of its own taken off: a 0 and a 1."""
         out = np.zeros((2, len(places)))
-        for i in range(0, len(places), 64):
-            part = places[i : i + 64]
+        for i in range(0, len(places), _AT_ONCE):
+            part = places[i : i + _AT_ONCE]
             sims, where = self.nearest(self.examples.take(part))
             mine = where == part[:, None]  # its own entry first, with its label taken off
             sims = np.where(mine, 1.0, np.minimum(sims, 1 - 2e-6))
             for label in (0, 1):
-                out[label, i : i + 64] = self.votes(sims, where, np.full(len(part), float(label)))
+                out[label, i : i + len(part)] = self.votes(sims, where, np.full(len(part), float(label)))
         return out[0], out[1]
 
     def calibrate(self, left_out: tuple[np.ndarray, np.ndarray] | None = None) -> None:
@@ -316,6 +356,31 @@ def numbered(terms: list[str] | pa.Array) -> dict[str, int]:
     return {t: i for i, t in enumerate(terms.to_pylist() if isinstance(terms, pa.Array) else terms)}
 
 
+@dataclass(frozen=True)
+class Numbered:
+    """Terms whose numbers a worker keeps from task to task, known by their digest."""
+
+    terms: list[str] | pa.Array = field(compare=False)
+    digest: bytes
+
+    @staticmethod
+    def of(terms: list[str] | pa.Array) -> Numbered:
+        array = terms if isinstance(terms, pa.Array) else pa.array(terms, pa.string())
+        digest = hashlib.blake2b(f"{array.offset} {len(array)} ".encode(), digest_size=16)
+        for b in array.buffers():
+            digest.update(b or b"")
+        return Numbered(terms, digest.digest())
+
+    def numbers(self) -> dict[str, int]:
+        return numbered(self.terms)
+
+    def where(self) -> dict[str, int]:
+        """The number of each term; what the worker still keeps of other stages goes first."""
+        found = resident(Numbered.numbers, self)
+        pa.default_memory_pool().release_unused()
+        return found
+
+
 def association(toxic: np.ndarray, df: np.ndarray, share: float) -> np.ndarray:
     """By how many standard deviations each word's toxic examples are off their expected number; damped for rare words, above zero for all."""
     return np.maximum(np.abs(toxic - df * share) / np.sqrt(df * share * (1 - share) + 0.5), 0.01)
@@ -374,15 +439,16 @@ def term_counts(docs: DataFrame, terms: list[str] | pa.Array, *, text_col: str =
     """The columns of ``also`` and, of each text, the numbers of the ``terms`` in it (_terms) and how often each occurs (_times)."""
     rows = docs.select(*also, F.col(text_col).alias("_text"))
     kept = rows.schema[:-1]
+    given = Numbered.of(terms)
 
     def count(batches):
-        make_room()
-        where = numbered(terms)
+        where = given.where()
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                found = [known_words(t.as_py(), where) for t in part.column(len(kept))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([t.astype(np.int32) for t, _ in found], pa.list_(pa.int32())), pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32()))], [*(f.name for f in kept), "_terms", "_times"])
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                sizes, *found = known_words(part.column(len(kept)).to_pylist(), where)
+                start = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.ListArray.from_arrays(start, pa.array(x.astype(np.int32))) for x in found)], [*(f.name for f in kept), "_terms", "_times"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "_terms array<int>, _times array<int>"])
     return rows.mapInArrow(count, schema)
@@ -400,8 +466,10 @@ def index_of(examples: DataFrame, terms: list[str] | pa.Array, counts: DataFrame
         at = np.nonzero(n)[0]
         yield pa.RecordBatch.from_arrays([pa.array(np.where(at == len(terms), -1, at)), pa.array(n[at])], ["term", "n"])
 
+    given = Numbered.of(terms)
+
     def by_number(batches):
-        where = numbered(terms)
+        where = given.where()
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
@@ -463,15 +531,16 @@ def score_counts(counts: DataFrame, index: ExampleIndex, evidence: int = 3) -> D
     def run(batches):
         make_room()
         names = pa.array(index.ids, _ARROW.get(example))
-        kind = pa.list_(pa.struct([("example", names.type), ("similarity", pa.float64()), ("votes", pa.int64()), ("toxic", pa.int64())]))
         for b in batches:
-            for i in range(0, b.num_rows, 64):
-                part = b.slice(i, 64)
+            for i in range(0, b.num_rows, _AT_ONCE):
+                part = b.slice(i, _AT_ONCE)
                 terms, times = (part.column(len(kept) + j).flatten().to_numpy() for j in (0, 1))
                 sizes = pa.compute.list_value_length(part.column(len(kept))).to_numpy()
                 score, sims, where = index.score(Rows(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), terms.astype(np.int64), times.astype(float)))
-                seen = [[{"example": index.ids[w], "similarity": float(s), "votes": int(index.n[w]), "toxic": int(index.toxic[w])} for s, w in zip(x, y, strict=True) if w >= 0] for x, y in zip(sims[:, :evidence], where[:, :evidence], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), pa.array(seen, kind)], [f.name for f in kept] + ["score", "predicted", "evidence"])
+                seen = where[:, :evidence] >= 0
+                near, start = where[:, :evidence][seen], pa.array(np.concatenate([[0], np.cumsum(seen.sum(axis=1))]), pa.int32())
+                seen = pa.StructArray.from_arrays([names.take(pa.array(near, pa.int64())), *map(pa.array, (sims[:, :evidence][seen], index.n[near], index.toxic[near]))], ["example", "similarity", "votes", "toxic"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), pa.ListArray.from_arrays(start, seen)], [f.name for f in kept] + ["score", "predicted", "evidence"])
 
     return counts.select(*[f"`{f.name}`" for f in kept], "_terms", "_times").mapInArrow(run, schema)
 

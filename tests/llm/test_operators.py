@@ -416,6 +416,43 @@ def test_toxicity_index_is_dealt_in_little_more_than_it_holds():
     assert most < 1.2 * held
 
 
+def test_frequent_words_have_no_postings():
+    """Postings of strong words that many examples hold were most of the products a query took; the neighbours stay exact."""
+    r = np.random.default_rng(5)
+    chance = np.concatenate([np.full(20, 0.3), np.full(400, 0.01)])
+    rows = [(i, 1, i % 2, {int(t): int(r.integers(1, 4)) for t in np.nonzero(r.random(420) < chance)[0]}) for i in range(1500)]
+    index = toxicity.build_index(rows, [str(t) for t in range(420)], r.random(420) + 0.1, calibrated=False)
+    assert np.diff(index.post_start).max() <= len(index.ids) // 26 and (index.common >= 0).sum() == 20
+    q = index.vectors[::5] + index.vectors[::-5]
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    for got, want in zip(index.nearest(q), brute_nearest(index, q), strict=True):
+        assert np.allclose(got, want)
+
+
+def test_words_are_runs_of_letters_and_digits():
+    every = [chr(i) for i in range(0x110000)]
+    texts = ["".join(f"A{c}b{c} 1" for c in every[i : i + 4096]) for i in range(0, len(every), 4096)] + [None, "", "_ .", "İx_É9-ß"]
+    want = [re.findall(r"[^\W_]+", (t or "").lower()) for t in texts]
+    assert [toxicity.word_list(t) for t in texts] == want
+    where = {w: i for i, w in enumerate(sorted({w for found in want for w in found[::2]}))}
+    sizes, numbers, times = toxicity.known_words(texts, where)
+    got = [dict(zip(n.tolist(), m.tolist(), strict=True)) for n, m in zip(np.split(numbers, np.cumsum(sizes)[:-1]), np.split(times, np.cumsum(sizes)[:-1]), strict=True)]
+    assert got == [{where[w]: n for w, n in Counter(found).items() if w in where} for found in want]
+    assert [x.tolist() for x in toxicity.known_words(texts, {})] == [[0] * len(texts), [], []]
+
+
+def test_workers_number_the_terms_once():
+    import pickle
+
+    from mediaprism.llm.common import make_room
+
+    terms = toxicity.Numbered.of(["b", "a"])
+    found = terms.where()
+    assert found == {"b": 0, "a": 1} and pickle.loads(pickle.dumps(terms)).where() is found
+    assert toxicity.Numbered.of(["b", "c"]).where() == {"b": 0, "c": 1} and terms.where() is not found
+    make_room()
+
+
 def test_toxicity_query(spark):
     out = queries.op5_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
     assert sum(r["predicted"] == r["toxic"] for r in out) / len(out) > 0.85
