@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaprism.options import Options
+from mediaprism.storage import large
 
 
 #: The relations that a run may lack, by name.
@@ -58,7 +59,7 @@ class Relations:
 
     @cached_property
     def segments(self) -> DataFrame:
-        return self.all_segments.join(self.renditions.select("rendition"), "rendition", "left_semi")
+        return self.all_segments.join(large(self.renditions.select("rendition")), "rendition", "left_semi")
 
     @cached_property
     def parsed(self) -> DataFrame:
@@ -67,7 +68,7 @@ class Relations:
     def of(self, segments: DataFrame, *columns: str, with_init: bool = False) -> DataFrame:
         """Segments with columns of their rendition, prefixed ``r_``; renditions whose init failed may be left out."""
         r = self.renditions.where(~F.col("init_failed")) if with_init else self.renditions
-        return segments.join(r.select("rendition", *[F.col(c).alias(f"r_{c}") for c in columns]), "rendition")
+        return segments.join(large(r.select("rendition", *[F.col(c).alias(f"r_{c}") for c in columns])), "rendition")
 
 
 def label(rendition: str = "rendition") -> Column:

@@ -9,6 +9,7 @@ from mediaprism.findings import finding, together
 from mediaprism.functions.codecs import aac_object_type, declared_family, declared_video, range_of_transfer
 from mediaprism.operators.common import Relations, first_by, label, of_stream, place, upper_median
 from mediaprism.options import AVC_TIERS
+from mediaprism.storage import large
 
 
 def _count(condition):
@@ -18,14 +19,14 @@ def _count(condition):
 def manifest(rel: Relations) -> DataFrame:
     """One statement per playlist: unreachable, unusable (it states no bandwidth where it has to), or its shape."""
     n = rel.all_segments.groupBy("rendition").agg(F.count("*").alias("n"))
-    r = rel.all_renditions.join(n, "rendition", "left")
+    r = rel.all_renditions.join(large(n), "rendition", "left")
     rule = F.when(F.col("failed"), "unreachable").when(F.col("bandwidth") <= 0, "unusable").otherwise("shape")
     return finding(r, "manifest", rule, label(), F.when(F.col("failed"), "ERROR").when(F.col("bandwidth") <= 0, "BAD").otherwise("OK"), F.coalesce("n", F.lit(0)))
 
 
 def fetch(rel: Relations) -> DataFrame:
     s = rel.segments
-    empty = rel.renditions.join(s, "rendition", "left_anti")
+    empty = rel.renditions.join(large(s), "rendition", "left_anti")
     good = s.groupBy("rendition").agg(_count(F.col("fetched")).alias("n")).where("n > 0")
     return together(
         finding(rel.all_renditions.where("failed"), "fetch", "rendition", label(), "ERROR"),
@@ -159,7 +160,7 @@ def ladder(rel: Relations) -> DataFrame:
     w = Window.partitionBy("stream", "period").orderBy("bandwidth", "rendition")
     lower = v.where("height IS NOT NULL").select("*", F.lag("height").over(w).alias("below")).where("height < below")
     defined = r.where("kind = 'audio' AND group_id IS NOT NULL").select("stream", F.col("group_id").alias("audio_group")).distinct()
-    dangling = v.where("audio_group IS NOT NULL").join(defined, ["stream", "audio_group"], "left_anti")
+    dangling = v.where("audio_group IS NOT NULL").join(large(defined), ["stream", "audio_group"], "left_anti")
     none = r.groupBy("stream").agg(_count(F.col("kind") == "video").alias("n")).where("n = 0")
     at = of_stream("p", F.col("period").cast("string"), F.lit(":"), F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"), F.lit("@"), F.col("bandwidth").cast("string"))
     return together(
@@ -174,7 +175,7 @@ def ladder(rel: Relations) -> DataFrame:
 def pop(rel: Relations) -> DataFrame:
     """The reference copy of each segment against that of each edge, by digest: one statement an edge; without edges there is nothing to say."""
     reference = rel.segments.where("fetched").select("stream", "rendition", "sequence", F.col("digest").alias("reference"))
-    g = rel.edges.join(reference, ["rendition", "sequence"]).groupBy("stream", "edge").agg(F.count("*").alias("n"), _count(F.col("missing")).alias("gone"), _count(~F.col("missing") & (F.col("digest") != F.col("reference"))).alias("other"))
+    g = rel.edges.join(large(reference), ["rendition", "sequence"]).groupBy("stream", "edge").agg(F.count("*").alias("n"), _count(F.col("missing")).alias("gone"), _count(~F.col("missing") & (F.col("digest") != F.col("reference"))).alias("other"))
     whole = g.groupBy("stream").agg(F.sum(F.col("gone") + F.col("other")).alias("off"), F.max("n").alias("n"))
     at = of_stream(F.col("edge"))
     return together(
@@ -301,10 +302,10 @@ def iframe(rel: Relations) -> DataFrame:
     """I-frame playlists: readable, one keyframe an entry, and on the timeline of the video of their size."""
     s = rel.segments.where("kind = 'iframe'")
     gone = s.groupBy("rendition").agg(_count(~F.col("parsed")).alias("gone"))
-    empty = rel.renditions.where("kind = 'iframe'").join(s, "rendition", "left_anti")
+    empty = rel.renditions.where("kind = 'iframe'").join(large(s), "rendition", "left_anti")
     g = _openings(rel.parsed.where("kind = 'iframe'"))
     start = F.floor(F.col("min_pts") * 1_000_000 / F.col("timescale"))
-    begins = rel.parsed.where("min_pts IS NOT NULL AND kind IN ('video', 'iframe')").groupBy("stream", "rendition", "kind").agg(F.min_by(start, "sequence").alias("start")).join(rel.renditions.select("rendition", "width", "height"), "rendition")
+    begins = rel.parsed.where("min_pts IS NOT NULL AND kind IN ('video', 'iframe')").groupBy("stream", "rendition", "kind").agg(F.min_by(start, "sequence").alias("start")).join(large(rel.renditions.select("rendition", "width", "height")), "rendition")
     video, own = begins.where("kind = 'video'").drop("kind"), begins.where("kind = 'iframe'").drop("kind")
     # The last rung of the same size speaks for the video, else the first of any.
     pairs = own.join(video.select("stream", F.col("rendition").alias("rung"), F.col("start").alias("video"), F.col("width").alias("_w"), F.col("height").alias("_h")), "stream")
@@ -357,7 +358,7 @@ def _apple_tier(rel: Relations) -> list[DataFrame]:
     """The measured average against the tier of the nearest size, by the logarithm of pixels; the table covers one codec."""
     rates = _rates(rel).where("kind = 'video'")
     coded = rel.parsed.where("kind = 'video'").groupBy("rendition").agg(F.min_by(F.struct("width", "height"), F.when(F.col("width") > 0, F.col("sequence"))).alias("f"), F.min_by("codec", F.when(F.col("codec").isNotNull(), F.col("sequence"))).alias("codec"))
-    g = rates.join(coded, "rendition").join(rel.renditions.select("rendition", F.col("width").alias("_w"), F.col("height").alias("_h")), "rendition")
+    g = rates.join(large(coded), "rendition").join(large(rel.renditions.select("rendition", F.col("width").alias("_w"), F.col("height").alias("_h"))), "rendition")
     g = g.withColumn("pixels", F.coalesce(F.col("f.width") * F.col("f.height"), F.col("_w") * F.col("_h"))).where("pixels > 0")
     near = F.array_sort(F.array(*[F.struct(F.abs(F.ln(F.col("pixels").cast("double") / (w * h))).alias("far"), F.lit(i).alias("i"), F.lit(kbps).alias("kbps")) for i, (w, h, kbps) in enumerate(AVC_TIERS)]))
     other = F.coalesce(F.col("codec") != "h264", F.lit(False))

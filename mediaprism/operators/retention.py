@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaprism.operators.common import EMPTY
-from mediaprism.storage import saved
+from mediaprism.storage import large, saved
 
 ROUNDS = 4
 #: Segments of a window that may be asked; longer ones are asked at so many places.
@@ -22,7 +22,7 @@ PROBES = 16
 
 def top_rungs(renditions: DataFrame, segments: DataFrame) -> DataFrame:
     """Of each stream the live video rendition of the highest bandwidth that has a window: one retention serves all rungs."""
-    live = renditions.where("live AND NOT failed AND kind = 'video'").join(segments.select("rendition").distinct(), "rendition", "left_semi")
+    live = renditions.where("live AND NOT failed AND kind = 'video'").join(large(segments.select("rendition").distinct()), "rendition", "left_semi")
     best = Window.partitionBy("stream").orderBy(F.desc("bandwidth"), F.desc("rendition"))
     return live.withColumn("_nth", F.row_number().over(best)).where("_nth = 1").select("stream", "rendition")
 
@@ -57,7 +57,7 @@ def measure(windows: DataFrame, holds: Callable[[DataFrame], DataFrame], rounds:
 
     def ask(state: DataFrame, at: Column) -> DataFrame:
         requests = saved(state.select("rendition", F.get("points", at).alias("p")).select("rendition", "p.*"))
-        return state.join(holds(requests).select("rendition", F.col("held").alias("answer")), "rendition")
+        return state.join(large(holds(requests).select("rendition", F.col("held").alias("answer"))), "rendition")
 
     first = saved(ask(windows, F.lit(0)))
     whole = first.select("rendition", "window_us", F.col("answer").alias("held"), F.lit(None).cast("long").alias("since_us"), F.lit(1).cast("long").alias("fetches"))

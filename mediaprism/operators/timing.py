@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mediaprism.findings import finding, together
 from mediaprism.operators.common import Relations, first_by, label, of_stream, place, previous, since_first, unwrapped
+from mediaprism.storage import large
 
 
 def _double(x):
@@ -42,11 +43,11 @@ def discontinuity(rel: Relations) -> DataFrame:
     # The first rendition of a stream against each other one, by sequence: a group, not a product.
     first = p.groupBy("stream").agg(F.min("rendition").alias("rendition"))
     lead = p.join(first, ["stream", "rendition"]).select("stream", "sequence", F.col("min_pts").alias("lead_pts"), F.col("discontinuity_sequence").alias("lead_ds"), F.col("rendition").alias("lead"))
-    both = p.join(lead, ["stream", "sequence"]).where((F.col("rendition") != F.col("lead")) & (F.abs(F.col("min_pts") - F.col("lead_pts")) * 1_000_000 <= rel.options.gap_us * F.col("timescale")) & (F.col("discontinuity_sequence") != F.col("lead_ds")))
+    both = p.join(large(lead), ["stream", "sequence"]).where((F.col("rendition") != F.col("lead")) & (F.abs(F.col("min_pts") - F.col("lead_pts")) * 1_000_000 <= rel.options.gap_us * F.col("timescale")) & (F.col("discontinuity_sequence") != F.col("lead_ds")))
     apart = finding(both.groupBy("rendition").agg(F.min("sequence").alias("since")), "discontinuity", "sequence-differs", label(), "BAD", F.col("since"))
     declared = p.groupBy("rendition").agg(F.sum(F.col("discontinuity").cast("int")).alias("n")).where("n > 0")
     bad = idle.select("rendition").unionByName(both.select("rendition")).distinct()
-    good = finding(declared.join(bad, "rendition", "left_anti"), "discontinuity", "declared", label(), "OK", F.col("n"))
+    good = finding(declared.join(large(bad), "rendition", "left_anti"), "discontinuity", "declared", label(), "OK", F.col("n"))
     return together(needless, apart, good)
 
 
@@ -93,7 +94,7 @@ def pdt(rel: Relations) -> DataFrame:
     worst = drift.groupBy("rendition").agg(first_by([-F.abs("off_ticks"), F.col("sequence")], "sequence", "off_ticks", "timescale").alias("w")).select("rendition", "w.*")
     drifting = finding(worst, "pdt", "drift", place(), "BAD", _double(F.col("off_ticks")) / (F.col("timescale") * 1000))
     bad = back.select("rendition").unionByName(worst.select("rendition")).distinct()
-    good = finding(pair.groupBy("rendition").agg(F.count("*").alias("n")).join(bad, "rendition", "left_anti"), "pdt", "agrees", label(), "OK", F.col("n"))
+    good = finding(pair.groupBy("rendition").agg(F.count("*").alias("n")).join(large(bad), "rendition", "left_anti"), "pdt", "agrees", label(), "OK", F.col("n"))
     v = p.where("kind = 'video'").withColumn("origin", F.col("pdt_us") - F.expr("min_pts * 1000000 div timescale"))
     g = v.groupBy("stream", "sequence").agg(F.count("*").alias("n"), (F.max("min_pts") - F.min("min_pts")).alias("media"), (F.max("origin") - F.min("origin")).alias("spread"), F.max("timescale").alias("ts"))
     g = g.where((F.col("n") > 1) & (F.col("media") * 1_000_000 <= rel.options.gap_us * F.col("ts")) & (F.col("spread") > rel.options.gap_us))
@@ -110,7 +111,7 @@ def parts(rel: Relations) -> DataFrame:
     at = F.concat_ws("/", label(), F.col("sequence").cast("string"), F.col("idx").cast("string"))
     # The first and the last part of a segment against the segment itself, where all parts between are there.
     ends = ok.groupBy("rendition", "sequence").agg(first_by([F.col("idx")], "idx", "min_pts").alias("a"), first_by([-F.col("idx")], "idx", "min_pts", "declared_us").alias("z"), F.count("*").alias("n"), F.max("timescale").alias("scale"))
-    ends = ends.join(rel.parsed.select("rendition", "sequence", F.col("min_pts").alias("from"), "measured_us"), ["rendition", "sequence"])
+    ends = ends.join(large(rel.parsed.select("rendition", "sequence", F.col("min_pts").alias("from"), "measured_us")), ["rendition", "sequence"])
     early = unwrapped(F.col("a.min_pts") - F.col("from")) * 1_000_000
     late = unwrapped(F.col("z.min_pts") - F.col("from")) * 1_000_000 + (F.col("z.declared_us") - F.col("measured_us")) * F.col("scale")
     tol = rel.options.gap_us * F.col("scale")
@@ -132,13 +133,13 @@ def subtitles(rel: Relations) -> DataFrame:
     origin = rel.parsed.where("kind = 'video'").groupBy("stream").agg(F.min(F.floor(F.col("min_pts") * 1_000_000 / F.col("timescale"))).alias("origin"))
     s = rel.segments.where("kind = 'text'").withColumn("start", F.coalesce(F.sum("declared_us").over(w), F.lit(0))).where("parsed")
     s = s.join(origin, "stream", "left").withColumn("since", F.coalesce("origin", F.lit(0)) + F.col("start")).select("rendition", "sequence", "declared_us", "since", "mapped", "origin")
-    c = s.join(rel.cues, ["rendition", "sequence"])
+    c = s.join(large(rel.cues), ["rendition", "sequence"])
     tol = rel.options.gap_us
     c = c.withColumn("off", (F.col("begin_us") < F.col("since") - tol) | (F.col("end_us") > F.col("since") + F.col("declared_us") + tol))
     worst = c.where("off").groupBy("rendition", "sequence").agg(F.min(F.col("begin_us") - F.col("since")).alias("by"))
     bad = finding(worst, "subtitles", "outside", place(), "BAD", F.col("by") / 1e6)
     n = c.groupBy("rendition").agg(F.count("*").alias("n"), F.max("off").alias("any"))
-    g = s.groupBy("rendition").agg(F.max("mapped").alias("mapped"), F.max("origin").alias("origin")).join(n, "rendition", "left").where("NOT coalesce(any, false)")
+    g = s.groupBy("rendition").agg(F.max("mapped").alias("mapped"), F.max("origin").alias("origin")).join(large(n), "rendition", "left").where("NOT coalesce(any, false)")
     rule = F.when(F.col("n").isNull(), "no-cues").when(~F.col("mapped"), "no-map").when(F.col("origin").isNull(), "no-origin").otherwise("inside")
     return together(bad, finding(g, "subtitles", rule, label(), F.when(F.col("n").isNull() | ~F.col("mapped"), "WARN").otherwise("OK"), F.coalesce("n", F.lit(0))))
 
@@ -152,20 +153,20 @@ def adbreak(rel: Relations) -> DataFrame:
     """
     v = rel.parsed.where("kind = 'video'")
     span = v.groupBy("rendition").agg(F.min_by("min_pts", "sequence").alias("first"), first_by([-F.col("sequence")], "min_pts", "measured_us", "timescale").alias("last"), F.max("timescale").alias("scale"), first_by([F.col("pdt_us").isNull(), F.col("sequence")], "pdt_us", "min_pts").alias("anchor"))
-    starts = v.select("rendition", "sequence", "min_pts").join(span.select("rendition", "first"), "rendition").select("rendition", since_first(F.col("min_pts"), F.col("first")).alias("at"))
+    starts = v.select("rendition", "sequence", "min_pts").join(large(span.select("rendition", "first")), "rendition").select("rendition", since_first(F.col("min_pts"), F.col("first")).alias("at"))
     close = span.where("last.measured_us IS NOT NULL").select("rendition", (since_first(F.col("last.min_pts"), F.col("first")) + F.floor(F.col("last.measured_us") * F.col("last.timescale") / 1_000_000)).alias("at"))
     edges = starts.unionByName(close)
-    b = rel.breaks.join(span, "rendition").join(v.select("rendition", F.col("sequence").alias("at_sequence"), F.col("min_pts").alias("sequence_pts")), ["rendition", "at_sequence"], "left")
+    b = rel.breaks.join(large(span), "rendition").join(large(v.select("rendition", F.col("sequence").alias("at_sequence"), F.col("min_pts").alias("sequence_pts"))), ["rendition", "at_sequence"], "left")
     by_clock = F.col("anchor.min_pts") + F.floor((F.col("clock_us") - F.col("anchor.pdt_us")) * F.col("scale") / 1_000_000)
     by_media = F.floor(_double(F.col("media_us")) * F.col("scale") / 1_000_000)
     declared = b.select("rendition", F.concat(label(), F.lit("@b"), F.col("break").cast("string")).alias("name"), F.lit("break").alias("what"), since_first(F.coalesce("media_pts", by_media, "sequence_pts", by_clock), F.col("first")).alias("at"))
-    spliced = rel.splices.join(span.select("rendition", "first"), "rendition").select("rendition", F.concat(label(), F.lit("@"), F.col("splice").cast("string")).alias("name"), F.lit("splice").alias("what"), since_first(F.col("pts"), F.col("first")).alias("at"))
+    spliced = rel.splices.join(large(span.select("rendition", "first")), "rendition").select("rendition", F.concat(label(), F.lit("@"), F.col("splice").cast("string")).alias("name"), F.lit("splice").alias("what"), since_first(F.col("pts"), F.col("first")).alias("at"))
     points = declared.unionByName(spliced)
     none = F.lit(None).cast("string")
     both = edges.select("rendition", "at", F.col("at").alias("edge"), none.alias("name"), none.alias("what")).unionByName(points.where("at IS NOT NULL").select("rendition", "at", F.lit(None).cast("long").alias("edge"), "name", "what"))
     w = Window.partitionBy("rendition").orderBy("at", F.col("edge").isNull())
     both = both.select("*", F.last("edge", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("before"), F.first("edge", True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("after"))
-    both = both.join(span.select("rendition", "scale"), "rendition")
+    both = both.join(large(span.select("rendition", "scale")), "rendition")
     tol = F.lit(rel.options.gap_us) * F.col("scale")
     x = both.where("name IS NOT NULL").withColumn("away", F.least(F.col("at") - F.col("before"), F.col("after") - F.col("at")))
     # Inside the span sampled, or no further than the tolerance beyond it.
@@ -173,7 +174,7 @@ def adbreak(rel: Relations) -> DataFrame:
     ms = lambda c: _double(c) * 1000 / F.col("scale")
     off = F.col("away") * 1_000_000 > tol
     rule = F.concat("what", F.when(off, "-off-boundary").otherwise("-on-boundary"))
-    told = rel.breaks.where("section_pts IS NOT NULL").join(rel.splices.where("pts IS NOT NULL").groupBy("rendition", "event").agg(F.min_by("pts", "splice").alias("pts")), ["rendition", "event"]).join(span.select("rendition", "scale"), "rendition")
+    told = rel.breaks.where("section_pts IS NOT NULL").join(large(rel.splices.where("pts IS NOT NULL").groupBy("rendition", "event").agg(F.min_by("pts", "splice").alias("pts"))), ["rendition", "event"]).join(large(span.select("rendition", "scale")), "rendition")
     # A section's clock has 90,000 ticks a second, the media's as many as it states.
     told = told.withColumn("off", unwrapped(F.floor(_double(F.col("section_pts")) * F.col("scale") / 90_000) - F.col("pts"))).where(F.abs("off") * 1_000_000 > tol)
     untimed = points.where("at IS NULL").groupBy("rendition").agg(F.count("*").alias("n"))
@@ -216,7 +217,7 @@ def availability(rel: Relations) -> DataFrame:
     streams = rel.renditions.where("live AND format = 'dash'").select("stream").distinct().join(rel.clocks, "stream", "left")
     off = F.abs("skew_us") > rel.options.clock_skew_us
     rule = F.when(off, "clock-off").when(F.col("skew_us").isNotNull(), "clock-agrees").when((F.col("sources") > 0) & ~F.col("spoken"), "clock-unsupported").when(F.col("sources") > 0, "clock-silent").otherwise("no-clock")
-    early = rel.ahead.where("served").join(rel.renditions.select("rendition"), "rendition", "left_semi")
+    early = rel.ahead.where("served").join(large(rel.renditions.select("rendition")), "rendition", "left_semi")
     return together(
         finding(g, "availability", F.when(F.col("run") > 0, "newest-missing").otherwise("there"), label(), F.when(F.col("run") > 0, "BAD").otherwise("OK"), F.col("run")),
         finding(streams, "availability", rule, of_stream("clock"), F.when(off, "WARN").otherwise("OK"), F.col("skew_us") / 1e6),

@@ -41,6 +41,11 @@ def saved_each(*frames: DataFrame) -> DataFrame:
     return frames[0].sparkSession.read.schema(frames[0].schema).parquet(*paths)
 
 
+def large(df: DataFrame) -> DataFrame:
+    """One side of a join whose rows grow with the input: it meets the other by a shuffle. Spark takes the size of compressed files for that of their rows, and else sends millions of these whole through the driver."""
+    return df.hint("merge")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows over all cores, where each costs much more than its bytes tell, as in front of a Python stage that makes or parses bodies."""
     spark = df.sparkSession
