@@ -21,7 +21,7 @@ from mediaprism.operators.retention import measure, windows_of
 from mediaprism.options import Options
 from mediaprism.sources import dash, hls, indexed
 from mediaprism.sources.fetch import from_corpus
-from mediaprism.storage import saved, spread
+from mediaprism.storage import large, saved, spread
 
 #: Takes requests (uri, offset, length; further columns stay) and adds status, headers, body, truncated and error.
 Fetch = Callable[[DataFrame], DataFrame]
@@ -156,7 +156,7 @@ def dash_listing(manifests: DataFrame, fetch: Fetch, rungs: int | None = None, n
     begins = ranges.select(*key, "kind", "uri", F.col("range_offset").alias("offset"), F.col("range_length").alias("length"), first.alias("init_offset"), F.coalesce(size, F.when(F.col("range_offset") > 0, F.col("range_offset"))).alias("init_length"))
     found = indexed.expand(begins, fetch)
     behind = found.select(*key, "kind", (F.col("n") + 1).alias("sequence"), "uri", F.col("uri").alias("init_uri"), (F.col("duration_ticks") / F.col("timescale")).alias("duration"), "range_offset", "range_length", (F.col("ticks") / F.col("timescale")).alias("media_start"), F.coalesce("init_offset", F.lit(0)).alias("init_offset"), F.coalesce("init_length", "range_offset").alias("init_length"))
-    s = named.unionByName(behind).join(owner, key)
+    s = named.unionByName(behind).join(large(owner), key)
     # Numbers may begin anew in each period; the order of a rendition's segments is by period, then number.
     order = Window.partitionBy("rendition").orderBy("period_index", "sequence")
     again = F.max("period_index").over(Window.partitionBy("rendition")) > F.min("period_index").over(Window.partitionBy("rendition"))
@@ -172,12 +172,12 @@ def dash_listing(manifests: DataFrame, fetch: Fetch, rungs: int | None = None, n
     )
     # The segment after the newest, of one video rendition a stream: a range of it tells whether it is there before its time.
     first_rung = Window.partitionBy("manifest_id").orderBy("rendition")
-    nexts = dash.next_segments(reps, now).where("kind = 'video'").join(owner.select(*key, "rendition"), key).withColumn("nth", F.row_number().over(first_rung)).where("nth = 1")
+    nexts = dash.next_segments(reps, now).where("kind = 'video'").join(large(owner.select(*key, "rendition")), key).withColumn("nth", F.row_number().over(first_rung)).where("nth = 1")
     nexts = saved(nexts.select("rendition", "uri", F.lit(0).cast("long").alias("offset"), F.lit(PROBE_BYTES).cast("long").alias("length")))
     ahead = fetch(nexts).select("rendition", F.col("error").isNull().alias("served"))
     # An event counts from its period's start, where the media stands at the representation's time offset.
     b = dash.ad_breaks(manifests).select("*", F.when(F.col("section").isNotNull(), stage.section_told("section")).alias("told"))
-    b = b.join(owner.join(reps.where("kind = 'video'").select(*key), key), ["manifest_id", "period_index"])
+    b = b.join(large(owner.join(large(reps.where("kind = 'video'").select(*key)), key)), ["manifest_id", "period_index"])
     breaks = b.select(F.col("n").alias("break"), "rendition", F.col("told.event").alias("event"), none.alias("media_pts"), _us(F.col("offset") + F.col("pto") / F.col("_scale")).alias("media_us"), none.alias("at_sequence"), none.alias("clock_us"), F.col("told.pts").alias("section_pts"))
     return Listing(saved(renditions), saved(segments), saved(breaks), clocks=clocks, ahead=saved(ahead))
 
@@ -265,7 +265,7 @@ def relations(listing: Listing, fetch: Fetch, options: Options | None = None, *,
         F.col("v.profile").alias("profile_idc"), F.col("v.level").alias("level_idc"), F.col("v.tier").alias("tier"), F.col("v.transfer").alias("transfer"), F.col("sequence").alias("ordinal"),
     )
     missing = parsed.groupBy("rendition").agg(F.max("init_missing").alias("init_failed"))
-    renditions = listing.renditions.join(missing, "rendition", "left").withColumn("init_failed", F.coalesce("init_failed", F.lit(False)))
+    renditions = listing.renditions.join(large(missing), "rendition", "left").withColumn("init_failed", F.coalesce("init_failed", F.lit(False)))
     splices = parsed.select("rendition", "sequence", F.posexplode("splices").alias("k", "x")).select(F.xxhash64("rendition", "sequence", "k").alias("splice"), "rendition", F.col("x.event_id").alias("event"), F.col("x.pts").alias("pts"))
     cues = parsed.select("rendition", "sequence", F.explode("cues").alias("x")).select("rendition", "sequence", (F.col("x.begin_ms") * 1000).alias("begin_us"), (F.col("x.end_ms") * 1000).alias("end_us"))
 

@@ -18,11 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from mediaprism.storage import large
+
 SCHEMA = "uri string, range string, status int, content_type string, body binary, truncated boolean, elapsed_us bigint, error string"
 
 
 #: Ranges that begin in one stretch of so many bytes are cut together.
 STRETCH = 16 << 20
+#: Of so few requests the addresses are sent to the bodies, so that only bodies asked for are moved.
+FEW = 50_000
 
 
 def byte_range(offset, length):
@@ -39,13 +43,14 @@ def from_corpus(requests: DataFrame, corpus: DataFrame, cap: int = 64 << 20) ->
     headers = F.col("headers") if "headers" in corpus.columns else F.lit(None).cast("map<string,array<string>>")
     held = corpus.select("uri", "status", F.col("body").alias("_whole"), headers.alias("headers"))
     ranged, columns = F.col("length").isNotNull(), requests.columns
-    # Inner joins, so that few requests go to the bodies and not the bodies to them; what has no entry is found by the addresses alone.
-    none = requests.join(corpus.select("uri"), "uri", "left_anti").select(*columns, *[F.lit(None).cast(held.schema[c].dataType).alias(c) for c in ("status", "headers", "_whole")])
-    found = none.unionByName(requests.where(~ranged).join(held, "uri").select(*columns, "status", "headers", "_whole")).withColumnRenamed("_whole", "_asked")
+    if requests.count() <= FEW:
+        held = held.join(F.broadcast(requests.select("uri").distinct()), "uri", "left_semi")
+    # Requests may carry much, so they never pass the driver: both sides meet by a shuffle.
+    found = requests.where(~ranged).join(large(held), "uri", "left").select(*columns, "status", "headers", F.col("_whole").alias("_asked"))
     parts = requests.where(ranged)
     if not parts.isEmpty():
         # All ranges of one stretch of a body are cut while that body is there once.
-        stretch = parts.groupBy("uri", F.floor(F.coalesce("offset", F.lit(0)) / STRETCH)).agg(F.collect_list(F.struct(*columns)).alias("_asks")).select("uri", "_asks").join(held, "uri")
+        stretch = parts.groupBy("uri", F.floor(F.coalesce("offset", F.lit(0)) / STRETCH)).agg(F.collect_list(F.struct(*columns)).alias("_asks")).select("uri", "_asks").join(large(held), "uri", "left")
         cut = lambda r: F.struct(r.alias("r"), F.substr(F.col("_whole"), (F.coalesce(r["offset"], F.lit(0)) + 1).cast("int"), r["length"].cast("int")).alias("_asked"))
         cuts = stretch.select("status", "headers", F.explode(F.transform("_asks", cut)).alias("c"))
         found = found.unionByName(cuts.select("c.r.*", "status", "headers", "c._asked"))

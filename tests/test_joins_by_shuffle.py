@@ -4,6 +4,7 @@ import pytest
 from conftest import SF
 
 from mediaprism.operators.registry import CHECKS, load, shared
+from mediaprism.sources import fetch
 
 
 def plan_of(df, capsys):
@@ -20,3 +21,19 @@ def written(spark):
 def test_checks_send_no_rows_of_segments_and_renditions_through_the_driver(written, name, capsys):
     plan = plan_of(CHECKS[name](written), capsys)
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_requests_and_what_they_carry_meet_bodies_by_a_shuffle(spark, tmp_path, monkeypatch, capsys):
+    """Of few requests the addresses alone are sent to the bodies; answers are the same either way."""
+    spark.range(40).selectExpr("concat('u', id) AS uri", "200 AS status", "cast(concat('body', id) AS binary) AS body").write.parquet(f"{tmp_path}/corpus")
+    spark.range(60).selectExpr("concat('u', id) AS uri", "if(id % 2 = 0, 4L, null) AS offset", "if(id % 2 = 0, 1L, null) AS length", "repeat('carried', 9) AS more").write.parquet(f"{tmp_path}/asked")
+    corpus, asked = spark.read.parquet(f"{tmp_path}/corpus"), spark.read.parquet(f"{tmp_path}/asked")
+    answers, sent = [], []
+    for few in (60, 59):
+        monkeypatch.setattr(fetch, "FEW", few, raising=False)
+        got = fetch.from_corpus(asked, corpus)
+        lines = plan_of(got, capsys).splitlines()
+        sent.append([y for x, y in zip(lines, lines[1:]) if "BroadcastExchange" in x])
+        answers.append(sorted(map(str, got.collect())))
+    assert sent[0] and all("keys=[uri" in x for x in sent[0]) and not sent[1]
+    assert answers[0] == answers[1] and len(answers[0]) == 60 and sum("no answer" in x for x in answers[0]) == 20
