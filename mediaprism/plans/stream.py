@@ -108,7 +108,7 @@ def hls_listing(manifests: DataFrame, fetch: Fetch, rungs: int | None = None) ->
     lists = saved(read.unionByName(given))
     owner = r.select("rendition", F.col("manifest_id").alias("stream"), "kind")
 
-    s = hls.segments(lists).withColumnRenamed("manifest_id", "rendition").join(owner, "rendition")
+    s = hls.segments(lists).withColumnRenamed("manifest_id", "rendition").join(large(owner), "rendition")
     segments = s.select(
         "stream", "rendition", "kind", F.lit(0).alias("period"), "sequence", "uri", F.col("byte_range.offset").alias("offset"), F.col("byte_range.length").alias("length"), "init_uri", F.col("init_range.offset").alias("init_offset"), F.col("init_range.length").alias("init_length"), "key_uri", "key_iv", "key_method",
         _us(F.col("duration")).alias("declared_us"), none.alias("declared_start_us"), F.unix_micros("pdt").alias("pdt_us"), "discontinuity", "discontinuity_sequence", "live",
@@ -120,7 +120,7 @@ def hls_listing(manifests: DataFrame, fetch: Fetch, rungs: int | None = None) ->
     head = hls.playlists(lists).select(F.col("manifest_id").alias("rendition"), "live", "target_duration", "part_target")
     empty = F.array().cast("array<string>")
     # Entries of groups and playlists given directly have no place for a bandwidth, so none is stated rather than zero.
-    renditions = r.join(head, "rendition", "left").join(keys, "rendition", "left").join(session, "manifest_id", "left").select(
+    renditions = r.join(large(head), "rendition", "left").join(large(keys), "rendition", "left").join(session, "manifest_id", "left").select(
         F.col("manifest_id").alias("stream"), "rendition", "kind", F.lit(0).alias("period"), F.when(F.col("n").eqNullSafe(0) | F.col("group_id").isNotNull(), F.nullif(F.col("bandwidth"), F.lit(0))).otherwise(F.col("bandwidth")).alias("bandwidth"), F.nullif(F.col("width"), F.lit(0)).cast("long").alias("width"), F.nullif(F.col("height"), F.lit(0)).cast("long").alias("height"), "codecs", F.round(F.col("frame_rate") * 1000).cast("long").alias("fps_milli"),
         none.alias("sample_rate"), F.nullif(F.col("channels"), F.lit(0)).cast("long").alias("channels"), F.coalesce("caption_ids", empty).alias("captions"), F.coalesce("captions_none", F.lit(False)).alias("captions_none"), "audio_group", "group_id", F.col("live").isNull().alias("failed"),
         none.alias("transfer"), "video_range", "scheme", F.array_sort(F.array_union(F.coalesce("own", empty), F.coalesce("shared", empty))).alias("drm"), F.coalesce("live", F.lit(False)).alias("live"), _us(F.col("target_duration")).alias("target_us"), _us(F.col("part_target")).alias("part_target_us"), F.lit("hls").alias("format"),
@@ -134,9 +134,9 @@ def hls_listing(manifests: DataFrame, fetch: Fetch, rungs: int | None = None) ->
     # Parts carry what their segment does; those of a segment that is not listed yet, what the newest does.
     of_segment = segments.select("rendition", "sequence", *carried)
     newest = segments.groupBy("rendition").agg(F.max_by(F.struct(*carried), "sequence").alias("x")).select("rendition", *[F.col(f"x.{c}").alias(f"_{c}") for c in carried])
-    p = p.join(of_segment, ["rendition", "sequence"], "left").join(newest, "rendition", "left")
+    p = p.join(large(of_segment), ["rendition", "sequence"], "left").join(large(newest), "rendition", "left")
     parts = p.select("rendition", "sequence", F.col("idx").cast("long").alias("idx"), "uri", F.col("byte_range.offset").alias("offset"), F.col("byte_range.length").alias("length"), _us(F.col("duration")).alias("declared_us"), "independent", *[F.coalesce(c, f"_{c}").alias(c) for c in carried])
-    return Listing(saved(renditions), segments, breaks, parts)
+    return Listing(saved(renditions), segments, breaks, saved(parts))
 
 
 def dash_listing(manifests: DataFrame, fetch: Fetch, rungs: int | None = None, now: float | None = None) -> Listing:

@@ -49,9 +49,9 @@ def playlists(manifests: DataFrame) -> DataFrame:
 def renditions(manifests: DataFrame) -> DataFrame:
     """Variants, I-frame playlists and MEDIA entries with a URI. Names that repeat gain the bandwidth, then a number."""
     r = lines(manifests)
-    w = Window.partitionBy("manifest_id").orderBy("n")
-    # A variant waits for the next line that is a URI, whatever comments and tags stand between.
-    r = r.withColumn("next", F.first(F.when(F.col("is_uri"), F.col("line")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))).where("tag IN ('EXT-X-STREAM-INF', 'EXT-X-I-FRAME-STREAM-INF', 'EXT-X-MEDIA')").withColumn("a", attributes(F.col("value")))
+    # A variant waits for the next line that is a URI, whatever comments and tags stand between. From the end on, so that the frame grows by a row each; one that shrinks is added up anew.
+    back = Window.partitionBy("manifest_id").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("next", F.last(F.when(F.col("is_uri"), F.col("line")), ignorenulls=True).over(back)).where("tag IN ('EXT-X-STREAM-INF', 'EXT-X-I-FRAME-STREAM-INF', 'EXT-X-MEDIA')").withColumn("a", attributes(F.col("value")))
     a = lambda k: F.col("a")[k]
     codecs = F.lower(F.coalesce(a("CODECS"), F.lit("")))
     has_video, has_audio = codecs.rlike("avc1|avc3|hvc1|hev1|av01|vp0?9|dvh"), codecs.rlike("mp4a|ac-3|ec-3|opus|flac")

@@ -4,7 +4,7 @@ import pytest
 from conftest import SF
 
 from mediaprism.operators.registry import CHECKS, load, shared
-from mediaprism.sources import fetch
+from mediaprism.sources import fetch, hls
 
 
 def plan_of(df, capsys):
@@ -37,3 +37,11 @@ def test_requests_and_what_they_carry_meet_bodies_by_a_shuffle(spark, tmp_path,
         answers.append(sorted(map(str, got.collect())))
     assert sent[0] and all("keys=[uri" in x for x in sent[0]) and not sent[1]
     assert answers[0] == answers[1] and len(answers[0]) == 60 and sum("no answer" in x for x in answers[0]) == 20
+
+
+def test_a_variant_finds_its_address_without_a_look_at_all_lines_behind(spark, capsys):
+    lines = [x for k in range(50) for x in (f"#EXT-X-STREAM-INF:BANDWIDTH={k + 1}", "# said between", f"v{k}.m3u8")]
+    masters = spark.createDataFrame([(1, "https://h/m.m3u8", "\n".join(["#EXTM3U", *lines, "#EXT-X-STREAM-INF:BANDWIDTH=99"]))], "manifest_id long, url string, body string")
+    found = hls.renditions(masters)
+    assert {(r["bandwidth"], r["uri"]) for r in found.collect()} == {(k + 1, f"https://h/v{k}.m3u8") for k in range(50)}
+    assert "1, unboundedfollowing" not in plan_of(found, capsys)
